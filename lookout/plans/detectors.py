@@ -1 +1,187 @@
-"""Registered queries (filled in below)."""
+"""Registered queries: density votes, silhouette, session row, forest and
+the full detector (D5-D8, D18, D19, D21, D22) on scaled attempts."""
+
+from __future__ import annotations
+
+from pyspark.sql import functions as F
+
+from lookout.config import DEFAULT, DEFAULT_THRESHOLDS
+from lookout.operators import density, iforest
+from lookout.operators import scoring as S
+from lookout.plans.catalog import register
+from lookout.plans.scoring import FEAT_SQL, features, q as scored_sql, scored
+from lookout.operators.ensemble import detect
+
+X = "x_Nombre_Tentatives"
+
+
+def wire_features(spark, sf):
+    """A4 on the canonical wire events: errors per address and first date."""
+    from lookout.operators.metrics import ip_features
+    from lookout.plans.events import canonical_wire
+    return ip_features(canonical_wire(spark, sf))
+
+
+def scaled(spark, sf):
+    f = features(spark, sf)
+    return S.scale(f, ["Nombre_Tentatives"], S.attach(S.global_stats(f, ["Nombre_Tentatives"])))
+
+
+def contamination_of(df) -> float:
+    """D3 value (one aggregate row) as a plain number for the model fits."""
+    return float(S.contamination(df, "Nombre_Tentatives", DEFAULT_THRESHOLDS["Nombre_Tentatives"]).first()[0])
+
+
+X_SQL = f"""{FEAT_SQL},
+st AS (SELECT avg(CAST(Nombre_Tentatives AS DOUBLE)) AS m, stddev_pop(CAST(Nombre_Tentatives AS DOUBLE)) AS sp, count(*) AS n,
+  least(0.20, greatest(0.05, CAST(count(CASE WHEN Nombre_Tentatives > 50 THEN 1 END) AS DOUBLE) / greatest(count(*), 1))) AS c FROM f),
+x AS (SELECT IP_Source, (CAST(Nombre_Tentatives AS DOUBLE) - m) / CASE WHEN sp = 0 OR sp IS NULL THEN 1.0 ELSE sp END AS x,
+  row_number() OVER (ORDER BY IP_Source) AS id FROM f CROSS JOIN st)"""
+
+
+def quantile_sql(name: str, rel: str, col: str, p_expr: str) -> str:
+    """Linear-interpolated quantile (numpy / Spark ``percentile``) at a
+    data-derived fraction, as two CTEs; result column ``q`` of ``name``."""
+    return f"""{name}_o AS (SELECT {col} AS v, row_number() OVER (ORDER BY {col}) - 1 AS i, count(*) OVER () AS n FROM {rel}),
+{name}_h AS (SELECT *, (n - 1) * ({p_expr}) AS h FROM {name}_o),
+{name} AS (SELECT max(CASE WHEN i = floor(h) THEN v END)
+  + (h - floor(h)) * (max(CASE WHEN i = least(floor(h) + 1, n - 1) THEN v END) - max(CASE WHEN i = floor(h) THEN v END)) AS q
+  FROM {name}_h GROUP BY h, n)"""
+
+
+# ------------------------------------------------------------------ D8
+
+@register("d8_dbscan_noise", f"""WITH {X_SQL},
+c AS (SELECT *, count(*) OVER (ORDER BY x RANGE BETWEEN 0.5 PRECEDING AND 0.5 FOLLOWING) >= 5 AS core FROM x),
+nz AS (SELECT *, max(CAST(core AS INT)) OVER (ORDER BY x RANGE BETWEEN 0.5 PRECEDING AND 0.5 FOLLOWING) = 0 AS noise FROM c)
+SELECT IP_Source, CAST(core AS INT) AS core, CAST(noise AS INT) AS noise FROM nz""", views=("v_ip",))
+def d8_dbscan_noise(spark, sf):
+    x = scaled(spark, sf)
+    h = density.dbscan_noise(x, X, DEFAULT.eps, DEFAULT.min_samples)
+    return x.join(h, x[X] == h["x"]).select("IP_Source", F.col("core").cast("int").alias("core"),
+                                            F.col("noise").cast("int").alias("noise"))
+
+
+# ------------------------------------------------------------------ D6
+
+LOF_SQL = f"""WITH {X_SQL.replace("(CAST(Nombre_Tentatives AS DOUBLE) - m) / CASE WHEN sp = 0 OR sp IS NULL THEN 1.0 ELSE sp END AS x",
+                               "CAST(Nombre_Tentatives AS DOUBLE) AS x")},
+kk AS (SELECT least(20, n - 1) AS k FROM st),
+pf AS (SELECT a.id AS aid, b.id AS bid, abs(a.x - b.x) AS d, b.x AS bx FROM x a JOIN x b ON a.id <> b.id),
+nf AS (SELECT * FROM pf QUALIFY row_number() OVER (PARTITION BY aid ORDER BY d, bx, bid) <= (SELECT k FROM kk)),
+kd AS (SELECT aid AS id, max(d) AS kdist FROM nf GROUP BY aid),
+lr AS (SELECT nf.aid AS id, 1.0 / (avg(greatest(kd.kdist, nf.d)) + 1e-10) AS lrd FROM nf JOIN kd ON kd.id = nf.bid GROUP BY nf.aid),
+lf AS (SELECT nf.aid AS id, avg(l2.lrd) / any_value(l1.lrd) AS lof_fit FROM nf JOIN lr l2 ON l2.id = nf.bid
+  JOIN lr l1 ON l1.id = nf.aid GROUP BY nf.aid),
+ps AS (SELECT a.id AS aid, b.id AS bid, abs(a.x - b.x) AS d, b.x AS bx FROM x a CROSS JOIN x b),
+ns AS (SELECT * FROM ps QUALIFY row_number() OVER (PARTITION BY aid ORDER BY d, bx, bid) <= (SELECT k FROM kk)),
+ls AS (SELECT ns.aid AS id, avg(lr.lrd) * (avg(greatest(kd.kdist, ns.d)) + 1e-10) AS lof_score
+  FROM ns JOIN kd ON kd.id = ns.bid JOIN lr ON lr.id = ns.bid GROUP BY ns.aid),
+neg AS (SELECT -lof_fit AS v FROM lf),
+{quantile_sql('off', 'neg', 'v', '(SELECT c FROM st)')}
+SELECT x.IP_Source, round_even(lf.lof_fit, 6) AS lof_fit, round_even(ls.lof_score, 6) AS lof_score,
+  CAST(-ls.lof_score < (SELECT q FROM off) AS INT) AS vote
+FROM x JOIN lf ON lf.id = x.id JOIN ls ON ls.id = x.id"""
+
+
+@register("d6_lof_vote", LOF_SQL, views=("v_ip",))
+def d6_lof_vote(spark, sf):
+    # LOF is invariant to uniform scaling; on the raw counts the distances are
+    # exact, so neighbour ties break the same way in every engine.
+    x = features(spark, sf).withColumn("raw", F.col("Nombre_Tentatives").cast("double"))
+    n = x.count()
+    res = density.lof(x, "raw", min(DEFAULT.lof_k, n - 1), contamination_of(x))
+    return x.join(res, x["raw"] == res["x"]).select(
+        "IP_Source", F.bround("lof_fit", 6).alias("lof_fit"), F.bround("lof_score", 6).alias("lof_score"),
+        F.col("vote").cast("int").alias("vote"))
+
+
+# ------------------------------------------------------------------ D7
+
+@register("d7_kernel_vote", f"""WITH {X_SQL},
+gm AS (SELECT CASE WHEN var_pop(x) > 0 THEN 1.0 / var_pop(x) ELSE 1.0 END AS g FROM x),
+dn AS (SELECT a.IP_Source, avg(exp(-(SELECT g FROM gm) * (a.x - b.x) * (a.x - b.x))) AS density
+  FROM x a CROSS JOIN x b GROUP BY a.IP_Source),
+{quantile_sql('qd', 'dn', 'density', '(SELECT c FROM st)')}
+SELECT IP_Source, round_even(density, 6) AS density, CAST(density < (SELECT q FROM qd) AS INT) AS vote FROM dn""",
+          views=("v_ip",))
+def d7_kernel_vote(spark, sf):
+    x = scaled(spark, sf)
+    res = density.kernel_novelty(x, X, contamination_of(x))
+    return x.join(res, x[X] == res["x"]).select("IP_Source", F.bround("density", 6).alias("density"),
+                                                F.col("vote").cast("int").alias("vote"))
+
+
+# ------------------------------------------------------------------ D19, D18
+
+def _silhouette_sql(label_sql: str, source: str) -> str:
+    return f"""lab AS (SELECT x, CASE WHEN {label_sql} THEN 0 ELSE 1 END AS l, IP_Source FROM {source}),
+cnt AS (SELECT l, count(*) AS m FROM lab GROUP BY l),
+pr AS (SELECT a.IP_Source, a.l, sum(CASE WHEN b.l = a.l THEN abs(a.x - b.x) ELSE 0 END) AS sa,
+  sum(CASE WHEN b.l <> a.l THEN abs(a.x - b.x) ELSE 0 END) AS sb FROM lab a CROSS JOIN lab b GROUP BY a.IP_Source, a.l),
+sv AS (SELECT pr.*, mo.m AS m_own, sa / (mo.m - 1) AS a, sb / mt.m AS b FROM pr JOIN cnt mo ON mo.l = pr.l JOIN cnt mt ON mt.l <> pr.l),
+sil AS (SELECT CASE WHEN (SELECT count(*) FROM cnt) = 2 AND (SELECT min(m) FROM cnt) >= 2
+  THEN round_even(avg(CASE WHEN m_own > 1 AND greatest(a, b) > 0 THEN (b - a) / greatest(a, b) ELSE 0.0 END), 4) END AS silhouette
+  FROM sv)"""
+
+
+@register("d19_silhouette", f"""WITH {X_SQL}, xv AS (SELECT x.*, f.Nombre_Tentatives FROM x JOIN f USING (IP_Source)),
+{_silhouette_sql('Nombre_Tentatives > 180', 'xv')}
+SELECT silhouette FROM sil""", views=("v_ip",))
+def d19_silhouette(spark, sf):
+    x = scaled(spark, sf).withColumn("label", F.when(F.col("Nombre_Tentatives") > 180, -1).otherwise(1))
+    return density.silhouette_1d(x, X, "label")
+
+
+def perf_row(spark, sf):
+    sc = scored(spark, sf)
+    f = features(spark, sf)
+    st = S.attach(S.global_stats(f, ["Nombre_Tentatives"]))
+    lab = S.scale(sc, ["Nombre_Tentatives"], st).withColumn(
+        "label", F.when(F.col("score_raw") >= 0.3, -1).otherwise(1))
+    sil = density.silhouette_1d(lab, X, "label").scalar()
+    bl = T_blacklist_size(spark, sf)
+    return S.session_performance(sc, bl, sil)
+
+
+def T_blacklist_size(spark, sf):
+    from lookout.plans.scoring import blacklist
+    return blacklist(spark, sf).agg(F.count_distinct("ip").alias("n")).scalar()
+
+
+@register("d18_session_performance", scored_sql(f"""WITH xst AS (SELECT avg(CAST(Nombre_Tentatives AS DOUBLE)) AS m2,
+  stddev_pop(CAST(Nombre_Tentatives AS DOUBLE)) AS sp2 FROM lv),
+xs AS (SELECT IP_Source, (CAST(Nombre_Tentatives AS DOUBLE) - m2) / CASE WHEN sp2 = 0 OR sp2 IS NULL THEN 1.0 ELSE sp2 END AS x,
+  score_raw FROM lv CROSS JOIN xst),
+{_silhouette_sql('score_raw >= 0.3', 'xs')}
+SELECT CAST(count(*) AS BIGINT) AS nb_echantillons, round_even(avg(CASE WHEN score_raw >= 0.3 THEN 1.0 ELSE 0.0 END) * 100, 2)
+  AS taux_anomalies, round_even(avg(score_raw), 4) AS score_moyen, round_even(max(score_raw), 4) AS score_max,
+  (SELECT CAST(count(DISTINCT ip) AS BIGINT) FROM bl) AS nb_blacklistes, (SELECT silhouette FROM sil) AS silhouette
+FROM lv"""), views=("v_ip", "v_votes"))
+def d18_session_performance(spark, sf):
+    return perf_row(spark, sf)
+
+
+# ------------------------------------------------------------------ D5, D21, D22 (no SQL oracle: randomised forest)
+
+@register("d5_iforest")
+def d5_iforest(spark, sf):
+    x = scaled(spark, sf)
+    trees, psi = iforest.fit_forest(x, "IP_Source", [X], DEFAULT.n_trees, DEFAULT.sample_size, DEFAULT.seed)
+    out = iforest.forest_votes(iforest.score_forest(x, trees, [X], psi), contamination_of(x))
+    return out.select("IP_Source", F.bround("if_raw", 6).alias("if_raw"), "v_if",
+                      F.bround("cont_if", 6).alias("cont_if"))
+
+
+@register("d21_model_tables")
+def d21_model_tables(spark, sf):
+    x = scaled(spark, sf)
+    trees, _ = iforest.fit_forest(x, "IP_Source", [X], DEFAULT.n_trees, DEFAULT.sample_size, DEFAULT.seed)
+    return trees
+
+
+@register("d22_full_detector")
+def d22_full_detector(spark, sf):
+    return detect(wire_features(spark, sf)).select(
+        "IP_Source", "score_c1", "score_c2", "score_c3", "score_c4", "score_c5", "score_final",
+        "niveau_alerte", "anomalie")

@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from lookout.config import DEFAULT_THRESHOLDS, FEATURE_WEIGHTS, LEVELS
 from lookout.operators import scoring as S
 from lookout.plans.catalog import register
+from lookout.session import cut_lineage
 from lookout.sources import tables as T
 
 FEATS = ["Nombre_Tentatives", "Nombre_Erreurs"]
@@ -15,11 +16,12 @@ VIEWS = ("v_ip", "v_votes")
 
 
 def features(spark, sf):
-    """Per-address feature table with the detector's column names."""
-    return T.v_ip(spark, sf).select(F.col("ip").alias("IP_Source"),
+    """Per-address feature table with the detector's column names,
+    materialised once (every layer and statistic re-reads it)."""
+    return cut_lineage(T.v_ip(spark, sf).select(F.col("ip").alias("IP_Source"),
                                     F.col("attempts").alias("Nombre_Tentatives"),
                                     F.col("errors").alias("Nombre_Erreurs"),
-                                    F.col("first_ts").alias("Date"))
+                                    F.col("first_ts").alias("Date")))
 
 
 def blacklist(spark, sf):
