@@ -122,3 +122,26 @@ class Settings:
 
 
 DEFAULT = Settings()
+
+# ---------------------------------------------------------------------------
+# FIXED VALUES: alarm notification and action texts (verbatim, French)
+# ---------------------------------------------------------------------------
+ALARM_TEXT_SSH = ("🔴 ALARME SÉCURITÉ — BRUTE-FORCE SSH DÉTECTÉ\nIP Source: {ip}\nDétail: {message}\n"
+                  "Action immédiate requise: Bloquer {ip} via iptables/Fail2Ban")
+ALARM_TEXT_LOAD = ("🟠 ALARME PERFORMANCE — SURCHARGE SYSTÈME DÉTECTÉE\nDétail: {message}\n"
+                   "Action immédiate requise: Vérifier les processus")
+ALARM_TEXT_SCAN = ("🔵 ALARME RECONNAISSANCE — SCAN DE PORTS DÉTECTÉ\nIP Source: {ip}\nDétail: {message}\n"
+                   "Action immédiate requise: Ajouter {ip} à la blacklist")
+ALARM_TEXT_GENERAL = ("⚠️ ALARME GÉNÉRALE — {severite}\nDétail: {message}\n"
+                      "Action immédiate requise: Inspection manuelle")
+ALARM_DEFAULTS = {"type": "ANOMALIE", "message": "Anomalie détectée", "severite": "AVERTISSEMENT", "ip": "N/A"}
+
+# action router: (action type, command template, status)
+ACTION_NORMAL = ("SURVEILLANCE_NORMALE", None, "OK")
+ACTION_BLOCK = ("BLOCAGE_IP_AWS_SECGROUP", "iptables -A INPUT -s {ip} -j DROP", "EN_COURS")
+ACTION_BAN = ("BAN_FAIL2BAN", "fail2ban-client set sshd banip {ip}", "EXÉCUTÉ")
+ACTION_BLACKLIST = ("BLACKLIST_IP", "iptables -A INPUT -s {ip} -j DROP", "EXÉCUTÉ")
+ACTION_ALERT = ("ALERTE_SYSTEME", "systemctl status --failed && journalctl -p err -n 50", "ALERTE_ENVOYÉE")
+ACTION_MEMORY = ("LIBERER_MEMOIRE", "sync && echo 3 > /proc/sys/vm/drop_caches", "EXÉCUTÉ")
+ACTION_ACCOUNT = ("DESACTIVER_COMPTE", "usermod -L {user}", "EXÉCUTÉ")
+ACTION_MANUAL = ("INSPECTION_MANUELLE", None, "EN_ATTENTE")
