@@ -1,75 +1,73 @@
 """ARIMA(1,1,1) forecast per series key by conditional sum of squares (F1).
 
-Each series is one row holding its ordered values (the number of time
-buckets of a key - hours or days - not the number of events). The (phi,
-theta) grid is a literal array exploded per series (no join), the CSS
-recursion is an ``aggregate`` over the differenced series, ``min_by`` picks
-the best pair, and a second 0.01 grid refines around it. Forecast:
+Series are fitted in parallel, one group per key; each group holds the
+key's time buckets (hours or days), never raw events. The conditional sum
+of squares is evaluated for the whole (phi, theta) grid at once (vectorised
+over the grid, sequential over time); the first minimum in (phi, theta)
+order wins; a second 0.01 grid refines around it. Forecast:
 w(n+1) = phi*w(n) + theta*e(n), w(n+h) = phi*w(n+h-1), y by cumulative sum.
 Series shorter than 4 points repeat their last value.
 """
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
-from pyspark.sql import functions as F
+import numpy as np
+import pandas as pd
+from pyspark.sql import DataFrame
+from pyspark.sql.types import DoubleType, IntegerType, StructField, StructType
 
 COARSE = [round(-0.9 + 0.1 * i, 1) for i in range(19)]
 FINE = [round(-0.09 + 0.01 * i, 2) for i in range(19)]
 STEPS = 6
 
 
-def series(df: DataFrame, keys: list[str], time_col: str, value_col: str) -> DataFrame:
-    """One row per key with values ordered by time."""
-    return (df.groupBy(*keys)
-            .agg(F.array_sort(F.collect_list(F.struct(F.col(time_col).alias("t"),
-                                                     F.col(value_col).cast("double").alias("y")))).alias("_s"))
-            .select(*keys, F.transform("_s", lambda s: s["y"]).alias("y")))
+def _fit_series(y: np.ndarray, steps: int) -> tuple[list[float], float | None, float | None]:
+    """CSS grid search on one series (numpy, vectorised over the grid)."""
+    n = len(y)
+    if n < 4:
+        return [float(y[-1])] * steps, None, None
+    w = np.diff(y)
 
+    def sse(phi: np.ndarray, theta: np.ndarray):
+        e = np.zeros_like(phi)
+        s = np.zeros_like(phi)
+        for i in range(1, len(w)):
+            e = w[i] - phi * w[i - 1] - theta * e
+            s = s + e * e
+        return s, e
 
-def _sse(w: Column, phi: Column, theta: Column) -> Column:
-    """State after the CSS recursion: (last error, sum of squared errors)."""
-    m = F.size(w)
-    init = F.struct(F.lit(0.0).alias("pe"), F.lit(0.0).alias("sse"))
+    def best(phi, theta):
+        s, e = sse(phi, theta)
+        k = int(np.argmin(s))  # grid is ordered by (phi, theta): first minimum = smallest pair
+        return phi[k], theta[k], e[k]
 
-    def step(acc, i):
-        e = w[i] - phi * w[i - 1] - theta * acc["pe"]
-        return F.struct(e.alias("pe"), (acc["sse"] + e * e).alias("sse"))
+    cp, ct = np.meshgrid(np.array(COARSE), np.array(COARSE), indexing="ij")
+    p0, t0, _ = best(cp.ravel(), ct.ravel())
+    fp = np.array([round(p0 + d, 2) for d in FINE])
+    ft = np.array([round(t0 + d, 2) for d in FINE])
+    gp, gt = np.meshgrid(fp, ft, indexing="ij")
+    gp, gt = gp.ravel(), gt.ravel()
+    ok = (np.abs(gp) < 1) & (np.abs(gt) < 1)
+    phi, theta, e_n = best(gp[ok], gt[ok])
+    w1 = phi * w[-1] + theta * e_n
+    out = [float(y[-1] + w1 * ((1 - phi ** h) / (1 - phi))) for h in range(1, steps + 1)]
+    return out, float(phi), float(theta)
 
-    return F.aggregate(F.sequence(F.lit(1), F.greatest(m - 1, F.lit(1))), init,
-                       lambda acc, i: F.when(m > 1, step(acc, i)).otherwise(acc))
 
+def arima_css(df: DataFrame, keys: list[str], time_col: str, value_col: str, steps: int = STEPS) -> DataFrame:
+    """(keys, step, forecast, phi, theta) for every series.
 
-def _best(df: DataFrame, keys: list[str], grid: Column) -> DataFrame:
-    cand = df.select(*keys, "y", "w", F.explode(grid).alias("g"))
-    cand = cand.select(*keys, "y", "w", F.col("g.phi").alias("phi"), F.col("g.theta").alias("theta"),
-                       _sse(F.col("w"), F.col("g.phi"), F.col("g.theta")).alias("st"))
-    # ties: smallest phi, then smallest theta
-    order = F.struct(F.col("st.sse"), F.col("phi"), F.col("theta"))
-    return cand.groupBy(*keys).agg(F.first("y").alias("y"), F.first("w").alias("w"),
-                                   F.min_by(F.struct("phi", "theta", "st"), order).alias("b"))
+    One ``applyInPandas`` group per series key: a group holds the series'
+    time buckets (bounded by the time range, not by the number of events)."""
+    schema = StructType([*[f for f in df.select(*keys).schema.fields],
+                         StructField("step", IntegerType()), StructField("forecast", DoubleType()),
+                         StructField("phi", DoubleType()), StructField("theta", DoubleType())])
 
+    def fit(pdf: pd.DataFrame) -> pd.DataFrame:
+        pdf = pdf.sort_values(time_col)
+        fc, phi, theta = _fit_series(pdf[value_col].to_numpy(dtype=float), steps)
+        row = {k: pdf[k].iloc[0] for k in keys}
+        return pd.DataFrame([{**row, "step": h + 1, "forecast": v, "phi": phi, "theta": theta}
+                             for h, v in enumerate(fc)])
 
-def arima_css(ser: DataFrame, keys: list[str], steps: int = STEPS) -> DataFrame:
-    """(keys, step, forecast, phi, theta) for every series."""
-    y = F.col("y")
-    w = F.transform(F.slice(y, 2, F.greatest(F.size(y) - 1, F.lit(0))), lambda v, i: v - y[i])
-    base = ser.withColumn("w", w)
-    coarse = F.array(*[F.struct(F.lit(p).alias("phi"), F.lit(t).alias("theta")) for p in COARSE for t in COARSE])
-    b1 = _best(base, keys, coarse).select(*keys, "y", "w", F.col("b.phi").alias("p0"), F.col("b.theta").alias("t0"))
-    fine = F.flatten(F.transform(F.array(*[F.lit(d) for d in FINE]), lambda dp: F.transform(
-        F.array(*[F.lit(d) for d in FINE]),
-        lambda dt: F.struct(F.bround(F.col("p0") + dp, 2).alias("phi"), F.bround(F.col("t0") + dt, 2).alias("theta")))))
-    fine = F.filter(fine, lambda g: (F.abs(g["phi"]) < 1) & (F.abs(g["theta"]) < 1))
-    b2 = _best(b1, keys, fine).select(*keys, "y", "w", F.col("b.phi").alias("phi"), F.col("b.theta").alias("theta"),
-                                        F.col("b.st.pe").alias("e_n"))
-    n = F.size("y")
-    last = F.element_at("y", -1)
-    w1 = F.col("phi") * F.try_element_at("w", F.lit(-1)) + F.col("theta") * F.col("e_n")
-    h = F.col("h")
-    # sum of w(n+1) * phi^j for j < h
-    geo = (1 - F.pow(F.col("phi"), h)) / (1 - F.col("phi"))
-    out = b2.select(*keys, "phi", "theta", "y", "w", "e_n", F.explode(F.sequence(F.lit(1), F.lit(steps))).alias("h"))
-    fc = F.when(n < 4, last).otherwise(last + w1 * geo)
-    return out.select(*keys, h.alias("step"), fc.alias("forecast"),
-                      F.when(n >= 4, F.col("phi")).alias("phi"), F.when(n >= 4, F.col("theta")).alias("theta"))
+    return df.select(*keys, time_col, value_col).groupBy(*keys).applyInPandas(fit, schema)

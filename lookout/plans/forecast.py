@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from lookout.operators.forecast import arima_css, series
+from lookout.operators.forecast import arima_css
 from lookout.plans.catalog import register
 from lookout.sources import tables as T
 
@@ -51,11 +51,11 @@ def f1_forecast_daily(spark, sf):
     b = T.v_base(spark, sf)
     daily = b.groupBy(F.to_date("ts").alias("t")).agg(
         F.count(F.when(F.col("event_type") == "error", 1)).alias("y")).withColumn("series", F.lit("all"))
-    return _finish(arima_css(series(daily, ["series"], "t", "y"), ["series"]), ["series"])
+    return _finish(arima_css(daily, ["series"], "t", "y"), ["series"])
 
 
 @register("f1_forecast_by_source", _oracle(BY_SOURCE_SQL, "source_log"), views=("v_lines",))
 def f1_forecast_by_source(spark, sf):
     lines = T.v_lines(spark, sf)
     hourly = lines.groupBy("source_log", F.date_trunc("hour", "ts").alias("t")).agg(F.count(F.lit(1)).alias("y"))
-    return _finish(arima_css(series(hourly, ["source_log"], "t", "y"), ["source_log"]), ["source_log"])
+    return _finish(arima_css(hourly, ["source_log"], "t", "y"), ["source_log"])
