@@ -220,7 +220,7 @@ def silhouette_1d(df: DataFrame, x_col: str, label_col: str, n_buckets: int = N_
 
     def s_of(own, other):
         a = F.try_divide(dist_sum(own), tot[f"m{own}"] - 1)
-        b = dist_sum(other) / tot[f"m{other}"]
+        b = F.try_divide(dist_sum(other), tot[f"m{other}"])
         return F.when(tot[f"m{own}"] > 1,
                       F.coalesce(F.try_divide(b - a, F.greatest(a, b)), F.lit(0.0))).otherwise(0.0)
 

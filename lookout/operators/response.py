@@ -183,7 +183,7 @@ def critical_summary(critical: DataFrame, n_anomalies: Column) -> DataFrame:
                  F.when(n_anomalies > 3, F.concat(F.lit(" — "), n_anomalies.cast("string"),
                                                   F.lit(" anomalies au total"))).otherwise(F.lit(""))))
     return critical.agg(resume.alias("resume"),
-                        F.coalesce(F.element_at(items, 1)["ip"], F.lit("N/A")).alias("ip_principale"))
+                        F.coalesce(F.try_element_at(items, F.lit(1))["ip"], F.lit("N/A")).alias("ip_principale"))
 
 
 # ------------------------------------------------------------------ R8-R12

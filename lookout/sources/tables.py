@@ -8,6 +8,8 @@ payloads, rule groups). They are narrow projections over ``events`` /
 
 from __future__ import annotations
 
+import os
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -17,7 +19,19 @@ TABLES = ["region", "nation", "customer", "supplier", "part", "orders", "lineite
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
-    return spark.read.parquet(f"{sf_dir.rstrip('/')}/{name}.parquet")
+    return spread(spark.read.parquet(f"{sf_dir.rstrip('/')}/{name}.parquet"))
+
+
+def spread(df: DataFrame) -> DataFrame:
+    """Round-robin a scan that yields fewer splits than the session has
+    cores (a single-row-group file). On the large layout every scan has far
+    more splits than cores and this is a no-op: no extra shuffle."""
+    if os.environ.get("LOOKOUT_NO_SPREAD"):
+        return df
+    par = df.sparkSession.sparkContext.defaultParallelism
+    if df.rdd.getNumPartitions() < par:
+        return df.repartition(par)
+    return df
 
 
 def v_base(spark: SparkSession, sf_dir: str) -> DataFrame:
