@@ -134,8 +134,9 @@ def d19_silhouette(spark, sf):
 
 
 def perf_row(spark, sf):
-    sc = scored(spark, sf)
+    from lookout.plans.scoring import blacklist, scored_from
     f = features(spark, sf)
+    sc = scored_from(f, blacklist(spark, sf))
     st = S.attach(S.global_stats(f, ["Nombre_Tentatives"]))
     lab = S.scale(sc, ["Nombre_Tentatives"], st).withColumn(
         "label", F.when(F.col("score_raw") >= 0.3, -1).otherwise(1))

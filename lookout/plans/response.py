@@ -9,7 +9,7 @@ from lookout import config as C
 from lookout.operators import response as R
 from lookout.operators import scoring as S
 from lookout.plans.catalog import register, sql_like_any, sql_list
-from lookout.plans.scoring import q as scored_sql, ALARMS_SQL, alarm_table, scored
+from lookout.plans.scoring import q as scored_sql, ALARMS_SQL, alarm_table, blacklist, features, scored_from
 from lookout.sources import tables as T
 
 WS = "' ' || chr(9) || chr(10) || chr(13) || chr(11) || chr(12)"
@@ -162,11 +162,13 @@ SELECT CASE WHEN count(*) = 0 THEN 'Aucune alarme critique' ELSE
   || CASE WHEN (SELECT n FROM na) > 3 THEN ' — ' || CAST((SELECT n FROM na) AS VARCHAR) || ' anomalies au total' ELSE '' END END
   AS resume, coalesce(arg_min(ip, rk), 'N/A') AS ip_principale FROM cr"""), views=("v_ip", "v_votes"))
 def r7_critical_summary(spark, sf):
-    al = alarm_table(spark, sf)
+    f = features(spark, sf)
+    sc = scored_from(f, blacklist(spark, sf))
+    al = alarm_table(spark, sf, f, sc)
     crit = (al.where(F.col("severite") == "CRITIQUE")
             .withColumn("rank", F.row_number().over(Window.orderBy(F.desc("score_final"), F.asc("ip"))))
             .where(F.col("rank") <= 5))
-    n = S.anomalies(scored(spark, sf)).agg(F.count(F.lit(1))).scalar()
+    n = S.anomalies(sc).agg(F.count(F.lit(1))).scalar()
     return R.critical_summary(crit, n)
 
 

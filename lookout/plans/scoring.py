@@ -38,24 +38,29 @@ def with_votes(df):
         "cont_if": a.cast("double") / 500})
 
 
-def layers(spark, sf):
-    f = features(spark, sf)
+def layers(f, bl):
+    """All five layer scores of a materialised feature table ``f``."""
     stats = S.attach(S.global_stats(f, FEATS))
-    df = S.rule_score(f, FEATS)
+    votes = with_votes(f)
+    weights = S.attach(S.model_weights(votes))  # numeric plan only: cheap subquery
+    df = S.blend_votes(votes, weights)
     df = S.temporal_score(df, FEATS, stats)
-    df = S.memory_score(df, blacklist(spark, sf))
-    df = S.contribution_score(df, FEATS, stats)
-    df = with_votes(df)
-    weights = S.attach(S.model_weights(df))
-    return S.blend_votes(df, weights)
+    df = S.memory_score(df, bl)
+    df = S.rule_score(df, FEATS)
+    return S.contribution_score(df, FEATS, stats)
+
+
+def scored_from(f, bl):
+    """Scored per-address table, materialised once: alarms, levels, lists
+    and summaries are all read from it."""
+    return cut_lineage(S.levels(S.final_score(layers(f, bl))))
 
 
 def scored(spark, sf):
-    return S.levels(S.final_score(layers(spark, sf)))
+    return scored_from(features(spark, sf), blacklist(spark, sf))
 
 
-def as_of(spark, sf):
-    f = features(spark, sf)
+def as_of(f):
     return F.date_format(f.agg(F.max("Date").alias("m")).scalar(), "yyyy-MM-dd'T'HH:mm:ss")
 
 
@@ -247,8 +252,10 @@ ALARMS_SQL = """SELECT (SELECT strftime(max(Date), '%Y-%m-%dT%H:%M:%S') FROM f)
 FROM lv WHERE score_final >= 0.3 AND niveau_alerte IN ('CRITIQUE', 'ANOMALIE')"""
 
 
-def alarm_table(spark, sf):
-    return S.alarms(scored(spark, sf), DEFAULT_THRESHOLDS["Nombre_Tentatives"], as_of=as_of(spark, sf))
+def alarm_table(spark, sf, f=None, sc=None):
+    f = f if f is not None else features(spark, sf)
+    sc = sc if sc is not None else scored_from(f, blacklist(spark, sf))
+    return S.alarms(sc, DEFAULT_THRESHOLDS["Nombre_Tentatives"], as_of=as_of(f))
 
 
 @register("d15_alarms", q(ALARMS_SQL), views=VIEWS)
