@@ -48,14 +48,16 @@ def ensure_checkpoint_dir(spark: SparkSession) -> str:
     Only a local session (tests, bench) gets its own scratch folder; on a
     cluster the setting must come from the platform and is never invented here.
     """
-    conf = spark.sparkContext.getConf()
-    path = conf.get("spark.checkpoint.dir", None) or spark.conf.get("spark.checkpoint.dir", None)
+    sc = spark.sparkContext
+    path = (sc.getCheckpointDir() or sc.getConf().get("spark.checkpoint.dir", None)
+            or spark.conf.get("spark.checkpoint.dir", None))
     if not path:
         if not spark.sparkContext.master.startswith("local"):
             raise RuntimeError("spark.checkpoint.dir is not set on this cluster")
         path = tempfile.mkdtemp(prefix="lookout-ckpt-", dir="/tmp")
         spark.conf.set("spark.checkpoint.dir", path)
-    spark.sparkContext.setCheckpointDir(path)
+    if not sc.getCheckpointDir():
+        sc.setCheckpointDir(path)
     return path
 
 
