@@ -128,3 +128,25 @@ SELECT ip, CAST(count(*) AS BIGINT) AS n FROM v_base, m, r WHERE ts >= mx - INTE
 def l9_recent_window(spark, sf):
     b = T.v_base(spark, sf)
     return L.recent_window(b, "ts").groupBy("ip").agg(F.count(F.lit(1)).cast("bigint").alias("n"))
+
+
+ALL_LINES_SQL = """lk AS (SELECT line,
+  CASE WHEN source_log = 'auth.log' AND line LIKE 'fail2ban%' THEN 'fail2ban' WHEN source_log = 'auth.log' THEN 'auth'
+       WHEN source_log = 'syslog' THEN 'syslog' WHEN source_log = 'kern.log' THEN 'kernel'
+       WHEN source_log = 'cron.log' THEN 'cron' END AS src FROM v_lines),
+t AS (SELECT * FROM lk WHERE src IS NOT NULL)"""
+
+
+@register("l7_stream_counters", f"""WITH {ALL_LINES_SQL}
+SELECT {COUNTERS_SQL}, """ + ", ".join(f"CAST(count(CASE WHEN src = '{s}' THEN 1 END) AS BIGINT) AS lus_{s}"
+                                        for s in LIVE_SOURCES) + " FROM t", views=("v_lines",))
+def l7_stream_counters(spark, sf):
+    """Counters from a file-source stream (AvailableNow): each line once."""
+    root = f"{ensure_checkpoint_dir(spark).rstrip('/')}/kpi-{uuid.uuid4().hex}"
+    lines = T.v_lines(spark, sf).select("ts", "source_log", "line")
+    lines.where(F.col("ts") < F.lit("2024-01-16").cast("timestamp_ntz")).write.parquet(f"{root}/in/part1")
+    lines.where(F.col("ts") >= F.lit("2024-01-16").cast("timestamp_ntz")).write.parquet(f"{root}/in/part2")
+    q = L.start_counters_stream(spark, f"{root}/in/*", "ts timestamp_ntz, source_log string, line string",
+                                f"{root}/out", f"{root}/checkpoint")
+    q.awaitTermination()
+    return spark.read.parquet(f"{root}/out")
