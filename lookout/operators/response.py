@@ -40,10 +40,13 @@ def parse_alarms(df: DataFrame, payload_col: str = "payload", keys: list[str] |
     keys = keys or []
     p = F.col(payload_col)
     s = strip(p)
-    guard = p.isNull() | s.isin(C.NO_ALARM_VALUES)
-    valid = F.try_parse_json(p).isNotNull()
-    arr = (F.when(valid & F.ltrim(p).startswith("["), F.from_json(p, f"array<{ALARM_SCHEMA}>"))
-           .when(valid & F.ltrim(p).startswith("{"), F.array(F.from_json(p, ALARM_SCHEMA))))
+    # parse each payload once: validity, leading char and the typed array
+    staged = df.select(*keys, payload_col, (p.isNull() | s.isin(C.NO_ALARM_VALUES)).alias("_guard"),
+                       F.try_parse_json(p).isNotNull().alias("_valid"), F.left(F.ltrim(p), F.lit(1)).alias("_c0"))
+    valid, c0 = F.col("_valid"), F.col("_c0")
+    staged = staged.withColumn("_arr", F.when(valid & (c0 == "["), F.from_json(p, f"array<{ALARM_SCHEMA}>"))
+                               .when(valid & (c0 == "{"), F.array(F.from_json(p, ALARM_SCHEMA))))
+    arr, guard = F.col("_arr"), F.col("_guard")
     gate = any_contains(F.upper(p), C.ALARM_GATE_WORDS)
     text_alarm = F.array(F.struct(F.lit("ANOMALIE").alias("type"), F.lit("AVERTISSEMENT").alias("severite"),
                                   F.lit("multiple").alias("ip"), p.alias("message")))
@@ -51,7 +54,7 @@ def parse_alarms(df: DataFrame, payload_col: str = "payload", keys: list[str] |
     status = (F.when(guard, "NO_ALARM").when(valid & (F.size(arr) == 0), "EMPTY")
               .when(valid & arr.isNotNull(), "ALARM").when(valid, "NOT_CONFIRMED")
               .when(gate, "ALARM").otherwise("NOT_CONFIRMED"))
-    staged = df.select(*keys, status.alias("status"), alarms.alias("_a"))
+    staged = staged.select(*keys, status.alias("status"), alarms.alias("_a"))
     exploded = staged.select(*keys, "status", F.posexplode_outer(
         F.when(F.col("status") == "ALARM", F.col("_a"))).alias("pos", "a"))
     d = C.ALARM_DEFAULTS

@@ -280,10 +280,11 @@ def d16_critical_ips(spark, sf):
   CAST(count(CASE WHEN score_raw >= 0.5 AND score_raw < 0.7 THEN 1 END) AS BIGINT) AS n_anomalie,
   CAST(count(CASE WHEN score_raw >= 0.3 AND score_raw < 0.5 THEN 1 END) AS BIGINT) AS n_suspect,
   CAST(count(CASE WHEN score_raw < 0.3 THEN 1 END) AS BIGINT) AS n_normal,
-  avg(score_raw) AS score_mean, max(score_raw) AS score_max FROM lv"""), views=VIEWS)
+  round_even(avg(score_raw), 6) AS score_mean, round_even(max(score_raw), 6) AS score_max FROM lv"""), views=VIEWS)
 def a10_score_summary(spark, sf):
     from lookout.operators.metrics import score_summary
-    return score_summary(scored(spark, sf))
+    out = score_summary(scored(spark, sf))
+    return out.withColumns({"score_mean": F.bround("score_mean", 6), "score_max": F.bround("score_max", 6)})
 
 
 @register("d17_thresholds", f"""WITH {FEAT_SQL}, {STATS_SQL}
