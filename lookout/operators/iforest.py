@@ -21,6 +21,8 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.types import (DoubleType, IntegerType, LongType, StructField, StructType)
 
+from lookout.session import cut_lineage
+
 EULER = 0.5772156649
 
 TREE_SCHEMA = StructType([
@@ -89,11 +91,13 @@ def fit_forest(df: DataFrame, key_col: str, feats: list[str], n_trees: int = 200
     """D5 fit: returns the flat tree table and the sample size actually used."""
     n_rows = df.count()
     psi_eff = min(psi, n_rows)
-    sample = sample_rows(df, key_col, feats, n_trees, psi_eff, seed, n_rows)
-    sizes = sample.groupBy("tree").count()
-    short = sizes.where(F.col("count") < psi_eff).count() + (n_trees - sizes.count())
-    if short:  # the pre-filter kept too few rows for some tree: take every row (exact fallback)
-        sample = sample_rows(df, key_col, feats, n_trees, psi_eff, seed, 1)
+    # at most n_trees * psi rows: materialised once, then checked and built from
+    sample = cut_lineage(sample_rows(df, key_col, feats, n_trees, psi_eff, seed, n_rows))
+    sizes = sample.groupBy("tree").count().agg(F.count(F.lit(1)).alias("trees"),
+                                               F.min("count").alias("smallest")).first()
+    if sizes["trees"] < n_trees or (sizes["smallest"] or 0) < psi_eff:
+        # the pre-filter kept too few rows for some tree: take every row (exact fallback)
+        sample = cut_lineage(sample_rows(df, key_col, feats, n_trees, psi_eff, seed, 1))
     trees = sample.select("tree", *feats).groupBy("tree").applyInPandas(
         lambda pdf: _build_tree(pdf, feats, seed, psi_eff), TREE_SCHEMA)
     return trees, psi_eff
@@ -102,13 +106,15 @@ def fit_forest(df: DataFrame, key_col: str, feats: list[str], n_trees: int = 200
 def score_forest(df: DataFrame, trees: DataFrame, feats: list[str], psi: int,
                  out_col: str = "if_raw") -> DataFrame:
     """D5 score: raw = -2^(-mean path / c(psi)) (sklearn's score_samples)."""
-    t = trees.orderBy("tree", "node").toPandas()  # bounded: n_trees * 2^(depth+1) rows
+    t = trees.toPandas().sort_values(["tree", "node"])  # bounded: n_trees * 2^(depth+1) rows
     spark = df.sparkSession
-    parts = []
-    for tid, g in t.groupby("tree"):
-        g = g.sort_values("node")
-        parts.append((g["feature"].to_numpy(), g["threshold"].to_numpy(), g["left"].to_numpy(),
-                      g["right"].to_numpy(), np.array([c_factor(s) for s in g["size"]])))
+    size = t["size"].to_numpy(dtype=float)
+    m = np.maximum(size, 2.0)
+    leaf_c = np.where(size <= 1, 0.0, np.where(size == 2, 1.0,
+                                               2.0 * (np.log(m - 1.0) + EULER) - 2.0 * (m - 1.0) / m))
+    cuts = np.flatnonzero(np.diff(t["tree"].to_numpy())) + 1
+    cols = [t["feature"].to_numpy(), t["threshold"].to_numpy(), t["left"].to_numpy(), t["right"].to_numpy(), leaf_c]
+    parts = list(zip(*[np.split(c, cuts) for c in cols]))
     bc = spark.sparkContext.broadcast(parts)
     denom = c_factor(psi)
 
