@@ -186,3 +186,36 @@ def d22_full_detector(spark, sf):
     return detect(wire_features(spark, sf)).select(
         "IP_Source", "score_c1", "score_c2", "score_c3", "score_c4", "score_c5", "score_final",
         "niveau_alerte", "anomalie")
+
+
+@register("d21_run_state")
+def d21_run_state(spark, sf):
+    """Two batches (first / second half of the month) through run_batch;
+    returns the stored state tables, one row per (table, run, key)."""
+    import uuid
+    from lookout.operators import metrics, state
+    from lookout.plans.events import canonical_wire
+    from lookout.session import ensure_checkpoint_dir
+    root = f"{ensure_checkpoint_dir(spark).rstrip('/')}/state-{uuid.uuid4().hex}"
+    canon = canonical_wire(spark, sf)
+    half = F.col("Date") < F.lit("2024-01-16").cast("timestamp")
+    for run_id, part in [("r1", canon.where(half)), ("r2", canon.where(~half))]:
+        feats = metrics.ip_features(part)
+        attempts = metrics.attempts_per_ip(part)
+        state.run_batch(spark, feats, attempts, root, run_id)
+        state.run_batch(spark, feats, attempts, root, run_id)  # a re-run replaces, never adds
+    def rd(name, schema):
+        return spark.read.schema(f"{schema}, run_id string").parquet(f"{root}/{name}")
+    thr = rd("thresholds", "feature string, seuil double").select(
+        F.lit("thresholds").alias("table"), "run_id", F.col("feature").alias("key"), F.col("seuil").cast("string").alias("value"))
+    bl = rd("blacklist", "ip string").groupBy("run_id").agg(F.count(F.lit(1)).cast("string").alias("value")) \
+        .select(F.lit("blacklist").alias("table"), "run_id", F.lit("size").alias("key"), "value")
+    tr = rd("training", "sessions bigint, total_samples bigint").select(
+        F.lit("training").alias("table"), "run_id", F.lit("sessions/samples").alias("key"),
+        F.concat_ws("/", F.col("sessions").cast("string"), F.col("total_samples").cast("string")).alias("value"))
+    pf = rd("performance", "nb_echantillons bigint, taux_anomalies double, score_moyen double, score_max double, "
+            "nb_blacklistes bigint, silhouette double").select(
+        F.lit("performance").alias("table"), "run_id", F.lit("n/taux/moyen/max").alias("key"),
+        F.concat_ws("/", *[F.col(c).cast("string") for c in ["nb_echantillons", "taux_anomalies", "score_moyen",
+                                                               "score_max"]]).alias("value"))
+    return thr.unionByName(bl).unionByName(tr).unionByName(pf)
