@@ -71,4 +71,6 @@ def detect(df: DataFrame, settings: Settings = DEFAULT, state: RunState | None =
     out = S.memory_score(out, state.blacklist, key)
     out = S.contribution_score(out, feats, stats, settings.feature_weights)
     out = S.levels(S.final_score(out, settings.layer_weights))
-    return out.withColumn("seuil_courant", F.lit(float(thresholds.get(first, 50.0))))
+    # one scored row per address, materialised once: alarms, session rows,
+    # silhouette and the blacklist merge all read it
+    return cut_lineage(out.withColumn("seuil_courant", F.lit(float(thresholds.get(first, 50.0)))))
