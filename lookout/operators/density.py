@@ -57,7 +57,9 @@ def ordered_prefix(hist: DataFrame, sums: dict[str, Column], n_buckets: int = N_
     Equal ``x`` values always share a bucket; within a bucket the order is
     ``x`` (histogram rows have distinct ``x``).
     """
-    h = _with_bounds(hist, n_buckets).withColumn("_bkt", _bucket_of(F.col("x"))).drop("_bounds")
+    # the bucket id is materialised (histogram-sized) before it is used as a
+    # grouping and window key, so no plan carries the bounds subquery into them
+    h = cut_lineage(_with_bounds(hist, n_buckets).withColumn("_bkt", _bucket_of(F.col("x"))).drop("_bounds"))
     h = h.withColumns({f"_v_{k}": v for k, v in sums.items()})
     w_in = Window.partitionBy("_bkt").orderBy("x").rowsBetween(Window.unboundedPreceding, 0)
     h = h.withColumns({f"_in_{k}": F.sum(f"_v_{k}").over(w_in) for k in sums})
@@ -115,36 +117,41 @@ def _halo_by_rank(ranked: DataFrame, k: int, block: int) -> DataFrame:
             .withColumn("_is_home", F.col("_band") == F.col("_home")).drop("_home"))
 
 
-def _knn_pass(ranked: DataFrame, k: int, block: int, include_self: bool, extra: list[str]) -> DataFrame:
+def _knn_pass(ranked: DataFrame, k: int, block: int, include_self: bool | tuple, extra: list[str]) -> DataFrame:
     """For every distinct x: walk its candidates (ranks within +-k) by
     (distance, value), take row copies until k, and accumulate kth distance,
-    sum of reach distances and sum of neighbour lrd."""
+    sum of reach distances and sum of neighbour lrd. ``include_self`` may be
+    a pair: both walks then share one window pass (``_knn`` and ``_knn2``)."""
     halo = _halo_by_rank(ranked, k, block)
     w = Window.partitionBy("_band").orderBy("rank").rowsBetween(-k, k)
     fields = ["x", "cnt", "rank"] + extra
     cand = halo.withColumn("_c", F.collect_list(F.struct(*fields)).over(w)).where("_is_home")
     me_x, me_r = F.col("x"), F.col("rank")
 
-    def entry(c):
-        avail = c["cnt"] if include_self else F.when(c["rank"] == me_r, c["cnt"] - 1).otherwise(c["cnt"])
-        kd = c["kdist"] if "kdist" in extra else F.lit(0.0)
-        lrd = c["lrd"] if "lrd" in extra else F.lit(0.0)
-        return F.struct(F.abs(c["x"] - me_x).alias("d"), c["x"].alias("v"), avail.alias("avail"),
-                        kd.alias("kd"), lrd.alias("lrd"))
+    def walk(with_self: bool) -> Column:
+        def entry(c):
+            avail = c["cnt"] if with_self else F.when(c["rank"] == me_r, c["cnt"] - 1).otherwise(c["cnt"])
+            kd = c["kdist"] if "kdist" in extra else F.lit(0.0)
+            lrd = c["lrd"] if "lrd" in extra else F.lit(0.0)
+            return F.struct(F.abs(c["x"] - me_x).alias("d"), c["x"].alias("v"), avail.alias("avail"),
+                            kd.alias("kd"), lrd.alias("lrd"))
 
-    ordered = F.array_sort(F.transform("_c", entry))
-    init = F.struct(F.lit(0).cast("bigint").alias("taken"), F.lit(0.0).alias("kdist_"),
-                    F.lit(0.0).alias("s_reach"), F.lit(0.0).alias("s_lrd"))
+        ordered = F.array_sort(F.transform("_c", entry))
+        init = F.struct(F.lit(0).cast("bigint").alias("taken"), F.lit(0.0).alias("kdist_"),
+                        F.lit(0.0).alias("s_reach"), F.lit(0.0).alias("s_lrd"))
 
-    def step(acc, e):
-        take = F.greatest(F.least(e["avail"], F.lit(k) - acc["taken"]), F.lit(0)).cast("bigint")
-        return F.struct((acc["taken"] + take).alias("taken"),
-                        F.when(take > 0, e["d"]).otherwise(acc["kdist_"]).alias("kdist_"),
-                        (acc["s_reach"] + take * F.greatest(e["kd"], e["d"])).alias("s_reach"),
-                        (acc["s_lrd"] + take * e["lrd"]).alias("s_lrd"))
+        def step(acc, e):
+            take = F.greatest(F.least(e["avail"], F.lit(k) - acc["taken"]), F.lit(0)).cast("bigint")
+            return F.struct((acc["taken"] + take).alias("taken"),
+                            F.when(take > 0, e["d"]).otherwise(acc["kdist_"]).alias("kdist_"),
+                            (acc["s_reach"] + take * F.greatest(e["kd"], e["d"])).alias("s_reach"),
+                            (acc["s_lrd"] + take * e["lrd"]).alias("s_lrd"))
 
-    res = F.aggregate(ordered, init, step)
-    return cand.select(*[c for c in ranked.columns], res.alias("_knn"))
+        return F.aggregate(ordered, init, step)
+
+    walks = include_self if isinstance(include_self, tuple) else (include_self,)
+    outs = [walk(ws).alias("_knn" if i == 0 else "_knn2") for i, ws in enumerate(walks)]
+    return cand.select(*[c for c in ranked.columns], *outs)
 
 
 def lof(df: DataFrame, x_col: str, k: int, contamination: float,
@@ -161,11 +168,10 @@ def lof(df: DataFrame, x_col: str, k: int, contamination: float,
     p1 = cut_lineage(p1.select(*ranked.columns, F.col("_knn.kdist_").alias("kdist")))
     p2 = _knn_pass(p1, k, block, False, ["kdist"])
     p2 = cut_lineage(p2.select(*p1.columns, (1.0 / (F.col("_knn.s_reach") / k + 1e-10)).alias("lrd")))
-    fit = cut_lineage(_knn_pass(p2, k, block, False, ["kdist", "lrd"])
-                      .select(*p2.columns, (F.col("_knn.s_lrd") / k / F.col("lrd")).alias("lof_fit")))
-    sc = _knn_pass(fit, k, block, True, ["kdist", "lrd"])
-    lrd_sc = 1.0 / (F.col("_knn.s_reach") / k + 1e-10)
-    out = cut_lineage(sc.select("x", "cnt", "lof_fit", (F.col("_knn.s_lrd") / k / lrd_sc).alias("lof_score")))
+    both = _knn_pass(p2, k, block, (False, True), ["kdist", "lrd"])
+    lrd_sc = 1.0 / (F.col("_knn2.s_reach") / k + 1e-10)
+    out = cut_lineage(both.select("x", "cnt", (F.col("_knn.s_lrd") / k / F.col("lrd")).alias("lof_fit"),
+                                  (F.col("_knn2.s_lrd") / k / lrd_sc).alias("lof_score")))
     offset = out.agg(F.percentile(-F.col("lof_fit"), float(contamination), F.col("cnt")).alias("o")).scalar()
     return out.withColumn("vote", (-F.col("lof_score") < offset).cast("int"))
 
