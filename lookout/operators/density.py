@@ -235,3 +235,35 @@ def silhouette_1d(df: DataFrame, x_col: str, label_col: str, n_buckets: int = N_
     ok = (tot["m0"] >= 2) & (tot["m1"] >= 2)
     return per.agg(F.sum("_s").alias("_s")).select(
         F.when(ok, F.bround(F.col("_s") / (tot["m0"] + tot["m1"]), 4)).alias("silhouette"))
+
+
+# ------------------------------------------------------------------ D8, N-D
+
+def dbscan_noise_nd(df: DataFrame, cols: list[str], eps: float = 0.5, min_samples: int = 5) -> DataFrame:
+    """D8 for several features: grid cells of side ``eps``; a point's
+    eps-neighbours lie in the 3^d surrounding cells, so neighbourhoods are an
+    equi-join on cell ids (no cross join). Distances compare squared sums
+    with eps^2. Returns (cols..., cnt, core, noise) per distinct point."""
+    import itertools
+    d = len(cols)
+    pts = cut_lineage(df.groupBy(*cols).agg(F.count(F.lit(1)).cast("bigint").alias("cnt"))
+                      .withColumn("cell", F.array(*[F.floor(F.col(c) / eps) for c in cols])))
+    offsets = F.array(*[F.array(*[F.lit(v).cast("bigint") for v in o])
+                        for o in itertools.product([-1, 0, 1], repeat=d)])
+    probe = pts.select(*[F.col(c).alias(f"a{i}") for i, c in enumerate(cols)],
+                       F.explode(F.transform(offsets, lambda o: F.zip_with("cell", o, lambda x, y: x + y)))
+                       .alias("ncell"))
+
+    def near(points: DataFrame) -> DataFrame:
+        base = points.select(*[F.col(c).alias(f"b{i}") for i, c in enumerate(cols)], "cnt", "cell", *(
+            ["core"] if "core" in points.columns else []))
+        pairs = probe.join(base, probe["ncell"] == base["cell"])
+        d2 = sum(((F.col(f"a{i}") - F.col(f"b{i}")) ** 2 for i in range(d)), F.lit(0.0))
+        return pairs.where(d2 <= eps * eps)
+
+    core = (near(pts).groupBy(*[f"a{i}" for i in range(d)]).agg(F.sum("cnt").alias("_n"))
+            .select(*[F.col(f"a{i}").alias(c) for i, c in enumerate(cols)], (F.col("_n") >= min_samples).alias("core")))
+    flagged = cut_lineage(pts.join(core, cols))
+    any_core = (near(flagged).groupBy(*[f"a{i}" for i in range(d)]).agg(F.max(F.col("core").cast("int")).alias("_c"))
+                .select(*[F.col(f"a{i}").alias(c) for i, c in enumerate(cols)], "_c"))
+    return flagged.join(any_core, cols).select(*cols, "cnt", "core", (F.col("_c") == 0).alias("noise"))

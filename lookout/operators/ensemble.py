@@ -55,11 +55,16 @@ def detect(df: DataFrame, settings: Settings = DEFAULT, state: RunState | None =
         votes = votes.withColumn("v_lof", F.lit(0))
     ker = density.kernel_novelty(x, xcol, cont, n_features=len(feats)).select(
         F.col("x").alias("_kx"), F.col("vote").alias("v_svm"))
-    db = density.dbscan_noise(x, xcol, settings.eps, settings.min_samples).select(
-        F.col("x").alias("_dx"), F.col("noise").cast("int").alias("v_db"))
-    votes = (votes.join(ker, votes[xcol] == ker["_kx"], "left").drop("_kx")
-             .join(db, votes[xcol] == db["_dx"], "left").drop("_dx"))
     xf = ["x_" + f for f in feats]
+    votes = votes.join(ker, votes[xcol] == ker["_kx"], "left").drop("_kx")
+    if len(feats) == 1:
+        db = density.dbscan_noise(x, xcol, settings.eps, settings.min_samples).select(
+            F.col("x").alias("_dx"), F.col("noise").cast("int").alias("v_db"))
+        votes = votes.join(db, votes[xcol] == db["_dx"], "left").drop("_dx")
+    else:  # all features: eps-grid cells
+        db = density.dbscan_noise_nd(x, xf, settings.eps, settings.min_samples).select(
+            *xf, F.col("noise").cast("int").alias("v_db"))
+        votes = votes.join(db, xf, "left")
     trees, psi = iforest.fit_forest(x, key, xf, settings.n_trees, settings.sample_size, settings.seed)
     votes = iforest.forest_votes(iforest.score_forest(votes, trees, xf, psi), cont)
     votes = votes.fillna(0, ["v_lof", "v_svm", "v_db"])

@@ -62,6 +62,26 @@ def d8_dbscan_noise(spark, sf):
                                             F.col("noise").cast("int").alias("noise"))
 
 
+@register("d8_dbscan_noise_2d", f"""WITH {FEAT_SQL},
+st AS (SELECT avg(CAST(Nombre_Tentatives AS DOUBLE)) AS m0, stddev_pop(CAST(Nombre_Tentatives AS DOUBLE)) AS s0,
+  avg(CAST(Nombre_Erreurs AS DOUBLE)) AS m1, stddev_pop(CAST(Nombre_Erreurs AS DOUBLE)) AS s1 FROM f),
+x AS (SELECT IP_Source, (CAST(Nombre_Tentatives AS DOUBLE) - m0) / CASE WHEN s0 = 0 OR s0 IS NULL THEN 1.0 ELSE s0 END AS x0,
+  (CAST(Nombre_Erreurs AS DOUBLE) - m1) / CASE WHEN s1 = 0 OR s1 IS NULL THEN 1.0 ELSE s1 END AS x1 FROM f CROSS JOIN st),
+c AS (SELECT a.IP_Source, a.x0, a.x1, count(*) >= 5 AS core FROM x a CROSS JOIN x b
+  WHERE (a.x0 - b.x0) * (a.x0 - b.x0) + (a.x1 - b.x1) * (a.x1 - b.x1) <= 0.25 GROUP BY a.IP_Source, a.x0, a.x1),
+nz AS (SELECT a.IP_Source, a.core, NOT bool_or(b.core) AS noise FROM c a CROSS JOIN c b
+  WHERE (a.x0 - b.x0) * (a.x0 - b.x0) + (a.x1 - b.x1) * (a.x1 - b.x1) <= 0.25 GROUP BY a.IP_Source, a.core)
+SELECT IP_Source, CAST(core AS INT) AS core, CAST(noise AS INT) AS noise FROM nz""", views=("v_ip",))
+def d8_dbscan_noise_2d(spark, sf):
+    f = features(spark, sf)
+    feats = ["Nombre_Tentatives", "Nombre_Erreurs"]
+    x = S.scale(f, feats, S.attach(S.global_stats(f, feats)))
+    xs = ["x_" + c for c in feats]
+    h = density.dbscan_noise_nd(x, xs, DEFAULT.eps, DEFAULT.min_samples)
+    return x.join(h, xs).select("IP_Source", F.col("core").cast("int").alias("core"),
+                                F.col("noise").cast("int").alias("noise"))
+
+
 # ------------------------------------------------------------------ D6
 
 LOF_SQL = f"""WITH {X_SQL.replace("(CAST(Nombre_Tentatives AS DOUBLE) - m) / CASE WHEN sp = 0 OR sp IS NULL THEN 1.0 ELSE sp END AS x",

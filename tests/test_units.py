@@ -215,3 +215,15 @@ def test_nearest_includes_exact_match(spark):
     q = corpus.where("vec_id = 3").select(F.col("vec_id").alias("qid"), "embedding")
     got = [r.vec_id for r in retrieval.nearest(corpus, q, 3).orderBy("rank").collect()]
     assert got == [3, 2, 4]
+
+
+def test_dbscan_nd_matches_brute_force(spark):
+    rng = np.random.default_rng(3)
+    pts = np.round(np.concatenate([rng.normal(0, 0.3, (40, 2)), rng.normal(3, 1.5, (15, 2))]), 2)
+    df = spark.createDataFrame([(float(a), float(b)) for a, b in pts], "x double, y double")
+    got = {(r.x, r.y): (r.core, r.noise) for r in density.dbscan_noise_nd(df, ["x", "y"], 0.5, 5).collect()}
+    d2 = ((pts[:, None, :] - pts[None, :, :]) ** 2).sum(-1)
+    core = (d2 <= 0.25).sum(1) >= 5
+    noise = ~((d2 <= 0.25) & core[None, :]).any(1)
+    for i, (a, b) in enumerate(pts):
+        assert got[(float(a), float(b))] == (bool(core[i]), bool(noise[i]))
