@@ -116,9 +116,10 @@ def kpi_record(lines: DataFrame, line_no: str = "event_id", as_of: Column | None
 
 def four_hour_counts(df: DataFrame, ts_col: str = "ts", keys: list[str] | None = None,
                      width: str = "4 hours") -> DataFrame:
-    """L8 batch twin: tumbling event-time windows."""
+    """L8 batch twin: tumbling event-time windows (a TIMESTAMP_NTZ column is
+    windowed as is, so the result does not depend on the session time zone)."""
     keys = keys or ["source_log"]
-    return (df.groupBy(F.window(F.col(ts_col).cast("timestamp"), width).alias("w"), *keys)
+    return (df.groupBy(F.window(F.col(ts_col), width).alias("w"), *keys)
             .agg(F.count(F.lit(1)).cast("bigint").alias("n"))
             .select(F.col("w.start").alias("window_start"), *keys, "n"))
 
@@ -142,8 +143,10 @@ def start_window_counts(spark, source_path: str, schema: str, sink_path: str, ch
     """L8 stream: file-source stream -> watermarked tumbling counts ->
     per-(window, key) partition upsert. Returns the StreamingQuery."""
     keys = keys or ["source_log"]
+    # the watermark needs TIMESTAMP, not NTZ: window starts are then rendered in
+    # the session time zone (UTC in the checks)
     stream = (spark.readStream.schema(schema).parquet(source_path)
-              .withColumn("_ets", F.col(ts_col).cast("timestamp")))  # watermark needs TIMESTAMP, not NTZ
+              .withColumn("_ets", F.col(ts_col).cast("timestamp")))
     counts = (stream.withWatermark("_ets", watermark)
               .groupBy(F.window("_ets", width).alias("w"), *keys)
               .agg(F.count(F.lit(1)).cast("bigint").alias("n"))
