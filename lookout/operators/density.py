@@ -267,3 +267,36 @@ def dbscan_noise_nd(df: DataFrame, cols: list[str], eps: float = 0.5, min_sample
     any_core = (near(flagged).groupBy(*[f"a{i}" for i in range(d)]).agg(F.max(F.col("core").cast("int")).alias("_c"))
                 .select(*[F.col(f"a{i}").alias(c) for i, c in enumerate(cols)], "_c"))
     return flagged.join(any_core, cols).select(*cols, "cnt", "core", (F.col("_c") == 0).alias("noise"))
+
+
+# ------------------------------------------------------------------ D7, N-D
+
+def kernel_novelty_nd(df: DataFrame, cols: list[str], contamination: float, gamma: float | None = None) -> DataFrame:
+    """D7 for several features: s(a) = mean_b exp(-g |a-b|^2) with
+    g = 1 / (d * variance of all feature values). Points more than
+    sqrt(750/g) apart in any coordinate contribute exactly 0.0, so only the
+    3^d neighbouring cells of that side are joined (equi-join on cell ids).
+    Returns (cols..., cnt, density, vote)."""
+    import itertools
+    d = len(cols)
+    if gamma is None:
+        var = df.select(F.explode(F.array(*[F.col(c).cast("double") for c in cols])).alias("v")) \
+            .agg(F.var_pop("v").alias("v")).first()["v"] or 0.0
+        gamma = 1.0 / (d * var) if var > 0 else 1.0
+    side = math.sqrt(750.0 / gamma)
+    pts = cut_lineage(df.groupBy(*cols).agg(F.count(F.lit(1)).cast("bigint").alias("cnt"))
+                      .withColumn("cell", F.array(*[F.floor(F.col(c) / side) for c in cols])))
+    offsets = F.array(*[F.array(*[F.lit(v).cast("bigint") for v in o])
+                        for o in itertools.product([-1, 0, 1], repeat=d)])
+    probe = pts.select(*[F.col(c).alias(f"a{i}") for i, c in enumerate(cols)],
+                       F.explode(F.transform(offsets, lambda o: F.zip_with("cell", o, lambda x, y: x + y)))
+                       .alias("ncell"))
+    base = pts.select(*[F.col(c).alias(f"b{i}") for i, c in enumerate(cols)], F.col("cnt").alias("b_cnt"), "cell")
+    d2 = sum(((F.col(f"a{i}") - F.col(f"b{i}")) ** 2 for i in range(d)), F.lit(0.0))
+    n = pts.agg(F.sum("cnt").alias("n")).scalar()
+    dens = (probe.join(base, probe["ncell"] == base["cell"])
+            .groupBy(*[f"a{i}" for i in range(d)]).agg(F.sum(F.col("b_cnt") * F.exp(-gamma * d2)).alias("_s"))
+            .select(*[F.col(f"a{i}").alias(c) for i, c in enumerate(cols)], "_s"))
+    out = cut_lineage(pts.join(dens, cols).select(*cols, "cnt", (F.col("_s") / n).alias("density")))
+    q = out.agg(F.percentile("density", float(contamination), F.col("cnt")).alias("q")).scalar()
+    return out.withColumn("vote", (F.col("density") < q).cast("int"))

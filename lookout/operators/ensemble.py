@@ -53,10 +53,14 @@ def detect(df: DataFrame, settings: Settings = DEFAULT, state: RunState | None =
         votes = votes.join(lof, F.col(first).cast("double") == lof["_lx"], "left").drop("_lx")
     else:
         votes = votes.withColumn("v_lof", F.lit(0))
-    ker = density.kernel_novelty(x, xcol, cont, n_features=len(feats)).select(
-        F.col("x").alias("_kx"), F.col("vote").alias("v_svm"))
     xf = ["x_" + f for f in feats]
-    votes = votes.join(ker, votes[xcol] == ker["_kx"], "left").drop("_kx")
+    if len(feats) == 1:
+        ker = density.kernel_novelty(x, xcol, cont, n_features=1).select(
+            F.col("x").alias("_kx"), F.col("vote").alias("v_svm"))
+        votes = votes.join(ker, votes[xcol] == ker["_kx"], "left").drop("_kx")
+    else:
+        ker = density.kernel_novelty_nd(x, xf, cont).select(*xf, F.col("vote").alias("v_svm"))
+        votes = votes.join(ker, xf, "left")
     if len(feats) == 1:
         db = density.dbscan_noise(x, xcol, settings.eps, settings.min_samples).select(
             F.col("x").alias("_dx"), F.col("noise").cast("int").alias("v_db"))

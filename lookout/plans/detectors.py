@@ -132,6 +132,33 @@ def d7_kernel_vote(spark, sf):
                                                 F.col("vote").cast("int").alias("vote"))
 
 
+X2_SQL = f"""{FEAT_SQL},
+st AS (SELECT avg(CAST(Nombre_Tentatives AS DOUBLE)) AS m0, stddev_pop(CAST(Nombre_Tentatives AS DOUBLE)) AS s0,
+  avg(CAST(Nombre_Erreurs AS DOUBLE)) AS m1, stddev_pop(CAST(Nombre_Erreurs AS DOUBLE)) AS s1,
+  least(0.20, greatest(0.05, CAST(count(CASE WHEN Nombre_Tentatives > 50 THEN 1 END) AS DOUBLE) / greatest(count(*), 1))) AS c
+  FROM f),
+x AS (SELECT IP_Source, (CAST(Nombre_Tentatives AS DOUBLE) - m0) / CASE WHEN s0 = 0 OR s0 IS NULL THEN 1.0 ELSE s0 END AS x0,
+  (CAST(Nombre_Erreurs AS DOUBLE) - m1) / CASE WHEN s1 = 0 OR s1 IS NULL THEN 1.0 ELSE s1 END AS x1 FROM f CROSS JOIN st)"""
+
+
+@register("d7_kernel_vote_2d", f"""WITH {X2_SQL},
+vv AS (SELECT var_pop(v) AS v FROM (SELECT x0 AS v FROM x UNION ALL SELECT x1 FROM x)),
+gm AS (SELECT CASE WHEN v > 0 THEN 1.0 / (2 * v) ELSE 1.0 END AS g FROM vv),
+dn AS (SELECT a.IP_Source, avg(exp(-(SELECT g FROM gm) * ((a.x0 - b.x0) * (a.x0 - b.x0) + (a.x1 - b.x1) * (a.x1 - b.x1))))
+  AS density FROM x a CROSS JOIN x b GROUP BY a.IP_Source),
+{quantile_sql('qd', 'dn', 'density', '(SELECT c FROM st)')}
+SELECT IP_Source, round_even(density, 6) AS density, CAST(density < (SELECT q FROM qd) AS INT) AS vote FROM dn""",
+          views=("v_ip",))
+def d7_kernel_vote_2d(spark, sf):
+    f = features(spark, sf)
+    feats = ["Nombre_Tentatives", "Nombre_Erreurs"]
+    x = S.scale(f, feats, S.attach(S.global_stats(f, feats)))
+    xs = ["x_" + c for c in feats]
+    res = density.kernel_novelty_nd(x, xs, contamination_of(f))
+    return x.join(res, xs).select("IP_Source", F.bround("density", 6).alias("density"),
+                                  F.col("vote").cast("int").alias("vote"))
+
+
 # ------------------------------------------------------------------ D19, D18
 
 def _silhouette_sql(label_sql: str, source: str) -> str:

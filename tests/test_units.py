@@ -227,3 +227,15 @@ def test_dbscan_nd_matches_brute_force(spark):
     noise = ~((d2 <= 0.25) & core[None, :]).any(1)
     for i, (a, b) in enumerate(pts):
         assert got[(float(a), float(b))] == (bool(core[i]), bool(noise[i]))
+
+
+def test_kernel_nd_matches_brute_force(spark):
+    rng = np.random.default_rng(5)
+    pts = np.round(np.concatenate([rng.normal(0, 1, (40, 2)), rng.normal(8, 1, (5, 2)), [[60.0, -60.0]]]), 2)
+    df = spark.createDataFrame([(float(a), float(b)) for a, b in pts], "x double, y double")
+    g = 1.0 / (2 * pts.var())
+    got = {(r.x, r.y): r.density for r in density.kernel_novelty_nd(df, ["x", "y"], 0.1).collect()}
+    d2 = ((pts[:, None, :] - pts[None, :, :]) ** 2).sum(-1)
+    want = np.exp(-g * d2).mean(1)
+    for i, (a, b) in enumerate(pts):
+        assert got[(float(a), float(b))] == pytest.approx(want[i], rel=1e-9, abs=1e-300)
