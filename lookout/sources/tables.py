@@ -23,14 +23,16 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 
 def spread(df: DataFrame) -> DataFrame:
-    """Round-robin a scan that yields fewer splits than the session has
-    cores (a single-row-group file). On the large layout every scan has far
-    more splits than cores and this is a no-op: no extra shuffle."""
-    if os.environ.get("LOOKOUT_NO_SPREAD"):
+    """Local sessions only: round-robin a scan that yields fewer splits than
+    the cores (the single-row-group test files), so per-row parsing uses all
+    cores. On a cluster nothing is added: large scans have far more splits
+    than cores, and small tables must not be blown up into thousands of
+    tiny partitions."""
+    sc = df.sparkSession.sparkContext
+    if os.environ.get("LOOKOUT_NO_SPREAD") or not sc.master.startswith("local"):
         return df
-    par = df.sparkSession.sparkContext.defaultParallelism
-    if df.rdd.getNumPartitions() < par:
-        return df.repartition(par)
+    if df.rdd.getNumPartitions() < sc.defaultParallelism:
+        return df.repartition(sc.defaultParallelism)
     return df
 
 
