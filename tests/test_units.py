@@ -239,3 +239,21 @@ def test_kernel_nd_matches_brute_force(spark):
     want = np.exp(-g * d2).mean(1)
     for i, (a, b) in enumerate(pts):
         assert got[(float(a), float(b))] == pytest.approx(want[i], rel=1e-9, abs=1e-300)
+
+
+def test_run_state_rerun_replaces(spark):
+    from lookout.operators import state
+    rng = np.random.default_rng(11)
+    rows = [(f"10.0.0.{i}", int(v), None) for i, v in enumerate(rng.poisson(20, 60))] + [("10.0.9.9", 900, None)]
+    feats = spark.createDataFrame(rows, "IP_Source string, Nombre_Tentatives long, Date timestamp")
+    root = tempfile.mkdtemp(dir="/tmp")
+    for run_id in ["r1", "r2", "r2"]:
+        state.run_batch(spark, feats, feats, root, run_id)
+    tr = {r.run_id: (r.sessions, r.total_samples) for r in spark.read.parquet(f"{root}/training").collect()}
+    assert tr == {"r1": (1, 61), "r2": (2, 122)}
+    thr = {r.run_id: r.seuil for r in spark.read.parquet(f"{root}/thresholds").collect()}
+    x = np.array([v for _, v, _ in rows], dtype=float)
+    step = lambda old: round(0.7 * old + 0.3 * (x.mean() + 2 * x.std(ddof=1)), 2)
+    # first run: trained (one update) before scoring, refitted after the batch
+    assert thr["r1"] == step(step(50.0))
+    assert thr["r2"] == step(thr["r1"])
