@@ -150,3 +150,17 @@ def l7_stream_counters(spark, sf):
                                 f"{root}/out", f"{root}/checkpoint")
     q.awaitTermination()
     return spark.read.parquet(f"{root}/out")
+
+
+@register("l4_stream_banned_ips", f"""WITH {ALL_LINES_SQL}
+SELECT DISTINCT unnest(regexp_extract_all(line, '{BAN}', 1)) AS ip FROM t WHERE src = 'fail2ban'""", views=("v_lines",))
+def l4_stream_banned_ips(spark, sf):
+    """Distinct banned addresses from a file-source stream (two input files)."""
+    root = f"{ensure_checkpoint_dir(spark).rstrip('/')}/bans-{uuid.uuid4().hex}"
+    lines = T.v_lines(spark, sf).select("ts", "source_log", "line")
+    lines.where(F.col("ts") < F.lit("2024-01-16").cast("timestamp_ntz")).write.parquet(f"{root}/in/part1")
+    lines.where(F.col("ts") >= F.lit("2024-01-16").cast("timestamp_ntz")).write.parquet(f"{root}/in/part2")
+    q = L.start_banned_stream(spark, f"{root}/in/*", "ts timestamp_ntz, source_log string, line string",
+                              f"{root}/out", f"{root}/checkpoint")
+    q.awaitTermination()
+    return spark.read.schema("ip string").parquet(f"{root}/out")

@@ -180,3 +180,17 @@ def start_counters_stream(spark, source_path: str, schema: str, sink_path: str,
     w = kpi.writeStream.outputMode("complete").option("checkpointLocation", checkpoint).foreachBatch(publish)
     w = w.trigger(availableNow=True) if available_now else w.trigger(processingTime="1 second")
     return w.start()
+
+
+def start_banned_stream(spark, source_path: str, schema: str, sink_path: str, checkpoint: str,
+                        available_now: bool = True):
+    """L4 as a stream: each banned address is emitted once (``dropDuplicates``
+    keeps one state row per distinct address) and appended to the sink."""
+    stream = spark.readStream.schema(schema).parquet(source_path)
+    bans = (stream.where(live_source("source_log", "line") == "fail2ban")
+            .select(F.explode(F.regexp_extract_all("line", F.lit(IPV4_AFTER_BAN), F.lit(1))).alias("ip"))
+            .dropDuplicates(["ip"]))
+    w = bans.writeStream.outputMode("append").format("parquet").option("path", sink_path) \
+        .option("checkpointLocation", checkpoint)
+    w = w.trigger(availableNow=True) if available_now else w.trigger(processingTime="1 second")
+    return w.start()
