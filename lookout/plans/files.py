@@ -73,6 +73,18 @@ def s5_structured_csv(spark, sf):
     return c.select(fmt_ts("Date").alias("Date"), "Service", "Message", "EventId")
 
 
+@register("s5_template_scan", r"""SELECT DISTINCT 'E' || CAST(event_id % 118 + 1 AS VARCHAR) AS EventId,
+  regexp_replace(line, '[0-9]+', '<*>', 'g') AS EventTemplate FROM v_lines""", views=("v_lines",))
+def s5_template_scan(spark, sf):
+    """Event templates (digits -> '<*>') written as CSV and read back."""
+    root = scratch(spark, "templates")
+    lines = T.v_lines(spark, sf)
+    tpl = lines.select(F.concat(F.lit("E"), (F.col("event_id") % 118 + 1).cast("string")).alias("EventId"),
+                       F.regexp_replace("line", "[0-9]+", "<*>").alias("EventTemplate")).distinct()
+    tpl.write.options(**WS_OPTS).option("header", True).csv(root)
+    return S.read_templates(spark, root)
+
+
 @register("s6_corpus_scan", """SELECT DISTINCT event_id, ts_text AS timestamp, source_ip, statut, severite, type_event
 FROM v_wire""", views=("v_wire",))
 def s6_corpus_scan(spark, sf):

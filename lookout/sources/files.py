@@ -83,8 +83,9 @@ def read_structured(spark: SparkSession, path: str) -> DataFrame:
 
 
 def read_templates(spark: SparkSession, path: str) -> DataFrame:
-    """Event templates (EventId, EventTemplate)."""
-    return spark.read.option("header", True).schema("EventId string, EventTemplate string").csv(path)
+    """Event templates (EventId, EventTemplate); whitespace is kept as written."""
+    return (spark.read.option("header", True).option("ignoreLeadingWhiteSpace", False)
+            .option("ignoreTrailingWhiteSpace", False).schema("EventId string, EventTemplate string").csv(path))
 
 
 def corpus_files(spark: SparkSession, path: str) -> DataFrame:
