@@ -54,16 +54,19 @@ def triage(df: DataFrame, keys: list[str], order_col: str, line_col: str = "line
            n_samples: int = 5) -> DataFrame:
     """Per key, counts of each exclusive label with the first samples
     (by line order, 200 chars, newline-joined) and the total line count."""
-    labelled = df.select(*keys, order_col, line_col, triage_label(line_col).alias("label")) \
-        .where(F.col("label").isNotNull())
-    counts = labelled.groupBy(*keys, "label").agg(F.count(F.lit(1)).cast("bigint").alias("n"))
-    firsts = top_k_per_group(labelled, keys + ["label"], [F.asc(order_col)], n_samples, rank_col="rn")
+    labelled = df.select(*keys, order_col, line_col, triage_label(line_col).alias("label"))
+    # one scan: counts per (key, label) including unlabelled lines; totals
+    # per key are sums over that small aggregate
+    per = labelled.groupBy(*keys, "label").agg(F.count(F.lit(1)).cast("bigint").alias("n"))
+    counts = per.where(F.col("label").isNotNull())
+    totals = per.groupBy(*keys).agg(F.sum("n").cast("bigint").alias("n")) \
+        .select(*keys, F.lit("total_lignes").alias("label"), "n", F.lit(None).cast("string").alias("samples"))
+    firsts = top_k_per_group(labelled.where(F.col("label").isNotNull()), keys + ["label"], [F.asc(order_col)],
+                             n_samples, rank_col="rn")
     samples = firsts.groupBy(*keys, "label").agg(
         F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("rn", F.left(line_col, F.lit(200)).alias("t")))),
                                  lambda s: s["t"]), "\n").alias("samples"))
     per_label = counts.join(samples, keys + ["label"], "left")
-    totals = df.groupBy(*keys).agg(F.count(F.lit(1)).cast("bigint").alias("n")) \
-        .select(*keys, F.lit("total_lignes").alias("label"), "n", F.lit(None).cast("string").alias("samples"))
     return per_label.select(*keys, "label", "n", "samples").unionByName(totals)
 
 

@@ -90,7 +90,8 @@ def kpi_record(lines: DataFrame, line_no: str = "event_id", as_of: Column | None
 
     Every list in the record is bounded (top 10, last 10, fixed sources);
     the banned list is bounded by the 500-line tail."""
-    t = tails(lines, line_no)
+    from lookout.session import cut_lineage
+    t = cut_lineage(tails(lines, line_no))  # at most 500 lines per file, read by every part below
     c = counters(t)
     ips = from_ips(t)
     top = (ips.groupBy("ip").agg(F.count(F.lit(1)).alias("n")).orderBy(F.desc("n"), F.asc("ip")).limit(10)
