@@ -105,7 +105,7 @@ def fit_forest(df: DataFrame, key_col: str, feats: list[str], n_trees: int = 200
 
 def score_forest(df: DataFrame, trees: DataFrame, feats: list[str], psi: int,
                  out_col: str = "if_raw") -> DataFrame:
-    """D5 score: raw = -2^(-mean path / c(psi)) (sklearn's score_samples)."""
+    """D5 score: raw = -2^(-mean path / c(psi)) (higher = more normal)."""
     t = trees.toPandas().sort_values(["tree", "node"])  # bounded: n_trees * 2^(depth+1) rows
     spark = df.sparkSession
     size = t["size"].to_numpy(dtype=float)
