@@ -5,13 +5,31 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from lookout.llm import langid, simhash
+from lookout.llm import decontaminate, langid, mixing, sharding, simhash
+from lookout.llm.common import word_count
 
 
 def _read(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir.rstrip('/')}/{name}.parquet")
 
 
+def op3_mix_to_weights(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return mixing.mix(_read(spark, sf_dir, "documents"), word_count(F.col("text"))) \
+        .select("doc_id", "size", "source_size", "target", "taken")
+
+
+def op5_kd_tree_shards(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = _read(spark, sf_dir, "documents").withColumn("text_crc32", F.crc32(F.coalesce("text", F.lit(""))))
+    return sharding.shard(docs, sharding.document_dims(docs)).select(
+        "doc_id", "size", "text_crc32", F.lit("bytes").alias("law"), "shard", F.col("slot").cast("bigint"),
+        F.lit(None).cast("int").alias("grown_shard"))
+
+
+def op7_spaced_seed_overlaps(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return decontaminate.overlaps(_read(spark, sf_dir, "documents"), _read(spark, sf_dir, "benchmark")) \
+        .groupBy("doc_id", "item_id").agg(F.max("score").alias("score"))
+
+
 def op8_simhash_components(spark: SparkSession, sf_dir: str) -> DataFrame:
     return simhash.near_duplicates(_read(spark, sf_dir, "documents"), "doc_id", "text") \
         .select("doc_id", "fingerprint", "component_id")
@@ -28,5 +46,6 @@ def op9_language_mixture(spark: SparkSession, sf_dir: str) -> DataFrame:
         .alias("languages"))
 
 
-QUERIES = {q.__name__: q for q in (op8_simhash_components, op9_language_mixture)}
+QUERIES = {q.__name__: q for q in (op3_mix_to_weights, op5_kd_tree_shards, op7_spaced_seed_overlaps,
+                                  op8_simhash_components, op9_language_mixture)}
 ORACLES: dict[str, str] = {}
