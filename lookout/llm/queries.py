@@ -5,19 +5,36 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from lookout.llm import decontaminate, langid, mixing, sharding, simhash
+from lookout.llm import (conversations, decontaminate, langid, licenses, mixing, quality, secrets, sharding,
+                         simhash, warc)
 from lookout.llm.common import word_count
+from lookout.llm.oracles import ORACLES  # noqa: F401
 
 
 def _read(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir.rstrip('/')}/{name}.parquet")
 
 
+def op1_line_frequency_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return quality.apply_rules(_read(spark, sf_dir, "documents")).drop("text_hash")
+
+
+def op2_snapshot_collapse(spark: SparkSession, sf_dir: str) -> DataFrame:
+    turns = conversations.collapse(_read(spark, sf_dir, "conversations"))
+    return conversations.conversations(conversations.render(turns)).withColumnRenamed("conv", "conv_id")
+
+
 def op3_mix_to_weights(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mixing.mix(_read(spark, sf_dir, "documents"), word_count(F.col("text"))) \
         .select("doc_id", "size", "source_size", "target", "taken")
 
 
+def op4_secret_forest(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return secrets.scan(_read(spark, sf_dir, "documents")).select(
+        "doc_id", "at", "kind", F.sha2(F.col("value").cast("binary"), 256).alias("value_digest"),
+        F.round("score", 6).alias("score"), "is_secret")
+
+
 def op5_kd_tree_shards(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = _read(spark, sf_dir, "documents").withColumn("text_crc32", F.crc32(F.coalesce("text", F.lit(""))))
     return sharding.shard(docs, sharding.document_dims(docs)).select(
@@ -25,6 +42,12 @@ def op5_kd_tree_shards(spark: SparkSession, sf_dir: str) -> DataFrame:
         F.lit(None).cast("int").alias("grown_shard"))
 
 
+def op6_seekable_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
+    path = warc.archive(_read(spark, sf_dir, "pages"))
+    return warc.read_records(spark, path, payload=False) \
+        .select("page_id", "payload_bytes", "payload_digest", "record_type", "refers_to")
+
+
 def op7_spaced_seed_overlaps(spark: SparkSession, sf_dir: str) -> DataFrame:
     return decontaminate.overlaps(_read(spark, sf_dir, "documents"), _read(spark, sf_dir, "benchmark")) \
         .groupBy("doc_id", "item_id").agg(F.max("score").alias("score"))
@@ -46,6 +69,11 @@ def op9_language_mixture(spark: SparkSession, sf_dir: str) -> DataFrame:
         .alias("languages"))
 
 
-QUERIES = {q.__name__: q for q in (op3_mix_to_weights, op5_kd_tree_shards, op7_spaced_seed_overlaps,
-                                  op8_simhash_components, op9_language_mixture)}
-ORACLES: dict[str, str] = {}
+def op10_license_digests(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return licenses.scan(_read(spark, sf_dir, "documents"), licenses.known_licenses(spark)).select(
+        "doc_id", "digest", "license_id", F.array_join("notices", " ").alias("notices"))
+
+
+QUERIES = {q.__name__: q for q in (
+    op1_line_frequency_rules, op2_snapshot_collapse, op3_mix_to_weights, op4_secret_forest, op5_kd_tree_shards,
+    op6_seekable_warc, op7_spaced_seed_overlaps, op8_simhash_components, op9_language_mixture, op10_license_digests)}

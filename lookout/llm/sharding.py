@@ -20,6 +20,7 @@ from lookout.llm.common import written
 from lookout.llm.mixing import KEY_BITS, document_key
 
 KEY = "_key"
+ALL_KEYS = (1 << KEY_BITS) - 1
 LEAST = -1e300  # stands for a null of a dimension
 
 
@@ -32,54 +33,37 @@ class ShardParams:
 
 @dataclass
 class _Node:
-    """Rows under ``where``; ``shards`` numbers from ``first`` are to be made of them."""
+    """A node of one level; its number is its place in the level's list. ``shards`` numbers from ``first`` are made of it.
+
+    While its cut is sought, the rows that matter have a value of ``dim`` (or,
+    once that is the single value ``at``, a key) within [low, high].
+    """
 
     first: int
     shards: int
-    where: Column
-    cut: "_Cut | None" = None
-
-
-@dataclass
-class _Cut:
-    """The search for a node's cut: along ``axis`` within [low, high]."""
-
-    node: _Node
-    dim: str
-    low: float
-    high: float
-    goal: float                 # bytes that are to lie on the left
+    dim: int = 0
+    low: float = 0.0
+    high: float = 0.0
+    goal: float = 0.0           # bytes that are to lie on the left
     below: float = 0.0          # bytes left of [low, high]
-    at: float | None = None     # the one value of ``dim`` that the cut falls on; from then on the search is along the key
-    left: Column | None = None  # the rows on the left, once found
-
-    @property
-    def axis(self) -> str:
-        return self.dim if self.at is None else KEY
-
-    def inside(self) -> Column:
-        here = self.node.where & F.col(self.axis).between(F.lit(self.low), F.lit(self.high))
-        return here if self.at is None else here & (F.col(self.dim) == F.lit(self.at))
+    at: float | None = None
+    key: int | None = None      # the cut: rows of a smaller value, and rows of value ``at`` up to this key, lie on the left
 
-    def narrow(self, found: list, bins: int) -> None:
+    def narrow(self, found: list) -> None:
         """Go on with the bin that holds the goal, or finish."""
         for r in found:
             if self.below + r["s"] < self.goal and r is not found[-1]:
                 self.below += r["s"]
                 continue
-            self.low, self.high = r["v0"], r["v1"]
-            if self.axis == KEY:
-                self.low, self.high = r["k0"], r["k1"]
             break
-        if self.low < self.high:
-            return
-        if self.axis == KEY:  # one row, or its repeats: it goes where the sum comes nearer to the goal
-            take = self.below + r["s"] - self.goal < self.goal - self.below
-            self.left = F.col(KEY) <= F.lit(self.low) if take else F.col(KEY) < F.lit(self.low)
-            if self.at is not None:
-                self.left = (F.col(self.dim) < F.lit(self.at)) | ((F.col(self.dim) == F.lit(self.at)) & self.left)
+        if self.at is None:
+            self.low, self.high = r["v0"], r["v1"]
+            if self.low == self.high:
+                self.at, self.low, self.high = self.low, 0, ALL_KEYS
         else:
-            self.at, self.low, self.high = self.low, 0, (1 << KEY_BITS) - 1
+            self.low, self.high = r["k0"], r["k1"]
+            if self.low == self.high:  # one row, or its repeats: it goes where the sum comes nearer to the goal
+                self.key = self.low if self.below + r["s"] - self.goal < self.goal - self.below else self.low - 1
 
 
 def text_code(text: Column) -> Column:
@@ -88,63 +72,71 @@ def text_code(text: Column) -> Column:
     return F.when(text.isNull(), F.lit(-1.0)).otherwise(F.conv(first, 16, 10).cast("double"))
 
 
-def _refine(rows: DataFrame, cuts: list[_Cut], bins: int) -> None:
-    """One pass over the rows for all open cuts."""
-    which, place = F.lit(None).cast("int"), F.lit(0.0)
-    value, key = F.lit(None).cast("double"), F.lit(None).cast("bigint")
-    for i, c in enumerate(cuts):
-        here, width = c.inside(), float(c.high - c.low) or 1.0
-        which = F.when(here, F.lit(i)).otherwise(which)
-        place = F.when(here, (F.col(c.axis) - F.lit(c.low)).cast("double") / F.lit(width)).otherwise(place)
-        if c.axis == KEY:
-            key = F.when(here, F.col(KEY)).otherwise(key)
-        else:
-            value = F.when(here, F.col(c.axis)).otherwise(value)
-    found = rows.select(which.alias("c"), F.least(F.floor(place * bins), F.lit(bins - 1)).alias("b"),
-                        value.alias("v"), key.alias("k"), "size").where(F.col("c").isNotNull()) \
-        .groupBy("c", "b").agg(F.sum("size").alias("s"), F.min("v").alias("v0"), F.max("v").alias("v1"),
-                               F.min("k").alias("k0"), F.max("k").alias("k1")).orderBy("c", "b").collect()
-    for i, c in enumerate(cuts):
-        c.narrow([r for r in found if r["c"] == i], bins)
-
-
-def grow(rows: DataFrame, dims: list[str], params: ShardParams) -> list[_Node]:
-    """The leaves of the tree over ``rows`` (the dimensions, ``size``, ``_key``): disjoint conditions, one a shard."""
-    extent = [F.min(d).alias(f"lo_{i}") for i, d in enumerate(dims)] + [F.max(d).alias(f"hi_{i}") for i, d in enumerate(dims)]
-    span, leaves, nodes = None, [], [_Node(0, params.shards, F.lit(True))]
-    while nodes:
-        leaves += [n for n in nodes if n.shards == 1]
-        nodes = [n for n in nodes if n.shards > 1]
-        if not nodes:
-            break
-        which = F.lit(None).cast("int")
-        for i, n in enumerate(nodes):
-            which = F.when(n.where, F.lit(i)).otherwise(which)
-        stats = {r["_n"]: r for r in rows.withColumn("_n", which).where(F.col("_n").isNotNull())
-                 .groupBy("_n").agg(F.sum("size").alias("s"), *extent).collect()}
+def _pick(values: list, kind: str, node: Column) -> Column:
+    """The node's own value of a list that has one for each node of a level."""
+    return F.get(F.array(*[F.lit(v) for v in values]).cast(f"array<{kind}>"), node)
+
+
+def _down(rows: DataFrame, level: list[_Node], dims: list[str]) -> DataFrame:
+    """Replace ``_node`` by the child that the row lies in; nodes without a cut pass their rows to the left."""
+    own = _pick([n.dim for n in level], "int", F.col("_node"))
+    value = F.get(F.array(*dims), own)
+    at = _pick([n.at if n.key is not None else None for n in level], "double", F.col("_node"))
+    key = _pick([n.key for n in level], "bigint", F.col("_node"))
+    left = at.isNull() | (value < at) | ((value == at) & (F.col(KEY) <= key))
+    return rows.withColumn("_node", F.col("_node") * 2 + F.when(left, 0).otherwise(1))
+
+
+def _refine(rows: DataFrame, level: list[_Node], dims: list[str], bins: int) -> None:
+    """One pass over the rows for all nodes whose cut is still sought."""
+    open_ = [n.shards > 1 and n.key is None for n in level]
+    by_key = [n.at is not None for n in level]
+    node = F.col("_node")
+    rows = rows.where(_pick(open_, "boolean", node)) \
+        .withColumn("_v", F.get(F.array(*dims), _pick([n.dim for n in level], "int", node))) \
+        .withColumn("_by_key", _pick(by_key, "boolean", node))
+    low = _pick([0.0 if k else float(n.low) for n, k in zip(level, by_key)], "double", node)
+    high = _pick([0.0 if k else float(n.high) for n, k in zip(level, by_key)], "double", node)
+    at = _pick([n.at for n in level], "double", node)
+    first = _pick([int(n.low) if k else 0 for n, k in zip(level, by_key)], "bigint", node)
+    last = _pick([int(n.high) if k else 0 for n, k in zip(level, by_key)], "bigint", node)
+    inside = F.when(F.col("_by_key"), (F.col("_v") == at) & F.col(KEY).between(first, last)) \
+        .otherwise(F.col("_v").between(low, high))
+    place = F.when(F.col("_by_key"), (F.col(KEY) - first) / F.greatest(last - first, F.lit(1))) \
+        .otherwise(F.when(high > low, (F.col("_v") - low) / (high - low)).otherwise(0.0))
+    found = rows.where(inside).withColumn("_b", F.least(F.floor(place * bins), F.lit(bins - 1))) \
+        .groupBy("_node", "_b").agg(F.sum("size").alias("s"), F.min("_v").alias("v0"), F.max("_v").alias("v1"),
+                                    F.min(KEY).alias("k0"), F.max(KEY).alias("k1")).orderBy("_node", "_b").collect()
+    for i, n in enumerate(level):
+        if open_[i]:
+            n.narrow([r for r in found if r["_node"] == i])
+
+
+def grow(rows: DataFrame, dims: list[str], params: ShardParams) -> list[list[_Node]]:
+    """The levels of the tree over ``rows``: the dimensions (doubles), ``size`` and ``_key``; the last one holds the shards."""
+    extent = [f(d).alias(f"{n}{i}") for i, d in enumerate(dims) for n, f in (("lo", F.min), ("hi", F.max))]
+    levels, span = [[_Node(0, params.shards)]], None
+    rows = rows.withColumn("_node", F.lit(0))
+    while any(n.shards > 1 for n in levels[-1]):
+        level = levels[-1]
+        stats = {r["_node"]: r for r in rows.groupBy("_node").agg(F.sum("size").alias("s"), *extent).collect()}
         if span is None:
-            span = [(stats[0][f"hi_{i}"] - stats[0][f"lo_{i}"]) if 0 in stats else 0.0 for i in range(len(dims))]
-        cuts = []
-        for i, n in enumerate(nodes):
-            r = stats.get(i)
-            wide = [(r[f"hi_{k}"] - r[f"lo_{k}"]) / span[k] if r and span[k] else 0.0 for k in range(len(dims))]
-            best = max(range(len(dims)), key=lambda k: (wide[k], -k)) if dims else None
-            goal = (r["s"] if r else 0) * (n.shards // 2) / n.shards
-            if best is None or not wide[best]:
-                n.cut = _Cut(n, KEY, 0, (1 << KEY_BITS) - 1, goal)
-            else:
-                n.cut = _Cut(n, dims[best], r[f"lo_{best}"], r[f"hi_{best}"], goal)
-            if r is None:
-                n.cut.left = F.lit(True)  # an empty node: its shards stay empty
-            cuts.append(n.cut)
-        while open_ := [c for c in cuts if c.left is None]:
-            _refine(rows, open_, params.bins)
-        halves = []
-        for n in nodes:
-            left = n.shards // 2
-            halves += [_Node(n.first, left, n.where & n.cut.left), _Node(n.first + left, n.shards - left, n.where & ~n.cut.left)]
-        nodes = halves
-    return leaves
+            span = [stats[0][f"hi{i}"] - stats[0][f"lo{i}"] if 0 in stats else 0.0 for i in range(len(dims))]
+        for i, n in enumerate(level):
+            if n.shards > 1 and i in stats:
+                wide = [(stats[i][f"hi{k}"] - stats[i][f"lo{k}"]) / (span[k] or 1.0) for k in range(len(dims))]
+                n.dim = max(range(len(dims)), key=lambda k: (wide[k], -k))
+                n.low, n.high = stats[i][f"lo{n.dim}"], stats[i][f"hi{n.dim}"]
+                n.goal = stats[i]["s"] * (n.shards // 2) / n.shards
+            elif n.shards > 1:
+                n.at, n.key = 0.0, -1  # no rows: its shards stay empty
+        while any(n.shards > 1 and n.key is None for n in level):
+            _refine(rows, level, dims, params.bins)
+        rows = _down(rows, level, dims)
+        halves = [(n.shards // 2 if n.shards > 1 else n.shards) for n in level]
+        levels.append([child for n, left in zip(level, halves)
+                       for child in (_Node(n.first, left), _Node(n.first + left, n.shards - left))])
+    return levels
 
 
 def document_dims(docs: DataFrame) -> dict[str, Column]:
@@ -170,15 +162,20 @@ def shard(docs: DataFrame, dims: dict[str, Column], doc_id: str = "doc_id", text
               KEY: document_key(F.col(doc_id), F.col(text))}
     marked = docs.drop("shard", "slot", "size").withColumns(marks)
     rows = written(marked.select("size", KEY, *names), "shard-rows")
-    number = F.lit(0)
-    for leaf in grow(rows, names, params):
-        number = F.when(leaf.where, F.lit(leaf.first)).otherwise(number)
-    place = [number.alias("shard"), F.shiftright(KEY, KEY_BITS - params.slot_bits).alias("_part")]
+    levels = grow(rows, names, params)
+
+    def placed(df: DataFrame) -> DataFrame:
+        df = df.withColumn("_node", F.lit(0))
+        for level in levels[:-1]:
+            df = _down(df, level, names)
+        return df.withColumn("shard", _pick([n.first for n in levels[-1]], "int", F.col("_node"))) \
+            .withColumn("_part", F.shiftright(KEY, KEY_BITS - params.slot_bits))
+
     before = Window.partitionBy("shard").orderBy("_part").rowsBetween(Window.unboundedPreceding, -1)
-    starts = rows.select(*place).groupBy("shard", "_part").count() \
+    starts = placed(rows).groupBy("shard", "_part").count() \
         .select("shard", "_part", F.coalesce(F.sum("count").over(before), F.lit(0)).alias("_start"))
     starts = written(starts, "shard-starts")
     inside = Window.partitionBy("shard", "_part").orderBy(KEY)
-    return marked.select("*", *place).join(starts, ["shard", "_part"]) \
+    return placed(marked).join(starts, ["shard", "_part"]) \
         .withColumn("slot", F.col("_start") + F.row_number().over(inside) - 1) \
         .select(*[c for c in docs.columns if c not in ("shard", "slot", "size")], "size", "shard", "slot")
