@@ -10,8 +10,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from lookout.llm import langid, simhash
-from lookout.llm.common import written
+from lookout.llm import decontaminate, langid, mixing, sharding, simhash
+from lookout.llm.common import word_count, written
 
 
 def identify_language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -26,12 +26,31 @@ def drop_near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataF
     return simhash.deduplicate(docs)
 
 
+def drop_benchmark(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents that hold a passage of a benchmark text go."""
+    benchmark = spark.read.parquet(f"{sf_dir.rstrip('/')}/benchmark.parquet")
+    return decontaminate.decontaminate(docs, benchmark)
+
+
+def mix_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Each source comes near its target: rows stand as often as the mix takes them, up to three times."""
+    return mixing.mixed(docs, word_count(F.col("text")))
+
+
+def shard(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Add ``size``, ``shard`` and ``slot``: forty k-d tree shards of near equal bytes."""
+    return sharding.shard(docs, sharding.document_dims(docs))
+
+
 STAGES = [
     ("language ID", identify_language),
     ("SimHash near-dedup", drop_near_copies),
+    ("benchmark decontamination", drop_benchmark),
+    ("mixing sources to target weights", mix_sources),
+    ("sharding", shard),
 ]
 
-#: no SQL can express the language model and the fingerprints
+#: no SQL can express the language model and the fingerprints; tests/llm holds the stages against brute force
 ORACLE_SQL = None
 
 

@@ -96,45 +96,70 @@ def thresholds(rows: DataFrame, budgets: DataFrame, last: bool, params: MixParam
                                (F.col("_high") + 1).alias("after"), under.alias("rest")), "mix-threshold")
 
 
-def mix(docs: DataFrame, size: Column, doc_id: str = "doc_id", text: str = "text", source: str = "source",
-        weights: int = 3, params: MixParams = MixParams()) -> DataFrame:
-    """How much of every document the mix takes.
+def _marked(docs: DataFrame, size: Column, doc_id: str, text: str, source: str, *keep: Column) -> DataFrame:
+    """``_s`` (the source, nulls as one), ``size`` and ``key`` of every row, beside the columns to keep."""
+    s = F.struct(F.coalesce(F.col(source), F.lit("")).alias("name"), F.col(source).isNull().alias("none"))
+    return docs.select(*keep, F.col(source).alias("source"), s.alias("_s"), size.cast("bigint").alias("size"),
+                       document_key(F.col(doc_id), F.col(text)).alias("key"))
 
-    Returns ``doc_id``, ``text_hash``, ``source``, ``size``, ``source_size``,
-    ``target``, ``repeats`` (how often the document is taken) and ``taken``
-    (size by repeats). Whole passes of a source come first, the rest of its
-    target by thresholds on the key. Rows with equal id and text share their
-    key and are taken together; empty documents are taken at no cost. Reruns
-    agree: nothing is drawn at random.
-    """
-    rows = docs.select(F.col(doc_id).alias("doc_id"), F.xxhash64(text).alias("text_hash"), F.col(source).alias("source"),
-                       size.cast("bigint").alias("size"), document_key(F.col(doc_id), F.col(text)).alias("key"))
-    rows = written(rows, "mix-rows")
+
+def source_cuts(rows: DataFrame, weights: int, params: MixParams) -> DataFrame:
+    """What is taken of every source ``_s``: ``source_size``, ``target``, ``whole`` passes and the thresholds of each pass."""
     sizes = rows.groupBy("source").agg(F.sum("size").alias("source_size"))
     whole = F.when(F.col("source_size") > 0, F.floor(F.col("target") / F.col("source_size"))).otherwise(0)
     plan = source_targets(sizes, weights, params).withColumn("whole", whole.cast("bigint")) \
         .withColumn("budget", F.col("target") - F.col("whole") * F.col("source_size")) \
         .withColumn("_s", F.struct(F.coalesce("source", F.lit("")).alias("name"), F.col("source").isNull().alias("none")))
     plan = written(plan, "mix-plan")
-    rows = rows.withColumn("_s", F.struct(F.coalesce("source", F.lit("")).alias("name"), F.col("source").isNull().alias("none")))
 
     budgets, fits = plan.select("_s", "budget"), rows
-    taken = plan.select("_s", "source_size", "target", "whole")
+    cuts = plan.select("_s", "source_size", "target", "whole")
     for step in range(params.passes):
         found = thresholds(fits.select("_s", "size", "key"), budgets, step == params.passes - 1, params)
         mine = found.select("_s", F.col("below").alias(f"below{step}"), F.col("after").alias(f"after{step}"),
                             F.col("rest").alias(f"rest{step}"))
-        taken = written(taken.join(mine, "_s", "left"), "mix-taken")
+        cuts = written(cuts.join(mine, "_s", "left"), "mix-taken")
         # what still fits below the open rest, beyond the boundary document
         budgets = found.select("_s", F.col("rest").alias("budget"))
         fits = fits.join(found, "_s").where((F.col("key") >= F.col("after")) & (F.col("size") <= F.col("rest"))) \
             .drop("below", "after", "rest")
+    return cuts
+
+
+def _repeats(params: MixParams) -> Column:
+    """How often a row (``key``, ``size``) is taken, by the cuts of its source."""
     got = F.lit(False)
     for step in range(params.passes - 1, -1, -1):
         # without a boundary on this pass, all that was left to it fits
         here = F.col(f"below{step}").isNull() | (F.col("key") < F.col(f"below{step}"))
         later = (F.col("key") >= F.col(f"after{step}")) & (F.col("size") <= F.col(f"rest{step}")) & got
         got = here | F.coalesce(later, F.lit(False))
-    return rows.join(taken, "_s").withColumn("repeats", F.col("whole") + F.when(got, 1).otherwise(0)) \
+    return F.col("whole") + F.when(got, 1).otherwise(0)
+
+
+def mix(docs: DataFrame, size: Column, doc_id: str = "doc_id", text: str = "text", source: str = "source",
+        weights: int = 3, params: MixParams = MixParams()) -> DataFrame:
+    """How much of every document the mix takes.
+
+    Returns ``doc_id``, ``text_hash``, ``source``, ``size``, ``source_size``,
+    ``target``, ``repeats`` (how often the document is taken) and ``taken``
+    (size by repeats). Whole passes of a source come first, the rest of its
+    target by thresholds on the key. Rows with equal id and text share their
+    key and are taken together; empty documents are taken at no cost; an empty
+    table gives an empty mix. Reruns agree: nothing is drawn at random.
+    """
+    rows = written(_marked(docs, size, doc_id, text, source, F.col(doc_id).alias("doc_id"), F.xxhash64(text).alias("text_hash")),
+                   "mix-rows")
+    return rows.join(source_cuts(rows, weights, params), "_s").withColumn("repeats", _repeats(params)) \
         .select("doc_id", "text_hash", "source", "size", "source_size", "target", "repeats",
                 (F.col("size") * F.col("repeats")).alias("taken"))
+
+
+def mixed(docs: DataFrame, size: Column, doc_id: str = "doc_id", text: str = "text", source: str = "source",
+          weights: int = 3, params: MixParams = MixParams()) -> DataFrame:
+    """The mix itself: every row with all its columns, as often as ``mix`` takes it; rows it leaves out are gone."""
+    rows = written(_marked(docs, size, doc_id, text, source), "mix-rows")
+    cuts = source_cuts(rows, weights, params)
+    return _marked(docs, size, doc_id, text, source, F.struct("*").alias("_doc")).join(cuts, "_s") \
+        .withColumn("_copy", F.explode(F.sequence(F.lit(1).cast("bigint"), F.greatest(_repeats(params), F.lit(1))))) \
+        .where(F.col("_copy") <= _repeats(params)).select("_doc.*")

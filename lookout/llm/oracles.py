@@ -15,7 +15,7 @@ BLANK = r"[\x20\x09-\x0D]+"
 
 
 def _word_list(text: str) -> str:
-    return f"list_filter(string_split_regex(coalesce({text}, ''), '{BLANK}'), x -> x <> '')"
+    return f"list_filter(string_split_regex(coalesce({text}, ''), '{BLANK}'), lambda x: x <> '')"
 
 
 OP1 = rf"""
@@ -23,7 +23,7 @@ WITH d AS (SELECT doc_id, source, md5(coalesce(text, '')) AS th, coalesce(text,
 base AS (
   SELECT doc_id, source, th, len(ws)::BIGINT AS n_words, length(regexp_replace(t, '{BLANK}', '', 'g'))::BIGINT AS word_chars,
     length(regexp_replace(t, '[^#*$%&|<>]+', '', 'g'))::BIGINT AS n_symbols,
-    list_filter(string_split(t, chr(10)), x -> regexp_matches(x, '[^\x20\x09-\x0D]')) AS ls FROM d),
+    list_filter(string_split(t, chr(10)), lambda x: regexp_matches(x, '[^\x20\x09-\x0D]')) AS ls FROM d),
 win AS (SELECT doc_id, i, ws[i] || ' ' || ws[i + 1] || ' ' || ws[i + 2] AS g FROM d, unnest(range(1, len(ws) - 1)) AS u(i)),
 again AS (SELECT doc_id, i FROM (SELECT *, count(*) OVER (PARTITION BY doc_id, g) AS c FROM win) WHERE c > 1),
 cov AS (SELECT doc_id, count(DISTINCT p) AS n FROM (SELECT doc_id, unnest([i, i + 1, i + 2]) AS p FROM again) GROUP BY 1),
@@ -93,10 +93,10 @@ s AS (
 c AS (
   SELECT sum(3 * source_size) OVER w AS caps, sum(weight) OVER w AS weights, (SELECT sum(source_size) FROM s) AS total,
     (SELECT sum(weight) FROM s) AS w_all FROM s WINDOW w AS (ORDER BY 3 * source_size / weight, source NULLS LAST ROWS UNBOUNDED PRECEDING)),
-lambda AS (
+lvl AS (
   SELECT greatest((SELECT max((total - caps)::DOUBLE / (w_all - weights)) FROM c WHERE w_all > weights),
                   (SELECT max(total::DOUBLE / w_all) FROM c)) AS l),
-t AS (SELECT *, least(3.0 * source_size, weight * l)::DOUBLE AS target FROM s, lambda),
+t AS (SELECT *, least(3.0 * source_size, weight * l)::DOUBLE AS target FROM s, lvl),
 plan AS (
   SELECT source, source_size, target, whole, target - whole * source_size AS budget
   FROM (SELECT *, CASE WHEN source_size > 0 THEN floor(target / source_size)::BIGINT ELSE 0 END AS whole FROM t)),
@@ -117,7 +117,7 @@ FROM p LEFT JOIN g ON p.h = g.h
 
 
 def _tokens(text: str) -> str:
-    return rf"list_filter(string_split(trim(regexp_replace(lower({text}), '[^\p{{L}}\p{{N}}]+', ' ', 'g')), ' '), x -> x <> '')"
+    return rf"list_filter(string_split(trim(regexp_replace(lower({text}), '[^\p{{L}}\p{{N}}]+', ' ', 'g')), ' '), lambda x: x <> '')"
 
 
 def _window_seeds(rows: str, keep: str) -> str:

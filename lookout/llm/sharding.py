@@ -77,14 +77,35 @@ def _pick(values: list, kind: str, node: Column) -> Column:
     return F.get(F.array(*[F.lit(v) for v in values]).cast(f"array<{kind}>"), node)
 
 
+def _child(node: Column, value: Column, at: Column, key: Column) -> Column:
+    """The child of ``node`` that a row lies in; nodes without a cut pass their rows to the left."""
+    left = at.isNull() | key.isNull() | (value < at) | ((value == at) & (F.col(KEY) <= key))
+    return node * 2 + F.when(left, 0).otherwise(1)
+
+
+def _cuts(nodes: list[_Node]) -> list[tuple[list, str]]:
+    return [([n.dim for n in nodes], "int"), ([n.at for n in nodes], "double"), ([n.key for n in nodes], "bigint")]
+
+
 def _down(rows: DataFrame, level: list[_Node], dims: list[str]) -> DataFrame:
-    """Replace ``_node`` by the child that the row lies in; nodes without a cut pass their rows to the left."""
-    own = _pick([n.dim for n in level], "int", F.col("_node"))
-    value = F.get(F.array(*dims), own)
-    at = _pick([n.at if n.key is not None else None for n in level], "double", F.col("_node"))
-    key = _pick([n.key for n in level], "bigint", F.col("_node"))
-    left = at.isNull() | (value < at) | ((value == at) & (F.col(KEY) <= key))
-    return rows.withColumn("_node", F.col("_node") * 2 + F.when(left, 0).otherwise(1))
+    """The rows one level deeper, ``_node`` written anew: passes over a level read it instead of walking the tree again."""
+    dim, at, key = (_pick(values, kind, F.col("_node")) for values, kind in _cuts(level))
+    return written(rows.withColumn("_node", _child(F.col("_node"), F.get(F.array(*dims), dim), at, key)), "shard-level")
+
+
+def leaf(levels: list[list[_Node]], dims: list[str]) -> Column:
+    """The shard of a row: a walk down the finished tree, whose nodes stand level by level in one list."""
+    nodes, starts = [], []
+    for level in levels[:-1]:
+        starts.append(len(nodes))
+        nodes += level
+
+    def step(node: Column, start: Column) -> Column:
+        dim, at, key = (_pick(values, kind, start + node) for values, kind in _cuts(nodes))
+        return _child(node, F.get(F.array(*dims), dim), at, key)
+
+    last = F.lit(0) if not nodes else F.aggregate(F.array(*[F.lit(s) for s in starts]), F.lit(0), step)
+    return _pick([n.first for n in levels[-1]], "int", last)
 
 
 def _refine(rows: DataFrame, level: list[_Node], dims: list[str], bins: int) -> None:
@@ -165,11 +186,7 @@ def shard(docs: DataFrame, dims: dict[str, Column], doc_id: str = "doc_id", text
     levels = grow(rows, names, params)
 
     def placed(df: DataFrame) -> DataFrame:
-        df = df.withColumn("_node", F.lit(0))
-        for level in levels[:-1]:
-            df = _down(df, level, names)
-        return df.withColumn("shard", _pick([n.first for n in levels[-1]], "int", F.col("_node"))) \
-            .withColumn("_part", F.shiftright(KEY, KEY_BITS - params.slot_bits))
+        return df.withColumn("shard", leaf(levels, names)).withColumn("_part", F.shiftright(KEY, KEY_BITS - params.slot_bits))
 
     before = Window.partitionBy("shard").orderBy("_part").rowsBetween(Window.unboundedPreceding, -1)
     starts = placed(rows).groupBy("shard", "_part").count() \
