@@ -103,5 +103,5 @@ def decontaminate(docs: DataFrame, benchmark: DataFrame, doc_id: str = "doc_id",
     bad = overlaps(docs, benchmark, doc_id, text, params=params) \
         .select(F.col("doc_id").alias("_bad_id"), F.col("text_hash").alias("_bad_hash")).distinct()
     bad = written(bad, "decon-bad")
-    return docs.withColumn("_hash", F.xxhash64(text)) \
-        .join(bad, F.col(doc_id).eqNullSafe(F.col("_bad_id")) & (F.col("_hash") == F.col("_bad_hash")), "left_anti").drop("_hash")
+    return docs.select(F.struct("*").alias("_doc"), F.col(doc_id).alias("_id"), F.xxhash64(text).alias("_hash")) \
+        .join(bad, F.col("_id").eqNullSafe(F.col("_bad_id")) & (F.col("_hash") == F.col("_bad_hash")), "left_anti").select("_doc.*")

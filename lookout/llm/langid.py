@@ -266,7 +266,7 @@ def predict(docs: DataFrame, model: LanguageModel, text: str = "text",
 
     def run(batches):
         table = model.table()
-        log_p = model.log_p.reshape(-1, len(model.languages))
+        log_p = model.log_p.reshape(-1, len(model.languages)) if model.languages else model.log_p
         for batch in batches:
             at = names.index(text)
             got = _predict_texts(batch.column(at).to_pylist(), model, table, log_p, params)

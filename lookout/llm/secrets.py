@@ -47,11 +47,11 @@ def candidates(docs: DataFrame, doc_id: str = "doc_id", text: str = "text") -> D
     """Every candidate: ``doc_id``, ``text_hash``, ``at`` (word, from 0), ``value``, ``kind``, ``before``, ``after``, ``word``.
 
     ``kind`` is a format's name, ``assigned`` or ``blob``. Texts without a
-    digit and without a telling name hold no candidate; null texts hold none.
+    digit, a known format and a telling name hold no candidate; null texts hold none.
     """
     t = F.col(text)
     rows = docs.select(F.col(doc_id).alias("doc_id"), F.xxhash64(t).alias("text_hash"), t.alias("text")) \
-        .where(F.col("text").rlike(rf"[0-9]|(?i:{NAMES}[\"']?\s*[=:])")).withColumn("w", words(F.col("text"))).drop("text")
+        .where(F.col("text").rlike(rf"[0-9]|(?i:{NAMES}[\"']?\s*[=:])|" + "|".join(FORMATS.values()))).withColumn("w", words(F.col("text"))).drop("text")
     shaped = F.filter(F.transform("w", lambda x, i: F.struct(i.alias("at"), x.alias("word"))),
                       lambda s: s["word"].rlike(rf"(?i){NAMES}[\"']?[=:].|{BLOB}") & (F.octet_length(s["word"]) >= 8)
                       | (s["at"] > 0) & (F.octet_length(s["word"]) >= 6) & F.get("w", s["at"] - 1).rlike(rf"(?i)(?:^|\W){NAMES}[\"']?[=:]$|^[=:]$"))
@@ -64,11 +64,13 @@ def candidates(docs: DataFrame, doc_id: str = "doc_id", text: str = "text") -> D
     found = found.withColumn("value", F.when(own_name != "", value).otherwise(
         F.regexp_replace("word", r"^[^0-9A-Za-z+/_$-]+|[^0-9A-Za-z+/_=$-]+$", "")))
     assigned = (own_name != "") | F.col("before").rlike(rf"(?i){NAMES}[\"']?\s*[=:]+[\"']?$")
-    kind = F.when(assigned, F.lit("assigned")).otherwise(F.lit("blob"))
-    for name, shape in FORMATS.items():
-        kind = F.when(F.col("value").rlike(f"^{shape}$"), F.lit(name)).otherwise(kind)
+    kind, exact = F.when(assigned, F.lit("assigned")).otherwise(F.lit("blob")), F.col("value")
+    for name, shape in FORMATS.items():  # a known format is the value wherever in the word it stands
+        hit = F.regexp_extract("word", rf"(?<![0-9A-Za-z]){shape}(?![0-9A-Za-z])", 0)
+        kind, exact = F.when(hit != "", F.lit(name)).otherwise(kind), F.when(hit != "", hit).otherwise(exact)
+    found = found.withColumn("kind", kind).withColumn("value", exact)
     mixed = F.col("value").rlike("[0-9]") & (F.octet_length("value") >= 12)
-    return found.withColumn("kind", kind).where((F.octet_length("value") >= 6) & ((F.col("kind") != "blob") | mixed))
+    return found.where((F.octet_length("value") >= 6) & ((F.col("kind") != "blob") | mixed))
 
 
 def _runs(value: Column) -> Column:

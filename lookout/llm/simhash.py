@@ -343,6 +343,6 @@ def deduplicate(docs: DataFrame, doc_id: str = "doc_id", text: str = "text",
     keep = near_duplicates(docs, doc_id, text, params).where("representative") \
         .select(F.col("doc_id").alias("_keep_id"), F.col("text_hash").alias("_keep_hash")).distinct()
     keep = written(keep, "simhash-keep")
-    marked = docs.withColumn("_hash", F.xxhash64(text))
-    kept = marked.join(keep, F.col(doc_id).eqNullSafe(F.col("_keep_id")) & (F.col("_hash") == F.col("_keep_hash")), "left_semi")
-    return kept.dropDuplicates([doc_id, "_hash"]).drop("_hash")
+    marked = docs.select(F.struct("*").alias("_doc"), F.col(doc_id).alias("_id"), F.xxhash64(text).alias("_hash"))
+    kept = marked.join(keep, F.col("_id").eqNullSafe(F.col("_keep_id")) & (F.col("_hash") == F.col("_keep_hash")), "left_semi")
+    return kept.dropDuplicates(["_id", "_hash"]).select("_doc.*")
