@@ -33,7 +33,7 @@ class SimHashParams:
     max_bits: int = 4       # differing bits of linked fingerprints
     blocks: int = 6         # bit blocks; blocks - max_bits of them agree for every link
     split_at: int = 200_000  # groups of more fingerprints are dealt anew by blocks of the bits that remain
-    leaf_pairs: int = 1 << 20   # node pairs handled at once
+    leaf_pairs: int = 1 << 17   # node pairs handled at once; a task holds a few times as many for each level of the index
 
 
 def _fingerprint(text: str | None, shingle: int, seed: int) -> int:
