@@ -60,8 +60,8 @@ FEATURE_WEIGHTS = {"Nombre_Tentatives": 0.40, "Nombre_Erreurs": 0.25,
 FALLBACK_FEATURE_WEIGHT = 0.1
 LAYER_WEIGHTS = {"c1": 0.25, "c2": 0.40, "c3": 0.20, "c4": 0.10, "c5": 0.05}
 DEFAULT_MODEL_WEIGHTS = {"if": 0.40, "lof": 0.25, "svm": 0.20, "dbscan": 0.15}
-LEVELS = [(0.7, "CRITIQUE", "\U0001F534"), (0.5, "ANOMALIE", "\U0001F7E0"),
-          (0.3, "SUSPECT", "\U0001F7E1"), (0.0, "NORMAL", "\U0001F7E2")]
+LEVELS = [(0.7, "CRITIQUE", "🔴"), (0.5, "ANOMALIE", "🟠"),
+          (0.3, "SUSPECT", "🟡"), (0.0, "NORMAL", "🟢")]
 BLACKLIST_SCORE = 0.85
 NIGHT_HOURS = (0, 5)
 IFOREST_TREES = 200
@@ -97,8 +97,10 @@ ACL_FIRST_RULE = 50
 TAG_MAX_CHARS = 256
 TAG_KEEP = 10
 
-# live counters: the fixed source list, tail length
-LIVE_SOURCES = ["auth", "syslog", "kernel", "fail2ban", "cron"]
+# live counters: file name -> source, tail length
+LIVE_FILES = {"auth.log": "auth", "syslog.log": "syslog", "kern.log": "kernel", "fail2ban.log": "fail2ban",
+              "cron.log": "cron"}
+LIVE_SOURCES = list(LIVE_FILES.values())
 TAIL_LINES = 500
 
 # corpus text: priority fields, metadata defaults

@@ -198,10 +198,12 @@ def cidr(c) -> Column:
 
 
 def parse_tag_list(c) -> Column:
-    """Stored blocked list: JSON array text, else comma-separated text."""
+    """Stored blocked list: JSON array text, else comma-separated text;
+    blanks around entries and empty entries do not count."""
     c = col(c)
-    return F.coalesce(F.when(F.try_parse_json(c).isNotNull(), F.from_json(c, "array<string>")),
-                      F.split(c, ","))
+    entries = F.coalesce(F.when(F.try_parse_json(c).isNotNull(), F.from_json(c, "array<string>")),
+                         F.split(c, ","))
+    return F.filter(F.transform(entries, lambda x: F.trim(x)), lambda x: x != "")
 
 
 def _json_len(arr: Column) -> Column:
@@ -258,18 +260,20 @@ def rules_open_on(rules: DataFrame, ports: list[int]) -> DataFrame:
                                                 & (F.col("port") <= F.col("to_port"))))
 
 
-def group_scores(rules: DataFrame, groups: DataFrame, key: str = "grp", port: int = C.RULE_PORT) -> DataFrame:
-    """K5: heuristic score per rule group. 'SSH open' is a grouped max over
-    the flat rules (partial aggregation, no per-group lists)."""
+def group_scores(rules: DataFrame, groups: DataFrame, keywords: dict[str, int], key: str = "grp",
+                 port: int = C.RULE_PORT) -> DataFrame:
+    """K5: heuristic score per rule group; ``keywords`` gives the points of
+    each word in a group's texts. 'SSH open' is a grouped max over the flat
+    rules (partial aggregation, no per-group lists)."""
     admits = ((F.col("proto") == "-1") | ((F.col("from_port") <= port) & (F.lit(port) <= F.col("to_port")))) \
         & F.col("cidr").isNotNull()
     ssh = rules.groupBy(key).agg(F.max(admits).alias("ssh_open"))
     g = groups.join(ssh, key, "left").fillna(False, ["ssh_open"])
     text = F.lower(F.concat_ws("", "name", "description", "tag_name"))
     score = (F.when(F.col("name") != "default", 2).otherwise(0) + F.when(F.col("ssh_open"), 10).otherwise(0)
-             + F.when(text.contains("pfe"), 15).otherwise(0) + F.when(text.contains("linux"), 8).otherwise(0)
-             + F.when(text.contains("supervision"), 8).otherwise(0)
              + F.when(F.lower("name").contains("launch-wizard"), 5).otherwise(0))
+    for word, points in keywords.items():
+        score = score + F.when(text.contains(word), points).otherwise(0)
     return g.withColumn("score", score)
 
 

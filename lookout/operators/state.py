@@ -1,16 +1,16 @@
 """Run state between batches (D17-D21): thresholds, remembered addresses,
 training counters and session rows, stored as tables keyed by ``run_id``.
 
-Every table is written with dynamic partition overwrite on ``run_id``: a
-retried or re-run batch replaces its own partition instead of adding a
-second copy. A run reads the state of the latest *earlier* run.
+Every run writes a partition of its own (``run_id``): a retried or re-run
+batch replaces it, even by nothing, instead of adding a second copy. A run reads the state of the latest *earlier* run.
 """
 
 from __future__ import annotations
 
 from dataclasses import dataclass
+from urllib.parse import quote
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from lookout.config import DEFAULT, DEFAULT_THRESHOLDS, Settings
@@ -22,8 +22,17 @@ TABLES = ["thresholds", "blacklist", "training", "performance"]
 
 
 def _write(df: DataFrame, root: str, name: str, run_id: str) -> None:
-    (df.withColumn("run_id", F.lit(run_id)).write.mode("overwrite")
-     .option("partitionOverwriteMode", "dynamic").partitionBy("run_id").parquet(f"{root}/{name}"))
+    """Replace the run's partition, also by an empty table."""
+    df.write.mode("overwrite").parquet(f"{root}/{name}/run_id={quote(run_id, safe='')}")
+
+
+def _order(run_id: Column) -> Column:
+    """Run ids of one scheme in order: counters such as r9, r10, or timestamps of equal length."""
+    return F.struct(F.length(run_id), run_id)
+
+
+def _before(run_id: str) -> Column:
+    return _order(F.col("run_id")) < _order(F.lit(run_id))
 
 
 def _read(spark: SparkSession, root: str, name: str, schema: str) -> DataFrame:
@@ -44,15 +53,15 @@ class Previous:
 
 def load_previous(spark: SparkSession, root: str, run_id: str) -> Previous:
     """State of the latest run before ``run_id`` (None / zeros on the first run)."""
-    thr = _read(spark, root, "thresholds", "feature string, seuil double").where(F.col("run_id") < run_id)
-    last = thr.agg(F.max("run_id").alias("r")).first()["r"]
+    thr = _read(spark, root, "thresholds", "feature string, seuil double").where(_before(run_id))
+    last = thr.agg(F.max_by("run_id", _order(F.col("run_id"))).alias("r")).first()["r"]
     thresholds = None
     if last is not None:  # one row per feature
         thresholds = {**DEFAULT_THRESHOLDS,
                       **{r["feature"]: r["seuil"] for r in thr.where(F.col("run_id") == last).collect()}}
-    bl = _read(spark, root, "blacklist", "ip string").where(F.col("run_id") < run_id).select("ip").distinct()
-    tr = (_read(spark, root, "training", "sessions bigint, total_samples bigint").where(F.col("run_id") < run_id)
-          .orderBy(F.desc("run_id")).limit(1).collect())
+    bl = _read(spark, root, "blacklist", "ip string").where(_before(run_id)).select("ip").distinct()
+    tr = (_read(spark, root, "training", "sessions bigint, total_samples bigint").where(_before(run_id))
+          .orderBy(_order(F.col("run_id")).desc()).limit(1).collect())
     sessions, samples = (tr[0]["sessions"], tr[0]["total_samples"]) if tr else (0, 0)
     return Previous(RunState(thresholds, bl), sessions, samples)
 
@@ -74,8 +83,10 @@ def run_batch(spark: SparkSession, features: DataFrame, attempts: DataFrame, roo
     perf = S.session_performance(scored, bl_before, sil)
     refit = S.updated_thresholds(attempts, [f for f in feats if f in attempts.columns], used)
     merged = prev.state.blacklist.unionByName(S.critical_ips(scored)).distinct()
-    n_new = attempts.count()
-    training = spark.createDataFrame([(prev.sessions + 1, prev.samples + n_new)],
+    # without stored models the batch itself is trained on first; the refit on its attempts counts at every run
+    first = prev.sessions == 0
+    n_new = attempts.count() + (features.count() if first else 0)
+    training = spark.createDataFrame([(prev.sessions + 1 + first, prev.samples + n_new)],
                                      "sessions bigint, total_samples bigint")
     _write(refit, root, "thresholds", run_id)
     _write(merged, root, "blacklist", run_id)

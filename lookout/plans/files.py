@@ -18,8 +18,6 @@ from lookout.session import ensure_checkpoint_dir
 from lookout.sources import files as S
 from lookout.sources import tables as T
 
-WS_OPTS = {"ignoreLeadingWhiteSpace": False, "ignoreTrailingWhiteSpace": False}
-
 
 def scratch(spark, what: str) -> str:
     return f"{ensure_checkpoint_dir(spark).rstrip('/')}/{what}-{uuid.uuid4().hex}"
@@ -66,10 +64,8 @@ def s5_structured_csv(spark, sf):
     from lookout.functions.text import fmt_ts
     from lookout.operators import normalize
     root = scratch(spark, "structured")
-    structured_lines(spark, sf).drop("event_id").write.options(**WS_OPTS).option("header", True).csv(root)
-    back = spark.read.options(**WS_OPTS).option("header", True).schema(
-        "Month string, Date int, Time string, Component string, Content string, EventId string").csv(root)
-    c = normalize.canonical_from_structured(back)
+    structured_lines(spark, sf).drop("event_id").write.options(**S.CSV).csv(root)
+    c = normalize.canonical_from_structured(S.read_structured(spark, root))
     return c.select(fmt_ts("Date").alias("Date"), "Service", "Message", "EventId")
 
 
@@ -81,7 +77,7 @@ def s5_template_scan(spark, sf):
     lines = T.v_lines(spark, sf)
     tpl = lines.select(F.concat(F.lit("E"), (F.col("event_id") % 118 + 1).cast("string")).alias("EventId"),
                        F.regexp_replace("line", "[0-9]+", "<*>").alias("EventTemplate")).distinct()
-    tpl.write.options(**WS_OPTS).option("header", True).csv(root)
+    tpl.write.options(**S.CSV).csv(root)
     return S.read_templates(spark, root)
 
 
@@ -112,7 +108,8 @@ def s8_object_inventory(spark, sf):
 def s9_raw_zone(spark, sf):
     root = scratch(spark, "rawzone")
     lines = T.v_lines(spark, sf).withColumn("ingest_date", F.date_format(F.to_date("ts"), "yyyy-MM-dd"))
-    S.write_raw_zone(lines, root)
+    for _ in range(2):  # a retried run replaces its own lines
+        S.write_raw_zone(lines, root, "r1")
     back = spark.read.parquet(root)
     return back.groupBy(F.col("ingest_date").cast("string").alias("ingest_date"), "source_log").agg(
         F.count(F.lit(1)).cast("bigint").alias("n"))
@@ -124,8 +121,8 @@ UNION ALL SELECT 'latest', '-', n FROM c""", views=("v_lines",))
 def s10_processed_zone(spark, sf):
     root = scratch(spark, "processedzone")
     ev = unified_events(spark, sf).drop("ts", "ip")
-    S.write_processed(ev, root, "r1")
-    S.write_processed(ev, root, "r2")
+    for run_id in ("r1", "r2", "r1"):  # r1 is retried
+        S.write_processed(ev, root, run_id)
     runs = spark.read.parquet(f"{root}/datasets").groupBy("run_id").agg(F.count(F.lit(1)).cast("bigint").alias("n"))
     latest = spark.read.parquet(f"{root}/latest").agg(F.count(F.lit(1)).cast("bigint").alias("n"))
     return (runs.select(F.lit("datasets").alias("sink"), "run_id", "n")
@@ -154,8 +151,8 @@ SELECT 't1' AS run_ts, n FROM c UNION ALL SELECT 't2', n FROM c UNION ALL SELECT
 def s12_versioned_snapshot(spark, sf):
     root = scratch(spark, "snapshots")
     svc = metrics.events_per_service(canonical_wire(spark, sf))
-    S.write_snapshot(svc, root, "events_par_service", "t1")
-    S.write_snapshot(svc, root, "events_par_service", "t2")
+    for run_ts in ("t1", "t2", "t1"):  # t1 is retried
+        S.write_snapshot(svc, root, "events_par_service", run_ts)
     hist = spark.read.parquet(f"{root}/historique/events_par_service").groupBy(
         F.col("run_ts").cast("string").alias("run_ts")).agg(F.count(F.lit(1)).cast("bigint").alias("n"))
     cur = spark.read.parquet(f"{root}/events_par_service").agg(F.count(F.lit(1)).cast("bigint").alias("n"))
@@ -204,7 +201,8 @@ def s15_report_records(spark, sf):
     recs = json_alarms.select(F.concat(F.lit("rapports/alarme_"), R.safe_key("ip"), F.lit(".json")).alias("report_key"),
                               F.to_json(F.struct("event_id", "ip")).alias("record"))
     root = scratch(spark, "reports")
-    S.write_reports(recs, "report_key", root)
+    for half in (0, 1, 0):  # two runs with reports of their own, the first one retried
+        S.write_reports(recs.where(F.crc32("report_key") % 2 == half), "report_key", root)
     back = spark.read.schema("record string, report_key string").json(root)
     return back.select("report_key", "record")
 

@@ -32,13 +32,22 @@ COUNTERS_SQL = """CAST(count(CASE WHEN src = 'auth' AND line LIKE '%Failed passw
   CAST(count(CASE WHEN src = 'kernel' AND lower(line) LIKE '%error%' THEN 1 END) AS BIGINT) AS erreurs_kernel,
   CAST(count(CASE WHEN src = 'kernel' AND lower(line) LIKE '%panic%' THEN 1 END) AS BIGINT) AS panics_kernel"""
 
+
+def live_lines(spark, sf):
+    """The binding's lines under the names of the live files; ban notices have a file of their own."""
+    s = F.col("source_log")
+    name = F.when((s == "auth.log") & F.col("line").startswith("fail2ban"), "fail2ban.log") \
+        .when(s == "syslog", "syslog.log").otherwise(s)
+    return T.v_lines(spark, sf).withColumn("source_log", name)
+
+
 L1 = ["tentatives_ssh", "connexions_ok", "sudo_cmds", "invalid_user", "tentatives_root"]
 L2 = ["erreurs_sys", "warnings_sys", "oom_killer"]
 L3 = ["erreurs_kernel", "panics_kernel"]
 
 
 def _counters(spark, sf):
-    return L.counters(L.tails(T.v_lines(spark, sf)))
+    return L.counters(L.tails(live_lines(spark, sf)))
 
 
 def _pick(cols):
@@ -58,13 +67,13 @@ FROM = r"from (\d+\.\d+\.\d+\.\d+)"
 @register("l4_banned_ips", f"""WITH {TAILS_SQL}
 SELECT DISTINCT unnest(regexp_extract_all(line, '{BAN}', 1)) AS ip FROM t WHERE src = 'fail2ban'""", views=("v_lines",))
 def l4_banned_ips(spark, sf):
-    return L.banned_ips(L.tails(T.v_lines(spark, sf)))
+    return L.banned_ips(L.tails(live_lines(spark, sf)))
 
 
 @register("l5_distinct_ips", f"""WITH {TAILS_SQL}, f AS (SELECT unnest(regexp_extract_all(line, '{FROM}', 1)) AS ip FROM t
   WHERE src = 'auth') SELECT CAST(count(DISTINCT ip) AS BIGINT) AS nb_ips_uniques FROM f""", views=("v_lines",))
 def l5_distinct_ips(spark, sf):
-    return L.from_ips(L.tails(T.v_lines(spark, sf))).agg(F.count_distinct("ip").cast("bigint").alias("nb_ips_uniques"))
+    return L.from_ips(L.tails(live_lines(spark, sf))).agg(F.count_distinct("ip").cast("bigint").alias("nb_ips_uniques"))
 
 
 FIXED_SQL = "fx AS (SELECT * FROM (VALUES " + ", ".join(f"('{s}')" for s in LIVE_SOURCES) + ") v(src))"
@@ -73,7 +82,7 @@ FIXED_SQL = "fx AS (SELECT * FROM (VALUES " + ", ".join(f"('{s}')" for s in LIVE
 @register("l6_lines_per_source", f"""WITH {TAILS_SQL}, {FIXED_SQL}, g AS (SELECT src, count(*) AS n FROM t GROUP BY src)
 SELECT fx.src, CAST(coalesce(g.n, 0) AS BIGINT) AS n FROM fx LEFT JOIN g USING (src)""", views=("v_lines",))
 def l6_lines_per_source(spark, sf):
-    return L.lines_per_source(L.tails(T.v_lines(spark, sf)))
+    return L.lines_per_source(L.tails(live_lines(spark, sf)))
 
 
 @register("l7_kpi_record", f"""WITH {TAILS_SQL}, {FIXED_SQL},
@@ -94,7 +103,7 @@ SELECT c.*, coalesce((SELECT string_agg(ip || ':' || CAST(n AS VARCHAR), ',' ORD
   coalesce((SELECT string_agg(l, chr(10) ORDER BY sr, event_id) FROM l10), '') AS derniers_events
 FROM c""", views=("v_lines",))
 def l7_kpi_record(spark, sf):
-    return L.kpi_record(T.v_lines(spark, sf))
+    return L.kpi_record(live_lines(spark, sf))
 
 
 L8_SQL = """SELECT strftime(TIMESTAMP '1970-01-01 00:00:00' + to_seconds(CAST(floor(epoch(ts) / 14400) * 14400 AS BIGINT)),
@@ -109,16 +118,15 @@ def l8_four_hour_windows(spark, sf):
 
 @register("l8_stream_available_now", L8_SQL, views=("v_lines",))
 def l8_stream_available_now(spark, sf):
-    """The same counts from a file-source stream run with AvailableNow."""
+    """The same counts from a file-source stream in two AvailableNow runs; the newer file arrives first."""
     root = f"{ensure_checkpoint_dir(spark).rstrip('/')}/live-{uuid.uuid4().hex}"
     lines = T.v_lines(spark, sf).select("ts", "source_log", "line")
-    lines.where(F.col("ts") < F.lit("2024-01-16").cast("timestamp_ntz")).write.parquet(f"{root}/in/part1")
-    lines.where(F.col("ts") >= F.lit("2024-01-16").cast("timestamp_ntz")).write.parquet(f"{root}/in/part2")
-    q = L.start_window_counts(spark, f"{root}/in/*", "ts timestamp_ntz, source_log string, line string",
-                              f"{root}/out", f"{root}/checkpoint")
-    q.awaitTermination()
-    return spark.read.schema("n bigint, window_start string, source_log string").parquet(f"{root}/out") \
-        .select("window_start", "source_log", "n")
+    newer = F.col("ts") >= F.lit("2024-01-16").cast("timestamp_ntz")
+    for part, rows in (("part2", newer), ("part1", ~newer)):
+        lines.where(rows).write.parquet(f"{root}/in/{part}")
+        L.start_window_counts(spark, f"{root}/in/*", "ts timestamp_ntz, source_log string, line string",
+                              f"{root}/out", f"{root}/checkpoint").awaitTermination()
+    return L.read_window_counts(spark, f"{root}/out").withColumn("window_start", fmt_ts("window_start"))
 
 
 @register("l9_recent_window", """WITH m AS (SELECT max(ts) AS mx FROM v_base),
@@ -143,7 +151,7 @@ SELECT {COUNTERS_SQL}, """ + ", ".join(f"CAST(count(CASE WHEN src = '{s}' THEN 1
 def l7_stream_counters(spark, sf):
     """Counters from a file-source stream (AvailableNow): each line once."""
     root = f"{ensure_checkpoint_dir(spark).rstrip('/')}/kpi-{uuid.uuid4().hex}"
-    lines = T.v_lines(spark, sf).select("ts", "source_log", "line")
+    lines = live_lines(spark, sf).select("ts", "source_log", "line")
     lines.where(F.col("ts") < F.lit("2024-01-16").cast("timestamp_ntz")).write.parquet(f"{root}/in/part1")
     lines.where(F.col("ts") >= F.lit("2024-01-16").cast("timestamp_ntz")).write.parquet(f"{root}/in/part2")
     q = L.start_counters_stream(spark, f"{root}/in/*", "ts timestamp_ntz, source_log string, line string",
@@ -157,7 +165,7 @@ SELECT DISTINCT unnest(regexp_extract_all(line, '{BAN}', 1)) AS ip FROM t WHERE
 def l4_stream_banned_ips(spark, sf):
     """Distinct banned addresses from a file-source stream (two input files)."""
     root = f"{ensure_checkpoint_dir(spark).rstrip('/')}/bans-{uuid.uuid4().hex}"
-    lines = T.v_lines(spark, sf).select("ts", "source_log", "line")
+    lines = live_lines(spark, sf).select("ts", "source_log", "line")
     lines.where(F.col("ts") < F.lit("2024-01-16").cast("timestamp_ntz")).write.parquet(f"{root}/in/part1")
     lines.where(F.col("ts") >= F.lit("2024-01-16").cast("timestamp_ntz")).write.parquet(f"{root}/in/part2")
     q = L.start_banned_stream(spark, f"{root}/in/*", "ts timestamp_ntz, source_log string, line string",

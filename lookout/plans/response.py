@@ -309,7 +309,7 @@ def group_table(spark, sf):
     r = T.v_rules(spark, sf)
     gid, meta = _group_meta_cols()
     groups = r.select("grp").distinct().withColumn("gid", gid).withColumns(meta)
-    return R.group_scores(r, groups)
+    return R.group_scores(r, groups, {"pfe": 15, "linux": 8, "supervision": 8})
 
 
 @register("k5_group_scores", f"WITH {GROUPS_SQL} SELECT grp, ssh_open, CAST(score AS INT) AS score FROM sc",

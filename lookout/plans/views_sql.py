@@ -50,7 +50,7 @@ FROM v_base"""),
     "v_ip": (["v_base"], """
 SELECT ip, CAST(count(*) AS BIGINT) AS attempts,
  CAST(count(CASE WHEN event_type = 'error' THEN 1 END) AS BIGINT) AS errors, min(ts) AS first_ts
-FROM v_base WHERE event_id % 20 <> 0 GROUP BY ip"""),
+FROM v_base GROUP BY ip"""),
     "v_votes": (["v_ip"], """
 SELECT ip, attempts, CASE WHEN attempts > 250 THEN 1 ELSE 0 END AS v_if,
  CASE WHEN attempts > 180 THEN 1 ELSE 0 END AS v_lof, CASE WHEN attempts > 100 OR attempts = 1 THEN 1 ELSE 0 END AS v_svm,

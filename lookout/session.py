@@ -6,9 +6,9 @@ settings that are unset, so cluster configuration always wins.
 
 from __future__ import annotations
 
-import os
 import tempfile
 
+from pyspark import SparkConf
 from pyspark.sql import SparkSession
 
 _LOCAL_DEFAULTS = {
@@ -29,11 +29,13 @@ def get_spark(master: str | None = None, shuffle_partitions: int | None = None,
     active = SparkSession.getActiveSession()
     if active is not None:
         return active
+    set_already = SparkConf()  # what the platform passed on: submit options and defaults file
     builder = SparkSession.builder.appName(app)
-    if master or not os.environ.get("SPARK_MASTER"):
-        builder = builder.master(master or "local[8]")
+    if master:
+        builder = builder.master(master)
     for k, v in _LOCAL_DEFAULTS.items():
-        builder = builder.config(k, v)
+        if not set_already.contains(k):
+            builder = builder.config(k, v)
     if shuffle_partitions:
         builder = builder.config("spark.sql.shuffle.partitions", str(shuffle_partitions))
     spark = builder.getOrCreate()

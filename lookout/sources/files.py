@@ -20,6 +20,10 @@ from pyspark.sql import functions as F
 from lookout.functions.text import strip
 
 
+#: header line, a quote inside a quoted field doubled, blanks kept as they are: for reading and writing
+CSV = {"header": True, "escape": '"', "ignoreLeadingWhiteSpace": False, "ignoreTrailingWhiteSpace": False}
+
+
 def file_path() -> Column:
     return F.col("_metadata.file_path")
 
@@ -44,17 +48,19 @@ def file_headers(spark: SparkSession, paths: list[str] | str) -> DataFrame:
     return lines.groupBy("file").agg(F.min_by("value", "_i").alias("header"))
 
 
-def scan_csv_by_header(spark: SparkSession, paths: list[str] | str, provenance: bool = True) -> DataFrame:
+def scan_csv_by_header(spark: SparkSession, paths: list[str] | str, provenance: bool = True,
+                       multi_line: bool = False) -> DataFrame:
     """S1 + S2 + S3: read every CSV file under its own header, tag each row
-    with ``Serveur = 'server_' + dataset name`` and union by name."""
+    with ``Serveur = 'server_' + dataset name`` and union by name. Quotes in
+    quoted fields are doubled, as pandas writes them; ``multi_line`` also
+    reads fields with line breaks, at the price of one split per file."""
     heads = file_headers(spark, paths).collect()  # one row per file
     groups: dict[str, list[str]] = {}
     for r in heads:
         groups.setdefault(r["header"], []).append(r["file"])
     frames = []
     for files in groups.values():
-        df = (spark.read.option("header", True).option("mode", "PERMISSIVE")
-              .option("ignoreCorruptFiles", True).csv(sorted(files)))
+        df = spark.read.options(**CSV).option("mode", "PERMISSIVE").option("multiLine", multi_line).csv(sorted(files))
         if provenance:
             df = df.withColumn("Serveur", F.concat(F.lit("server_"), dataset_name(file_path())))
         frames.append(df)
@@ -79,13 +85,12 @@ def read_lines(spark: SparkSession, path: str, source_of: Column | None = None)
 def read_structured(spark: SparkSession, path: str) -> DataFrame:
     """Structured Linux-log CSV with an explicit schema."""
     schema = "Month string, Date int, Time string, Component string, Content string, EventId string"
-    return spark.read.option("header", True).schema(schema).csv(path)
+    return spark.read.options(**CSV).schema(schema).csv(path)
 
 
 def read_templates(spark: SparkSession, path: str) -> DataFrame:
     """Event templates (EventId, EventTemplate); whitespace is kept as written."""
-    return (spark.read.option("header", True).option("ignoreLeadingWhiteSpace", False)
-            .option("ignoreTrailingWhiteSpace", False).schema("EventId string, EventTemplate string").csv(path))
+    return spark.read.options(**CSV).schema("EventId string, EventTemplate string").csv(path)
 
 
 def corpus_files(spark: SparkSession, path: str) -> DataFrame:
@@ -99,36 +104,39 @@ def corpus_files(spark: SparkSession, path: str) -> DataFrame:
 
 # ------------------------------------------------------------------ sinks
 
-def write_raw_zone(lines: DataFrame, path: str) -> None:
-    """Raw lines partitioned by ingest date and source (empty sources
+def _own_partitions(df: DataFrame, *cols: str):
+    """A writer that replaces the partitions the frame holds and leaves all others: a retried run never doubles."""
+    return df.write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy(*cols)
+
+
+def write_raw_zone(lines: DataFrame, path: str, run_id: str) -> None:
+    """Raw lines partitioned by ingest date, source and run (empty sources
     produce no partition)."""
-    lines.select("ingest_date", "source_log", "line").write.mode("append") \
-        .partitionBy("ingest_date", "source_log").parquet(path)
+    _own_partitions(lines.select("ingest_date", "source_log", "line").withColumn("run_id", F.lit(run_id)),
+                    "ingest_date", "source_log", "run_id").parquet(path)
 
 
 def write_processed(events: DataFrame, path: str, run_id: str) -> None:
-    """The run's dataset (append by run id) and ``latest`` (overwrite)."""
-    events.withColumn("run_id", F.lit(run_id)).write.mode("append").partitionBy("run_id") \
-        .parquet(f"{path}/datasets")
+    """The run's dataset (one partition a run) and ``latest`` (overwrite)."""
+    _own_partitions(events.withColumn("run_id", F.lit(run_id)), "run_id").parquet(f"{path}/datasets")
     events.write.mode("overwrite").parquet(f"{path}/latest")
 
 
 def write_results(frames: dict[str, DataFrame], path: str) -> None:
     """Result tables as CSV with header (one folder per table)."""
     for name, df in frames.items():
-        df.write.mode("overwrite").option("header", True).csv(f"{path}/{name}")
+        df.write.mode("overwrite").options(**CSV).csv(f"{path}/{name}")
 
 
 def write_snapshot(df: DataFrame, path: str, name: str, run_ts: str) -> None:
-    """Current copy (overwrite) + history partition (append)."""
+    """Current copy (overwrite) + history (one partition a run)."""
     df.write.mode("overwrite").parquet(f"{path}/{name}")
-    df.withColumn("run_ts", F.lit(run_ts)).write.mode("append").partitionBy("run_ts") \
-        .parquet(f"{path}/historique/{name}")
+    _own_partitions(df.withColumn("run_ts", F.lit(run_ts)), "run_ts").parquet(f"{path}/historique/{name}")
 
 
 def write_reports(df: DataFrame, key_col: str, path: str) -> None:
-    """JSON records, one folder per report key."""
-    df.write.mode("overwrite").partitionBy(key_col).json(path)
+    """JSON records, one folder per report key; reports of other keys stay."""
+    _own_partitions(df, key_col).json(path)
 
 
 # ------------------------------------------------------------------ S13, S14, J5

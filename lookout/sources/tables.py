@@ -8,8 +8,6 @@ payloads, rule groups). They are narrow projections over ``events`` /
 
 from __future__ import annotations
 
-import os
-
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -19,21 +17,7 @@ TABLES = ["region", "nation", "customer", "supplier", "part", "orders", "lineite
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
-    return spread(spark.read.parquet(f"{sf_dir.rstrip('/')}/{name}.parquet"))
-
-
-def spread(df: DataFrame) -> DataFrame:
-    """Local sessions only: round-robin a scan that yields fewer splits than
-    the cores (the single-row-group test files), so per-row parsing uses all
-    cores. On a cluster nothing is added: large scans have far more splits
-    than cores, and small tables must not be blown up into thousands of
-    tiny partitions."""
-    sc = df.sparkSession.sparkContext
-    if os.environ.get("LOOKOUT_NO_SPREAD") or not sc.master.startswith("local"):
-        return df
-    if df.rdd.getNumPartitions() < sc.defaultParallelism:
-        return df.repartition(sc.defaultParallelism)
-    return df
+    return spark.read.parquet(f"{sf_dir.rstrip('/')}/{name}.parquet")
 
 
 def v_base(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -98,8 +82,7 @@ def v_wire(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def v_ip(spark: SparkSession, sf_dir: str) -> DataFrame:
-    b = v_base(spark, sf_dir).where(F.col("event_id") % 20 != 0)
-    return b.groupBy("ip").agg(
+    return v_base(spark, sf_dir).groupBy("ip").agg(
         F.count(F.lit(1)).cast("bigint").alias("attempts"),
         F.count(F.when(F.col("event_type") == "error", 1)).cast("bigint").alias("errors"),
         F.min("ts").alias("first_ts"))

@@ -4,12 +4,11 @@ Batch twin: counters over the last 500 lines of every log file (a rank
 limit per file, applied before the shuffle), one KPI record per poll.
 
 Stream: a file-source stream counts every line once per event-time window
-(4-hour tumbling windows with a watermark). ``AvailableNow`` processes what
-has arrived and stops, like the 4-hourly collection cycle; state and
-progress live in the checkpoint folder, so a restarted or retried run
-resumes without double counting. Results are upserted per (window, source)
-partition in ``foreachBatch`` (dynamic partition overwrite), which makes a
-replayed micro-batch idempotent.
+(4-hour tumbling windows). ``AvailableNow`` processes what has arrived and
+stops, like the 4-hourly collection cycle; progress lives in the checkpoint
+folder, so a restarted or retried run resumes without double counting. Each
+micro-batch overwrites its own partition of partial counts, so a replay is
+idempotent, and readers sum the partitions, so late files lose no line.
 """
 
 from __future__ import annotations
@@ -17,7 +16,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from lookout.config import LIVE_SOURCES, TAIL_LINES
+from lookout.config import LIVE_FILES, LIVE_SOURCES, TAIL_LINES
 from lookout.functions.text import col
 from lookout.operators.windows import recent_lines, tail
 
@@ -25,12 +24,12 @@ IPV4_AFTER_FROM = r"from (\d+\.\d+\.\d+\.\d+)"
 IPV4_AFTER_BAN = r"Ban (\d+\.\d+\.\d+\.\d+)"
 
 
-def live_source(source_log, line) -> Column:
-    """Which live file a line belongs to (auth / syslog / kernel / fail2ban / cron)."""
-    s, l = col(source_log), col(line)
-    return (F.when((s == "auth.log") & l.startswith("fail2ban"), "fail2ban")
-            .when(s == "auth.log", "auth").when(s == "syslog", "syslog")
-            .when(s == "kern.log", "kernel").when(s == "cron.log", "cron"))
+def live_source(source_log) -> Column:
+    """Which live file a line belongs to, by file name; null for any other file."""
+    s, out = col(source_log), F.lit(None).cast("string")
+    for name, src in LIVE_FILES.items():
+        out = F.when(s == name, src).otherwise(out)
+    return out
 
 
 def _cnt(cond: Column, name: str) -> Column:
@@ -57,7 +56,7 @@ def counter_columns(src: Column, line: Column) -> list[Column]:
 
 def tails(lines: DataFrame, line_no: str = "event_id", n: int = TAIL_LINES) -> DataFrame:
     """W1 over the live files: last ``n`` lines of each."""
-    keyed = lines.withColumn("src", live_source("source_log", "line")).where(F.col("src").isNotNull())
+    keyed = lines.withColumn("src", live_source("source_log")).where(F.col("src").isNotNull())
     return tail(keyed, "src", line_no, n)
 
 
@@ -140,28 +139,29 @@ def recent_window(df: DataFrame, ts_col: str, hours: int = 24, as_of: Column | N
 
 def start_window_counts(spark, source_path: str, schema: str, sink_path: str, checkpoint: str,
                         ts_col: str = "ts", keys: list[str] | None = None, width: str = "4 hours",
-                        watermark: str = "1 hour", available_now: bool = True):
-    """L8 stream: file-source stream -> watermarked tumbling counts ->
-    per-(window, key) partition upsert. Returns the StreamingQuery."""
-    keys = keys or ["source_log"]
-    # the watermark needs TIMESTAMP, not NTZ: window starts are then rendered in
-    # the session time zone (UTC in the checks)
-    stream = (spark.readStream.schema(schema).parquet(source_path)
-              .withColumn("_ets", F.col(ts_col).cast("timestamp")))
-    counts = (stream.withWatermark("_ets", watermark)
-              .groupBy(F.window("_ets", width).alias("w"), *keys)
-              .agg(F.count(F.lit(1)).cast("bigint").alias("n"))
-              .select(F.date_format("w.start", "yyyy-MM-dd HH:mm:ss").alias("window_start"), *keys, "n"))
-
-    def upsert(batch: DataFrame, batch_id: int) -> None:
-        (batch.write.mode("overwrite").option("partitionOverwriteMode", "dynamic")
-         .partitionBy("window_start", *keys).parquet(sink_path))
-
-    w = counts.writeStream.outputMode("update").option("checkpointLocation", checkpoint).foreachBatch(upsert)
+                        available_now: bool = True):
+    """L8 stream: every micro-batch's tumbling counts go to a partition of
+    their own; ``read_window_counts`` sums them. A line counts in its window
+    however late its file arrives, and no state is held between batches.
+    Returns the StreamingQuery."""
+    stream = spark.readStream.schema(schema).parquet(source_path)
+
+    def store(batch: DataFrame, batch_id: int) -> None:
+        counts = four_hour_counts(batch, ts_col, keys, width).withColumn("batch_id", F.lit(batch_id).cast("bigint"))
+        counts.write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy("batch_id") \
+            .parquet(sink_path)
+
+    w = stream.writeStream.option("checkpointLocation", checkpoint).foreachBatch(store)
     w = w.trigger(availableNow=True) if available_now else w.trigger(processingTime="1 minute")
     return w.start()
 
 
+def read_window_counts(spark, sink_path: str, keys: list[str] | None = None) -> DataFrame:
+    """Totals by window and key over all micro-batches stored so far."""
+    return spark.read.parquet(sink_path).groupBy("window_start", *(keys or ["source_log"])) \
+        .agg(F.sum("n").cast("bigint").alias("n"))
+
+
 def start_counters_stream(spark, source_path: str, schema: str, sink_path: str, checkpoint: str,
                           available_now: bool = True):
     """L1-L3 + L6 as a stream: every line counted once (running totals).
@@ -170,7 +170,7 @@ def start_counters_stream(spark, source_path: str, schema: str, sink_path: str,
     row each micro-batch and ``foreachBatch`` overwrites the KPI table, so a
     replayed batch leaves the same result."""
     stream = spark.readStream.schema(schema).parquet(source_path)
-    src = live_source("source_log", "line")
+    src = live_source("source_log")
     keyed = stream.select(src.alias("src"), "line").where(F.col("src").isNotNull())
     per_source = [F.count_if(F.col("src") == s).cast("bigint").alias(f"lus_{s}") for s in LIVE_SOURCES]
     kpi = keyed.agg(*counter_columns(F.col("src"), F.col("line")), *per_source)
@@ -188,7 +188,7 @@ def start_banned_stream(spark, source_path: str, schema: str, sink_path: str, ch
     """L4 as a stream: each banned address is emitted once (``dropDuplicates``
     keeps one state row per distinct address) and appended to the sink."""
     stream = spark.readStream.schema(schema).parquet(source_path)
-    bans = (stream.where(live_source("source_log", "line") == "fail2ban")
+    bans = (stream.where(live_source("source_log") == "fail2ban")
             .select(F.explode(F.regexp_extract_all("line", F.lit(IPV4_AFTER_BAN), F.lit(1))).alias("ip"))
             .dropDuplicates(["ip"]))
     w = bans.writeStream.outputMode("append").format("parquet").option("path", sink_path) \

@@ -5,6 +5,7 @@ import os
 import tempfile
 
 import numpy as np
+import pandas as pd
 import pytest
 from pyspark.sql import functions as F
 
@@ -171,6 +172,11 @@ def test_blocked_add_is_idempotent(spark):
     assert got == ["10.0.0.1/32", "10.0.0.2/32"]
 
 
+def test_stored_list_text_is_trimmed(spark):
+    df = spark.createDataFrame([("a, b,",), ('["a", " b "]',), ("",)], "t string")
+    assert [r.l for r in df.select(response.parse_tag_list("t").alias("l")).collect()] == [["a", "b"], ["a", "b"], []]
+
+
 def test_blocked_add_keeps_newest_ten_past_256_chars(spark):
     adds = [f"10.0.0.{i}/32" for i in range(30)]
     df = spark.createDataFrame([([], adds)], "ips array<string>, a array<string>")
@@ -205,6 +211,38 @@ def test_header_trap_keeps_values_under_their_names(spark):
     assert rows["server_b"].Date == "2024-01-02 00:00:00"
 
 
+def test_csv_of_pandas_keeps_quotes_and_commas(spark):
+    root = tempfile.mkdtemp(dir="/tmp")
+    rows = [('10.0.0.1 - "GET /a, b HTTP/1.1" 200 "-" "x"', "apache2_access.log"), ("  plain  ", "syslog")]
+    pd.DataFrame(rows, columns=["detail", "source_log"]).to_csv(os.path.join(root, "dataset_a.csv"), index=False)
+    got = files.scan_csv_by_header(spark, f"{root}/dataset_*.csv").collect()
+    assert sorted((r.detail, r.source_log) for r in got) == sorted(rows)
+
+
+def test_sinks_replace_a_retried_run_and_keep_others(spark):
+    root = tempfile.mkdtemp(dir="/tmp")
+    df = spark.createDataFrame([("k1", "a"), ("k2", "b")], "k string, record string")
+    for run_id in ("r1", "r2", "r1"):
+        files.write_processed(df, f"{root}/p", run_id)
+        files.write_reports(df.where(F.col("k") == ("k1" if run_id == "r1" else "k2")), "k", f"{root}/r")
+    runs = spark.read.parquet(f"{root}/p/datasets").groupBy("run_id").count().collect()
+    assert {r["run_id"]: r["count"] for r in runs} == {"r1": 2, "r2": 2}
+    assert {r.k for r in spark.read.json(f"{root}/r").collect()} == {"k1", "k2"}
+
+
+def test_run_state_orders_counters_and_forgets_stale_rows(spark):
+    from lookout.operators import state
+    root = tempfile.mkdtemp(dir="/tmp")
+    for run_id, seuil in [("r1", 1.0), ("r9", 9.0)]:
+        state._write(spark.createDataFrame([("f", seuil)], "feature string, seuil double"), root, "thresholds", run_id)
+        state._write(spark.createDataFrame([(run_id,)], "ip string"), root, "blacklist", run_id)
+        state._write(spark.createDataFrame([(1, 1)], "sessions long, total_samples long"), root, "training", run_id)
+    state._write(spark.createDataFrame([], "ip string"), root, "blacklist", "r1")  # re-run without an address
+    prev = state.load_previous(spark, root, "r10")
+    assert prev.state.thresholds["f"] == 9.0
+    assert [r.ip for r in prev.state.blacklist.collect()] == ["r9"]
+
+
 def test_missing_log_source_is_empty(spark):
     df = files.read_lines(spark, "/tmp/definitely-missing-lookout-folder")
     assert df.count() == 0 and df.columns == ["source_log", "line"]
@@ -250,7 +288,7 @@ def test_run_state_rerun_replaces(spark):
     for run_id in ["r1", "r2", "r2"]:
         state.run_batch(spark, feats, feats, root, run_id)
     tr = {r.run_id: (r.sessions, r.total_samples) for r in spark.read.parquet(f"{root}/training").collect()}
-    assert tr == {"r1": (1, 61), "r2": (2, 122)}
+    assert tr == {"r1": (2, 122), "r2": (3, 183)}  # the first run trains before it scores, and refits after
     thr = {r.run_id: r.seuil for r in spark.read.parquet(f"{root}/thresholds").collect()}
     x = np.array([v for _, v, _ in rows], dtype=float)
     step = lambda old: round(0.7 * old + 0.3 * (x.mean() + 2 * x.std(ddof=1)), 2)
