@@ -130,7 +130,9 @@ def fit(docs: DataFrame, train: Column, text: str = "text", lang: str = "lang",
     for r in sizes:
         share = F.when(F.col(lang) == r["_l"], F.lit(min(1.0, params.train_rows / r["count"]))).otherwise(share)
     draw = F.pmod(F.xxhash64(text), F.lit(1_000_000)) / F.lit(1e6)
-    sample = written(rows.where(draw < share).select(F.col(text).alias("text"), F.col(lang).alias("lang")), "langid")
+    # copies of a text are drawn together and count once, so a very common text does not break the bound
+    drawn = rows.where(draw < share).select(F.col(text).alias("text"), F.col(lang).alias("lang")).dropDuplicates()
+    sample = written(drawn, "langid")
 
     counted = sample.select("text").mapInArrow(lambda it: _alphabet_rows(it, bits), "point long, n long")
     top = counted.groupBy("point").agg(F.sum("n").alias("n")).orderBy(F.desc("n"), "point").limit(params.alphabet)
