@@ -30,6 +30,17 @@ HARMLESS = r"(?:example|sample|test|dummy|fake|placeholder|sha1|sha256|md5|check
 PLACEHOLDER = r"(?i)x{4,}|\*{3,}|\.{3,}|(.)\1{5,}|example|changeme|your|placeholder|dummy|12345678|abcdef"
 BLOB = r"[0-9A-Za-z+/_=-]{12,}"
 
+# a word is cut into known formats, assigned values with their names, runs between marks, and marks
+MARK = "\"'`,&;{}<>"
+KNOWN = rf"(?<![0-9A-Za-z])(?:{'|'.join(FORMATS.values())})(?![0-9A-Za-z])"
+NAMED = rf"(?i:{NAMES})[\\\"'`]*+[=:]++[\[(\\]*+[\"'`]?+"
+STARTS = rf"{NAMED}[^{MARK}]"
+QUOTED = "|".join(rf"(?<={q})(?![^{q}]*?{KNOWN})[^{q}]++(?={q})" for q in "\"'`")
+PARTS = (rf"(?s){KNOWN}|{NAMED}(?!{STARTS})(?:{QUOTED}|(?:(?!{KNOWN}|(?<![0-9A-Za-z]){STARTS})[^{MARK}])++)"
+         rf"|(?:(?!{KNOWN}|{STARTS})[^{MARK}])++|.")
+LEAD = "token="
+NEAR = 1000     # characters of the neighbouring words that are context of a candidate
+
 
 @dataclass(frozen=True)
 class SecretParams:
@@ -44,31 +55,40 @@ class SecretParams:
 
 
 def candidates(docs: DataFrame, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
-    """Every candidate: ``doc_id``, ``text_hash``, ``at`` (word, from 0), ``value``, ``kind``, ``before``, ``after``, ``word``.
+    """Every candidate: ``doc_id``, ``text_hash``, ``at`` (word, from 0), ``part``, ``value``, ``kind``, ``before``, ``after``, ``word``.
 
+    A word may hold many: ``part`` numbers the parts it is cut into, and ``word``
+    is the candidate with the parts beside it. A value ends at a quote, comma,
+    semicolon, ampersand, brace or angle bracket, a quoted one at its closing quote.
     ``kind`` is a format's name, ``assigned`` or ``blob``. Texts without a
     digit, a known format and a telling name hold no candidate; null texts hold none.
     """
     t = F.col(text)
     rows = docs.select(F.col(doc_id).alias("doc_id"), F.xxhash64(t).alias("text_hash"), t.alias("text")) \
-        .where(F.col("text").rlike(rf"[0-9]|(?i:{NAMES}[\"']?\s*[=:])|" + "|".join(FORMATS.values()))).withColumn("w", words(F.col("text"))).drop("text")
-    shaped = F.filter(F.transform("w", lambda x, i: F.struct(i.alias("at"), x.alias("word"))),
-                      lambda s: s["word"].rlike(rf"(?i){NAMES}[\"']?[=:].|{BLOB}") & (F.octet_length(s["word"]) >= 8)
-                      | (s["at"] > 0) & (F.octet_length(s["word"]) >= 6) & F.get("w", s["at"] - 1).rlike(rf"(?i)(?:^|\W){NAMES}[\"']?[=:]$|^[=:]$"))
+        .where(F.col("text").rlike(rf"[0-9]|(?i:{NAMES}[\\\"'`]*\s*[=:])|" + "|".join(FORMATS.values()))).withColumn("w", words(F.col("text"))).drop("text")
+    shaped = F.filter(F.transform("w", lambda x, i: F.struct(i.alias("at"), x.alias("whole"))),
+                      lambda s: s["whole"].rlike(rf"(?i){NAMES}[\\\"'`]*[=:].|{BLOB}") & (F.octet_length(s["whole"]) >= 8)
+                      | (s["at"] > 0) & (F.octet_length(s["whole"]) >= 6) & F.get("w", s["at"] - 1).rlike(rf"(?i)(?:^|\W){NAMES}[\"']?[=:]$|^[=:]$"))
     found = rows.withColumn("s", F.explode(shaped)).select(
-        "doc_id", "text_hash", "s.*", F.array_join(F.slice("w", F.greatest(F.col("s.at") - 2, F.lit(1)), F.least(F.col("s.at"), F.lit(3))), " ")
-        .alias("before"), F.coalesce(F.get("w", F.col("s.at") + 1), F.lit("")).alias("after"))
-    own_name = F.regexp_extract("word", rf"(?i)({NAMES})[\"']?[=:]", 1)
-    bare = F.regexp_replace("word", rf"(?i)^.*?{NAMES}[\"']?[=:]+", "")
-    value = F.regexp_replace(bare, r"^[^0-9A-Za-z+/_=$-]+|[^0-9A-Za-z+/_=$-]+$", "")
-    found = found.withColumn("value", F.when(own_name != "", value).otherwise(
-        F.regexp_replace("word", r"^[^0-9A-Za-z+/_$-]+|[^0-9A-Za-z+/_=$-]+$", "")))
-    assigned = (own_name != "") | F.col("before").rlike(rf"(?i){NAMES}[\"']?\s*[=:]+[\"']?$")
-    kind, exact = F.when(assigned, F.lit("assigned")).otherwise(F.lit("blob")), F.col("value")
-    for name, shape in FORMATS.items():  # a known format is the value wherever in the word it stands
-        hit = F.regexp_extract("word", rf"(?<![0-9A-Za-z]){shape}(?![0-9A-Za-z])", 0)
-        kind, exact = F.when(hit != "", F.lit(name)).otherwise(kind), F.when(hit != "", hit).otherwise(exact)
-    found = found.withColumn("kind", kind).withColumn("value", exact)
+        "doc_id", "text_hash", "s.*",
+        F.right(F.array_join(F.slice("w", F.greatest(F.col("s.at") - 2, F.lit(1)), F.least(F.col("s.at"), F.lit(3))), " "), F.lit(NEAR)).alias("before"),
+        F.left(F.coalesce(F.get("w", F.col("s.at") + 1), F.lit("")), F.lit(NEAR)).alias("after"))
+    # a name that ends in the word before stands in front of the word while it is cut into parts
+    led = F.col("before").rlike(rf"(?i){NAMES}[\"']?\s*[=:]+[\"']?$")
+    found = found.withColumn("led", led).withColumn("parts", F.regexp_extract_all(
+        F.concat(F.when(led, F.lit(LEAD)).otherwise(F.lit("")), "whole"), F.lit(PARTS), F.lit(0)))
+    near = lambda i: F.array_join(F.slice("parts", F.greatest(i - 3, F.lit(1)), F.least(i, F.lit(4)) + 3), "")
+    long = F.filter(F.transform("parts", lambda x, i: F.struct(i.alias("part"), x.alias("own"))), lambda x: F.octet_length(x["own"]) >= 6)
+    found = found.withColumn("p", F.explode(F.transform(long, lambda x: F.struct(
+        x["part"], x["own"], F.when(F.col("led") & (x["part"] < 5), F.substring(near(x["part"]), len(LEAD) + 1, 1 << 30))
+        .otherwise(near(x["part"])).alias("word"))))).select("doc_id", "text_hash", "at", "p.*", "before", "after")
+    own, assigned = F.col("own"), F.col("own").rlike(f"^{NAMED}")
+    kind = F.when(assigned, F.lit("assigned")).otherwise(F.lit("blob"))
+    for name, shape in FORMATS.items():
+        kind = F.when(own.rlike(f"^{shape}$"), F.lit(name)).otherwise(kind)
+    value = F.when(assigned, F.regexp_replace(F.regexp_replace(own, f"^{NAMED}", ""), r"^[^0-9A-Za-z+/_=$-]+|[^0-9A-Za-z+/_=$-]+$", "")) \
+        .otherwise(F.regexp_replace(own, r"^[^0-9A-Za-z+/_$-]+|[^0-9A-Za-z+/_=$-]+$", ""))
+    found = found.withColumn("kind", kind).withColumn("value", F.when(kind.isin(*FORMATS), own).otherwise(value)).drop("own")
     mixed = F.col("value").rlike("[0-9]") & (F.octet_length("value") >= 12)
     return found.where((F.octet_length("value") >= 6) & ((F.col("kind") != "blob") | mixed))
 

@@ -127,6 +127,19 @@ def test_mix_comes_near_targets(spark):
 
 
 # -- secrets ------------------------------------------------------------------------
+def test_every_secret_of_a_word_is_a_candidate(spark):
+    aws, git, key = "AKIA" + "Q7Z2" * 4, "ghp_" + "a1B2c3D4e5" * 4, "zX9kLm3Qw7Tp"
+    texts = [f'{{"api_key":"{key}A","user":"bob","token":"{key}B","secret":"{key},C"}}', f"https://h.io/p?api_key={key}A&token={key}B&secret={key}C",
+             f"{aws},{git},token={key}A", f"token={git}|{aws}", f'password: "{key},D"', f'auth:{{\\"token\\":\\"{key}A\\"}}',
+             f"secret={key}A;" + "x" * 200_000 + f",token={key}B"]
+    got = defaultdict(list)
+    for r in secrets.candidates(_docs(spark, [(i, t, "en", "a") for i, t in enumerate(texts)])).orderBy("doc_id", "at", "part").collect():
+        got[r["doc_id"]].append((r["kind"], r["value"]))
+    name = lambda *v: [("assigned", key + x) for x in v]
+    assert got == {0: name("A", "B", ",C"), 1: name("A", "B", "C"), 2: [("aws_key", aws), ("github", git), *name("A")],
+                   3: [("github", git), ("aws_key", aws)], 4: name(",D"), 5: name("A"), 6: name("A", "B")}
+
+
 def test_forest_keeps_keys_and_drops_placeholders(spark):
     keys = ["AKIA" + "".join("ABCDEFGHIJKLMNOPQRSTUVWXYZ234567"[(i * 7 + j * j * 5) % 32] for j in range(16)) for i in range(30)]
     rows = [(i, f"{PROSE} aws_key={k} and so on", "en", "a") for i, k in enumerate(keys)]
