@@ -1,4 +1,8 @@
-"""Known licences: full texts and one-line notices, by SPDX identifier (fixed values)."""
+"""Known licences: full texts, headers and one-line notices, by SPDX identifier (fixed values)."""
+
+from __future__ import annotations
+
+from pathlib import Path
 
 _MIT_GRANT = """Permission is hereby granted, free of charge, to any person obtaining a copy
 of this software and associated documentation files (the "Software"), to deal
@@ -146,6 +150,52 @@ NOTICES = ["Licensed under {}.", "This work is licensed under {}.", "This softwa
            "This file is licensed under {}.", "This project is licensed under {}.", "Released under {}.",
            "Distributed under {}.", "License: {}", "SPDX-License-Identifier: {}"]
 
+#: (identifier, file of the full text in license_data, the text before which a shorter copy ends or None)
+LONG_TEXTS = [
+    ("Apache-2.0", "Apache-2.0", "APPENDIX:"), ("CC0-1.0", "CC0-1.0", None), ("MPL-1.1", "MPL-1.1", None), ("MPL-2.0", "MPL-2.0", None),
+    ("GPL-1.0-only", "GPL-1", "Appendix: How to Apply"), ("GPL-2.0-only", "GPL-2", "How to Apply These"), ("GPL-3.0-only", "GPL-3", "How to Apply These"),
+    ("LGPL-2.0-only", "LGPL-2", "How to Apply These"), ("LGPL-2.1-only", "LGPL-2.1", "How to Apply These"), ("LGPL-3.0-only", "LGPL-3", None),
+    ("GFDL-1.2-only", "GFDL-1.2", "ADDENDUM:"), ("GFDL-1.3-only", "GFDL-1.3", "ADDENDUM:"),
+]
+
+
+def long_texts() -> list[tuple[str, str]]:
+    """(identifier, full text) of the licences kept as files, with and without their instructions for use."""
+    rows = []
+    for name, file, end in LONG_TEXTS:
+        text = (Path(__file__).parent / "license_data" / f"{file}.txt").read_text(encoding="utf-8")
+        rows += [(name, text)] + ([(name, text[:text.rindex(end)])] if end else [])
+    return rows
+
+
+def _free_software() -> list[tuple[str, str]]:
+    head, by = "is free software you can redistribute it and or modify it under the terms of", "as published by the free software foundation"
+    rows = []
+    for short, kind, versions in (("GPL", "general", "1 2 3"), ("LGPL", "library general", "2"), ("LGPL", "lesser general", "2.1 3"), ("AGPL", "affero general", "3")):
+        for version in versions.split():
+            name, v = f"{short}-{version if '.' in version else version + '.0'}", version.replace(".", " ")
+            later, gnu = "or at your option any later version", f"the gnu {kind} public license"
+            rows += [(f"{name}-or-later", f"{head} {gnu} {by} either version {v} of the license {later}"),
+                     (f"{name}-or-later", f"{head} {gnu} {by} either version {v} {later}"),
+                     (f"{name}-only", f"{head} {gnu} {by} version {v} of the license"),
+                     (f"{name}-only", f"{head} {gnu} version {v} {by}"),
+                     (f"{name}-only", f"{head} version {v} of {gnu} {by}")]
+    return rows
+
+
+#: (identifier, words that tell the licence in a standard header of several lines), in canonical form
+HEADERS = [
+    ("Apache-2.0", "under the apache license version 2 0 the license you may not use this file except in compliance with the license"),
+    ("MPL-2.0", "this source code form is subject to the terms of the mozilla public license v 2 0"),
+    ("CC0-1.0", "to the extent possible under law the author s have dedicated all copyright and related and neighboring rights to this software "
+                "to the public domain worldwide"),
+    *_free_software(),
+    *((f"CC-{short}-{version}.0", f"licensed under {article} creative commons attribution{kind} {version} 0 {place} license")
+      for short, kind in (("BY", ""), ("BY-SA", " sharealike"), ("BY-NC", " noncommercial"), ("BY-ND", " noderivatives"),
+                          ("BY-NC-SA", " noncommercial sharealike"), ("BY-NC-ND", " noncommercial noderivatives"))
+      for version, place in ((4, "international"), (3, "unported")) for article in ("a", "the")),
+]
+
 #: spellings that count as equal: (as found, as compared); word by word after normalising
 SPELLINGS = [
     ("acknowledgement", "acknowledgment"), ("analogue", "analog"), ("analyse", "analyze"), ("artefact", "artifact"),

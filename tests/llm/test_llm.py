@@ -13,7 +13,7 @@ from pyspark.sql import functions as F
 import corpus_pipeline
 from lookout.llm import (conversations, decontaminate, langid, licenses, mixing, quality, secrets, sharding, simhash, warc)
 from lookout.llm.common import word_count
-from lookout.llm.license_texts import TEXTS
+from lookout.llm.license_texts import HEADERS, TEXTS, long_texts
 from lookout.llm.queries import ORACLES, QUERIES
 from tests.conftest import SF_SMALL
 from tests.oracle_compare import compare
@@ -252,6 +252,25 @@ def test_license_digest_ignores_owner_case_and_punctuation(spark):
     assert got == {1: name, 2: None, 3: None}
 
 
+def test_long_licenses_and_headers_are_known(spark):
+    apache = """// Licensed under the Apache License, Version 2.0 (the "License");
+        // you may not use this file except in compliance with the License.
+        // You may obtain a copy of the License at"""
+    gpl = """ * Tool is free software: you can redistribute it and/or modify
+        * it under the terms of the GNU General Public License as published by
+        * the Free Software Foundation, either version 3 of the License, or
+        * (at your option) any later version."""
+    texts = [*long_texts(), ("", apache + "\nint main"), ("", gpl + "\nint main")]
+    got = {r["doc_id"]: r for r in licenses.scan(_docs(spark, [(i, t, "en", "a") for i, (_, t) in enumerate(texts)]),
+                                                 licenses.known_licenses(spark)).collect()}
+    n = len(texts) - 2
+    assert [got[i]["license_id"] for i in range(n)] == [name for name, _ in texts[:n]]
+    assert got[n]["notices"] == ["Apache-2.0"] and got[n + 1]["notices"] == ["GPL-3.0-or-later"]
+    assert got[n]["license_id"] is None and got[n + 1]["license_id"] is None
+    forms = licenses.with_canonical(spark.createDataFrame(HEADERS, "license_id string, text string"), "text")
+    assert forms.where("form <> text").count() == 0
+
+
 # -- pipeline -----------------------------------------------------------------------
 def test_stages_take_effect_and_agree_with_the_operators(spark):
     docs = spark.read.parquet(f"{SF_SMALL}/documents.parquet")
