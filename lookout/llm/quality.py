@@ -62,11 +62,23 @@ def line_counts(lines: DataFrame) -> DataFrame:
     return lines.groupBy("host", "line").agg(F.count_distinct("text_hash").alias("documents"))
 
 
+def without_lines(text: Column, dropped: Column) -> Column:
+    """The text without the lines at the given places (from 0); without places it stays as it is."""
+    lines = F.split(text, "\n")
+    places = F.sequence(F.lit(0), F.size(lines) - 1)
+    # one flag a line, in order, so that long texts are not searched line by line
+    flags = F.array_sort(F.concat(F.transform(dropped, lambda i: F.struct(i.alias("i"), F.lit(False).alias("stays"))),
+                                  F.transform(F.array_except(places, dropped), lambda i: F.struct(i.alias("i"), F.lit(True).alias("stays")))))
+    left = F.filter(F.zip_with(lines, flags, lambda x, f: F.struct(x.alias("line"), f["stays"].alias("stays"))), lambda x: x["stays"])
+    return F.when(dropped.isNull(), text).otherwise(F.array_join(F.transform(left, lambda x: x["line"]), "\n"))
+
+
 def apply_rules(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", host: str = "source",
                 params: QualityParams = QualityParams()) -> DataFrame:
-    """Measures and verdict of every document.
+    """Every document's text without its boilerplate lines, measures and verdict.
 
-    Returns ``doc_id``, ``text_hash``, the base measures, ``base_failed``,
+    Returns ``doc_id``, ``text`` (the lines that stay), ``text_hash`` (of the
+    whole text), the base measures (of the whole text), ``base_failed``,
     ``removed_words`` (words in removed lines, as normalised), ``line_words``
     (words in all lines) and ``kept``. A null text has no words and fails; a
     null host is a host of its own; exact copies of a text count once for a line, and
@@ -74,22 +86,24 @@ def apply_rules(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", hos
     """
     own = docs.select(F.col(doc_id).alias("doc_id"), F.col(text).alias("text"), F.xxhash64(text).alias("text_hash"),
                       F.col(host).alias("host"))
-    hashed = F.transform(F.filter(F.transform(normalised_lines(F.col("text")), lambda x: F.btrim(x)), lambda x: x != ""),
-                         lambda x: F.struct(F.xxhash64(x).alias("line"), F.size(F.split(x, " ")).alias("words")))
-    rows = written(base_measures(own.withColumn("lines", hashed)).drop("text"), "quality-rows")
-
+    hashed = F.filter(F.transform(normalised_lines(F.col("text")), lambda x, i: F.struct(i.alias("place"), F.btrim(x).alias("line"))),
+                      lambda x: x["line"] != "")
+    hashed = F.transform(hashed, lambda x: F.struct(x["place"].alias("place"), F.xxhash64(x["line"]).alias("line"),
+                                                    F.size(F.split(x["line"], " ")).alias("words")))
     # a document's lines, once however often its row is repeated
-    texts = rows.groupBy("host", "text_hash").agg(F.first("lines").alias("lines"))
+    texts = own.select("host", "text_hash", hashed.alias("lines")).groupBy("host", "text_hash").agg(F.first("lines").alias("lines"))
     lines = written(texts.select("host", "text_hash", F.explode("lines").alias("l")).select("host", "text_hash", "l.*"),
                     "quality-lines")
     common = written(line_counts(lines).where(F.col("documents") > params.max_documents).select("host", "line"), "quality-common")
     hit = lines.alias("l").join(common.alias("c"), F.expr("l.host <=> c.host AND l.line = c.line"))
-    removed = hit.groupBy("l.host", "l.text_hash").agg(F.sum("l.words").alias("removed_words"))
+    removed = written(hit.groupBy("l.host", "l.text_hash").agg(
+        F.sum("l.words").alias("removed_words"), F.collect_list("l.place").alias("dropped")), "quality-removed")
+    # the words of normalised lines are the runs of letters and digits
+    rows = base_measures(own).withColumn("line_words", F.regexp_count(F.lower(F.coalesce("text", F.lit(""))), F.lit(r"[\p{L}\p{N}]+")).cast("bigint"))
     joined = rows.alias("r").join(removed.alias("x"), F.expr("r.host <=> x.host AND r.text_hash = x.text_hash"), "left")
-    line_words = F.aggregate("r.lines", F.lit(0).cast("bigint"), lambda acc, x: acc + x["words"])
     failed = (F.col("n_words") < params.min_words) | (F.col("n_repeat_words") > params.max_repeat_share * F.col("n_words"))
-    out = joined.select("r.*", F.coalesce("removed_words", F.lit(0)).cast("bigint").alias("removed_words"),
-                        line_words.alias("line_words"), failed.alias("base_failed"))
+    out = joined.select("r.*", F.coalesce("removed_words", F.lit(0)).cast("bigint").alias("removed_words"), "dropped",
+                        failed.alias("base_failed"))
     left = F.col("line_words") - F.col("removed_words")
     return out.withColumn("kept", ~F.col("base_failed") & (left >= params.min_left * F.col("line_words"))) \
-        .drop("lines", "host")
+        .withColumn("text", without_lines(F.col("text"), F.col("dropped"))).drop("dropped", "host")

@@ -16,7 +16,7 @@ def _read(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 
 def op1_line_frequency_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return quality.apply_rules(_read(spark, sf_dir, "documents")).drop("text_hash")
+    return quality.apply_rules(_read(spark, sf_dir, "documents")).drop("text", "text_hash")
 
 
 def op2_snapshot_collapse(spark: SparkSession, sf_dir: str) -> DataFrame:

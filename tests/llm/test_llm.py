@@ -95,6 +95,16 @@ def test_lines_of_many_documents_are_removed(spark):
     assert got[100]["kept"] and got[100]["removed_words"] == 0 and got[101]["kept"]
 
 
+def test_texts_lose_their_common_lines_only(spark):
+    rows = [(i, f"Own LINE {chr(97 + i)}, kept.\n\nSubscribe to letter {i % 10}!\n  {PROSE}{chr(97 + i)}\nsubscribe, to letter 7\n", "en", "a") for i in range(25)]
+    rows += [(30, "subscribe to letter 1\n" + PROSE, "en", "b"), (31, None, "en", "a"), (32, "subscribe to letter 1", "en", "a")]
+    got = {r["doc_id"]: r for r in quality.apply_rules(_docs(spark, rows)).collect()}
+    for i in range(25):
+        assert got[i]["text"] == f"Own LINE {chr(97 + i)}, kept.\n\n  {PROSE}{chr(97 + i)}\n"
+        assert got[i]["kept"] and got[i]["removed_words"] == 8 and got[i]["line_words"] == 12 + len(PROSE.split())
+    assert got[30]["text"] == rows[25][1] and got[31]["text"] is None and got[32]["text"] == ""
+
+
 # -- conversations ----------------------------------------------------------------
 def test_only_maximal_conversations_stay(spark):
     talks = {1: ["a", "b"], 2: ["a", "b", "c"], 3: ["a", "b", "c"], 4: ["a", "x"], 5: ["b"], 6: [None, "a"], 7: [str(i) for i in range(3000)],
