@@ -25,7 +25,7 @@ UNKNOWN = "und"
 @dataclass(frozen=True)
 class LangIdParams:
     train_rows: int = 20_000    # labelled rows per language the model is fitted on, by hash order of the text
-    max_languages: int = 64     # most frequent labels that get a model
+    max_languages: int = 64     # labels of the most distinct texts that get a model
     alphabet: int = 62          # most frequent letters with their own code; all others share one
     smoothing: float = 2.0      # weight of the letter distribution in a trigram's context
     floor: float = 0.02         # share of a flat letter distribution, so no language rules a letter out
@@ -117,11 +117,12 @@ def fit(docs: DataFrame, train: Column, text: str = "text", lang: str = "lang",
         params: LangIdParams = LangIdParams()) -> LanguageModel:
     """Fit the models on rows where ``train`` holds and the label is given.
 
-    At most ``train_rows`` rows of a language and ``max_languages`` languages
+    At most about ``train_rows`` distinct texts of a language and ``max_languages`` languages
     take part; the counts gathered on the driver are bounded by the alphabet.
     """
     rows = docs.where(train & F.col(lang).isNotNull() & F.col(text).isNotNull())
-    sizes = rows.groupBy(F.col(lang).alias("_l")).count().orderBy(F.desc("count"), "_l") \
+    # copies of a text count once here too, so a label of few texts and many copies is learned from all its texts
+    sizes = rows.select(F.col(lang).alias("_l"), F.xxhash64(text).alias("_h")).distinct().groupBy("_l").count().orderBy(F.desc("count"), "_l") \
         .limit(params.max_languages).collect()
     bits = _letter_bits()
     if not sizes:

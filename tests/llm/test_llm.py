@@ -254,6 +254,12 @@ def test_held_out_accuracy(spark):
     assert (out["lang"] == out["lang_pred"]).mean() >= 0.9
 
 
+def test_copies_leave_a_label_all_its_texts(spark):
+    rows = [(i, "zyx wvu", "xx", "a") for i in range(2000)] + [(3000 + i, f"text{chr(97 + i)} number", "xx", "a") for i in range(10)]
+    model = langid.fit(_docs(spark, rows), F.lit(True), params=langid.LangIdParams(train_rows=20))
+    assert {ord(c) for c in "zyxwvutextnumberabcdefghij"} <= set(model.letters)
+
+
 # -- licences -----------------------------------------------------------------------
 def test_license_digest_ignores_owner_case_and_punctuation(spark):
     name, body = TEXTS[0]
