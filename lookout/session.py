@@ -7,6 +7,7 @@ settings that are unset, so cluster configuration always wins.
 from __future__ import annotations
 
 import tempfile
+import uuid
 
 from pyspark import SparkConf
 from pyspark.sql import SparkSession
@@ -67,3 +68,19 @@ def cut_lineage(df):
     """Reliable checkpoint into the shared folder (never a local checkpoint)."""
     ensure_checkpoint_dir(df.sparkSession)
     return df.checkpoint(eager=True)
+
+
+def scratch(spark: SparkSession, name: str) -> str:
+    """A new folder of one run, under the shared checkpoint folder."""
+    return f"{ensure_checkpoint_dir(spark).rstrip('/')}/{name}-{uuid.uuid4().hex}"
+
+
+def written(df, name: str):
+    """Write a table into the shared folder and read it back.
+
+    Cuts the lineage as a checkpoint does, but stays columnar: later scans
+    prune columns, and the planner knows the table's measured size.
+    """
+    path = scratch(df.sparkSession, name)
+    df.write.parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path)
