@@ -174,6 +174,30 @@ SELECT w.doc_id, CASE WHEN flat <> '' THEN sha256(flat) END AS digest, license_i
 FROM w LEFT JOIN known ON w.flat = known.form LEFT JOIN n USING (doc_id)
 """
 
+_LOWER = "translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz')"
+
+OP11 = rf"""
+WITH d AS (SELECT row_number() OVER () AS r, coalesce(lang, '') AS lang, coalesce(source, '') AS source, {_LOWER} AS t FROM documents),
+g AS (SELECT DISTINCT lang, source FROM d),
+w AS (SELECT r, lang, source, unnest(regexp_extract_all(t, '[^\x00-\x40\x5B-\x60\x7B-\x7F]+')) AS term FROM d),
+kept AS (SELECT lang, term, count(*) AS n FROM w GROUP BY 1, 2 HAVING count(DISTINCT r) >= 3),
+c AS (SELECT lang, source, term, count(*) AS n FROM w SEMI JOIN kept USING (lang, term) GROUP BY 1, 2, 3),
+gt AS (SELECT lang, source, coalesce(sum(n), 0)::HUGEINT AS total FROM g LEFT JOIN c USING (lang, source) GROUP BY 1, 2),
+lt AS (SELECT lang, count(*)::HUGEINT AS v, sum(n)::HUGEINT AS total FROM kept GROUP BY 1),
+p AS (SELECT gt.lang, gt.source, kept.term, coalesce(c.n, 0) AS n, 1 + (1000000000::HUGEINT * (coalesce(c.n, 0) + 1)) // (gt.total + lt.v) AS p,
+    1 + (1000000000::HUGEINT * (kept.n + 1)) // (lt.total + lt.v) AS q
+  FROM gt JOIN lt USING (lang) JOIN kept ON kept.lang = gt.lang LEFT JOIN c ON c.lang = gt.lang AND c.source = gt.source AND c.term = kept.term),
+pair AS (SELECT a.lang, a.source, b.source AS item FROM g a JOIN g b ON a.lang = b.lang AND a.source <> b.source),
+pv AS (SELECT a.lang, a.source, b.source AS item, sum(((a.p - b.p) * (a.p - b.p)) // b.p) AS value
+  FROM p a JOIN p b ON a.lang = b.lang AND a.term = b.term AND a.source <> b.source GROUP BY 1, 2, 3),
+tv AS (SELECT lang, source, term AS item, ((p - q) * (p - q)) // q AS value FROM p WHERE n > 0 AND p > q),
+u AS (SELECT lang, source, 'pair' AS part, item, coalesce(value, 0)::BIGINT AS value FROM pair LEFT JOIN pv USING (lang, source, item)
+  UNION ALL SELECT lang, source, 'term', item, value::BIGINT FROM tv),
+k AS (SELECT *, row_number() OVER (PARTITION BY lang, source, part ORDER BY value DESC, item)::INTEGER AS rank FROM u)
+SELECT lang, source, part, item, value, rank FROM k WHERE part = 'pair' OR rank <= 200
+"""
+
 ORACLES: dict[str, str] = {
     "op1_line_frequency_rules": OP1, "op2_snapshot_collapse": OP2, "op3_mix_to_weights": OP3, "op6_seekable_warc": OP6,
-    "op7_spaced_seed_overlaps": OP7, "op10_license_digests": OP10}
+    "op7_spaced_seed_overlaps": OP7, "op10_license_digests": OP10,
+    "op11_source_divergence": OP11}

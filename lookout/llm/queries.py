@@ -5,8 +5,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from lookout.llm import (conversations, decontaminate, langid, licenses, mixing, quality, secrets, sharding,
-                         simhash, warc)
+from lookout.llm import (conversations, decontaminate, divergence, importance, langid, licenses, mixing, quality,
+                         secrets, sharding, simhash, substrings, warc)
 from lookout.llm.common import word_count
 from lookout.llm.oracles import ORACLES  # noqa: F401
 
@@ -74,6 +74,21 @@ def op10_license_digests(spark: SparkSession, sf_dir: str) -> DataFrame:
         "doc_id", "digest", "license_id", F.array_join("notices", " ").alias("notices"))
 
 
+def op11_source_divergence(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return divergence.audit(_read(spark, sf_dir, "documents"))
+
+
+def op12_importance_resampling(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return importance.resample(_read(spark, sf_dir, "documents"), _read(spark, sf_dir, "benchmark")) \
+        .select("doc_id", "n_features", "weight", "score", "rank")
+
+
+def op13_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return substrings.deduplicate(_read(spark, sf_dir, "documents")).select(
+        "doc_id", "n_words", "n_removed", F.sha2("kept", 256).alias("kept_sha256"))
+
+
 QUERIES = {q.__name__: q for q in (
     op1_line_frequency_rules, op2_snapshot_collapse, op3_mix_to_weights, op4_secret_forest, op5_kd_tree_shards,
-    op6_seekable_warc, op7_spaced_seed_overlaps, op8_simhash_components, op9_language_mixture, op10_license_digests)}
+    op6_seekable_warc, op7_spaced_seed_overlaps, op8_simhash_components, op9_language_mixture, op10_license_digests,
+    op11_source_divergence, op12_importance_resampling, op13_substring_dedup)}
