@@ -84,8 +84,7 @@ def op12_importance_resampling(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op13_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return substrings.deduplicate(_read(spark, sf_dir, "documents")).select(
-        "doc_id", "n_words", "n_removed", F.sha2("kept", 256).alias("kept_sha256"))
+    return substrings.deduplicate(_read(spark, sf_dir, "documents"), digest=True).withColumnRenamed("kept", "kept_sha256")
 
 
 QUERIES = {q.__name__: q for q in (

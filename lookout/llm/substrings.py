@@ -1,10 +1,11 @@
 """Removal of repeated passages by sharded phrase automata.
 
-1. Anchors: each window of words is stood for by its least 10-word hash, so equal
-   windows have the same anchor; anchors are counted over distinct texts.
-2. Confirmation: texts that hold an anchor found twice deal out digests of the
-   windows of such anchors; a digest found twice is a recurring passage, owned by
-   the place where it stands first.
+1. Anchors: each window of words is stood for by its least 8-word hash, so equal
+   windows have the same anchor; anchors are counted over all texts.
+2. Confirmation: a text with anchors found twice is cut into segments, the runs of
+   windows of one anchor. Equal segments are counted by digest; where an anchor
+   has several segments, their windows are counted one by one. What is found
+   twice is a recurring passage, owned by the place where it stands first.
 3. Automata: the passages of each shard of owners are compiled into one
    Aho-Corasick automaton over word numbers. Every text that holds a passage of
    the shard is streamed through it, which finds each occurrence by its words.
@@ -40,7 +41,7 @@ MOST_WORDS = 1_000_000  # distinct words that one automaton has characters for;
 @dataclass(frozen=True)
 class SubstringParams:
     window: int = 20                # words of a passage
-    anchor: int = 10                # words of an anchor
+    anchor: int = 8                 # words of an anchor: fewer anchors than of ten words, and hardly more chance meetings
     batch_bytes: int = 4 << 20      # text hashed at once; a longer text is a batch of its own
     owner_block: int = 1 << 14      # first places of one text that share a shard
     shard_windows: int = 1 << 16    # passages of one automaton, about
@@ -101,10 +102,11 @@ def _signed(x: np.ndarray) -> pa.Array:
 
 
 def _anchor_rows(batches: Iterator[pa.RecordBatch], params: SubstringParams) -> Iterator[pa.RecordBatch]:
-    """(anchor, text digest, whether it stands twice in the text) for the distinct anchors of each text."""
+    """(anchor, the text's short digest, its places in the text) for the distinct anchors of each text."""
     for batch in batches:
         for first, texts in _text_batches(batch, 0, params.batch_bytes):
             words, doc = _word_hashes(texts)
+            t0 = batch.column(1).slice(first, len(texts)).to_numpy(zero_copy_only=False)
             _, anchor, at = _anchors(words, doc, params)
             if not len(at):
                 continue
@@ -112,51 +114,66 @@ def _anchor_rows(batches: Iterator[pa.RecordBatch], params: SubstringParams) ->
             anchor, of = anchor[keep], doc[at]
             order = np.lexsort((anchor, of))
             anchor, of = anchor[order], of[order]
-            new = np.concatenate([[True], (anchor[1:] != anchor[:-1]) | (of[1:] != of[:-1])])
-            begin = np.flatnonzero(new)
-            twice = np.diff(np.append(begin, len(of))) > 1
-            digests = np.frombuffer(b"".join(hashlib.md5(t).digest() for t in texts), np.int64).reshape(-1, 2)[of[begin]]
-            yield pa.RecordBatch.from_arrays([_signed(anchor[begin]), pa.array(digests[:, 0]), pa.array(digests[:, 1]), pa.array(twice)],
-                                             names=["anchor", "t0", "t1", "twice"])
+            begin = np.flatnonzero(np.concatenate([[True], (anchor[1:] != anchor[:-1]) | (of[1:] != of[:-1])]))
+            yield pa.RecordBatch.from_arrays(
+                [_signed(anchor[begin]), pa.array(t0[of[begin]]), pa.array(np.diff(np.append(begin, len(of))), pa.int64())],
+                names=["anchor", "t0", "n"])
 
 
-def _digest_rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """(doc_id, digest of the text) of every row with a text."""
+def _segment_rows(batches: Iterator[pa.RecordBatch], params: SubstringParams) -> Iterator[pa.RecordBatch]:
+    """Segments of recurring anchors: anchor, digest, text number, first window's start, windows; columns rid, text, anchors."""
     for batch in batches:
-        raw = b"".join(hashlib.md5(t.as_py().encode("utf-8")).digest() for t in batch.column(1))
-        digests = np.frombuffer(raw, np.int64).reshape(-1, 2)
-        yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(digests[:, 0]), pa.array(digests[:, 1]), *batch.columns[1:]],
-                                         names=["doc_id", "t0", "t1", *batch.schema.names[1:]])
+        for first, texts in _text_batches(batch, 1, params.batch_bytes):
+            words, doc = _word_hashes(texts)
+            starts, anchor, at = _anchors(words, doc, params)
+            known = np.unique(batch.column(2).slice(first, len(texts)).flatten().to_numpy(zero_copy_only=False)).view(np.uint64)
+            own = np.isin(anchor, known)
+            starts, anchor, at = starts[own], anchor[own], at[own]
+            if not len(starts):
+                continue
+            begin = np.flatnonzero(np.concatenate([[True], at[1:] != at[:-1]]))
+            a, b = starts[begin], starts[np.append(begin[1:], len(starts)) - 1]
+            # its first and its last window overlap, so both and their distance tell the segment's words
+            d0, d1 = (_mix(w[a] * f + w[b] * FIXED[2] + (b - a).astype(np.uint64)) for f in FIXED[:2] for w in [_runs(words, params.window, f)])
+            text_begin = np.searchsorted(doc, np.arange(len(texts)))
+            rid = batch.column(0).slice(first, len(texts)).to_numpy(zero_copy_only=False)
+            yield pa.RecordBatch.from_arrays(
+                [_signed(anchor[begin]), _signed(d0), _signed(d1), pa.array(rid[doc[a]]), pa.array(a - text_begin[doc[a]], pa.int32()),
+                 pa.array(b - a + 1, pa.int32())], names=["anchor", "d0", "d1", "rid", "start", "windows"])
 
 
 def _window_rows(batches: Iterator[pa.RecordBatch], params: SubstringParams) -> Iterator[pa.RecordBatch]:
-    """(digest, text number, start) of the windows whose anchor recurs; columns rid, text, anchors."""
+    """Each window of the listed segments: digest, text number, start, its segment's start and count; columns rid, text, segments."""
     for batch in batches:
         for first, texts in _text_batches(batch, 1, params.batch_bytes):
             words, doc = _word_hashes(texts)
-            starts, anchor, _ = _anchors(words, doc, params)
-            lists = batch.column(2).slice(first, len(texts))
-            known = np.unique(lists.flatten().to_numpy(zero_copy_only=False)).view(np.uint64)
-            starts = starts[np.isin(anchor, known)]
-            if not len(starts):
-                continue
-            d0, d1 = (_runs(words, params.window, f)[starts] for f in FIXED[:2])
-            begins = np.searchsorted(doc, np.arange(len(texts)))
+            begin = np.searchsorted(doc, np.arange(len(texts)))
+            rows = [(i, s["start"] + k, s["start"], s["n"]) for i, segments in enumerate(batch.column(2).slice(first, len(texts)).to_pylist())
+                    for s in segments for k in range(s["windows"])]
+            i, start, segment, n = np.array(rows, np.int64).T
+            at = begin[i] + start
             rid = batch.column(0).slice(first, len(texts)).to_numpy(zero_copy_only=False)
             yield pa.RecordBatch.from_arrays(
-                [_signed(d0), _signed(d1), pa.array(rid[doc[starts]]), pa.array(starts - begins[doc[starts]])],
-                names=["d0", "d1", "rid", "start"])
+                [*[_signed(_runs(words, params.window, f)[at]) for f in FIXED[:2]], pa.array(rid[i]), pa.array(start, pa.int32()),
+                 pa.array(segment, pa.int32()), pa.array(n)], names=["w0", "w1", "rid", "start", "segment", "n"])
 
 
 # ---------------------------------------------------------------------------
 # automata
 # ---------------------------------------------------------------------------
 class _Automaton:
-    """All passages of a shard; words are numbered and written as one character each."""
+    """The passages of a shard; words are numbered and written as one character each.
+
+    A passage's windows all hold one of its phrases: runs of ``piece`` words that
+    begin each ``window - piece + 1`` words. The automaton finds the phrases in a
+    text, and the windows around each are compared with the shard's windows.
+    """
 
     def __init__(self, window: int):
-        self.window, self.numbers = window, {}
-        self.trie = ahocorasick.Automaton(ahocorasick.STORE_ANY)
+        self.window, self.piece = window, (window + 1) // 2
+        self.numbers: dict[bytes, str] = {}
+        self.windows: dict[str, tuple[int, int]] = {}
+        self.trie = ahocorasick.Automaton(ahocorasick.STORE_LENGTH)
 
     def _number(self, word: bytes) -> str:
         got = self.numbers.get(word)
@@ -169,7 +186,9 @@ class _Automaton:
         """The windows of a run of words that stands at ``first`` in the text ``rid``."""
         line = "".join([self._number(w) for w in words])
         for i in range(len(words) - self.window + 1):
-            self.trie.add_word(line[i:i + self.window], (rid, first + i))
+            self.windows[line[i:i + self.window]] = (rid, first + i)
+        for i in range(0, len(words) - self.piece + 1, self.window - self.piece + 1):
+            self.trie.add_word(line[i:i + self.piece])
 
     @property
     def full(self) -> bool:
@@ -180,20 +199,36 @@ class _Automaton:
 
     def occurrences(self, rid: int, words: list[bytes]) -> list[tuple[int, int]]:
         """Merged (first word, past the last word) of all occurrences but the passages' own places."""
-        get = self.numbers.get
+        if not self.windows:
+            return []
+        get, known, window = self.numbers.get, self.windows.get, self.window
         line = "".join([get(w, OTHER_WORD) for w in words])
         spans: list[tuple[int, int]] = []
-        for end, owner in self.trie.iter(line):
-            start = end + 1 - self.window
-            if owner == (rid, start):
-                continue
-            if spans and start <= spans[-1][1]:
-                spans[-1] = (spans[-1][0], end + 1)
-            else:
-                spans.append((start, end + 1))
+        done = 0  # windows that start before it have been compared
+        for end, _ in self.trie.iter(line):
+            for start in range(max(done, end + 1 - window), min(end + 1 - self.piece, len(line) - window) + 1):
+                owner = known(line[start:start + window])
+                if owner is None or owner == (rid, start):
+                    continue
+                if spans and start <= spans[-1][1]:
+                    spans[-1] = (spans[-1][0], start + window)
+                else:
+                    spans.append((start, start + window))
+            done = max(done, end + 2 - self.piece)
         return spans
 
 
+def _joined(runs: list[dict]) -> list[tuple[int, int]]:
+    """(first start, past the last) of runs of windows, those that touch made one."""
+    out: list[tuple[int, int]] = []
+    for r in sorted(runs, key=lambda r: r["start"]):
+        if out and r["start"] == out[-1][1]:
+            out[-1] = (out[-1][0], r["start"] + r["windows"])
+        else:
+            out.append((r["start"], r["start"] + r["windows"]))
+    return out
+
+
 def _occurrence_rows(batches: Iterator[pa.RecordBatch], window: int) -> Iterator[pa.RecordBatch]:
     """Spans by text; rows come sorted by shard and part, the passages of each before its texts."""
     at, automata, ready = None, [], False
@@ -204,14 +239,10 @@ def _occurrence_rows(batches: Iterator[pa.RecordBatch], window: int) -> Iterator
                 at, automata, ready = (shard, part), [_Automaton(window)], False
             words = text.encode("utf-8").split()
             if starts is not None:
-                starts.sort()
-                begin = 0
-                for i in range(1, len(starts) + 1):
-                    if i == len(starts) or starts[i] != starts[i - 1] + 1:
-                        if automata[-1].full:
-                            automata.append(_Automaton(window))
-                        automata[-1].add(rid, starts[begin], words[starts[begin]:starts[i - 1] + window])
-                        begin = i
+                for a, past in _joined(starts):
+                    if automata[-1].full:
+                        automata.append(_Automaton(window))
+                    automata[-1].add(rid, a, words[a:past + window - 1])
                 continue
             if not ready:
                 for automaton in automata:
@@ -225,52 +256,80 @@ def _occurrence_rows(batches: Iterator[pa.RecordBatch], window: int) -> Iterator
 # ---------------------------------------------------------------------------
 # tables
 # ---------------------------------------------------------------------------
+KEY = ["none", "id", "t"]
+
+
+def keyed(docs: DataFrame, doc_id: str, text: str) -> DataFrame:
+    """``none``, ``id`` (0 for a null id), ``t`` (the text's digest), ``t0`` (a short one) and ``text`` of every row; the digests of a null text are null."""
+    number = F.col(doc_id).cast("bigint")
+    return docs.select(number.isNull().alias("none"), F.coalesce(number, F.lit(0)).alias("id"), F.unhex(F.md5(F.col(text))).alias("t"),
+                       F.when(F.col(text).isNotNull(), F.xxhash64(text)).alias("t0"), F.col(text).alias("text"))
+
+
 def candidates(docs: DataFrame, params: SubstringParams) -> tuple[DataFrame, DataFrame]:
-    """(texts with a recurring anchor: rid, doc_id, t0, t1, text, anchors), (later exact copies: doc_id, t0, t1).
+    """(texts with a recurring anchor: rid, key, text, anchors), (later exact copies: key), of ``keyed`` rows with a text.
 
-    ``docs`` has ``doc_id`` and ``text``, no null text. Numbers ``rid`` rise with (doc_id, digest), null ids last.
+    Numbers ``rid`` rise with the key: null ids last, then the id, then the digest.
     """
-    key = ["t0", "t1"]
-    order = lambda c: F.struct(F.col(c).isNull().alias("none"), F.col(c).alias("doc_id"))
-    rows = written(docs.mapInArrow(_digest_rows, "doc_id long, t0 long, t1 long, text string").select("doc_id", *key).distinct(), "substring-ids")
-    firsts = rows.groupBy(*key).agg(F.min(order("doc_id")).alias("first"), F.count(F.lit(1)).alias("n"))
-    several = firsts.where("n > 1").select(*key, F.col("first.doc_id").alias("first_id"))
-    copies = rows.join(several, key).where(~F.col("doc_id").eqNullSafe(F.col("first_id"))).select("doc_id", *key)
-
-    found = written(docs.select("text").mapInArrow(lambda it: _anchor_rows(it, params), "anchor long, t0 long, t1 long, twice boolean"),
-                    "substring-anchors")
-    whole = F.struct(*key)
-    recurring = found.groupBy("anchor").agg(F.min(whole).alias("x"), F.max(whole).alias("y"), F.max("twice").alias("twice")) \
-        .where("twice OR x <> y").select("anchor")
-    held = found.join(recurring, "anchor", "left_semi").groupBy(*key).agg(F.collect_set("anchor").alias("anchors"))
-    wanted = held.join(firsts.select(*key, F.col("first.doc_id").alias("doc_id")), key)
-    texts = docs.mapInArrow(_digest_rows, "doc_id long, t0 long, t1 long, text string")
-    own = texts.alias("d").join(wanted.alias("w"), F.expr("d.t0 = w.t0 AND d.t1 = w.t1 AND d.doc_id <=> w.doc_id")) \
-        .select("d.doc_id", "d.t0", "d.t1", "d.text", "w.anchors").dropDuplicates(["doc_id", *key])
-    own = own.repartitionByRange(F.asc_nulls_last("doc_id"), *key).sortWithinPartitions(F.asc_nulls_last("doc_id"), *key) \
-        .withColumn("rid", F.monotonically_increasing_id())
-    return written(own, "substring-texts"), copies
+    rows = written(docs.select(*KEY, "t0").distinct(), "substring-ids")
+    firsts = rows.groupBy("t").agg(F.min(F.struct("none", "id")).alias("first"), F.min("t0").alias("t0"), F.count(F.lit(1)).alias("n"))
+    copies = rows.join(firsts.where("n > 1").select("t", "first"), "t").where("none <> first.none OR id <> first.id").select(*KEY)
+
+    found = written(docs.select("text", "t0").mapInArrow(lambda it: _anchor_rows(it, params), "anchor long, t0 long, n long"), "substring-anchors")
+    # copies of one text count here too: their first text is then looked at in vain, but the rows stay short
+    recurring = found.groupBy("anchor").agg(F.sum("n").alias("n")).where("n > 1").select("anchor")
+    # texts that share a short digest share their anchors, of which each finds its own
+    held = found.select("anchor", "t0").join(recurring, "anchor", "left_semi").groupBy("t0").agg(F.collect_set("anchor").alias("anchors"))
+    wanted = held.join(firsts.select("first.*", "t", "t0"), "t0").select(*KEY, "anchors")
+    # numbered before the texts come in, so that those are dealt once only
+    wanted = written(wanted.repartitionByRange(*KEY).sortWithinPartitions(*KEY).withColumn("rid", F.monotonically_increasing_id()), "substring-wanted")
+    own = docs.select(*KEY, "text").join(wanted, KEY).dropDuplicates(KEY)
+    return written(own.select("rid", *KEY, "text", "anchors"), "substring-texts"), copies
+
+
+def passages(own: DataFrame, params: SubstringParams) -> tuple[DataFrame, DataFrame]:
+    """(recurring passages: owner, start, windows), (texts that may hold one elsewhere: rid, owner, start)."""
+    segments = written(own.select("rid", "text", "anchors").mapInArrow(
+        lambda it: _segment_rows(it, params), "anchor long, d0 long, d1 long, rid long, start int, windows int"), "substring-segments")
+    distinct = written(segments.groupBy("anchor", "d0", "d1", "windows").agg(
+        F.min(F.struct("rid", "start")).alias("first"), F.count(F.lit(1)).alias("n")).select("anchor", "d0", "d1", "windows", "first.*", "n"),
+        "substring-distinct")
+    several = distinct.groupBy("anchor").agg((F.count(F.lit(1)) > 1).alias("several"))
+    marked = written(distinct.join(several, "anchor").where("several OR n > 1").drop("anchor"), "substring-marked")
+
+    # an anchor's only segment recurs as a whole
+    whole = marked.where("NOT several").select(F.col("rid").alias("owner"), "start", "windows")
+    lists = marked.where("several").groupBy("rid").agg(F.collect_list(F.struct("start", "windows", "n")).alias("segments"))
+    windows = written(own.select("rid", "text").join(lists, "rid").mapInArrow(
+        lambda it: _window_rows(it, params), "w0 long, w1 long, rid long, start int, segment int, n long"), "substring-windows")
+    firsts = written(windows.groupBy("w0", "w1").agg(F.min(F.struct("rid", "start")).alias("first"), F.sum("n").alias("n")).where("n > 1")
+                     .select("w0", "w1", F.col("first.rid").alias("owner"), F.col("first.start").alias("at")), "substring-firsts")
+    single = firsts.select("owner", F.col("at").alias("start"), F.lit(1).alias("windows"))
+
+    block = lambda c: F.floor(F.col(c) / params.owner_block)
+    held = segments.alias("s").join(marked.alias("m"), ["d0", "d1"]) \
+        .select(F.col("s.rid").alias("rid"), F.col("s.start").alias("start"), F.col("m.rid").alias("first_rid"),
+                F.col("m.start").alias("first_start"), "m.several")
+    of_segment = windows.join(firsts, ["w0", "w1"]).select(F.col("rid").alias("first_rid"), F.col("segment").alias("first_start"),
+                                                         "owner", block("at").alias("block")).distinct()
+    routes = held.where("NOT several AND (rid <> first_rid OR start <> first_start)") \
+        .select("rid", F.col("first_rid").alias("owner"), block("first_start").alias("block")) \
+        .unionByName(held.where("several").join(of_segment, ["first_rid", "first_start"]).select("rid", "owner", "block"))
+    return whole.unionByName(single).withColumn("block", block("start")), routes
 
 
 def occurrences(own: DataFrame, params: SubstringParams) -> DataFrame:
     """(rid, spans) of the candidate texts: words under passages that stand earlier."""
-    windows = written(own.select("rid", "text", "anchors").mapInArrow(lambda it: _window_rows(it, params),
-                                                                     "d0 long, d1 long, rid long, start long"), "substring-windows")
-    firsts = windows.groupBy("d0", "d1").agg(F.min(F.struct("rid", "start")).alias("first"), F.count(F.lit(1)).alias("n")).where("n > 1")
-    firsts = written(firsts.select("d0", "d1", "first.*").withColumnsRenamed({"rid": "owner", "start": "at"}), "substring-passages")
-    shards = F.ceil(firsts.agg(F.count(F.lit(1)).alias("n")).scalar() / params.shard_windows)
-    blocks = firsts.groupBy(F.col("owner").alias("rid"), F.floor(F.col("at") / params.owner_block).alias("block")) \
-        .agg(F.collect_list("at").alias("starts"))
-    shard = lambda owner, block: F.pmod(F.xxhash64(owner, block), shards)
-    passages = blocks.withColumn("shard", shard(F.col("rid"), F.col("block"))).drop("block")
-    routes = windows.alias("w").join(firsts.alias("f"), ["d0", "d1"]).where("w.rid <> f.owner OR w.start <> f.at") \
-        .select("w.rid", shard(F.col("f.owner"), F.floor(F.col("f.at") / params.owner_block)).alias("shard")).distinct()
-    routes, passages = written(routes, "substring-routes"), written(passages, "substring-owners")
+    found, routes = passages(own, params)
+    found = written(found.groupBy("owner", "block").agg(F.collect_list(F.struct("start", "windows")).alias("starts"),
+                                                        F.sum("windows").alias("n")), "substring-passages")
+    shards = F.greatest(F.ceil(found.agg(F.sum("n").alias("n")).scalar() / params.shard_windows), F.lit(1))
+    shard = F.pmod(F.xxhash64("owner", "block"), shards).alias("shard")
+    routes = written(routes.select("rid", shard).distinct(), "substring-routes")
     parts = written(routes.groupBy("shard").agg(F.ceil(F.count(F.lit(1)) / params.shard_texts).alias("parts")), "substring-parts")
-    texts = own.select("rid", "text")
-    none = F.lit(None).cast("array<bigint>")
-    sides = passages.join(parts, "shard").withColumn("part", F.explode(F.expr("sequence(0L, parts - 1)"))).join(texts, "rid") \
-        .select("shard", "part", "rid", "starts", "text") \
+    texts, none = own.select("rid", "text"), F.lit(None).cast("array<struct<start:int,windows:int>>")
+    sides = found.select(F.col("owner").alias("rid"), "starts", shard).join(parts, "shard") \
+        .withColumn("part", F.explode(F.expr("sequence(0L, parts - 1)"))).join(texts, "rid").select("shard", "part", "rid", "starts", "text") \
         .unionByName(routes.join(parts, "shard").withColumn("part", F.pmod(F.xxhash64("rid"), "parts")).join(texts, "rid")
                      .select("shard", "part", "rid", none.alias("starts"), "text"))
     dealt = sides.repartition("shard", "part").sortWithinPartitions("shard", "part", F.col("starts").isNull(), "rid")
@@ -278,48 +337,53 @@ def occurrences(own: DataFrame, params: SubstringParams) -> DataFrame:
     return spans.groupBy("rid").agg(F.collect_list(F.struct("a", "b")).alias("spans"))
 
 
-def _kept_rows(batches: Iterator[pa.RecordBatch], window: int) -> Iterator[pa.RecordBatch]:
-    """Columns doc_id, text, spans, copy."""
+def _kept_rows(batches: Iterator[pa.RecordBatch], digest: bool) -> Iterator[pa.RecordBatch]:
+    """Words, removed words and what is kept of each text; columns of the key, text and perhaps spans."""
     for batch in batches:
         sizes, removed, kept = [], [], []
-        for text, spans, copy in zip(*[batch.column(i).to_pylist() for i in (1, 2, 3)]):
+        at = len(KEY)
+        cut = batch.column(at + 1).to_pylist() if batch.num_columns > at + 1 else [None] * batch.num_rows
+        for text, spans in zip(batch.column(at).to_pylist(), cut):
             words = (text or "").encode("utf-8").split()
-            stays = np.ones(len(words), bool)
-            if copy and len(words) >= window:
-                stays[:] = False
-            for s in spans or ():
-                stays[s["a"]:s["b"]] = False
-            left = words if stays.all() else [words[i] for i in np.flatnonzero(stays)]
+            left = words
+            if spans:
+                stays = np.ones(len(words), bool)
+                for s in spans:
+                    stays[s["a"]:s["b"]] = False
+                left = [words[i] for i in np.flatnonzero(stays)]
             sizes.append(len(words))
             removed.append(len(words) - len(left))
-            kept.append(b" ".join(left).decode("utf-8"))
-        yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(sizes, pa.int64()), pa.array(removed, pa.int64()), pa.array(kept, pa.string())],
-                                         names=["doc_id", "n_words", "n_removed", "kept"])
+            line = b" ".join(left)
+            kept.append(hashlib.sha256(line).hexdigest() if digest else line.decode("utf-8"))
+        yield pa.RecordBatch.from_arrays([*batch.columns[:at], pa.array(sizes, pa.int64()), pa.array(removed, pa.int64()), pa.array(kept, pa.string())],
+                                         names=[*KEY, "n_words", "n_removed", "kept"])
 
 
-def deduplicate(docs: DataFrame, doc_id: str = "doc_id", text: str = "text",
-                params: SubstringParams = SubstringParams()) -> DataFrame:
+def deduplicate(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", params: SubstringParams = SubstringParams(),
+                digest: bool = False) -> DataFrame:
     """Every document without the words of passages that also stand earlier.
 
     Returns ``doc_id``, ``n_words``, ``n_removed`` and ``kept`` (the words that
-    stay, joined by one blank) of every row. Earlier means a smaller id (null ids
-    last; under equal ids the smaller text digest), or a place further up in the
-    same text. Rows of equal id and text are one document and get equal results.
-    A null text has no words; a text shorter than the window keeps all. An empty
-    table gives an empty result.
+    stay, joined by one blank) of every row; with ``digest`` the SHA-256 of that
+    line stands for it, and the texts that stay whole need not be shuffled again.
+    Earlier means a smaller id (null ids last; under equal ids the smaller text
+    digest), or a place further up in the same text. Rows of equal id and text
+    are one document and get equal results. A null text has no words; a text
+    shorter than the window keeps all. An empty table gives an empty result.
     """
-    if params.anchor > params.window:
+    if not 0 < params.anchor <= params.window:
         raise ValueError("anchor must not exceed window")
-    own = docs.select(F.col(doc_id).cast("bigint").alias("doc_id"), F.col(text).alias("text"))
+    own = keyed(docs, doc_id, text)
     texts, copies = candidates(own.where(F.col("text").isNotNull()), params)
-    spans = occurrences(texts, params)
-    cut = spans.join(texts.select("rid", "doc_id", "t0", "t1"), "rid").select("doc_id", "t0", "t1", "spans", F.lit(False).alias("copy"))
-    cut = written(cut.unionByName(copies.select("doc_id", "t0", "t1", F.lit(None).cast("array<struct<a:bigint,b:bigint>>").alias("spans"),
-                                                F.lit(True).alias("copy"))), "substring-cuts")
-    rows = own.where(F.col("text").isNotNull()).mapInArrow(_digest_rows, "doc_id long, t0 long, t1 long, text string")
-    joined = rows.alias("r").join(cut.alias("c"), F.expr("r.t0 = c.t0 AND r.t1 = c.t1 AND r.doc_id <=> c.doc_id"), "left") \
-        .select("r.doc_id", "r.text", "c.spans", F.coalesce("c.copy", F.lit(False)).alias("copy"))
-    blank = own.where(F.col("text").isNull()).select("doc_id", "text", F.lit(None).cast("array<struct<a:bigint,b:bigint>>").alias("spans"),
-                                                     F.lit(False).alias("copy"))
-    return joined.unionByName(blank).mapInArrow(lambda it: _kept_rows(it, params.window),
-                                                "doc_id long, n_words long, n_removed long, kept string")
+    result = "none boolean, id long, t binary, n_words long, n_removed long, kept string"
+    changed = texts.select("rid", *KEY, "text").join(occurrences(texts, params), "rid").drop("rid") \
+        .mapInArrow(lambda it: _kept_rows(it, digest), result).drop("n_words").withColumn("copy", F.lit(False))
+    gone = copies.select(*KEY, F.lit(0).cast("bigint").alias("n_removed"), F.lit(None).cast("string").alias("kept"), F.lit(True).alias("copy"))
+    cut = written(changed.unionByName(gone), "substring-cuts")
+    whole = own.select(*KEY, "text").mapInArrow(lambda it: _kept_rows(it, digest), result)
+    rows = whole.withColumnsRenamed({"n_removed": "_none", "kept": "_line"}).join(cut, KEY, "left")
+    copy = F.coalesce("copy", F.lit(False)) & (F.col("n_words") >= params.window)
+    empty = F.lit(hashlib.sha256(b"").hexdigest() if digest else "")
+    return rows.select(F.when(~F.col("none"), F.col("id")).alias("doc_id"), "n_words",
+                       F.when(copy, F.col("n_words")).otherwise(F.coalesce("n_removed", F.lit(0))).alias("n_removed"),
+                       F.when(copy, empty).otherwise(F.coalesce("kept", "_line")).alias("kept"))

@@ -141,9 +141,8 @@ def test_runs_longer_than_two_words(spark):
 # -- substring dedup ------------------------------------------------------------
 def brute_substrings(rows, window=20):
     """Rows of one id and text are one document; null ids last, then the smaller digest."""
-    digest = lambda t: np.frombuffer(hashlib.md5(t.encode()).digest(), np.int64).tolist()
     split = lambda t: re.findall(r"[^\x20\x09-\x0D]+", t or "")
-    docs = sorted({(i is None, i or 0, *digest(t), t) for i, t in rows if t is not None})
+    docs = sorted({(i is None, i or 0, hashlib.md5(t.encode()).digest(), t) for i, t in rows if t is not None})
     seen, kept = set(), {}
     for doc in docs:
         words = split(doc[-1])
@@ -181,6 +180,8 @@ def test_passages_of_odd_rows(spark, params):
              (203, " ".join(words[:19]), "en", "a"), (203, " ".join(words[:19]), "en", "a")]
     got = _substrings(_docs(spark, rows).repartition(5), **params)
     assert _order(got) == _order(brute_substrings([(i, t) for i, t, _, _ in rows], params.get("window", 20)))
+    short = substrings.deduplicate(_docs(spark, rows), params=substrings.SubstringParams(**params), digest=True)
+    assert _order([tuple(r) for r in short.collect()]) == _order(got)
     assert _substrings(_docs(spark, []), **params) == []
 
 
@@ -191,7 +192,7 @@ def test_passages_outgrow_one_automaton(spark, monkeypatch):
     texts = [" ".join(f"w{k}_{i}" for i in range(30)) for k in range(4)]
     import pyarrow as pa
     batch = pa.RecordBatch.from_arrays([pa.array([0] * 5), pa.array([0] * 5), pa.array([1, 2, 3, 4, 9]),
-                                        pa.array([list(range(11))] * 4 + [None]), pa.array([*texts, " x ".join(texts)])],
+                                        pa.array([[{"start": 0, "windows": 5}, {"start": 5, "windows": 6}]] * 4 + [None]), pa.array([*texts, " x ".join(texts)])],
                                        names=["shard", "part", "rid", "starts", "text"])
     rows = [r for b in substrings._occurrence_rows(iter([batch]), 20) for r in zip(*[c.to_pylist() for c in b.columns])]
     assert len(automata) > 1 and sorted(rows) == [(9, 31 * k, 31 * k + 30) for k in range(4)]
