@@ -59,46 +59,75 @@ def token_pointers(buffer: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray,
     return starts, ends
 
 
-def _keys(buffer: np.ndarray, starts: np.ndarray, ends: np.ndarray, depth: int) -> np.ndarray:
-    """Eight bytes of each word from ``depth`` on as one number that orders as the bytes do; zero past its end."""
-    key = np.zeros(len(starts), np.uint64)
-    for i in range(depth, depth + 8):
-        at = starts + i
-        own = np.where(at < ends, buffer[np.minimum(at, len(buffer) - 1)], 0)
-        key = (key << np.uint64(8)) | own.astype(np.uint64)
-    return key
-
-
-def sorted_runs(buffer: np.ndarray, starts: np.ndarray, ends: np.ndarray, small: int) -> Iterator[np.ndarray]:
-    """Pointers of each distinct word, words ascending by bytes: multikey quicksort with eight bytes a digit.
-
-    A slice is cut in three by its pivot's digit; the equal part goes on with
-    the next digit, or is a finished run if its words end here. Slices below
-    ``small`` are sorted whole by the digit. Runs keep the order of the text.
+def _keys(padded: np.ndarray, starts: np.ndarray, ends: np.ndarray, depth: int) -> np.ndarray:
+    """Eight bytes of each word from ``depth`` on as one number that orders as the bytes do; zero past its end.
+
+    ``padded`` is the buffer and eight bytes more.
+    """
+    at = np.minimum(starts + depth, len(padded) - 8)
+    key = np.ascontiguousarray(np.lib.stride_tricks.sliding_window_view(padded, 8)[at]).view(">u8")[:, 0].astype(np.uint64)
+    past = np.clip(8 - (ends - starts - depth), 0, 8).astype(np.uint64) * np.uint64(8)
+    return np.where(past < 64, key >> np.minimum(past, np.uint64(63)) << np.minimum(past, np.uint64(63)), np.uint64(0))
+
+
+def _goes_on(key: np.ndarray) -> np.ndarray:
+    """Whether a word may go on after the eight bytes: its last byte there is not the zero past its end."""
+    return (key & np.uint64(0xFF)) != 0
+
+
+def _sort_small(padded, starts, ends, own, depth, key) -> tuple[np.ndarray, np.ndarray]:
+    """A slice's pointers in order and a flag at each first of an equal run: digit by digit for all unfinished runs at once."""
+    order = np.argsort(key, kind="stable")
+    own, key = own[order], key[order]
+    new = np.concatenate([[True], key[1:] != key[:-1]])
+    while True:
+        run = np.cumsum(new)
+        left = np.flatnonzero(_goes_on(key) & (np.bincount(run)[run] > 1))
+        if not len(left):
+            return own, new
+        depth += 8
+        digit = _keys(padded, starts[own[left]], ends[own[left]], depth)
+        order = np.lexsort((digit, run[left]))
+        own[left], digit = own[left][order], digit[order]
+        key[:] = 0
+        key[left] = digit
+        # the runs in ``left`` are whole, so neighbours of one run are neighbours here
+        new[left[1:]] |= (run[left[1:]] == run[left[:-1]]) & (digit[1:] != digit[:-1])
+
+
+def sorted_runs(buffer: np.ndarray, starts: np.ndarray, ends: np.ndarray, small: int) -> tuple[np.ndarray, np.ndarray]:
+    """The pointers in the words' byte order, and a flag at the first pointer of each distinct word.
+
+    Multikey quicksort with eight bytes a digit: a slice is cut in three by its
+    pivot's digit; the equal part goes on with the next digit, or is a finished
+    run if its words end here. Slices up to ``small`` are sorted whole. Equal
+    words keep the pointers' order.
     """
+    padded = np.concatenate([buffer, np.zeros(8, np.uint8)])
+    order, flags = [np.zeros(0, np.int64)], [np.zeros(0, bool)]
     todo = [(np.arange(len(starts)), 0, None)] if len(starts) else []
     while todo:
         own, depth, key = todo.pop()
         if depth < 0:
-            yield own
+            order.append(own)
+            flags.append(np.arange(len(own)) == 0)
             continue
         if key is None:
-            key = _keys(buffer, starts[own], ends[own], depth)
-        further = lambda part, digit: (part, depth + 8 if digit & np.uint64(0xFF) else -1, None)  # noqa: B023, E731
+            key = _keys(padded, starts[own], ends[own], depth)
         if len(own) <= small:
-            order = np.argsort(key, kind="stable")
-            own, key = own[order], key[order]
-            cuts = np.flatnonzero(np.diff(key)) + 1
-            todo += [further(part, digit) for part, digit in zip(np.split(own, cuts)[::-1], key[np.concatenate([[0], cuts])][::-1])]
+            own, new = _sort_small(padded, starts, ends, own, depth, key)
+            order.append(own)
+            flags.append(new)
             continue
         pivot = np.sort(key[[0, len(key) // 2, -1]])[1]
         less, same = key < pivot, key == pivot
         more = ~(less | same)
         if more.any():
             todo.append((own[more], depth, key[more]))
-        todo.append(further(own[same], pivot))
+        todo.append((own[same], depth + 8 if _goes_on(pivot) else -1, None))
         if less.any():
             todo.append((own[less], depth, key[less]))
+    return np.concatenate(order), np.concatenate(flags)
 
 
 def _shard_rows(texts: pa.Array, langs: list[str], sources: list[str], params: DivergenceParams) -> pa.RecordBatch | None:
@@ -111,27 +140,26 @@ def _shard_rows(texts: pa.Array, langs: list[str], sources: list[str], params: D
     starts, ends = token_pointers(buffer, offsets)
     if not len(starts):
         return None
-    runs = list(sorted_runs(buffer, starts, ends, params.small_slice))
-    run = np.repeat(np.arange(len(runs)), [len(r) for r in runs])
-    pointer = np.concatenate(runs)
-    doc = np.searchsorted(offsets, starts[pointer], side="right") - 1
     names: dict = {}
-    group_of = np.array([names.setdefault(k, len(names)) for k in zip(langs, sources)])
+    group_of = np.array([names.setdefault(k, len(names)) for k in zip(langs, sources)], np.int32)
+    doc = np.searchsorted(offsets, starts, side="right") - 1
+    # pointers of a group side by side: the sort keeps their order within each run
+    place = np.argsort(group_of[doc], kind="stable")
+    starts, ends, doc = starts[place], ends[place], doc[place]
+    pointer, new_run = sorted_runs(buffer, starts, ends, params.small_slice)
+    doc = doc[pointer]
     group = group_of[doc]
-    place = np.lexsort((doc, group, run))
-    run, group, doc = run[place], group[place], doc[place]
-    new_group = np.concatenate([[True], (run[1:] != run[:-1]) | (group[1:] != group[:-1])])
-    new_doc = np.concatenate([[True], doc[1:] != doc[:-1]]) | new_group
+    new_group = new_run | np.concatenate([[True], group[1:] != group[:-1]])
+    new_doc = new_group | np.concatenate([[True], doc[1:] != doc[:-1]])
     first = np.flatnonzero(new_group)
-    head = np.array([r[0] for r in runs])
+    head = pointer[new_run]
     data = buffer.tobytes()
     terms = [data[s:e].decode("utf-8") for s, e in zip(starts[head].tolist(), ends[head].tolist())]
-    keys = list(names)
-    of = group[first].tolist()
+    keys, of = list(names), group[first].tolist()
+    run = (np.cumsum(new_run) - 1)[first].tolist()
     return pa.RecordBatch.from_arrays(
         [pa.array([keys[g][0] for g in of], pa.string()), pa.array([keys[g][1] for g in of], pa.string()),
-         pa.array([terms[r] for r in run[first].tolist()], pa.string()),
-         pa.array(np.diff(np.append(first, len(run))), pa.int64()),
+         pa.array([terms[r] for r in run], pa.string()), pa.array(np.diff(np.append(first, len(doc))), pa.int64()),
          pa.array(np.add.reduceat(new_doc.astype(np.int64), first), pa.int64())],
         names=["lang", "source", "term", "n", "docs"])
 

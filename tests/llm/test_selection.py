@@ -73,8 +73,10 @@ def test_runs_are_sorted_words():
     raw = np.frombuffer(b" ".join(words), np.uint8)
     for small in (1, 4, 100):
         starts, ends = divergence.token_pointers(raw, np.array([0, len(raw)]))
-        runs = list(divergence.sorted_runs(raw, starts, ends, small))
-        assert [[words[i] for i in r] for r in runs] == [[w] * n for w, n in sorted(Counter(words).items())]
+        order, new = divergence.sorted_runs(raw, starts, ends, small)
+        assert [words[i] for i in order] == sorted(words)
+        assert [words[i] for i in order[new]] == sorted(set(words))
+        assert all(a < b for a, b, n in zip(order, order[1:], new[1:]) if not n)
 
 
 def test_share_is_exact_beyond_products_of_64_bits():
