@@ -120,7 +120,6 @@ class Settings:
     min_samples: int = DBSCAN_MIN
     lof_k: int = LOF_K
     seed: int = 42
-    exact_quantiles: bool = True
 
 
 DEFAULT = Settings()

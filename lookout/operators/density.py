@@ -1,31 +1,39 @@
-"""1-D density detectors on a scaled feature: DBSCAN noise (D8), local
-outlier factor (D6), kernel novelty (D7) and the silhouette (D19).
+"""Density detectors on scaled features: DBSCAN noise (D8), local outlier
+factor (D6), kernel novelty (D7) and the silhouette (D19).
 
 Scale design
 ------------
-* Everything runs on the *histogram* of distinct values ``(x, cnt)``: a hot
+* Everything runs on the *histogram* of distinct values or points: a hot
   value holding a third of all rows is one histogram row.
-* Global order is never a single-task window. ``ordered_prefix`` buckets
-  values by approximate quantiles (``n_buckets`` boundaries, a parameter,
-  passed as one small array), takes running sums inside each bucket
-  partition and adds the bucket totals before it (a ``n_buckets``-row table).
-* Neighbourhoods use *halo* replication: a row is copied into every bucket
-  whose range it can reach (radius for range frames, k ranks for k-NN), so
-  each bucket partition holds everything its own rows need. Replication is
-  bounded by the number of buckets per row, never by the data.
+* Global order is never a single-task window: running sums go over sampled
+  ranges of the order (``operators.order``).
+* D8 in one dimension is a difference of running sums; in several, grid cells
+  whose diagonal is the radius: a cell of enough rows is all core, and only the
+  few points of thin cells are compared with their neighbour cells.
+* D7 takes the mean of random Fourier features: one aggregate of a fixed number
+  of sums, one projection, whatever the number of rows and features.
+* D6 walks k ranks to either side; a row is copied into the next block of
+  ranks only near the blocks' ends.
 """
 
 from __future__ import annotations
 
+import itertools
 import math
+from collections.abc import Iterator
 
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from lookout.operators.order import with_running_sums
+from lookout.operators.quantile import exact_quantile
 from lookout.session import cut_lineage
 
-N_BUCKETS = 64
 LOF_BLOCK = 4096
+FOURIER = 512   # random features of the kernel
+FOURIER_SEED = 42
 
 
 def one_row(agg: DataFrame) -> Column:
@@ -41,70 +49,44 @@ def histogram(df: DataFrame, x_col: str) -> DataFrame:
                        .agg(F.count(F.lit(1)).cast("bigint").alias("cnt")))
 
 
-def _with_bounds(hist: DataFrame, n_buckets: int) -> DataFrame:
-    probs = [i / n_buckets for i in range(1, n_buckets)]
-    bounds = hist.agg(F.percentile_approx("x", probs, 10000).alias("b")).scalar()
-    return hist.withColumn("_bounds", bounds)
+def ordered_prefix(hist: DataFrame, sums: dict[str, Column]) -> DataFrame:
+    """Inclusive running sums of ``sums`` over rows ordered by ``x``."""
+    return with_running_sums(hist, [F.asc("x")], sums)
 
 
-def _bucket_of(v: Column) -> Column:
-    return F.size(F.filter("_bounds", lambda b: b < v))
-
+# ------------------------------------------------------------------ D8
 
-def ordered_prefix(hist: DataFrame, sums: dict[str, Column], n_buckets: int = N_BUCKETS) -> DataFrame:
-    """Inclusive running sums of ``sums`` over rows ordered by ``x``.
+def sums_within(hist: DataFrame, weight: str, eps: float, name: str) -> DataFrame:
+    """Add ``name``: the sum of ``weight`` over all rows with ``x`` in [x - eps, x + eps].
 
-    Equal ``x`` values always share a bucket; within a bucket the order is
-    ``x`` (histogram rows have distinct ``x``).
+    Each row asks for the running sum at both ends of its interval; ends and
+    rows are put into one order, in which an interval's lower end stands before
+    a row of the same value and its upper end after it.
     """
-    # the bucket id is materialised (histogram-sized) before it is used as a
-    # grouping and window key, so no plan carries the bounds subquery into them
-    h = cut_lineage(_with_bounds(hist, n_buckets).withColumn("_bkt", _bucket_of(F.col("x"))).drop("_bounds"))
-    h = h.withColumns({f"_v_{k}": v for k, v in sums.items()})
-    w_in = Window.partitionBy("_bkt").orderBy("x").rowsBetween(Window.unboundedPreceding, 0)
-    h = h.withColumns({f"_in_{k}": F.sum(f"_v_{k}").over(w_in) for k in sums})
-    tot = h.groupBy("_bkt").agg(*[F.sum(f"_v_{k}").alias(f"_t_{k}") for k in sums])
-    w_b = Window.orderBy("_bkt").rowsBetween(Window.unboundedPreceding, -1)  # n_buckets rows only
-    tot = tot.select("_bkt", *[F.coalesce(F.sum(f"_t_{k}").over(w_b), F.lit(0)).alias(f"_b_{k}") for k in sums])
-    out = h.join(tot, "_bkt")
-    return out.select(*[c for c in hist.columns],
-                      *[(F.col(f"_b_{k}") + F.col(f"_in_{k}")).alias(k) for k in sums])
-
-
-def _halo_by_radius(hist: DataFrame, radius: float, n_buckets: int) -> DataFrame:
-    """Copies of every histogram row in each bucket within ``radius``."""
-    slack = radius * 1e-9 + 1e-12
-    h = _with_bounds(hist, n_buckets)
-    h = h.withColumns({"_home": _bucket_of(F.col("x")),
-                       "_lo": _bucket_of(F.col("x") - radius - slack),
-                       "_hi": _bucket_of(F.col("x") + radius + slack)})
-    return (h.withColumn("_band", F.explode(F.sequence("_lo", "_hi")))
-            .withColumn("_is_home", F.col("_band") == F.col("_home"))
-            .drop("_bounds", "_lo", "_hi", "_home"))
+    asks = F.array(F.struct((F.col("x") - eps).alias("v"), F.lit(0).alias("kind"), F.lit(0).cast("bigint").alias("w")),
+                   F.struct(F.col("x").alias("v"), F.lit(1).alias("kind"), F.col(weight).cast("bigint").alias("w")),
+                   F.struct((F.col("x") + eps).alias("v"), F.lit(2).alias("kind"), F.lit(0).cast("bigint").alias("w")))
+    marks = hist.select("x", F.explode(asks).alias("e")).select("x", "e.*")
+    run = with_running_sums(marks, [F.asc("v"), F.asc("kind")], {"_run": F.col("w")})
+    near = run.where("kind <> 1").groupBy("x").agg(
+        F.sum(F.when(F.col("kind") == 2, F.col("_run")).otherwise(-F.col("_run"))).cast("bigint").alias(name))
+    return hist.join(near, "x")
 
 
-# ------------------------------------------------------------------ D8
-
-def dbscan_noise(df: DataFrame, x_col: str, eps: float = 0.5, min_samples: int = 5,
-                 n_buckets: int = N_BUCKETS) -> DataFrame:
+def dbscan_noise(df: DataFrame, x_col: str, eps: float = 0.5, min_samples: int = 5) -> DataFrame:
     """Per distinct x, core (>= min_samples rows within eps, self
-    included) and noise (no core row within eps). Returns (x, cnt, core, noise)."""
-    hist = histogram(df, x_col)
-    # double-valued RANGE frame (the Python builder only takes integer offsets)
-    frame = f"OVER (PARTITION BY _band ORDER BY x RANGE BETWEEN {float(eps)!r} PRECEDING AND {float(eps)!r} FOLLOWING)"
-    halo = _halo_by_radius(hist, eps, n_buckets)
-    core = cut_lineage(halo.withColumn("_near", F.expr(f"sum(cnt) {frame}")).where("_is_home")
-                       .select("x", "cnt", (F.col("_near") >= min_samples).alias("core")))
-    halo2 = _halo_by_radius(core, eps, n_buckets)
-    noisy = (halo2.withColumn("_any_core", F.expr(f"max(CAST(core AS INT)) {frame}")).where("_is_home")
-             .select("x", "cnt", "core", (F.col("_any_core") == 0).alias("noise")))
-    return noisy
+    included) and noise (no core row within eps). Returns (x, cnt, core, noise).
+    Null and NaN values are left out."""
+    hist = histogram(df.where(F.col(x_col).isNotNull() & ~F.isnan(F.col(x_col).cast("double"))), x_col)
+    core = cut_lineage(sums_within(hist, "cnt", eps, "_near").select("x", "cnt", (F.col("_near") >= min_samples).alias("core")))
+    flagged = sums_within(core.withColumn("_core", F.col("core").cast("bigint")), "_core", eps, "_any")
+    return flagged.select("x", "cnt", "core", (F.col("_any") == 0).alias("noise"))
 
 
 # ------------------------------------------------------------------ D6
 
-def _rank(hist: DataFrame, n_buckets: int) -> DataFrame:
-    r = ordered_prefix(hist, {"_r1": F.lit(1).cast("bigint")}, n_buckets)
+def _rank(hist: DataFrame) -> DataFrame:
+    r = ordered_prefix(hist, {"_r1": F.lit(1).cast("bigint")})
     return r.withColumn("rank", F.col("_r1") - 1).drop("_r1")
 
 
@@ -154,8 +136,7 @@ def _knn_pass(ranked: DataFrame, k: int, block: int, include_self: bool | tuple,
     return cand.select(*[c for c in ranked.columns], *outs)
 
 
-def lof(df: DataFrame, x_col: str, k: int, contamination: float,
-        n_buckets: int = N_BUCKETS, block: int = LOF_BLOCK) -> DataFrame:
+def lof(df: DataFrame, x_col: str, k: int, contamination: float, block: int = LOF_BLOCK) -> DataFrame:
     """Novelty LOF on the training rows themselves.
 
     Fit neighbours exclude the row; scoring a training row includes it
@@ -163,7 +144,7 @@ def lof(df: DataFrame, x_col: str, k: int, contamination: float,
     Returns (x, cnt, lof_fit, lof_score, vote).
     """
     hist = histogram(df, x_col)
-    ranked = cut_lineage(_rank(hist, n_buckets))
+    ranked = cut_lineage(_rank(hist))
     p1 = _knn_pass(ranked, k, block, False, [])
     p1 = cut_lineage(p1.select(*ranked.columns, F.col("_knn.kdist_").alias("kdist")))
     p2 = _knn_pass(p1, k, block, False, ["kdist"])
@@ -172,42 +153,95 @@ def lof(df: DataFrame, x_col: str, k: int, contamination: float,
     lrd_sc = 1.0 / (F.col("_knn2.s_reach") / k + 1e-10)
     out = cut_lineage(both.select("x", "cnt", (F.col("_knn.s_lrd") / k / F.col("lrd")).alias("lof_fit"),
                                   (F.col("_knn2.s_lrd") / k / lrd_sc).alias("lof_score")))
-    offset = out.agg(F.percentile(-F.col("lof_fit"), float(contamination), F.col("cnt")).alias("o")).scalar()
+    offset = F.lit(exact_quantile(out, -F.col("lof_fit"), float(contamination), F.col("cnt"))).cast("double")
     return out.withColumn("vote", (-F.col("lof_score") < offset).cast("int"))
 
 
 # ------------------------------------------------------------------ D7
 
-def kernel_novelty(df: DataFrame, x_col: str, contamination: float, gamma: float | None = None,
-                   n_features: int = 1, n_buckets: int = N_BUCKETS) -> DataFrame:
-    """s(a) = mean over rows b of exp(-g (a-b)^2), vote = s < q_c(s).
+def fourier_features(d: int, gamma: float, n: int = FOURIER, seed: int = FOURIER_SEED) -> tuple[np.ndarray, np.ndarray]:
+    """Frequencies (n by d) and phases of the random Fourier features of exp(-gamma |a - b|^2)."""
+    rng = np.random.default_rng([seed, d])
+    return rng.standard_normal((n, d)) * math.sqrt(2.0 * gamma), rng.uniform(0.0, 2.0 * math.pi, n)
+
+
+def _waves(batch: pa.RecordBatch, d: int, freq: np.ndarray, phase: np.ndarray) -> Iterator[np.ndarray]:
+    """cos(frequency x + phase) of every row, some thousand rows at a time; the batch's first d columns are the features."""
+    x = np.column_stack([batch.column(i).to_numpy(zero_copy_only=False).astype(float) for i in range(d)])
+    for at in range(0, len(x), 4096):
+        yield np.cos(x[at:at + 4096] @ freq.T + phase)
+
+
+def feature_means(points: DataFrame, cols: list[str], freq: np.ndarray, phase: np.ndarray) -> np.ndarray:
+    """The mean feature vector over all rows (``cnt`` of each point): as many sums as features, from every task."""
+    d = len(cols)
+
+    def run(batches):
+        total, n = np.zeros(len(phase)), 0
+        for batch in batches:
+            cnt = batch.column(d).to_numpy(zero_copy_only=False)
+            for i, z in enumerate(_waves(batch, d, freq, phase)):
+                total += cnt[i * 4096:i * 4096 + len(z)] @ z
+            n += int(cnt.sum())
+        yield pa.RecordBatch.from_arrays([pa.array(range(len(phase)), pa.int32()), pa.array(total), pa.array([n] * len(phase), pa.int64())],
+                                         names=["k", "s", "n"])
+
+    own = points.select(*[F.col(c).cast("double") for c in cols], "cnt")
+    sums = own.mapInArrow(run, "k int, s double, n long").groupBy("k").agg(F.sum("s").alias("s"), F.sum("n").alias("n")).collect()
+    out = np.zeros(len(phase))
+    for r in sums:
+        out[r["k"]] = r["s"] / max(r["n"], 1)
+    return out
+
 
-    Pairs farther apart than sqrt(750/g) contribute exactly 0.0 in double
-    precision, so a band join of that radius gives the exact sum while
-    joining only histogram rows in neighbouring quantile buckets.
-    Returns (x, cnt, density, vote).
+def feature_density(points: DataFrame, cols: list[str], freq: np.ndarray, phase: np.ndarray, mean: np.ndarray) -> DataFrame:
+    """Add ``density``: twice the mean product of a point's features and the mean features."""
+    names, d = [f.name for f in points.schema.fields], len(cols)
+
+    def run(batches):
+        for batch in batches:
+            own = pa.RecordBatch.from_arrays([batch.column(names.index(c)) for c in cols], names=[str(i) for i in range(d)])
+            density = [2.0 / len(phase) * (z @ mean) for z in _waves(own, d, freq, phase)]
+            yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(np.concatenate(density) if density else np.zeros(0))],
+                                             names=[*names, "density"])
+
+    return points.mapInArrow(run, ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in points.schema.fields) + ", density double")
+
+
+def scale_gamma(df: DataFrame, cols: list[str]) -> float:
+    """1 / (features x variance of all feature values); one value."""
+    var = df.select(F.explode(F.array(*[F.col(c).cast("double") for c in cols])).alias("v")).agg(F.var_pop("v").alias("v")).first()["v"] or 0.0
+    return 1.0 / (len(cols) * var) if var > 0 else 1.0
+
+
+def kernel_novelty_nd(df: DataFrame, cols: list[str], contamination: float, gamma: float | None = None,
+                      n_features: int = FOURIER, seed: int = FOURIER_SEED) -> DataFrame:
+    """s(a) = mean over rows b of exp(-g |a - b|^2), estimated from random
+    Fourier features; vote = s < q_c(s).
+
+    The error of s is about sqrt(1 / (2 ``n_features``)) at most, the same for
+    equal points, and does not grow with the table. Rows with a null or NaN
+    feature are left out. Returns (cols..., cnt, density, vote).
     """
-    hist = histogram(df, x_col)
-    if gamma is None:
-        var = df.agg(F.var_pop(F.col(x_col)).alias("v")).first()["v"] or 0.0
-        gamma = 1.0 / (n_features * var) if var > 0 else 1.0
-    radius = math.sqrt(750.0 / gamma)
-    halo = _halo_by_radius(hist, radius, n_buckets)
-    home = halo.where("_is_home").select(F.col("x").alias("a"), F.col("cnt").alias("a_cnt"), "_band")
-    others = halo.select(F.col("x").alias("b"), F.col("cnt").alias("b_cnt"), "_band")
-    n = hist.agg(F.sum("cnt").alias("n")).scalar()
-    dens = (home.join(others, "_band")
-            .groupBy("a", "a_cnt")
-            .agg(F.sum(F.col("b_cnt") * F.exp(-gamma * (F.col("a") - F.col("b")) ** 2)).alias("_s"))
-            .select(F.col("a").alias("x"), F.col("a_cnt").alias("cnt"), (F.col("_s") / n).alias("density")))
-    dens = cut_lineage(dens)
-    q = dens.agg(F.percentile("density", float(contamination), F.col("cnt")).alias("q")).scalar()
-    return dens.withColumn("vote", (F.col("density") < q).cast("int"))
+    for c in cols:
+        df = df.where(F.col(c).isNotNull() & ~F.isnan(F.col(c).cast("double")))
+    gamma = scale_gamma(df, cols) if gamma is None else gamma
+    freq, phase = fourier_features(len(cols), gamma, n_features, seed)
+    pts = cut_lineage(df.groupBy(*cols).agg(F.count(F.lit(1)).cast("bigint").alias("cnt")))
+    mean = feature_means(pts, cols, freq, phase)
+    out = cut_lineage(feature_density(pts, cols, freq, phase, mean).withColumn("density", F.bround("density", 9)))
+    q = exact_quantile(out, F.col("density"), float(contamination), F.col("cnt"))
+    return out.withColumn("vote", (F.col("density") < F.lit(q).cast("double") - 1e-8).cast("int"))
+
+
+def kernel_novelty(df: DataFrame, x_col: str, contamination: float, gamma: float | None = None) -> DataFrame:
+    """D7 for one feature. Returns (x, cnt, density, vote)."""
+    return kernel_novelty_nd(df.select(F.col(x_col).alias("x")), ["x"], contamination, gamma)
 
 
 # ------------------------------------------------------------------ D19
 
-def silhouette_1d(df: DataFrame, x_col: str, label_col: str, n_buckets: int = N_BUCKETS) -> DataFrame:
+def silhouette_1d(df: DataFrame, x_col: str, label_col: str) -> DataFrame:
     """Mean silhouette (Euclidean, 1-D) of a two-label split, rounded to
     4; null unless both labels have >= 2 rows. Sums of |x - y| come from
     ordered prefix sums: sum_{y in S} |x-y| = x(2c - m) + T - 2P."""
@@ -215,7 +249,7 @@ def silhouette_1d(df: DataFrame, x_col: str, label_col: str, n_buckets: int = N_
     hist = df.groupBy(F.col(x_col).alias("x")).agg(
         F.count_if(lab == 1).cast("bigint").alias("c0"), F.count_if(lab != 1).cast("bigint").alias("c1"))
     pref = ordered_prefix(hist, {"pc0": F.col("c0"), "pc1": F.col("c1"),
-                                 "ps0": F.col("x") * F.col("c0"), "ps1": F.col("x") * F.col("c1")}, n_buckets)
+                                 "ps0": F.col("x") * F.col("c0"), "ps1": F.col("x") * F.col("c1")})
     tot = one_row(hist.agg(F.sum("c0").alias("m0"), F.sum("c1").alias("m1"),
                            F.sum(F.col("x") * F.col("c0")).alias("t0"),
                            F.sum(F.col("x") * F.col("c1")).alias("t1")))
@@ -240,63 +274,42 @@ def silhouette_1d(df: DataFrame, x_col: str, label_col: str, n_buckets: int = N_
 # ------------------------------------------------------------------ D8, N-D
 
 def dbscan_noise_nd(df: DataFrame, cols: list[str], eps: float = 0.5, min_samples: int = 5) -> DataFrame:
-    """D8 for several features: grid cells of side ``eps``; a point's
-    eps-neighbours lie in the 3^d surrounding cells, so neighbourhoods are an
-    equi-join on cell ids (no cross join). Distances compare squared sums
-    with eps^2. Returns (cols..., cnt, core, noise) per distinct point."""
-    import itertools
-    d = len(cols)
-    pts = cut_lineage(df.groupBy(*cols).agg(F.count(F.lit(1)).cast("bigint").alias("cnt"))
-                      .withColumn("cell", F.array(*[F.floor(F.col(c) / eps) for c in cols])))
-    offsets = F.array(*[F.array(*[F.lit(v).cast("bigint") for v in o])
-                        for o in itertools.product([-1, 0, 1], repeat=d)])
-    probe = pts.select(*[F.col(c).alias(f"a{i}") for i, c in enumerate(cols)],
-                       F.explode(F.transform(offsets, lambda o: F.zip_with("cell", o, lambda x, y: x + y)))
-                       .alias("ncell"))
-
-    def near(points: DataFrame) -> DataFrame:
-        base = points.select(*[F.col(c).alias(f"b{i}") for i, c in enumerate(cols)], "cnt", "cell", *(
-            ["core"] if "core" in points.columns else []))
-        pairs = probe.join(base, probe["ncell"] == base["cell"])
-        d2 = sum(((F.col(f"a{i}") - F.col(f"b{i}")) ** 2 for i in range(d)), F.lit(0.0))
-        return pairs.where(d2 <= eps * eps)
-
-    core = (near(pts).groupBy(*[f"a{i}" for i in range(d)]).agg(F.sum("cnt").alias("_n"))
-            .select(*[F.col(f"a{i}").alias(c) for i, c in enumerate(cols)], (F.col("_n") >= min_samples).alias("core")))
-    flagged = cut_lineage(pts.join(core, cols))
-    any_core = (near(flagged).groupBy(*[f"a{i}" for i in range(d)]).agg(F.max(F.col("core").cast("int")).alias("_c"))
-                .select(*[F.col(f"a{i}").alias(c) for i, c in enumerate(cols)], "_c"))
-    return flagged.join(any_core, cols).select(*cols, "cnt", "core", (F.col("_c") == 0).alias("noise"))
-
-
-# ------------------------------------------------------------------ D7, N-D
-
-def kernel_novelty_nd(df: DataFrame, cols: list[str], contamination: float, gamma: float | None = None) -> DataFrame:
-    """D7 for several features: s(a) = mean_b exp(-g |a-b|^2) with
-    g = 1 / (d * variance of all feature values). Points more than
-    sqrt(750/g) apart in any coordinate contribute exactly 0.0, so only the
-    3^d neighbouring cells of that side are joined (equi-join on cell ids).
-    Returns (cols..., cnt, density, vote)."""
-    import itertools
+    """D8 for several features, on grid cells of side eps / sqrt(d).
+
+    Two points of one cell are never farther apart than eps, so a cell of
+    ``min_samples`` rows is all core. The points of thinner cells, fewer than
+    ``min_samples`` a cell, are compared with the points of the cells that may
+    be in reach (an equi-join on cell ids): a cell's points meet a fixed number
+    of others, however many rows it holds. Distances compare squared sums with
+    eps^2. Rows with a null or NaN feature are left out. Returns
+    (cols..., cnt, core, noise) per distinct point.
+    """
     d = len(cols)
-    if gamma is None:
-        var = df.select(F.explode(F.array(*[F.col(c).cast("double") for c in cols])).alias("v")) \
-            .agg(F.var_pop("v").alias("v")).first()["v"] or 0.0
-        gamma = 1.0 / (d * var) if var > 0 else 1.0
-    side = math.sqrt(750.0 / gamma)
-    pts = cut_lineage(df.groupBy(*cols).agg(F.count(F.lit(1)).cast("bigint").alias("cnt"))
-                      .withColumn("cell", F.array(*[F.floor(F.col(c) / side) for c in cols])))
-    offsets = F.array(*[F.array(*[F.lit(v).cast("bigint") for v in o])
-                        for o in itertools.product([-1, 0, 1], repeat=d)])
-    probe = pts.select(*[F.col(c).alias(f"a{i}") for i, c in enumerate(cols)],
-                       F.explode(F.transform(offsets, lambda o: F.zip_with("cell", o, lambda x, y: x + y)))
-                       .alias("ncell"))
-    base = pts.select(*[F.col(c).alias(f"b{i}") for i, c in enumerate(cols)], F.col("cnt").alias("b_cnt"), "cell")
+    for c in cols:
+        df = df.where(F.col(c).isNotNull() & ~F.isnan(F.col(c).cast("double")))
+    side = eps / math.sqrt(d) * (1.0 - 1e-9)
+    points = df.groupBy(*cols).agg(F.count(F.lit(1)).cast("bigint").alias("cnt")) \
+        .withColumn("cell", F.array(*[F.floor(F.col(c) / side) for c in cols]))
+    cells = points.groupBy("cell").agg((F.sum("cnt") >= min_samples).alias("dense"))
+    points = cut_lineage(points.join(cells, "cell"))
+    reach = math.ceil(math.sqrt(d) * (1.0 + 1e-9))
+    # cells whose nearest corners are in reach
+    near = [o for o in itertools.product(range(-reach, reach + 1), repeat=d)
+            if sum(max(abs(x) - 1, 0) ** 2 for x in o) * side * side <= eps * eps]
+    offsets = F.array(*[F.array(*[F.lit(v).cast("bigint") for v in o]) for o in near])
+    thin = points.where("NOT dense").select(*[F.col(c).alias(f"a{i}") for i, c in enumerate(cols)], F.explode(
+        F.transform(offsets, lambda o: F.zip_with("cell", o, lambda x, y: x + y))).alias("cell"))
+    other = points.select(*[F.col(c).alias(f"b{i}") for i, c in enumerate(cols)], "cnt", "dense", "cell")
     d2 = sum(((F.col(f"a{i}") - F.col(f"b{i}")) ** 2 for i in range(d)), F.lit(0.0))
-    n = pts.agg(F.sum("cnt").alias("n")).scalar()
-    dens = (probe.join(base, probe["ncell"] == base["cell"])
-            .groupBy(*[f"a{i}" for i in range(d)]).agg(F.sum(F.col("b_cnt") * F.exp(-gamma * d2)).alias("_s"))
-            .select(*[F.col(f"a{i}").alias(c) for i, c in enumerate(cols)], "_s"))
-    out = cut_lineage(pts.join(dens, cols).select(*cols, "cnt", (F.col("_s") / n).alias("density")))
-    q = out.agg(F.percentile("density", float(contamination), F.col("cnt")).alias("q")).scalar()
-    return out.withColumn("vote", (F.col("density") < q).cast("int"))
+    mine = [F.col(f"a{i}").alias(c) for i, c in enumerate(cols)]
+    met = cut_lineage(thin.join(other, "cell").where(d2 <= eps * eps))
+    counted = met.groupBy(*[f"a{i}" for i in range(d)]).agg(F.sum("cnt").alias("n"), F.max("dense").alias("by_dense")) \
+        .select(*mine, (F.col("n") >= min_samples).alias("core"), "by_dense")
+    counted = cut_lineage(counted)
+    # thin points that only thin points may rescue from noise
+    cores = counted.where("core").select(*[F.col(c).alias(f"b{i}") for i, c in enumerate(cols)])
+    rescued = met.join(cores, [f"b{i}" for i in range(d)], "left_semi").select(*mine).distinct().withColumn("by_thin", F.lit(True))
+    flags = counted.join(rescued, cols, "left").select(*cols, F.col("core").alias("_core"), (F.col("by_dense") | F.col("by_thin").isNotNull()).alias("_near"))
+    return points.join(flags, cols, "left").select(
+        *cols, "cnt", (F.col("dense") | F.coalesce("_core", F.lit(False))).alias("core"),
+        (~(F.col("dense") | F.coalesce("_core", F.lit(False)) | F.coalesce("_near", F.lit(False)))).alias("noise"))

@@ -32,7 +32,7 @@ def detect(df: DataFrame, settings: Settings = DEFAULT, state: RunState | None =
     df = cut_lineage(df)
     feats = S.resolve_features(df)
     first = feats[0]
-    stats = S.attach(S.global_stats(df, feats, settings.exact_quantiles))
+    stats = S.attach(S.global_stats(df, feats))
     base_thr = state.thresholds or settings.thresholds
     cont = float(S.contamination(df, first, float(base_thr.get(first, 50.0))).first()[0])
     if state.thresholds is None:
@@ -55,7 +55,7 @@ def detect(df: DataFrame, settings: Settings = DEFAULT, state: RunState | None =
         votes = votes.withColumn("v_lof", F.lit(0))
     xf = ["x_" + f for f in feats]
     if len(feats) == 1:
-        ker = density.kernel_novelty(x, xcol, cont, n_features=1).select(
+        ker = density.kernel_novelty(x, xcol, cont).select(
             F.col("x").alias("_kx"), F.col("vote").alias("v_svm"))
         votes = votes.join(ker, votes[xcol] == ker["_kx"], "left").drop("_kx")
     else:

@@ -21,6 +21,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.types import (DoubleType, IntegerType, LongType, StructField, StructType)
 
+from lookout.operators.quantile import exact_quantile
 from lookout.session import cut_lineage
 
 EULER = 0.5772156649
@@ -144,10 +145,10 @@ def score_forest(df: DataFrame, trees: DataFrame, feats: list[str], psi: int,
 def forest_votes(scored: DataFrame, contamination: float, raw_col: str = "if_raw") -> DataFrame:
     """Vote = raw < percentile(raw, contamination); continuous = 1 - minmax(raw),
     or the vote itself when all raws are equal."""
-    agg = scored.agg(F.percentile(raw_col, float(contamination)).alias("q"),
-                     F.min(raw_col).alias("lo"), F.max(raw_col).alias("hi"))
+    q = F.lit(exact_quantile(scored, F.col(raw_col), float(contamination))).cast("double")
+    agg = scored.agg(F.min(raw_col).alias("lo"), F.max(raw_col).alias("hi"))
     st = agg.select(F.struct(*agg.columns)).scalar()
-    vote = (F.col(raw_col) < st["q"]).cast("int")
+    vote = F.coalesce(F.col(raw_col) < q, F.lit(False)).cast("int")
     cont = F.when(st["hi"] > st["lo"], 1 - (F.col(raw_col) - st["lo"]) / (st["hi"] - st["lo"])) \
         .otherwise(vote.cast("double"))
     return scored.withColumns({"v_if": vote, "cont_if": cont})

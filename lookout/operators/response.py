@@ -222,13 +222,6 @@ def add_blocked(current: Column, additions: Column) -> Column:
     return F.aggregate(additions, current, step)
 
 
-def remove_status(state: DataFrame, requests: DataFrame, key: str, item: str) -> DataFrame:
-    """Per request, removed (present in the stored list) or not found."""
-    present = state.select(key, F.explode("ips").alias(item)).distinct().withColumn("_hit", F.lit(True))
-    return (requests.join(present, [key, item], "left")
-            .withColumn("statut", F.when(F.col("_hit"), "DÉBLOQUÉE").otherwise("NON_TROUVÉE")).drop("_hit"))
-
-
 def next_rule_number(acl: DataFrame, key: str, num: str, egress: str, start: int = C.ACL_FIRST_RULE) -> DataFrame:
     """Smallest unused number >= start among ingress entries, per ACL."""
     used = acl.where(~F.col(egress)).select(key, num).distinct()

@@ -4,22 +4,20 @@
   the bounded history (newest 50) is a rank limit on read.
 * Corpus text, content ids (md5) and metadata are column expressions;
   the dedupe is a global ``dropDuplicates`` on the id (hash shuffle).
-* Nearest-k search: the query batch (bounded, size checked) travels as one
-  array; each corpus row computes its distances to every query map-side
-  (no join), and the per-query top-k is a rank limit that Spark applies
-  per partition before the shuffle.
+* Nearest-k search: parts of the corpus meet blocks of the queries; a task
+  returns only the k best of each query, ranked once more at the end.
 """
 
 from __future__ import annotations
 
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from lookout.config import CORPUS_BLANKS, CORPUS_PRIORITY_FIELDS, HISTORY_KEEP
 from lookout.functions.text import strip
 
-MAX_QUERY_BATCH = 100_000
-
 # superset alarm schema: older sessions carry a ``feature`` field
 ALARM = ("struct<timestamp:string,type:string,feature:string,valeur:double,seuil:double,ip:string,"
          "message:string,severite:string>")
@@ -125,21 +123,61 @@ def write_corpus(corpus: DataFrame, path: str) -> None:
 
 # ------------------------------------------------------------------ M7
 
-def nearest(corpus: DataFrame, queries: DataFrame, k: int = 3, id_col: str = "vec_id",
-            vec_col: str = "embedding", qid_col: str = "qid") -> DataFrame:
-    """M7: the k nearest corpus vectors (squared L2, ties by id) per query."""
-    n_q = queries.count()
-    if n_q > MAX_QUERY_BATCH:
-        raise ValueError(f"query batch of {n_q} rows exceeds {MAX_QUERY_BATCH}; split it")
-    qarr = queries.agg(F.collect_list(F.struct(F.col(qid_col).alias("qid"),
-                                               F.col(vec_col).alias("q"))).alias("qs")).scalar()
-    c = corpus.select(id_col, F.transform(vec_col, lambda x: x.cast("double")).alias("_v"))
-    c = c.withColumn("_qs", qarr)
-    dists = F.transform("_qs", lambda qq: F.struct(
-        qq["qid"].alias("qid"),
-        F.aggregate(F.zip_with("_v", qq["q"], lambda a, b: (a - b.cast("double")) * (a - b.cast("double"))),
-                    F.lit(0.0), lambda acc, x: acc + x).alias("d")))
-    pairs = c.select(id_col, F.explode(dists).alias("p")).select(
-        F.col("p.qid").alias(qid_col), id_col, F.col("p.d").alias("dist"))
-    w = Window.partitionBy(qid_col).orderBy("dist", id_col)
-    return pairs.withColumn("rank", F.row_number().over(w)).where(F.col("rank") <= k)
+def _best(dist: np.ndarray, ids: np.ndarray, k: int) -> tuple[np.ndarray, np.ndarray]:
+    """(query, row) of each query's k least distances, ties by id; ``dist`` is rows by queries."""
+    last = min(k, len(dist)) - 1
+    near = dist <= np.partition(dist, last, axis=0)[last]
+    row, query = np.nonzero(near)
+    order = np.lexsort((ids[row], dist[row, query], query))
+    row, query = row[order], query[order]
+    first = np.searchsorted(query, query)
+    keep = np.arange(len(query)) - first < k
+    return query[keep], row[keep]
+
+
+def _block_distances(corpus: pa.Table, queries: pa.Table, k: int) -> pa.Table:
+    """The k nearest rows of one part of the corpus, for each query of one block."""
+    schema = pa.schema([("qid", pa.int64()), ("id", pa.int64()), ("dist", pa.float64())])
+    if not corpus.num_rows or not queries.num_rows:
+        return schema.empty_table()
+    rows, asks = (np.array(t.column("v").to_pylist(), float) for t in (corpus, queries))
+    ids, qids = corpus.column("id").to_numpy(), queries.column("qid").to_numpy()
+    found = []
+    step = max(1, (1 << 21) // len(asks))
+    for at in range(0, len(rows), step):
+        part = rows[at:at + step]
+        dist = np.zeros((len(part), len(asks)))
+        for i in range(rows.shape[1]):  # summed in the vector's order, so that equal distances stay equal
+            dist += (part[:, i:i + 1] - asks[None, :, i]) ** 2
+        query, row = _best(dist, ids[at:at + step], k)
+        found.append((query, ids[at + row], dist[row, query]))
+    query, own, dist = (np.concatenate(x) for x in zip(*found))
+    order = np.lexsort((own, dist, query))
+    query, own, dist = query[order], own[order], dist[order]
+    keep = np.arange(len(query)) - np.searchsorted(query, query) < k
+    return pa.table([qids[query[keep]], own[keep], dist[keep]], schema=schema)
+
+
+def nearest(corpus: DataFrame, queries: DataFrame, k: int = 3, id_col: str = "vec_id", vec_col: str = "embedding",
+            qid_col: str = "qid", part_rows: int = 1 << 15, block_rows: int = 1 << 10) -> DataFrame:
+    """M7: the k nearest corpus vectors (squared L2, ties by id) per query.
+
+    The corpus is dealt to parts and the queries to blocks, both of about a
+    fixed number of rows; a task computes one part's distances to one block and
+    returns k rows a query. So there may be any number of queries, and at most
+    queries x parts x k rows are ranked. Rows and queries without a vector have
+    no distance and do not appear; ids are whole numbers.
+    """
+    rows = corpus.where(F.col(id_col).isNotNull() & F.col(vec_col).isNotNull()) \
+        .select(F.col(id_col).cast("bigint").alias("id"), F.col(vec_col).cast("array<double>").alias("v"))
+    asks = queries.where(F.col(qid_col).isNotNull() & F.col(vec_col).isNotNull()) \
+        .select(F.col(qid_col).cast("bigint").alias("qid"), F.col(vec_col).cast("array<double>").alias("v"))
+    parts, blocks = (F.greatest(F.ceil(t.agg(F.count(F.lit(1)).alias("n")).scalar() / size), F.lit(1))
+                     for t, size in ((rows, part_rows), (asks, block_rows)))
+    dealt = rows.withColumn("part", F.pmod(F.xxhash64("id"), parts)).withColumn("block", F.explode(F.sequence(F.lit(0).cast("bigint"), blocks - 1)))
+    asked = asks.withColumn("block", F.pmod(F.xxhash64("qid"), blocks)).withColumn("part", F.explode(F.sequence(F.lit(0).cast("bigint"), parts - 1)))
+    found = dealt.groupBy("part", "block").cogroup(asked.groupBy("part", "block")).applyInArrow(
+        lambda c, q: _block_distances(c, q, k), "qid long, id long, dist double")
+    w = Window.partitionBy("qid").orderBy("dist", "id")
+    return found.withColumn("rank", F.row_number().over(w)).where(F.col("rank") <= k) \
+        .select(F.col("qid").alias(qid_col), F.col("id").alias(id_col), "dist", "rank")

@@ -19,6 +19,8 @@ from lookout.config import (BLACKLIST_SCORE, DEFAULT_MODEL_WEIGHTS, DEFAULT_THRE
                             FEATURE_WEIGHTS, FEATURES, LAYER_WEIGHTS, LEVELS, NIGHT_HOURS,
                             SEV_CRITICAL, SEV_WARNING)
 from lookout.functions.fmt import py_fixed
+from lookout.operators.order import with_running_sums
+from lookout.operators.quantile import exact_quantiles
 
 
 # ------------------------------------------------------------------ D1, J2
@@ -34,15 +36,17 @@ def resolve_features(df: DataFrame) -> list[str]:
     return numeric
 
 
-def global_stats(df: DataFrame, feats: list[str], exact_quantiles: bool = True) -> DataFrame:
-    """One-row statistics of every feature (J2 input)."""
+def global_stats(df: DataFrame, feats: list[str], quantiles: bool = True) -> DataFrame:
+    """One-row statistics of every feature (J2 input); the 99 % quantile is exact, found by distributed selection."""
     aggs = [F.count(F.lit(1)).alias("n")]
     for f in feats:
         v = F.col(f).cast("double")
-        q = F.percentile(v, 0.99) if exact_quantiles else F.percentile_approx(v, 0.99, 100000)
-        aggs += [F.avg(v).alias(f"{f}__mean"), F.stddev_pop(v).alias(f"{f}__std_pop"),
-                 F.stddev_samp(v).alias(f"{f}__std"), q.cast("double").alias(f"{f}__q99")]
-    return df.agg(*aggs)
+        aggs += [F.avg(v).alias(f"{f}__mean"), F.stddev_pop(v).alias(f"{f}__std_pop"), F.stddev_samp(v).alias(f"{f}__std")]
+    stats = df.agg(*aggs)
+    if not quantiles:
+        return stats
+    found = exact_quantiles(df, [F.col(f) for f in feats], [0.99])
+    return stats.withColumns({f"{f}__q99": F.lit(q[0]).cast("double") for f, q in zip(feats, found)})
 
 
 def attach(stats: DataFrame) -> Column:
@@ -273,7 +277,7 @@ def critical_ips(scored: DataFrame, ip_col: str = "IP_Source") -> DataFrame:
 def updated_thresholds(df: DataFrame, feats: list[str], old: dict | None = None) -> DataFrame:
     """Per feature, round(.7*old + .3*(mean + 2*std), 2) when std > 0 and n > 30."""
     old = old or DEFAULT_THRESHOLDS
-    stats = global_stats(df, feats)
+    stats = global_stats(df, feats, quantiles=False)
     rows = []
     for f in feats:
         o = F.lit(_threshold(old, f))
@@ -297,7 +301,5 @@ def session_performance(scored: DataFrame, blacklist_size: Column, silhouette: C
 
 def training_counters(history: DataFrame, order_col: str, n_col: str) -> DataFrame:
     """Cumulative sessions and samples after each training."""
-    from pyspark.sql import Window
-    w = Window.orderBy(order_col).rowsBetween(Window.unboundedPreceding, 0)
-    return history.select(order_col, F.count(F.lit(1)).over(w).cast("bigint").alias("sessions"),
-                          F.sum(n_col).over(w).cast("bigint").alias("total_samples"))
+    sums = with_running_sums(history, [F.asc(order_col)], {"_sessions": F.lit(1), "_samples": F.col(n_col)})
+    return sums.select(order_col, F.col("_sessions").cast("bigint").alias("sessions"), F.col("_samples").cast("bigint").alias("total_samples"))

@@ -13,6 +13,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from lookout.functions.text import strip
+from lookout.operators.order import with_global_rank, with_previous
 
 
 def top_k(df: DataFrame, score_col: str, tie_col: str, k: int) -> DataFrame:
@@ -52,14 +53,10 @@ def newest(df: DataFrame, order_col: str, n: int) -> DataFrame:
 
 
 def session_delta(df: DataFrame, order_col: str, value_col: str, tol: float = 0.001) -> DataFrame:
-    """Change against the previous session (nulls as 0) and a trend label.
-
-    The history table is one row per session (bounded by retention), so a
-    single ordered window over it is cheap.
-    """
-    prev = F.lag(value_col).over(Window.orderBy(order_col))
-    delta = F.coalesce(F.col(value_col), F.lit(0.0)) - F.coalesce(prev, F.lit(0.0))
-    return (df.withColumn("delta", delta)
+    """Change against the previous session (nulls as 0) and a trend label."""
+    rows = with_previous(df, [F.asc(order_col)], value_col, "_previous")
+    delta = F.coalesce(F.col(value_col), F.lit(0.0)) - F.coalesce(F.col("_previous"), F.lit(0.0))
+    return (rows.withColumn("delta", delta).drop("_previous")
             .withColumn("trend", F.when(F.col("delta") > tol, "up")
                         .when(F.col("delta") < -tol, "down").otherwise("stable")))
 
@@ -75,6 +72,5 @@ def first_seen_order(df: DataFrame, key: str, session_col: str, pos_col: str) ->
     """Order-preserving union of per-session lists: each key once, at its
     first (session, position)."""
     first = df.groupBy(key).agg(F.min(F.struct(session_col, pos_col)).alias("_k"))
-    return first.select(key, F.date_format(F.col("_k")[session_col], "yyyy-MM-dd").alias("first_seen"),
-                        F.row_number().over(Window.orderBy(F.col("_k")[session_col], F.col("_k")[pos_col]))
-                        .cast("bigint").alias("pos"))
+    ranked = with_global_rank(first, [F.asc(F.col("_k")[session_col]), F.asc(F.col("_k")[pos_col])], "pos")
+    return ranked.select(key, F.date_format(F.col("_k")[session_col], "yyyy-MM-dd").alias("first_seen"), "pos")

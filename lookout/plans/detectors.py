@@ -24,7 +24,7 @@ def wire_features(spark, sf):
 
 def scaled(spark, sf):
     f = features(spark, sf)
-    return S.scale(f, ["Nombre_Tentatives"], S.attach(S.global_stats(f, ["Nombre_Tentatives"])))
+    return S.scale(f, ["Nombre_Tentatives"], S.attach(S.global_stats(f, ["Nombre_Tentatives"], quantiles=False)))
 
 
 def contamination_of(df) -> float:
@@ -75,7 +75,7 @@ SELECT IP_Source, CAST(core AS INT) AS core, CAST(noise AS INT) AS noise FROM nz
 def d8_dbscan_noise_2d(spark, sf):
     f = features(spark, sf)
     feats = ["Nombre_Tentatives", "Nombre_Erreurs"]
-    x = S.scale(f, feats, S.attach(S.global_stats(f, feats)))
+    x = S.scale(f, feats, S.attach(S.global_stats(f, feats, quantiles=False)))
     xs = ["x_" + c for c in feats]
     h = density.dbscan_noise_nd(x, xs, DEFAULT.eps, DEFAULT.min_samples)
     return x.join(h, xs).select("IP_Source", F.col("core").cast("int").alias("core"),
@@ -118,12 +118,27 @@ def d6_lof_vote(spark, sf):
 
 # ------------------------------------------------------------------ D7
 
+def fourier_sql(cols: list[str], gamma: str) -> str:
+    """Kernel densities of relation ``x`` from the same random features: CTEs ending in ``dn``.
+
+    Frequencies of gamma 1 are scaled by the root of the table's gamma.
+    """
+    freq, phase = density.fourier_features(len(cols), 1.0)
+    rows = ", ".join("(" + ", ".join(map(repr, [k, *map(float, freq[k]), float(phase[k])])) + ")" for k in range(len(phase)))
+    names = ", ".join(["k", *[f"w{i}" for i in range(len(cols))], "b"])
+    wave = "cos(" + " + ".join(f"x.{c} * (ff.w{i} * sqrt(gm.g))" for i, c in enumerate(cols)) + " + ff.b)"
+    return f"""gm AS (SELECT {gamma} AS g),
+ff AS (SELECT * FROM (VALUES {rows}) AS v({names})),
+wv AS (SELECT IP_Source, k, {wave} AS z FROM x CROSS JOIN ff CROSS JOIN gm),
+mz AS (SELECT k, avg(z) AS m FROM wv GROUP BY k),
+dn AS (SELECT IP_Source, 2.0 / {len(phase)} * sum(z * m) AS density FROM wv JOIN mz USING (k) GROUP BY IP_Source)"""
+
+
 @register("d7_kernel_vote", f"""WITH {X_SQL},
-gm AS (SELECT CASE WHEN var_pop(x) > 0 THEN 1.0 / var_pop(x) ELSE 1.0 END AS g FROM x),
-dn AS (SELECT a.IP_Source, avg(exp(-(SELECT g FROM gm) * (a.x - b.x) * (a.x - b.x))) AS density
-  FROM x a CROSS JOIN x b GROUP BY a.IP_Source),
-{quantile_sql('qd', 'dn', 'density', '(SELECT c FROM st)')}
-SELECT IP_Source, round_even(density, 6) AS density, CAST(density < (SELECT q FROM qd) AS INT) AS vote FROM dn""",
+{fourier_sql(["x"], "(SELECT CASE WHEN var_pop(x) > 0 THEN 1.0 / var_pop(x) ELSE 1.0 END FROM x)")},
+dr AS (SELECT IP_Source, round_even(density, 9) AS density FROM dn),
+{quantile_sql('qd', 'dr', 'density', '(SELECT c FROM st)')}
+SELECT IP_Source, round_even(density, 6) AS density, CAST(density < (SELECT q FROM qd) - 1e-8 AS INT) AS vote FROM dr""",
           views=("v_ip",))
 def d7_kernel_vote(spark, sf):
     x = scaled(spark, sf)
@@ -143,16 +158,15 @@ x AS (SELECT IP_Source, (CAST(Nombre_Tentatives AS DOUBLE) - m0) / CASE WHEN s0
 
 @register("d7_kernel_vote_2d", f"""WITH {X2_SQL},
 vv AS (SELECT var_pop(v) AS v FROM (SELECT x0 AS v FROM x UNION ALL SELECT x1 FROM x)),
-gm AS (SELECT CASE WHEN v > 0 THEN 1.0 / (2 * v) ELSE 1.0 END AS g FROM vv),
-dn AS (SELECT a.IP_Source, avg(exp(-(SELECT g FROM gm) * ((a.x0 - b.x0) * (a.x0 - b.x0) + (a.x1 - b.x1) * (a.x1 - b.x1))))
-  AS density FROM x a CROSS JOIN x b GROUP BY a.IP_Source),
-{quantile_sql('qd', 'dn', 'density', '(SELECT c FROM st)')}
-SELECT IP_Source, round_even(density, 6) AS density, CAST(density < (SELECT q FROM qd) AS INT) AS vote FROM dn""",
+{fourier_sql(["x0", "x1"], "(SELECT CASE WHEN v > 0 THEN 1.0 / (2 * v) ELSE 1.0 END FROM vv)")},
+dr AS (SELECT IP_Source, round_even(density, 9) AS density FROM dn),
+{quantile_sql('qd', 'dr', 'density', '(SELECT c FROM st)')}
+SELECT IP_Source, round_even(density, 6) AS density, CAST(density < (SELECT q FROM qd) - 1e-8 AS INT) AS vote FROM dr""",
           views=("v_ip",))
 def d7_kernel_vote_2d(spark, sf):
     f = features(spark, sf)
     feats = ["Nombre_Tentatives", "Nombre_Erreurs"]
-    x = S.scale(f, feats, S.attach(S.global_stats(f, feats)))
+    x = S.scale(f, feats, S.attach(S.global_stats(f, feats, quantiles=False)))
     xs = ["x_" + c for c in feats]
     res = density.kernel_novelty_nd(x, xs, contamination_of(f))
     return x.join(res, xs).select("IP_Source", F.bround("density", 6).alias("density"),
@@ -184,7 +198,7 @@ def perf_row(spark, sf):
     from lookout.plans.scoring import blacklist, scored_from
     f = features(spark, sf)
     sc = scored_from(f, blacklist(spark, sf))
-    st = S.attach(S.global_stats(f, ["Nombre_Tentatives"]))
+    st = S.attach(S.global_stats(f, ["Nombre_Tentatives"], quantiles=False))
     lab = S.scale(sc, ["Nombre_Tentatives"], st).withColumn(
         "label", F.when(F.col("score_raw") >= 0.3, -1).otherwise(1))
     sil = density.silhouette_1d(lab, X, "label").scalar()

@@ -16,6 +16,7 @@ from lookout.plans.catalog import register
 from lookout.plans.events import CANON_SQL, UNIFIED_SQL, canonical_wire, structured_lines, unified_events
 from lookout.session import ensure_checkpoint_dir
 from lookout.sources import files as S
+from lookout.plans.response import R1_SQL
 from lookout.sources import tables as T
 
 
@@ -189,17 +190,14 @@ def s14_transfer_report(spark, sf):
     return S.transfer_report(manifests(spark, sf))
 
 
-@register("s15_report_records", """WITH r AS (SELECT event_id,
-  CASE WHEN event_id % 8 IN (0, 1) THEN ip WHEN event_id % 8 = 2 THEN 'multiple' END AS aip FROM v_payload)
-SELECT 'rapports/alarme_' || translate(aip, './', '__') || '.json' AS report_key,
-  to_json(struct_pack(event_id := event_id, ip := aip)) AS record FROM r WHERE aip IS NOT NULL""", views=("v_payload",))
+@register("s15_report_records", f"""WITH {R1_SQL}
+SELECT 'rapports/alarme_' || translate(ip, './', '__') || '.json' AS report_key,
+  to_json(struct_pack(event_id := event_id, pos := pos, ip := ip)) AS record FROM r1 WHERE status = 'ALARM'""", views=("v_payload",))
 def s15_report_records(spark, sf):
     from lookout.operators import response as R
     al = R.parse_alarms(T.v_payload(spark, sf), keys=["event_id"])
-    json_alarms = al.where((F.col("status") == "ALARM") & (F.col("pos") == 0)
-                           & ~F.col("type").isin("ANOMALIE", "SURVEILLANCE_NORMALE"))
-    recs = json_alarms.select(F.concat(F.lit("rapports/alarme_"), R.safe_key("ip"), F.lit(".json")).alias("report_key"),
-                              F.to_json(F.struct("event_id", "ip")).alias("record"))
+    recs = al.where(F.col("status") == "ALARM").select(F.concat(F.lit("rapports/alarme_"), R.safe_key("ip"), F.lit(".json")).alias("report_key"),
+                              F.to_json(F.struct("event_id", "pos", "ip")).alias("record"))
     root = scratch(spark, "reports")
     for half in (0, 1, 0):  # two runs with reports of their own, the first one retried
         S.write_reports(recs.where(F.crc32("report_key") % 2 == half), "report_key", root)

@@ -6,10 +6,12 @@ from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 from lookout import config as C
+from lookout.operators import blocked as B
 from lookout.operators import response as R
 from lookout.operators import scoring as S
 from lookout.plans.catalog import register, sql_like_any, sql_list
 from lookout.plans.scoring import q as scored_sql, ALARMS_SQL, alarm_table, blacklist, features, scored_from
+from lookout.session import scratch
 from lookout.sources import tables as T
 
 WS = "' ' || chr(9) || chr(10) || chr(13) || chr(11) || chr(12)"
@@ -180,65 +182,78 @@ def r8_cidr(spark, sf):
 
 # ---------------------------------------------------------------- blocked-address tables
 
-def stored_lists(spark, sf):
-    """Per group, the stored blocked list as its tag text: the newest 10
-    ingress CIDRs (a tag holds at most 256 chars), JSON text for even
-    groups, comma text for odd ones; then parsed back (R9 input)."""
-    r = T.v_rules(spark, sf).where(~F.col("egress"))
-    w = Window.partitionBy("grp").orderBy(F.desc("rule_id"))
-    newest = r.withColumn("_k", F.row_number().over(w)).where(F.col("_k") <= C.TAG_KEEP)
-    lists = newest.groupBy("grp").agg(F.transform(F.array_sort(F.collect_list(F.struct("rule_id", "cidr"))),
-                                                  lambda x: x["cidr"]).alias("l"))
-    even = F.split_part(F.col("grp"), F.lit("-"), F.lit(2)).cast("int") % 2 == 0
-    text = F.when(even, F.to_json("l")).otherwise(F.array_join("l", ","))
-    return lists.select("grp", R.parse_tag_list(text).alias("ips"))
-
-
-STORED_SQL = """st0 AS (SELECT grp, rule_id, cidr FROM v_rules WHERE NOT egress
-  QUALIFY row_number() OVER (PARTITION BY grp ORDER BY rule_id DESC) <= 10),
-stored AS (SELECT grp, list(cidr ORDER BY rule_id) AS ips FROM st0 GROUP BY grp)"""
-
-
-@register("r9_blocked_add", f"""WITH {STORED_SQL},
-adds AS (SELECT grp, list(cidr ORDER BY rule_id) AS a FROM v_rules WHERE egress GROUP BY grp),
-j AS (SELECT coalesce(s.grp, a.grp) AS grp, coalesce(s.ips, []) AS ips, coalesce(a.a, []) AS a FROM stored s FULL JOIN adds a USING (grp)),
-f AS (SELECT grp, list_reduce(a, lambda lst, ip:
-    CASE WHEN 2 + list_sum(list_transform(CASE WHEN list_contains(lst, ip) THEN lst ELSE list_append(lst, ip) END, lambda x: length(x) + 2))
-              + 2 * (len(CASE WHEN list_contains(lst, ip) THEN lst ELSE list_append(lst, ip) END) - 1) > 256
-         THEN (CASE WHEN list_contains(lst, ip) THEN lst ELSE list_append(lst, ip) END)[-10:]
-         ELSE CASE WHEN list_contains(lst, ip) THEN lst ELSE list_append(lst, ip) END END, ips) AS fin FROM j)
-SELECT grp, CAST(len(fin) AS INT) AS n, array_to_string(fin, ',') AS ips FROM f""", views=("v_rules",))
+def stored_state(spark, sf):
+    """Version 1: every ingress address of every group, in the order of its first rule."""
+    ingress = T.v_rules(spark, sf).where(~F.col("egress"))
+    return B.add(B.empty_state(spark), ingress, 1, "rule_id")
+
+
+def requests(spark, sf):
+    """Egress rules stand for requested changes."""
+    return T.v_rules(spark, sf).where(F.col("egress")).select("grp", "cidr", "rule_id")
+
+
+def next_state(spark, sf):
+    """Version 2 after the additions, published and read back; a retried publication replaces its version."""
+    root = scratch(spark, "blocked")
+    B.publish(stored_state(spark, sf), root, 1)
+    for _ in range(2):
+        B.publish(B.add(B.load(spark, root, 1), requests(spark, sf), 2, "rule_id"), root, 2)
+    return B.load(spark, root, 2)
+
+
+STORED_SQL = """stored AS (SELECT grp, cidr, 1 AS version, min(rule_id) AS place FROM v_rules WHERE NOT egress GROUP BY 1, 2),
+req AS (SELECT grp, cidr, min(rule_id) AS place FROM v_rules WHERE egress GROUP BY 1, 2),
+state2 AS (SELECT * FROM stored UNION ALL SELECT grp, cidr, 2, place FROM req ANTI JOIN stored USING (grp, cidr))"""
+
+
+@register("r9_blocked_add", f"WITH {STORED_SQL} SELECT grp, cidr, version, place FROM state2", views=("v_rules",))
 def r9_blocked_add(spark, sf):
-    stored = stored_lists(spark, sf)
-    adds = (T.v_rules(spark, sf).where(F.col("egress")).groupBy("grp")
-            .agg(F.transform(F.array_sort(F.collect_list(F.struct("rule_id", "cidr"))), lambda x: x["cidr"]).alias("a")))
-    j = stored.join(adds, "grp", "full").select(
-        "grp", F.coalesce("ips", F.array().cast("array<string>")).alias("ips"),
-        F.coalesce("a", F.array().cast("array<string>")).alias("a"))
-    fin = R.add_blocked(F.col("ips"), F.col("a"))
-    return j.select("grp", F.size(fin).cast("int").alias("n"), F.array_join(fin, ",").alias("ips"))
-
-
-@register("r10_blocked_remove", f"""WITH {STORED_SQL},
-present AS (SELECT DISTINCT grp, unnest(ips) AS cidr FROM stored),
-req AS (SELECT DISTINCT grp, cidr FROM v_rules WHERE egress)
-SELECT req.grp, req.cidr, CASE WHEN p.cidr IS NOT NULL THEN 'DÉBLOQUÉE' ELSE 'NON_TROUVÉE' END AS statut
-FROM req LEFT JOIN present p ON p.grp = req.grp AND p.cidr = req.cidr""", views=("v_rules",))
+    return next_state(spark, sf)
+
+
+@register("r9_tag_text", f"""WITH {STORED_SQL},
+k AS (SELECT *, row_number() OVER (PARTITION BY grp ORDER BY version DESC, place DESC, cidr DESC) AS r FROM state2),
+t AS (SELECT grp, '["' || string_agg(cidr, '", "' ORDER BY r DESC) || '"]' AS whole,
+  '["' || string_agg(CASE WHEN r <= 10 THEN cidr END, '", "' ORDER BY r DESC) || '"]' AS newest FROM k GROUP BY grp)
+SELECT grp, CASE WHEN length(whole) <= 256 THEN whole ELSE newest END AS tag FROM t""", views=("v_rules",))
+def r9_tag_text(spark, sf):
+    return B.tag_text(next_state(spark, sf))
+
+
+@register("r10_blocked_remove", f"""WITH {STORED_SQL}
+SELECT req.grp, req.cidr, CASE WHEN s.cidr IS NOT NULL THEN 'DÉBLOQUÉE' ELSE 'NON_TROUVÉE' END AS statut
+FROM req LEFT JOIN stored s ON s.grp = req.grp AND s.cidr = req.cidr""", views=("v_rules",))
 def r10_blocked_remove(spark, sf):
-    req = T.v_rules(spark, sf).where(F.col("egress")).select("grp", "cidr").distinct()
-    return R.remove_status(stored_lists(spark, sf), req, "grp", "cidr").select("grp", "cidr", "statut")
+    wanted = requests(spark, sf).select("grp", "cidr").distinct()
+    return B.removal_status(stored_state(spark, sf), wanted).select("grp", "cidr", "statut")
+
+
+@register("r10_state", f"WITH {STORED_SQL} SELECT grp, cidr, version, place FROM stored ANTI JOIN req USING (grp, cidr)", views=("v_rules",))
+def r10_state(spark, sf):
+    return B.remove(stored_state(spark, sf), requests(spark, sf))
+
+
+@register("r11_membership", f"""WITH {STORED_SQL}, asked AS (SELECT DISTINCT r.grp, '10.0.' || CAST(r.rule_id % 5 AS VARCHAR) || '.'
+  || CAST(r.rule_id % 49 AS VARCHAR) || '/32' AS cidr FROM v_rules r)
+SELECT a.grp, a.cidr, coalesce(s.version, 0) AS since, s.version IS NOT NULL AS bloquee FROM asked a LEFT JOIN state2 s ON s.grp = a.grp AND s.cidr = a.cidr""",
+          views=("v_rules",))
+def r11_membership(spark, sf):
+    k = F.col("rule_id")
+    asked = T.v_rules(spark, sf).select("grp", F.concat(F.lit("10.0."), (k % 5).cast("string"), F.lit("."), (k % 49).cast("string"),
+                                                        F.lit("/32")).alias("cidr")).distinct()
+    return B.membership(next_state(spark, sf), asked).select("grp", "cidr", "since", "bloquee")
 
 
 @register("r11_blocked_summary", f"""WITH {STORED_SQL},
-ing AS (SELECT grp, count(*) AS n FROM v_rules WHERE NOT egress GROUP BY grp)
-SELECT s.grp, CAST(len(ips) AS INT) AS nb_ips_bloquees, array_to_string(ips, ',') AS ips_bloquees,
-  CAST(i.n AS BIGINT) AS regles_entree FROM stored s JOIN ing i USING (grp)""", views=("v_rules",))
+ing AS (SELECT grp, count(*) AS n FROM v_rules WHERE NOT egress GROUP BY grp),
+b AS (SELECT grp, count(*) AS n, max(version) AS v FROM state2 GROUP BY grp)
+SELECT b.grp, CAST(b.n AS BIGINT) AS nb_ips_bloquees, b.v AS derniere_version, CAST(coalesce(ing.n, 0) AS BIGINT) AS regles_entree
+FROM b LEFT JOIN ing USING (grp)""", views=("v_rules",))
 def r11_blocked_summary(spark, sf):
-    ing = T.v_rules(spark, sf).where(~F.col("egress")).groupBy("grp").agg(
-        F.count(F.lit(1)).cast("bigint").alias("regles_entree"))
-    st = stored_lists(spark, sf)
-    return st.join(ing, "grp").select("grp", F.size("ips").cast("int").alias("nb_ips_bloquees"),
-                                      F.array_join("ips", ",").alias("ips_bloquees"), "regles_entree")
+    ing = T.v_rules(spark, sf).where(~F.col("egress")).groupBy("grp").agg(F.count(F.lit(1)).cast("bigint").alias("n"))
+    return B.summary(next_state(spark, sf)).join(ing, "grp", "left").select(
+        "grp", "nb_ips_bloquees", "derniere_version", F.coalesce("n", F.lit(0)).alias("regles_entree"))
 
 
 @register("r12_next_rule_number", """WITH used AS (SELECT DISTINCT grp, rule_number FROM v_rules WHERE NOT egress),
@@ -289,17 +304,17 @@ def _group_meta_cols():
         "name": F.when(gid % 10 == 0, F.lit("default")).when(gid % 7 == 0, F.concat(F.lit("launch-wizard-"), gid.cast("string")))
                  .otherwise(F.col("grp")),
         "description": F.when(gid % 3 == 0, F.lit("linux host")).when(gid % 5 == 0, F.lit("supervision")).otherwise(F.lit("")),
-        "tag_name": F.when(gid % 11 == 0, F.lit("PFE")).otherwise(F.lit(""))}
+        "tag_name": F.when(gid % 11 == 0, F.lit("SOCLE")).otherwise(F.lit(""))}
 
 
 GROUPS_SQL = """g AS (SELECT DISTINCT grp, CAST(split_part(grp, '-', 2) AS INT) AS gid FROM v_rules),
 gm AS (SELECT grp, gid, CASE WHEN gid % 10 = 0 THEN 'default' WHEN gid % 7 = 0 THEN 'launch-wizard-' || CAST(gid AS VARCHAR) ELSE grp END AS name,
   CASE WHEN gid % 3 = 0 THEN 'linux host' WHEN gid % 5 = 0 THEN 'supervision' ELSE '' END AS description,
-  CASE WHEN gid % 11 = 0 THEN 'PFE' ELSE '' END AS tag_name FROM g),
+  CASE WHEN gid % 11 = 0 THEN 'SOCLE' ELSE '' END AS tag_name FROM g),
 ssh AS (SELECT grp, bool_or((proto = '-1' OR (from_port <= 22 AND 22 <= to_port)) AND cidr IS NOT NULL) AS ssh_open FROM v_rules GROUP BY grp),
 sc AS (SELECT gm.*, coalesce(ssh.ssh_open, false) AS ssh_open,
   (CASE WHEN name <> 'default' THEN 2 ELSE 0 END) + (CASE WHEN coalesce(ssh.ssh_open, false) THEN 10 ELSE 0 END)
-  + (CASE WHEN lower(name || description || tag_name) LIKE '%pfe%' THEN 15 ELSE 0 END)
+  + (CASE WHEN lower(name || description || tag_name) LIKE '%socle%' THEN 15 ELSE 0 END)
   + (CASE WHEN lower(name || description || tag_name) LIKE '%linux%' THEN 8 ELSE 0 END)
   + (CASE WHEN lower(name || description || tag_name) LIKE '%supervision%' THEN 8 ELSE 0 END)
   + (CASE WHEN lower(name) LIKE '%launch-wizard%' THEN 5 ELSE 0 END) AS score FROM gm LEFT JOIN ssh USING (grp))"""
@@ -309,7 +324,7 @@ def group_table(spark, sf):
     r = T.v_rules(spark, sf)
     gid, meta = _group_meta_cols()
     groups = r.select("grp").distinct().withColumn("gid", gid).withColumns(meta)
-    return R.group_scores(r, groups, {"pfe": 15, "linux": 8, "supervision": 8})
+    return R.group_scores(r, groups, {"socle": 15, "linux": 8, "supervision": 8})
 
 
 @register("k5_group_scores", f"WITH {GROUPS_SQL} SELECT grp, ssh_open, CAST(score AS INT) AS score FROM sc",

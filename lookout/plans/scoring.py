@@ -163,7 +163,7 @@ SELECT IP_Source, round_even(({d('Nombre_Tentatives')} - m_0) / CASE WHEN sp_0 =
 FROM f CROSS JOIN st""", views=VIEWS)
 def d2_standard_scaling(spark, sf):
     f = features(spark, sf)
-    out = S.scale(f, FEATS, S.attach(S.global_stats(f, FEATS)))
+    out = S.scale(f, FEATS, S.attach(S.global_stats(f, FEATS, quantiles=False)))
     return out.select("IP_Source", *[F.bround("x_" + x, 6).alias("x_" + x) for x in FEATS])
 
 

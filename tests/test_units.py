@@ -96,7 +96,7 @@ def _lof_brute(x, k):
 def test_lof_matches_brute_force_with_ties_and_duplicates(spark):
     vals = [1, 1, 1, 2, 3, 3, 5, 8, 8, 9, 10, 12, 30, 31, 100]
     df = spark.createDataFrame([(float(v),) for v in vals], "v double")
-    res = {r.x: r for r in density.lof(df, "v", 4, 0.1, n_buckets=4, block=4).collect()}
+    res = {r.x: r for r in density.lof(df, "v", 4, 0.1, block=4).collect()}
     fit, score = _lof_brute(np.array(vals, dtype=float), 4)
     for i, v in enumerate(vals):
         assert res[float(v)].lof_fit == pytest.approx(fit[i], rel=1e-9)
@@ -111,25 +111,26 @@ def test_dbscan_small_n_is_all_noise(spark):
 def test_dbscan_core_and_border(spark):
     xs = [0.0, 0.1, 0.2, 0.3, 0.4, 0.8, 3.0]
     df = spark.createDataFrame([(x,) for x in xs], "x double")
-    res = {r.x: (r.core, r.noise) for r in density.dbscan_noise(df, "x", n_buckets=3).collect()}
+    res = {r.x: (r.core, r.noise) for r in density.dbscan_noise(df, "x").collect()}
     assert res[0.2] == (True, False)
     assert res[0.8] == (False, False)   # border: a core point lies within 0.5
     assert res[3.0] == (False, True)
 
 
-def test_kernel_density_exact(spark):
+def test_kernel_density_near_the_exact_one(spark):
     xs = np.array([0.0, 0.5, 1.0, 1.0, 4.0, 40.0])
-    df = spark.createDataFrame([(float(x),) for x in xs], "x double")
-    res = {r.x: r.density for r in density.kernel_novelty(df, "x", 0.2, gamma=0.5, n_buckets=3).collect()}
+    df = spark.createDataFrame([(float(x),) for x in xs] + [(None,), (float("nan"),)], "x double")
+    res = {r.x: r.density for r in density.kernel_novelty(df, "x", 0.2, gamma=0.5).collect()}
+    assert set(res) == set(xs)
     for a in set(xs):
-        assert res[a] == pytest.approx(np.mean(np.exp(-0.5 * (a - xs) ** 2)), rel=1e-12)
+        assert res[a] == pytest.approx(np.mean(np.exp(-0.5 * (a - xs) ** 2)), abs=4 / np.sqrt(2 * density.FOURIER))
 
 
 def test_silhouette_matches_pairwise(spark):
     xs = [0.0, 0.2, 0.3, 5.0, 5.5, 6.0, 6.1]
     labels = [1, 1, 1, -1, -1, -1, -1]
     df = spark.createDataFrame(list(zip(xs, labels)), "x double, label int")
-    got = density.silhouette_1d(df, "x", "label", n_buckets=2).first().silhouette
+    got = density.silhouette_1d(df, "x", "label").first().silhouette
     s = []
     for i, (xi, li) in enumerate(zip(xs, labels)):
         own = [abs(xi - xj) for j, (xj, lj) in enumerate(zip(xs, labels)) if lj == li and j != i]
@@ -267,16 +268,17 @@ def test_dbscan_nd_matches_brute_force(spark):
         assert got[(float(a), float(b))] == (bool(core[i]), bool(noise[i]))
 
 
-def test_kernel_nd_matches_brute_force(spark):
-    rng = np.random.default_rng(5)
-    pts = np.round(np.concatenate([rng.normal(0, 1, (40, 2)), rng.normal(8, 1, (5, 2)), [[60.0, -60.0]]]), 2)
-    df = spark.createDataFrame([(float(a), float(b)) for a, b in pts], "x double, y double")
-    g = 1.0 / (2 * pts.var())
-    got = {(r.x, r.y): r.density for r in density.kernel_novelty_nd(df, ["x", "y"], 0.1).collect()}
-    d2 = ((pts[:, None, :] - pts[None, :, :]) ** 2).sum(-1)
-    want = np.exp(-g * d2).mean(1)
-    for i, (a, b) in enumerate(pts):
-        assert got[(float(a), float(b))] == pytest.approx(want[i], rel=1e-9, abs=1e-300)
+def test_kernel_nd_near_the_exact_one(spark):
+    rng = np.random.default_rng(3)
+    pts = np.round(rng.normal(size=(150, 3)), 1)
+    pts[0] = 9.0
+    df = spark.createDataFrame([tuple(map(float, p)) for p in pts], "a double, b double, c double")
+    rows = density.kernel_novelty_nd(df, ["a", "b", "c"], 0.05).collect()
+    g = 1.0 / (3 * pts.var())
+    for r in rows:
+        want = np.mean(np.exp(-g * ((pts - [r.a, r.b, r.c]) ** 2).sum(1)))
+        assert r.density == pytest.approx(want, abs=4 / np.sqrt(2 * density.FOURIER))
+    assert [r.vote for r in rows if r.a == 9.0] == [1]
 
 
 def test_run_state_rerun_replaces(spark):
