@@ -31,7 +31,7 @@ lines AS (
   SELECT doc_id, source, th, trim(l) AS line, len(string_split(trim(l), ' ')) AS words
   FROM (SELECT doc_id, source, th, unnest(string_split(regexp_replace(regexp_replace(lower(t), '[^\p{{L}}\p{{N}}\n]+', ' ', 'g'),
         '\p{{N}}', '0', 'g'), chr(10))) AS l FROM d) WHERE trim(l) <> ''),
-common AS (SELECT source, line FROM lines GROUP BY 1, 2 HAVING count(DISTINCT th) > 20),
+common AS (SELECT source, line FROM lines GROUP BY 1, 2 HAVING count(DISTINCT (doc_id, th)) > 20),
 per AS (
   SELECT l.doc_id, sum(l.words) AS line_words, sum(l.words) FILTER (WHERE c.line IS NOT NULL) AS removed
   FROM lines l LEFT JOIN common c ON l.line = c.line AND l.source IS NOT DISTINCT FROM c.source GROUP BY 1),

@@ -57,9 +57,16 @@ def normalised_lines(text: Column) -> Column:
     return F.split(F.regexp_replace(plain, r"\p{N}", "0"), "\n")
 
 
-def line_counts(lines: DataFrame) -> DataFrame:
-    """Distinct documents by host and line, for rows (``host``, ``text_hash``, ``line``): copies of a text count once."""
-    return lines.groupBy("host", "line").agg(F.count_distinct("text_hash").alias("documents"))
+def line_counts(lines: DataFrame, documents: DataFrame) -> DataFrame:
+    """Distinct documents by host and line.
+
+    ``lines`` has rows (``host``, ``text_hash``, ``line``), one text's lines once
+    however many documents hold it; ``documents`` (``host``, ``text_hash``, ``n``)
+    tells how many those are.
+    """
+    held = lines.select("host", "text_hash", "line").distinct().alias("l") \
+        .join(documents.alias("d"), F.expr("l.host <=> d.host AND l.text_hash = d.text_hash"))
+    return held.groupBy("l.host", "l.line").agg(F.sum("d.n").alias("documents"))
 
 
 def without_lines(text: Column, dropped: Column) -> Column:
@@ -81,8 +88,9 @@ def apply_rules(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", hos
     whole text), the base measures (of the whole text), ``base_failed``,
     ``removed_words`` (words in removed lines, as normalised), ``line_words``
     (words in all lines) and ``kept``. A null text has no words and fails; a
-    null host is a host of its own; exact copies of a text count once for a line, and
-    repeated rows get equal verdicts.
+    null host is a host of its own. Rows of equal id, host and text are one
+    document and get equal verdicts; copies of a text under other ids are
+    documents of their own, as are null ids all together.
     """
     own = docs.select(F.col(doc_id).alias("doc_id"), F.col(text).alias("text"), F.xxhash64(text).alias("text_hash"),
                       F.col(host).alias("host"))
@@ -94,7 +102,8 @@ def apply_rules(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", hos
     texts = own.select("host", "text_hash", hashed.alias("lines")).groupBy("host", "text_hash").agg(F.first("lines").alias("lines"))
     lines = written(texts.select("host", "text_hash", F.explode("lines").alias("l")).select("host", "text_hash", "l.*"),
                     "quality-lines")
-    common = written(line_counts(lines).where(F.col("documents") > params.max_documents).select("host", "line"), "quality-common")
+    documents = own.select("host", "text_hash", "doc_id").distinct().groupBy("host", "text_hash").agg(F.count(F.lit(1)).alias("n"))
+    common = written(line_counts(lines, written(documents, "quality-documents")).where(F.col("documents") > params.max_documents).select("host", "line"), "quality-common")
     hit = lines.alias("l").join(common.alias("c"), F.expr("l.host <=> c.host AND l.line = c.line"))
     removed = written(hit.groupBy("l.host", "l.text_hash").agg(
         F.sum("l.words").alias("removed_words"), F.collect_list("l.place").alias("dropped")), "quality-removed")

@@ -11,7 +11,7 @@ as parameters allow, and the finished tree is a column expression.
 
 from __future__ import annotations
 
-from dataclasses import dataclass
+from dataclasses import dataclass, replace
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
@@ -21,12 +21,13 @@ from lookout.llm.mixing import KEY_BITS, document_key
 
 KEY = "_key"
 ALL_KEYS = (1 << KEY_BITS) - 1
-LEAST = -1e300  # stands for a null of a dimension
+MOST = 1e300  # greater values of a dimension count as this one
 
 
 @dataclass(frozen=True)
 class ShardParams:
     shards: int = 40
+    target_bytes: int | None = None  # if given, as many shards as keep them near this size, in place of ``shards``
     bins: int = 256         # histogram bins of one refinement
     slot_bits: int = 8      # each shard is numbered in 2^slot_bits parts
 
@@ -67,9 +68,24 @@ class _Node:
 
 
 def text_code(text: Column) -> Column:
-    """A number that orders strings as their first six bytes do; null comes first."""
-    first = F.rpad(F.substring(F.hex(F.encode(F.coalesce(text, F.lit("")), "utf-8")), 1, 12), 12, "0")
-    return F.when(text.isNull(), F.lit(-1.0)).otherwise(F.conv(first, 16, 10).cast("double"))
+    """A number for each distinct string, whatever prefixes strings share; null stays null."""
+    return F.when(text.isNotNull(), F.xxhash64(text).cast("double"))
+
+
+def _finite(value: Column) -> Column:
+    """NaN as null, and no value beyond ``MOST``."""
+    value = value.cast("double")
+    return F.when(value.isNotNull() & ~F.isnan(value), F.greatest(F.least(value, F.lit(MOST)), F.lit(-MOST)))
+
+
+def _null_places(rows: DataFrame, names: list[str]) -> dict[str, float]:
+    """A value just below the least real one of each dimension, so that nulls lie at its edge and hardly widen it."""
+    ends = rows.agg(*[f(n).alias(f"{k}_{n}") for n in names for k, f in (("lo", F.min), ("hi", F.max))]).first()
+    out = {}
+    for n in names:
+        low, high = ends[f"lo_{n}"], ends[f"hi_{n}"]
+        out[n] = 0.0 if low is None else low - max(high - low, abs(low), 1.0) * 1e-9
+    return out
 
 
 def _pick(values: list, kind: str, node: Column) -> Column:
@@ -172,17 +188,22 @@ def shard(docs: DataFrame, dims: dict[str, Column], doc_id: str = "doc_id", text
 
     ``dims`` names the metadata dimensions (numeric, double). A row's size is
     its text's UTF-8 bytes plus 16. Adds ``size``, ``shard`` and ``slot`` (its
-    gapless place in the shard, by key) to all columns of the rows. Null values
-    of a dimension count as the smallest double; a null text has size 16. Rows
-    of equal id and text have one key and stay together. An empty table gives
-    an empty result.
+    gapless place in the shard, by key) to all columns of the rows. Nulls and
+    NaN of a dimension lie just below its least value; a null text has size 16.
+    Rows of equal id and text have one key and stay together. An empty table
+    gives an empty result.
     """
     names = [f"_dim{i}" for i in range(len(dims))]
-    marks = {n: F.coalesce(c.cast("double"), F.lit(LEAST)) for n, c in zip(names, dims.values())}
+    marks = {n: _finite(c) for n, c in zip(names, dims.values())}
     marks |= {"size": F.coalesce(F.octet_length(text), F.lit(0)).cast("bigint") + 16,
               KEY: document_key(F.col(doc_id), F.col(text))}
     marked = docs.drop("shard", "slot", "size").withColumns(marks)
     rows = written(marked.select("size", KEY, *names), "shard-rows")
+    nulls = _null_places(rows, names)
+    rows, marked = rows.fillna(nulls), marked.fillna(nulls)
+    if params.target_bytes is not None:
+        total = rows.agg(F.sum("size").alias("s")).first()["s"] or 0
+        params = replace(params, shards=max(1, -(-total // params.target_bytes)))
     levels = grow(rows, names, params)
 
     def placed(df: DataFrame) -> DataFrame:

@@ -105,6 +105,13 @@ def test_texts_lose_their_common_lines_only(spark):
     assert got[30]["text"] == rows[25][1] and got[31]["text"] is None and got[32]["text"] == ""
 
 
+def test_copies_of_a_text_are_documents_of_their_own(spark):
+    rows = [(i, "subscribe to our letter\n" + PROSE, "en", "a") for i in range(21)] + [(50, "subscribe to our letter\n" + PROSE, "en", "b")] * 30
+    got = {r["doc_id"]: r for r in quality.apply_rules(_docs(spark, rows)).collect()}
+    assert all(got[i]["removed_words"] > 0 and not got[i]["kept"] for i in range(21))
+    assert got[50]["removed_words"] == 0  # one document, however often its row is repeated
+
+
 # -- conversations ----------------------------------------------------------------
 def test_only_maximal_conversations_stay(spark):
     talks = {1: ["a", "b"], 2: ["a", "b", "c"], 3: ["a", "b", "c"], 4: ["a", "x"], 5: ["b"], 6: [None, "a"], 7: [str(i) for i in range(3000)],
@@ -136,6 +143,66 @@ def test_mix_comes_near_targets(spark):
     assert (out["taken"] <= 3 * out["size"]).all() and (out["taken"].where(out["size"] > 0, 0) % out["size"].clip(lower=1) == 0).all()
 
 
+# -- sharding -----------------------------------------------------------------------
+def brute_tree(rows, shards, dims):
+    """(key, shard) of rows (size, key, *values): widest dimension, cut where the sum comes to the goal, rows of one value and key together."""
+    span = [max(r[2 + k] for r in rows) - min(r[2 + k] for r in rows) for k in range(dims)]
+    out = {}
+
+    def cut(own, first, n):
+        if n == 1 or not own:
+            out.update({(r[1], r[2:]): first for r in own})
+            return
+        wide = [(max(r[2 + k] for r in own) - min(r[2 + k] for r in own)) / (span[k] or 1.0) for k in range(dims)]
+        d = max(range(dims), key=lambda k: (wide[k], -k))
+        goal, below, left = sum(r[0] for r in own) * (n // 2) / n, 0, set()
+        for place in sorted({(r[2 + d], r[1]) for r in own}):
+            size = sum(r[0] for r in own if (r[2 + d], r[1]) == place)
+            if below + size < goal:
+                left.add(place)
+                below += size
+                continue
+            if below + size - goal < goal - below:
+                left.add(place)
+            break
+        cut([r for r in own if (r[2 + d], r[1]) in left], first, n // 2)
+        cut([r for r in own if (r[2 + d], r[1]) not in left], first + n // 2, n - n // 2)
+
+    cut(rows, 0, shards)
+    return out
+
+
+@pytest.mark.parametrize("shards, bins", [(7, 4), (16, 256)])
+def test_tree_equals_brute_force(spark, shards, bins):
+    docs = spark.read.parquet(f"{SF_SMALL}/documents.parquet").unionByName(
+        spark.createDataFrame([(None, None, None, None, None), (900, "x", "en", "https://long.common.prefix/a", 1), (901, "x y", "en", "https://long.common.prefix/b", 1)],
+                              "doc_id long, text string, lang string, source string, n_chars long"))
+    odd = sharding.document_dims(docs) | {"odd": F.when(F.col("doc_id") % 5 == 0, F.lit(float("nan"))).when(F.col("doc_id") % 7 > 0, F.col("doc_id") % 7.0)}
+    got = sharding.shard(docs, odd, params=sharding.ShardParams(shards=shards, bins=bins))
+    marks = docs.select(F.coalesce(F.octet_length("text"), F.lit(0)).cast("long") + 16, sharding.document_key(F.col("doc_id"), F.col("text")).alias("k"),
+                        *[sharding._finite(c).alias(n) for n, c in odd.items()])
+    fill = sharding._null_places(marks, list(odd))
+    rows = [tuple(r) for r in marks.fillna(fill).collect()]
+    want = brute_tree(rows, shards, len(odd))
+    key = {(r["doc_id"], r["text"]): r["k"] for r in docs.select("doc_id", "text", sharding.document_key(F.col("doc_id"), F.col("text")).alias("k")).collect()}
+    shard_of = {k: s for (k, _), s in want.items()}
+    assert {key[r["doc_id"], r["text"]]: r["shard"] for r in got.collect()} == shard_of
+
+
+def test_nulls_and_nan_leave_the_tree_whole(spark):
+    rows = [(i, "w " * (i % 50), "en", f"s{i}") for i in range(200)]
+    plain = sharding.shard(_docs(spark, rows), {"id": F.col("doc_id").cast("double")}, params=sharding.ShardParams(shards=8))
+    with_null = _docs(spark, rows + [(None, None, None, None)])
+    more = sharding.shard(with_null, {"id": F.col("doc_id").cast("double")}, params=sharding.ShardParams(shards=8))
+    a, b = ({r["doc_id"]: r["shard"] for r in x.collect()} for x in (plain, more))
+    assert sum(a[i] != b[i] for i in range(200)) <= 8 and b[None] == 0
+    nan = sharding.shard(_docs(spark, rows), {"n": F.lit(float("nan"))}, params=sharding.ShardParams(shards=2))
+    assert nan.groupBy("shard").count().count() == 2
+    target = sharding.shard(_docs(spark, rows), {"id": F.col("doc_id").cast("double")}, params=sharding.ShardParams(target_bytes=2000))
+    sizes = [r["s"] for r in target.groupBy("shard").agg(F.sum("size").alias("s")).collect()]
+    assert max(sizes) <= 2300 and len(sizes) == -(-sum(sizes) // 2000)
+
+
 # -- secrets ------------------------------------------------------------------------
 def test_every_secret_of_a_word_is_a_candidate(spark):
     aws, git, key = "AKIA" + "Q7Z2" * 4, "ghp_" + "a1B2c3D4e5" * 4, "zX9kLm3Qw7Tp"
