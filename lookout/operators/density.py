@@ -90,7 +90,8 @@ def _rank(hist: DataFrame) -> DataFrame:
     return r.withColumn("rank", F.col("_r1") - 1).drop("_r1")
 
 
-def _halo_by_rank(ranked: DataFrame, k: int, block: int) -> DataFrame:
+def halo_by_rank(ranked: DataFrame, k: int, block: int = LOF_BLOCK) -> DataFrame:
+    """Copies of rows near a block's ends in the block next to it, so that each block holds k ranks beyond its own."""
     blk = F.floor(F.col("rank") / block)
     pos = F.col("rank") % block
     bands = F.array_compact(F.array(
@@ -99,60 +100,65 @@ def _halo_by_rank(ranked: DataFrame, k: int, block: int) -> DataFrame:
             .withColumn("_is_home", F.col("_band") == F.col("_home")).drop("_home"))
 
 
-def _knn_pass(ranked: DataFrame, k: int, block: int, include_self: bool | tuple, extra: list[str]) -> DataFrame:
-    """For every distinct x: walk its candidates (ranks within +-k) by
-    (distance, value), take row copies until k, and accumulate kth distance,
-    sum of reach distances and sum of neighbour lrd. ``include_self`` may be
-    a pair: both walks then share one window pass (``_knn`` and ``_knn2``)."""
-    halo = _halo_by_rank(ranked, k, block)
-    w = Window.partitionBy("_band").orderBy("rank").rowsBetween(-k, k)
-    fields = ["x", "cnt", "rank"] + extra
-    cand = halo.withColumn("_c", F.collect_list(F.struct(*fields)).over(w)).where("_is_home")
-    me_x, me_r = F.col("x"), F.col("rank")
-
-    def walk(with_self: bool) -> Column:
-        def entry(c):
-            avail = c["cnt"] if with_self else F.when(c["rank"] == me_r, c["cnt"] - 1).otherwise(c["cnt"])
-            kd = c["kdist"] if "kdist" in extra else F.lit(0.0)
-            lrd = c["lrd"] if "lrd" in extra else F.lit(0.0)
-            return F.struct(F.abs(c["x"] - me_x).alias("d"), c["x"].alias("v"), avail.alias("avail"),
-                            kd.alias("kd"), lrd.alias("lrd"))
+def walk_neighbours(candidates: Column, x: Column, k: int, available) -> Column:
+    """Walk candidates by (distance, value) and take row copies until k.
 
-        ordered = F.array_sort(F.transform("_c", entry))
-        init = F.struct(F.lit(0).cast("bigint").alias("taken"), F.lit(0.0).alias("kdist_"),
-                        F.lit(0.0).alias("s_reach"), F.lit(0.0).alias("s_lrd"))
+    ``available`` gives the copies of a candidate that may be taken. Returns the
+    kth distance and the sums of reach distances and of neighbour densities.
+    """
+    ordered = F.array_sort(F.transform(candidates, lambda c: F.struct(
+        F.abs(c["x"] - x).alias("d"), c["x"].alias("v"), available(c).alias("avail"), c["kdist"].alias("kd"), c["lrd"].alias("lrd"))))
+    init = F.struct(F.lit(0).cast("bigint").alias("taken"), F.lit(0.0).alias("kdist_"),
+                    F.lit(0.0).alias("s_reach"), F.lit(0.0).alias("s_lrd"))
+
+    def step(acc, e):
+        take = F.greatest(F.least(e["avail"], F.lit(k) - acc["taken"]), F.lit(0)).cast("bigint")
+        return F.struct((acc["taken"] + take).alias("taken"),
+                        F.when(take > 0, e["d"]).otherwise(acc["kdist_"]).alias("kdist_"),
+                        (acc["s_reach"] + take * F.greatest(e["kd"], e["d"])).alias("s_reach"),
+                        (acc["s_lrd"] + take * e["lrd"]).alias("s_lrd"))
+
+    return F.aggregate(ordered, init, step)
+
+
+def _knn_pass(ranked: DataFrame, k: int, block: int, with_self: tuple[bool, ...]) -> DataFrame:
+    """For every distinct x: one walk over its candidates (ranks within +-k)
+    for each entry of ``with_self``, columns ``_knn0``, ``_knn1``. Columns
+    ``kdist`` and ``lrd`` count as 0 until they are known."""
+    known = ranked.withColumns({c: F.lit(0.0) for c in ("kdist", "lrd") if c not in ranked.columns})
+    w = Window.partitionBy("_band").orderBy("rank").rowsBetween(-k, k)
+    cand = halo_by_rank(known, k, block).withColumn("_c", F.collect_list(F.struct("x", "cnt", "rank", "kdist", "lrd")).over(w)).where("_is_home")
+    others = lambda c: F.when(c["rank"] == F.col("rank"), c["cnt"] - 1).otherwise(c["cnt"])
+    walks = [walk_neighbours(F.col("_c"), F.col("x"), k, (lambda c: c["cnt"]) if own else others).alias(f"_knn{i}")
+             for i, own in enumerate(with_self)]
+    return cand.select(*ranked.columns, *walks)
 
-        def step(acc, e):
-            take = F.greatest(F.least(e["avail"], F.lit(k) - acc["taken"]), F.lit(0)).cast("bigint")
-            return F.struct((acc["taken"] + take).alias("taken"),
-                            F.when(take > 0, e["d"]).otherwise(acc["kdist_"]).alias("kdist_"),
-                            (acc["s_reach"] + take * F.greatest(e["kd"], e["d"])).alias("s_reach"),
-                            (acc["s_lrd"] + take * e["lrd"]).alias("s_lrd"))
 
-        return F.aggregate(ordered, init, step)
+def lof_fit(df: DataFrame, x_col: str, k: int, block: int = LOF_BLOCK) -> tuple[DataFrame, DataFrame]:
+    """(reference rows: x, cnt, rank, kdist, lrd; their scores: x, cnt, lof_fit, lof_score).
 
-    walks = include_self if isinstance(include_self, tuple) else (include_self,)
-    outs = [walk(ws).alias("_knn" if i == 0 else "_knn2") for i, ws in enumerate(walks)]
-    return cand.select(*[c for c in ranked.columns], *outs)
+    Fit neighbours exclude the row; scoring a training row includes it
+    (distance 0). Null values are left out.
+    """
+    hist = histogram(df.where(F.col(x_col).isNotNull()), x_col)
+    ranked = cut_lineage(_rank(hist))
+    p1 = _knn_pass(ranked, k, block, (False,))
+    p1 = cut_lineage(p1.select(*ranked.columns, F.col("_knn0.kdist_").alias("kdist")))
+    p2 = _knn_pass(p1, k, block, (False,))
+    p2 = cut_lineage(p2.select(*p1.columns, (1.0 / (F.col("_knn0.s_reach") / k + 1e-10)).alias("lrd")))
+    both = _knn_pass(p2, k, block, (False, True))
+    lrd_sc = 1.0 / (F.col("_knn1.s_reach") / k + 1e-10)
+    return p2, cut_lineage(both.select("x", "cnt", (F.col("_knn0.s_lrd") / k / F.col("lrd")).alias("lof_fit"),
+                                       (F.col("_knn1.s_lrd") / k / lrd_sc).alias("lof_score")))
 
 
 def lof(df: DataFrame, x_col: str, k: int, contamination: float, block: int = LOF_BLOCK) -> DataFrame:
     """Novelty LOF on the training rows themselves.
 
-    Fit neighbours exclude the row; scoring a training row includes it
-    (distance 0). Vote = -LOF_score < percentile(-LOF_fit, contamination).
+    Vote = -LOF_score < percentile(-LOF_fit, contamination).
     Returns (x, cnt, lof_fit, lof_score, vote).
     """
-    hist = histogram(df, x_col)
-    ranked = cut_lineage(_rank(hist))
-    p1 = _knn_pass(ranked, k, block, False, [])
-    p1 = cut_lineage(p1.select(*ranked.columns, F.col("_knn.kdist_").alias("kdist")))
-    p2 = _knn_pass(p1, k, block, False, ["kdist"])
-    p2 = cut_lineage(p2.select(*p1.columns, (1.0 / (F.col("_knn.s_reach") / k + 1e-10)).alias("lrd")))
-    both = _knn_pass(p2, k, block, (False, True), ["kdist", "lrd"])
-    lrd_sc = 1.0 / (F.col("_knn2.s_reach") / k + 1e-10)
-    out = cut_lineage(both.select("x", "cnt", (F.col("_knn.s_lrd") / k / F.col("lrd")).alias("lof_fit"),
-                                  (F.col("_knn2.s_lrd") / k / lrd_sc).alias("lof_score")))
+    _, out = lof_fit(df, x_col, k, block)
     offset = F.lit(exact_quantile(out, -F.col("lof_fit"), float(contamination), F.col("cnt"))).cast("double")
     return out.withColumn("vote", (-F.col("lof_score") < offset).cast("int"))
 
@@ -208,6 +214,11 @@ def feature_density(points: DataFrame, cols: list[str], freq: np.ndarray, phase:
     return points.mapInArrow(run, ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in points.schema.fields) + ", density double")
 
 
+def point_density(points: DataFrame, cols: list[str], freq: np.ndarray, phase: np.ndarray, mean: np.ndarray) -> DataFrame:
+    """``feature_density`` once for each point, rounded so that sums of another order decide no tie."""
+    return cut_lineage(feature_density(points, cols, freq, phase, mean).withColumn("density", F.bround("density", 9)))
+
+
 def scale_gamma(df: DataFrame, cols: list[str]) -> float:
     """1 / (features x variance of all feature values); one value."""
     var = df.select(F.explode(F.array(*[F.col(c).cast("double") for c in cols])).alias("v")).agg(F.var_pop("v").alias("v")).first()["v"] or 0.0
@@ -229,7 +240,7 @@ def kernel_novelty_nd(df: DataFrame, cols: list[str], contamination: float, gamm
     freq, phase = fourier_features(len(cols), gamma, n_features, seed)
     pts = cut_lineage(df.groupBy(*cols).agg(F.count(F.lit(1)).cast("bigint").alias("cnt")))
     mean = feature_means(pts, cols, freq, phase)
-    out = cut_lineage(feature_density(pts, cols, freq, phase, mean).withColumn("density", F.bround("density", 9)))
+    out = point_density(pts, cols, freq, phase, mean)
     q = exact_quantile(out, F.col("density"), float(contamination), F.col("cnt"))
     return out.withColumn("vote", (F.col("density") < F.lit(q).cast("double") - 1e-8).cast("int"))
 

@@ -1,10 +1,10 @@
 """Full five-layer detector on one per-address table (D22, D21 state).
 
-First run semantics: thresholds are refreshed from the table before C1
-reads them (training precedes scoring); with a previous run's state, the
-stored thresholds / blacklist are used instead. The feature table is
-checkpointed once into the shared checkpoint folder: every layer re-reads
-it, and a lost executor does not recompute the upstream aggregation.
+First run semantics: models are fitted on the table and thresholds refreshed
+from it before C1 reads them (training precedes scoring); with a previous run's
+state, its stored models, thresholds and blacklist are used instead. The feature
+table is checkpointed once into the shared checkpoint folder: every layer
+re-reads it, and a lost executor does not recompute the upstream aggregation.
 """
 
 from __future__ import annotations
@@ -15,7 +15,8 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from lookout.config import DEFAULT, Settings
-from lookout.operators import density, iforest
+from lookout.operators import density
+from lookout.operators import models as M
 from lookout.operators import scoring as S
 from lookout.session import cut_lineage
 
@@ -24,6 +25,7 @@ from lookout.session import cut_lineage
 class RunState:
     thresholds: dict | None = None
     blacklist: DataFrame | None = None
+    models: M.Models | None = None
 
 
 def detect(df: DataFrame, settings: Settings = DEFAULT, state: RunState | None = None,
@@ -41,37 +43,15 @@ def detect(df: DataFrame, settings: Settings = DEFAULT, state: RunState | None =
     else:
         thresholds = state.thresholds
 
-    x = S.scale(df, feats, stats)
-    xcol = "x_" + first
-    n = df.count()
-    votes = x
-    if n >= 2:
-        # scale-invariant: run on the raw values so distance ties are exact
-        raw = x.withColumn("_raw", F.col(first).cast("double"))
-        lof = density.lof(raw, "_raw", min(settings.lof_k, n - 1), cont).select(
-            F.col("x").alias("_lx"), F.col("vote").alias("v_lof"))
-        votes = votes.join(lof, F.col(first).cast("double") == lof["_lx"], "left").drop("_lx")
-    else:
-        votes = votes.withColumn("v_lof", F.lit(0))
-    xf = ["x_" + f for f in feats]
-    if len(feats) == 1:
-        ker = density.kernel_novelty(x, xcol, cont).select(
-            F.col("x").alias("_kx"), F.col("vote").alias("v_svm"))
-        votes = votes.join(ker, votes[xcol] == ker["_kx"], "left").drop("_kx")
-    else:
-        ker = density.kernel_novelty_nd(x, xf, cont).select(*xf, F.col("vote").alias("v_svm"))
-        votes = votes.join(ker, xf, "left")
-    if len(feats) == 1:
-        db = density.dbscan_noise(x, xcol, settings.eps, settings.min_samples).select(
-            F.col("x").alias("_dx"), F.col("noise").cast("int").alias("v_db"))
-        votes = votes.join(db, votes[xcol] == db["_dx"], "left").drop("_dx")
-    else:  # all features: eps-grid cells
-        db = density.dbscan_noise_nd(x, xf, settings.eps, settings.min_samples).select(
-            *xf, F.col("noise").cast("int").alias("v_db"))
-        votes = votes.join(db, xf, "left")
-    trees, psi = iforest.fit_forest(x, key, xf, settings.n_trees, settings.sample_size, settings.seed)
-    votes = iforest.forest_votes(iforest.score_forest(votes, trees, xf, psi), cont)
-    votes = votes.fillna(0, ["v_lof", "v_svm", "v_db"])
+    models = state.models or M.fit(df, feats, cont, key, settings)
+    state.models = models
+    votes = M.apply(df, models)
+    xf = ["x_" + f for f in models.feats]
+    # noise is a matter of the table's own rows, in the models' units
+    db = density.dbscan_noise_nd(votes, xf, settings.eps, settings.min_samples) if len(xf) > 1 else \
+        density.dbscan_noise(votes, xf[0], settings.eps, settings.min_samples).withColumnRenamed("x", xf[0])
+    votes = votes.join(db.select(*xf, F.col("noise").cast("int").alias("v_db")), xf, "left").fillna(0, ["v_db"])
+    votes = cut_lineage(votes)
 
     weights = S.attach(S.model_weights(votes))
     out = S.blend_votes(votes, weights)

@@ -143,12 +143,15 @@ def score_forest(df: DataFrame, trees: DataFrame, feats: list[str], psi: int,
 
 
 def forest_votes(scored: DataFrame, contamination: float, raw_col: str = "if_raw") -> DataFrame:
-    """Vote = raw < percentile(raw, contamination); continuous = 1 - minmax(raw),
-    or the vote itself when all raws are equal."""
-    q = F.lit(exact_quantile(scored, F.col(raw_col), float(contamination))).cast("double")
+    """Vote = raw < percentile(raw, contamination) of the same rows; see ``offset_votes``."""
+    return offset_votes(scored, exact_quantile(scored, F.col(raw_col), float(contamination)), raw_col)
+
+
+def offset_votes(scored: DataFrame, offset: float | None, raw_col: str = "if_raw") -> DataFrame:
+    """Vote = raw < ``offset``; continuous = 1 - minmax(raw), or the vote itself when all raws are equal."""
     agg = scored.agg(F.min(raw_col).alias("lo"), F.max(raw_col).alias("hi"))
     st = agg.select(F.struct(*agg.columns)).scalar()
-    vote = F.coalesce(F.col(raw_col) < q, F.lit(False)).cast("int")
+    vote = F.coalesce(F.col(raw_col) < F.lit(offset).cast("double"), F.lit(False)).cast("int")
     cont = F.when(st["hi"] > st["lo"], 1 - (F.col(raw_col) - st["lo"]) / (st["hi"] - st["lo"])) \
         .otherwise(vote.cast("double"))
     return scored.withColumns({"v_if": vote, "cont_if": cont})

@@ -15,10 +15,11 @@ from pyspark.sql import functions as F
 
 from lookout.config import DEFAULT, DEFAULT_THRESHOLDS, Settings
 from lookout.operators import density
+from lookout.operators import models as M
 from lookout.operators import scoring as S
 from lookout.operators.ensemble import RunState, detect
 
-TABLES = ["thresholds", "blacklist", "training", "performance"]
+TABLES = ["thresholds", "blacklist", "training", "performance", "model_params", "model_trees", "model_lof", "model_kernel"]
 
 
 def _write(df: DataFrame, root: str, name: str, run_id: str) -> None:
@@ -49,10 +50,14 @@ class Previous:
     state: RunState
     sessions: int
     samples: int
+    run_id: str | None  # the run whose models and thresholds are used
 
 
 def load_previous(spark: SparkSession, root: str, run_id: str) -> Previous:
-    """State of the latest run before ``run_id`` (None / zeros on the first run)."""
+    """State of the latest run before ``run_id`` (None / zeros on the first run).
+
+    Runs store the addresses they add; all earlier runs' together are remembered.
+    """
     thr = _read(spark, root, "thresholds", "feature string, seuil double").where(_before(run_id))
     last = thr.agg(F.max_by("run_id", _order(F.col("run_id"))).alias("r")).first()["r"]
     thresholds = None
@@ -63,14 +68,16 @@ def load_previous(spark: SparkSession, root: str, run_id: str) -> Previous:
     tr = (_read(spark, root, "training", "sessions bigint, total_samples bigint").where(_before(run_id))
           .orderBy(_order(F.col("run_id")).desc()).limit(1).collect())
     sessions, samples = (tr[0]["sessions"], tr[0]["total_samples"]) if tr else (0, 0)
-    return Previous(RunState(thresholds, bl), sessions, samples)
+    models = M.load(spark, root, last, _read) if last is not None else None
+    return Previous(RunState(thresholds, bl, models), sessions, samples, last)
 
 
 def run_batch(spark: SparkSession, features: DataFrame, attempts: DataFrame, root: str, run_id: str,
-              settings: Settings = DEFAULT) -> DataFrame:
-    """Score ``features`` (A4) with the previous run's state, then refit the
-    thresholds on ``attempts`` (A2), merge this run's critical addresses into
-    the blacklist, and store the session row and training counters."""
+              settings: Settings = DEFAULT, key: str = "IP_Source") -> DataFrame:
+    """Score ``features`` (A4) with the previous run's models and state, then
+    refit models and thresholds on ``attempts`` (A2) for the next run, add this
+    run's critical addresses to the blacklist, and store the session row and
+    training counters."""
     prev = load_previous(spark, root, run_id)
     scored = detect(features, settings, prev.state)
     feats = S.resolve_features(features)
@@ -82,14 +89,17 @@ def run_batch(spark: SparkSession, features: DataFrame, attempts: DataFrame, roo
     sil = density.silhouette_1d(lab, "x_" + feats[0], "label").scalar()
     perf = S.session_performance(scored, bl_before, sil)
     refit = S.updated_thresholds(attempts, [f for f in feats if f in attempts.columns], used)
-    merged = prev.state.blacklist.unionByName(S.critical_ips(scored)).distinct()
+    added = S.critical_ips(scored).join(prev.state.blacklist, "ip", "left_anti")
+    contamination = S.contamination(attempts, feats[0], float(used.get(feats[0], 50.0))).first()[0]
+    refitted = M.fit(attempts, [f for f in feats if f in attempts.columns], float(contamination), key, settings)
     # without stored models the batch itself is trained on first; the refit on its attempts counts at every run
     first = prev.sessions == 0
     n_new = attempts.count() + (features.count() if first else 0)
-    training = spark.createDataFrame([(prev.sessions + 1 + first, prev.samples + n_new)],
-                                     "sessions bigint, total_samples bigint")
-    _write(refit, root, "thresholds", run_id)
-    _write(merged, root, "blacklist", run_id)
+    training = spark.createDataFrame([(prev.sessions + 1 + first, prev.samples + n_new, prev.run_id or run_id)],
+                                     "sessions bigint, total_samples bigint, scored_with string")
+    M.save(refitted, root, run_id, _write)
+    _write(added, root, "blacklist", run_id)
     _write(training, root, "training", run_id)
     _write(perf, root, "performance", run_id)
+    _write(refit, root, "thresholds", run_id)  # last: a run is previous to others once its thresholds stand
     return scored

@@ -9,8 +9,10 @@ from lookout.config import DEFAULT, DEFAULT_THRESHOLDS
 from lookout.operators import density, iforest
 from lookout.operators import scoring as S
 from lookout.plans.catalog import register
+from lookout.plans.events import CANON_SQL
 from lookout.plans.scoring import FEAT_SQL, features, q as scored_sql, scored
 from lookout.operators.ensemble import detect
+from lookout.session import scratch
 
 X = "x_Nombre_Tentatives"
 
@@ -249,20 +251,48 @@ def d22_full_detector(spark, sf):
         "niveau_alerte", "anomalie")
 
 
-@register("d21_run_state")
-def d21_run_state(spark, sf):
-    """Two batches (first / second half of the month) through run_batch;
-    returns the stored state tables, one row per (table, run, key)."""
-    import uuid
+def two_runs(spark, sf, again: bool = False) -> str:
+    """Two batches (first / second half of the month) through run_batch, the second one repeated
+    if ``again``: a re-run replaces its own state, never adds to it. The folder of the stored state."""
     from lookout.operators import metrics, state
     from lookout.plans.events import canonical_wire
-    from lookout.session import ensure_checkpoint_dir
-    root = f"{ensure_checkpoint_dir(spark).rstrip('/')}/state-{uuid.uuid4().hex}"
+    root = scratch(spark, "state")
     canon = canonical_wire(spark, sf)
     half = F.col("Date") < F.lit("2024-01-16").cast("timestamp")
-    # r2 runs twice: a re-run replaces its own state, never adds to it
-    for run_id, part in [("r1", canon.where(half)), ("r2", canon.where(~half)), ("r2", canon.where(~half))]:
+    for run_id, part in [("r1", canon.where(half))] + [("r2", canon.where(~half))] * (1 + again):
         state.run_batch(spark, metrics.ip_features(part), metrics.attempts_per_ip(part), root, run_id)
+    return root
+
+
+def _upd(mean: str, std: str, n: str, old: str) -> str:
+    return f"CASE WHEN {std} > 0 AND {n} > 30 THEN round_even(0.7 * {old} + 0.3 * ({mean} + 2 * {std}), 2) ELSE {old} END"
+
+
+@register("d21_stored_models", f"""WITH {CANON_SQL},
+p AS (SELECT *, CASE WHEN Date < TIMESTAMP '2024-01-16' THEN 'r1' ELSE 'r2' END AS run FROM canon WHERE Date IS NOT NULL AND IP_Source IS NOT NULL),
+a AS (SELECT run, IP_Source, CAST(count(*) AS DOUBLE) AS v, CAST(count(CASE WHEN Etat = 'Error' THEN 1 END) AS DOUBLE) AS e FROM p GROUP BY 1, 2),
+s AS (SELECT run, count(*) AS n, avg(v) AS m, stddev_pop(v) AS sp, stddev_samp(v) AS ss, avg(e) AS me, stddev_samp(e) AS se FROM a GROUP BY run),
+t0 AS (SELECT {_upd('me', 'se', 'n', '50.0')} AS seuil FROM s WHERE run = 'r1'),
+t1 AS (SELECT {_upd('m', 'ss', 'n', 't0.seuil')} AS seuil FROM s, t0 WHERE run = 'r1'),
+t2 AS (SELECT {_upd('m', 'ss', 'n', 't1.seuil')} AS seuil FROM s, t1 WHERE run = 'r2')
+SELECT run AS run_id, 'r1' AS scored_with, 'Nombre_Tentatives' AS feature, round_even(m, 6) AS mean, round_even(sp, 6) AS std,
+  CASE WHEN run = 'r1' THEN (SELECT seuil FROM t1) ELSE (SELECT seuil FROM t2) END AS seuil FROM s""", views=("v_wire",))
+def d21_stored_models(spark, sf):
+    """Run r2 is scored with the models that r1 stored; both runs' scaler and thresholds."""
+    root = two_runs(spark, sf)
+    rd = lambda name, ddl: spark.read.schema(f"{ddl}, run_id string").parquet(f"{root}/{name}")
+    par = rd("model_params", "name string, feature string, value double")
+    scaler = par.where("feature <> ''").groupBy("run_id", "feature").agg(
+        F.max(F.when(F.col("name") == "mean", F.col("value"))).alias("mean"), F.max(F.when(F.col("name") == "std", F.col("value"))).alias("std"))
+    out = scaler.join(rd("thresholds", "feature string, seuil double"), ["run_id", "feature"]) \
+        .join(rd("training", "scored_with string"), "run_id")
+    return out.select("run_id", "scored_with", "feature", F.bround("mean", 6).alias("mean"), F.bround("std", 6).alias("std"), "seuil")
+
+
+@register("d21_run_state")
+def d21_run_state(spark, sf):
+    """The state tables that two runs stored, one row per (table, run, key)."""
+    root = two_runs(spark, sf, again=True)
     def rd(name, schema):
         return spark.read.schema(f"{schema}, run_id string").parquet(f"{root}/{name}")
     thr = rd("thresholds", "feature string, seuil double").select(
