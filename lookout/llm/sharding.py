@@ -21,7 +21,7 @@ from lookout.llm.mixing import KEY_BITS, document_key
 
 KEY = "_key"
 ALL_KEYS = (1 << KEY_BITS) - 1
-MOST = 1e300  # greater values of a dimension count as this one
+MOST = 1e300  # values of a dimension beyond it, infinite ones too, count as null
 
 
 @dataclass(frozen=True)
@@ -73,9 +73,9 @@ def text_code(text: Column) -> Column:
 
 
 def _finite(value: Column) -> Column:
-    """NaN as null, and no value beyond ``MOST``."""
+    """NaN and values beyond ``MOST`` as null."""
     value = value.cast("double")
-    return F.when(value.isNotNull() & ~F.isnan(value), F.greatest(F.least(value, F.lit(MOST)), F.lit(-MOST)))
+    return F.when(F.abs(value) <= MOST, value)
 
 
 def _null_places(rows: DataFrame, names: list[str]) -> dict[str, float]:
@@ -188,8 +188,8 @@ def shard(docs: DataFrame, dims: dict[str, Column], doc_id: str = "doc_id", text
 
     ``dims`` names the metadata dimensions (numeric, double). A row's size is
     its text's UTF-8 bytes plus 16. Adds ``size``, ``shard`` and ``slot`` (its
-    gapless place in the shard, by key) to all columns of the rows. Nulls and
-    NaN of a dimension lie just below its least value; a null text has size 16.
+    gapless place in the shard, by key) to all columns of the rows. Nulls, NaN
+    and infinite values of a dimension lie just below its least value; a null text has size 16.
     Rows of equal id and text have one key and stay together. An empty table
     gives an empty result.
     """
