@@ -16,6 +16,7 @@ from lookout.plans.catalog import register
 from lookout.plans.events import CANON_SQL, UNIFIED_SQL, canonical_wire, structured_lines, unified_events
 from lookout.session import ensure_checkpoint_dir
 from lookout.sources import files as S
+from lookout.sources import sinks
 from lookout.plans.response import R1_SQL
 from lookout.sources import tables as T
 
@@ -109,54 +110,73 @@ def s8_object_inventory(spark, sf):
 def s9_raw_zone(spark, sf):
     root = scratch(spark, "rawzone")
     lines = T.v_lines(spark, sf).withColumn("ingest_date", F.date_format(F.to_date("ts"), "yyyy-MM-dd"))
-    for _ in range(2):  # a retried run replaces its own lines
-        S.write_raw_zone(lines, root, "r1")
-    back = spark.read.parquet(root)
-    return back.groupBy(F.col("ingest_date").cast("string").alias("ingest_date"), "source_log").agg(
-        F.count(F.lit(1)).cast("bigint").alias("n"))
+    for part in (lines, lines.limit(0), lines):  # re-run empty, then whole again
+        S.write_raw_zone(part, root, "r1")
+    return S.read_raw_zone(spark, root).groupBy("ingest_date", "source_log").agg(F.count(F.lit(1)).cast("bigint").alias("n"))
 
 
 @register("s10_processed_zone", f"""WITH {UNIFIED_SQL}, c AS (SELECT CAST(count(*) AS BIGINT) AS n FROM ue)
 SELECT 'datasets' AS sink, 'r1' AS run_id, n FROM c UNION ALL SELECT 'datasets', 'r2', n FROM c
 UNION ALL SELECT 'latest', '-', n FROM c""", views=("v_lines",))
 def s10_processed_zone(spark, sf):
-    root = scratch(spark, "processedzone")
-    ev = unified_events(spark, sf).drop("ts", "ip")
-    for run_id in ("r1", "r2", "r1"):  # r1 is retried
-        S.write_processed(ev, root, run_id)
-    runs = spark.read.parquet(f"{root}/datasets").groupBy("run_id").agg(F.count(F.lit(1)).cast("bigint").alias("n"))
-    latest = spark.read.parquet(f"{root}/latest").agg(F.count(F.lit(1)).cast("bigint").alias("n"))
+    root, ev = processed_zone(spark, sf)
+    runs = sinks.read_runs(spark, f"{root}/datasets", S.EVENT_DDL).groupBy("run_id").agg(F.count(F.lit(1)).cast("bigint").alias("n"))
+    latest = sinks.read_latest(spark, f"{root}/datasets", S.EVENT_DDL).agg(F.count(F.lit(1)).cast("bigint").alias("n"))
     return (runs.select(F.lit("datasets").alias("sink"), "run_id", "n")
             .unionByName(latest.select(F.lit("latest").alias("sink"), F.lit("-").alias("run_id"), "n")))
 
 
+def processed_zone(spark, sf):
+    """Runs r1 and r2; r3 is written, then re-run without events; r1 is re-run empty and whole again."""
+    root = scratch(spark, "processedzone")
+    ev = unified_events(spark, sf).select("timestamp", "source_ip", "type_event", "severite", "statut", "detail", "source_log")
+    for run_id, part in (("r1", ev), ("r2", ev), ("r3", ev), ("r3", ev.limit(0)), ("r1", ev.limit(0)), ("r1", ev)):
+        S.write_processed(part, root, run_id)
+    return root, ev
+
+
+@register("s10_stats", f"""WITH {UNIFIED_SQL}
+SELECT run_id, source_log, type_event, severite, CAST(count(*) AS BIGINT) AS n FROM ue, (VALUES ('r1'), ('r2')) r(run_id) GROUP BY 1, 2, 3, 4""",
+          views=("v_lines",))
+def s10_stats(spark, sf):
+    root, _ = processed_zone(spark, sf)
+    return sinks.read_runs(spark, f"{root}/stats", "source_log string, type_event string, severite string, n bigint")
+
+
 @register("s11_result_sinks", f"""WITH {CANON_SQL}
 SELECT IP_Source, CAST(count(*) AS BIGINT) AS Nombre_Tentatives FROM canon WHERE IP_Source IS NOT NULL GROUP BY 1""",
           views=("v_wire",))
 def s11_result_sinks(spark, sf):
-    root = scratch(spark, "results")
-    clean = canonical_wire(spark, sf).persist()  # written once, aggregated three times
-    try:
-        S.write_results({"erreurs_par_heure": metrics.errors_per_hour(clean),
-                         "tentatives_par_ip": metrics.attempts_per_ip(clean),
-                         "events_par_service": metrics.events_per_service(clean)}, root)
-    finally:
-        clean.unpersist()
+    S.write_results(canonical_wire(spark, sf), SUMMARIES, root := scratch(spark, "results"))
     return spark.read.option("header", True).schema("IP_Source string, Nombre_Tentatives bigint").csv(
         f"{root}/tentatives_par_ip")
 
 
+SUMMARIES = {"erreurs_par_heure": metrics.errors_per_hour, "tentatives_par_ip": metrics.attempts_per_ip,
+             "events_par_service": metrics.events_per_service}
+
+
+@register("s11_clean_events", f"""WITH {CANON_SQL}
+SELECT Service, Etat, IP_Source, CAST(count(*) AS BIGINT) AS n FROM canon GROUP BY 1, 2, 3""", views=("v_wire",))
+def s11_clean_events(spark, sf):
+    clean = canonical_wire(spark, sf)
+    S.write_results(clean, SUMMARIES, root := scratch(spark, "results"))
+    back = spark.read.schema(clean.schema).parquet(f"{root}/logs_clean")
+    return back.groupBy("Service", "Etat", "IP_Source").agg(F.count(F.lit(1)).cast("bigint").alias("n"))
+
+
 @register("s12_versioned_snapshot", f"""WITH {CANON_SQL}, c AS (SELECT CAST(count(DISTINCT Service) AS BIGINT) AS n FROM canon)
 SELECT 't1' AS run_ts, n FROM c UNION ALL SELECT 't2', n FROM c UNION ALL SELECT 'current', n FROM c""",
           views=("v_wire",))
 def s12_versioned_snapshot(spark, sf):
-    root = scratch(spark, "snapshots")
+    root, name = scratch(spark, "snapshots"), "events_par_service"
     svc = metrics.events_per_service(canonical_wire(spark, sf))
-    for run_ts in ("t1", "t2", "t1"):  # t1 is retried
-        S.write_snapshot(svc, root, "events_par_service", run_ts)
-    hist = spark.read.parquet(f"{root}/historique/events_par_service").groupBy(
-        F.col("run_ts").cast("string").alias("run_ts")).agg(F.count(F.lit(1)).cast("bigint").alias("n"))
-    cur = spark.read.parquet(f"{root}/events_par_service").agg(F.count(F.lit(1)).cast("bigint").alias("n"))
+    for run_ts, part in (("t1", svc), ("t2", svc), ("t1", svc.limit(0)), ("t3", svc), ("t3", svc.limit(0)), ("t1", svc)):
+        S.write_snapshot(part, root, name, run_ts)
+    ddl = "Service string, Nombre_Events bigint"
+    hist = sinks.read_runs(spark, f"{root}/{name}", ddl).groupBy(F.col("run_id").alias("run_ts")).agg(
+        F.count(F.lit(1)).cast("bigint").alias("n"))
+    cur = sinks.read_latest(spark, f"{root}/{name}", ddl).agg(F.count(F.lit(1)).cast("bigint").alias("n"))
     return hist.unionByName(cur.select(F.lit("current").alias("run_ts"), "n"))
 
 
@@ -199,10 +219,15 @@ def s15_report_records(spark, sf):
     recs = al.where(F.col("status") == "ALARM").select(F.concat(F.lit("rapports/alarme_"), R.safe_key("ip"), F.lit(".json")).alias("report_key"),
                               F.to_json(F.struct("event_id", "pos", "ip")).alias("record"))
     root = scratch(spark, "reports")
-    for half in (0, 1, 0):  # two runs with reports of their own, the first one retried
-        S.write_reports(recs.where(F.crc32("report_key") % 2 == half), "report_key", root)
-    back = spark.read.schema("record string, report_key string").json(root)
-    return back.select("report_key", "record")
+    none = recs.limit(0)
+    # two runs with reports of their own, the first one re-run empty and whole again; a third one left empty
+    for run_id, part in (("r0", _half(recs, 0)), ("r1", _half(recs, 1)), ("r0", none), ("r2", recs), ("r2", none), ("r0", _half(recs, 0))):
+        S.write_reports(part, "report_key", root, run_id)
+    return sinks.read_runs(spark, root, "record string, report_key string", "json").select("report_key", "record")
+
+
+def _half(recs, half):
+    return recs.where(F.crc32("report_key") % 2 == half)
 
 
 @register("s16_head_preview", """WITH r AS (SELECT source_log, line, row_number() OVER (PARTITION BY source_log ORDER BY event_id) AS rk,

@@ -18,6 +18,8 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from lookout.functions.text import strip
+from lookout.operators.metrics import source_type_severity
+from lookout.sources import sinks
 
 
 #: header line, a quote inside a quoted field doubled, blanks kept as they are: for reading and writing
@@ -104,39 +106,53 @@ def corpus_files(spark: SparkSession, path: str) -> DataFrame:
 
 # ------------------------------------------------------------------ sinks
 
-def _own_partitions(df: DataFrame, *cols: str):
-    """A writer that replaces the partitions the frame holds and leaves all others: a retried run never doubles."""
-    return df.write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy(*cols)
+EVENT_DDL = "timestamp string, source_ip string, type_event string, severite string, statut string, detail string, source_log string"
 
 
 def write_raw_zone(lines: DataFrame, path: str, run_id: str) -> None:
-    """Raw lines partitioned by ingest date, source and run (empty sources
-    produce no partition)."""
-    _own_partitions(lines.select("ingest_date", "source_log", "line").withColumn("run_id", F.lit(run_id)),
-                    "ingest_date", "source_log", "run_id").parquet(path)
+    """A run's raw lines, partitioned by ingest date and source (empty sources produce no partition)."""
+    sinks.publish(lines.select("ingest_date", "source_log", "line"), path, run_id, ("ingest_date", "source_log"))
+
+
+def read_raw_zone(spark: SparkSession, path: str) -> DataFrame:
+    return sinks.read_runs(spark, path, "line string, ingest_date string, source_log string")
 
 
 def write_processed(events: DataFrame, path: str, run_id: str) -> None:
-    """The run's dataset (one partition a run) and ``latest`` (overwrite)."""
-    _own_partitions(events.withColumn("run_id", F.lit(run_id)), "run_id").parquet(f"{path}/datasets")
-    events.write.mode("overwrite").parquet(f"{path}/latest")
+    """The run's dataset and its counts by source, type and severity.
+
+    The counts are taken from the staged dataset, so that the events are derived
+    once, and both are marked after both stand. ``latest`` is the run marked
+    last, not a second copy.
+    """
+    spark = events.sparkSession
+    attempt = sinks.stage(events, f"{path}/datasets")
+    staged = spark.read.schema(events.schema).parquet(f"{path}/datasets/data/attempt={attempt}")
+    counts = sinks.stage(source_type_severity(staged), f"{path}/stats")
+    sinks.mark(spark, f"{path}/datasets", run_id, attempt)
+    sinks.mark(spark, f"{path}/stats", run_id, counts)
+
 
+def write_results(clean: DataFrame, summaries: dict, path: str) -> None:
+    """The clean events, and result tables as CSV with header (one folder per table).
 
-def write_results(frames: dict[str, DataFrame], path: str) -> None:
-    """Result tables as CSV with header (one folder per table)."""
-    for name, df in frames.items():
-        df.write.mode("overwrite").options(**CSV).csv(f"{path}/{name}")
+    ``summaries`` maps a name to a function of the events; all of them read the
+    events as written, which are derived once and kept on no executor.
+    """
+    clean.write.mode("overwrite").parquet(f"{path}/logs_clean")
+    back = clean.sparkSession.read.schema(clean.schema).parquet(f"{path}/logs_clean")
+    for name, summary in summaries.items():
+        summary(back).write.mode("overwrite").options(**CSV).csv(f"{path}/{name}")
 
 
 def write_snapshot(df: DataFrame, path: str, name: str, run_ts: str) -> None:
-    """Current copy (overwrite) + history (one partition a run)."""
-    df.write.mode("overwrite").parquet(f"{path}/{name}")
-    _own_partitions(df.withColumn("run_ts", F.lit(run_ts)), "run_ts").parquet(f"{path}/historique/{name}")
+    """One run of a table's history; the current copy is the run marked last."""
+    sinks.publish(df, f"{path}/{name}", run_ts)
 
 
-def write_reports(df: DataFrame, key_col: str, path: str) -> None:
-    """JSON records, one folder per report key; reports of other keys stay."""
-    _own_partitions(df, key_col).json(path)
+def write_reports(df: DataFrame, key_col: str, path: str, run_id: str) -> None:
+    """A run's JSON records, partitioned by report key; reports of other runs stay."""
+    sinks.publish(df, path, run_id, (key_col,), "json")
 
 
 # ------------------------------------------------------------------ S13, S14, J5

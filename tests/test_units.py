@@ -11,7 +11,7 @@ from pyspark.sql import functions as F
 
 from lookout.functions.fmt import py_fixed
 from lookout.operators import density, iforest, parsers, response, retrieval, scoring, windows
-from lookout.sources import files
+from lookout.sources import files, sinks
 
 
 # ------------------------------------------------------------------ scoring goldens
@@ -222,13 +222,37 @@ def test_csv_of_pandas_keeps_quotes_and_commas(spark):
 
 def test_sinks_replace_a_retried_run_and_keep_others(spark):
     root = tempfile.mkdtemp(dir="/tmp")
-    df = spark.createDataFrame([("k1", "a"), ("k2", "b")], "k string, record string")
+    ddl = "source_log string, type_event string, severite string, k string"
+    df = spark.createDataFrame([("a", "t", "s", "k1"), ("a", "t", "s", "k2")], ddl)
     for run_id in ("r1", "r2", "r1"):
         files.write_processed(df, f"{root}/p", run_id)
-        files.write_reports(df.where(F.col("k") == ("k1" if run_id == "r1" else "k2")), "k", f"{root}/r")
-    runs = spark.read.parquet(f"{root}/p/datasets").groupBy("run_id").count().collect()
+        files.write_reports(df.where(F.col("k") == ("k1" if run_id == "r1" else "k2")), "k", f"{root}/r", run_id)
+    runs = sinks.read_runs(spark, f"{root}/p/datasets", ddl).groupBy("run_id").count().collect()
     assert {r["run_id"]: r["count"] for r in runs} == {"r1": 2, "r2": 2}
-    assert {r.k for r in spark.read.json(f"{root}/r").collect()} == {"k1", "k2"}
+    assert [r.n for r in sinks.read_runs(spark, f"{root}/p/stats", "source_log string, n long").collect()] == [2, 2]
+    assert {r.k for r in sinks.read_runs(spark, f"{root}/r", ddl, "json").collect()} == {"k1", "k2"}
+
+
+def test_sinks_survive_empty_and_failed_runs(spark):
+    root, ddl = tempfile.mkdtemp(dir="/tmp") + "/s", "k string, v int"
+    df = spark.createDataFrame([("a", 1), ("b", 2)], ddl)
+    assert sinks.read_runs(spark, root, ddl).count() == 0 and sinks.read_latest(spark, root, ddl).count() == 0
+    for part in ((), ("k",)):
+        path = f"{root}{len(part)}"
+        sinks.publish(df, path, "r1", part)
+        sinks.publish(df.limit(1), path, "r2", part)
+        sinks.stage(df, path, part)  # written, never marked: its run failed
+        broken = df.withColumn("v", F.raise_error(F.lit("broken")).cast("int"))
+        with pytest.raises(Exception):
+            sinks.publish(broken, path, "r1", part)
+        assert sinks.read_runs(spark, path, ddl).groupBy("run_id").count().orderBy("run_id").collect() == [("r1", 2), ("r2", 1)]
+        assert sinks.read_latest(spark, path, ddl).count() == 1
+        sinks.publish(df.limit(0), path, "r1", part)
+        assert [r.run_id for r in sinks.read_runs(spark, path, ddl).collect()] == ["r2"]
+        assert sinks.read_latest(spark, path, ddl).count() == 0
+        assert sinks.sweep(spark, path) == 1 and sinks.sweep(spark, path) == 1  # by marker rows; deleting again does no harm
+        sinks.publish(df, path, "r1", part)
+        assert sinks.read_runs(spark, path, ddl).count() == 3
 
 
 def test_run_state_orders_counters_and_forgets_stale_rows(spark):
