@@ -14,6 +14,7 @@ from __future__ import annotations
 import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame
+from pyspark.sql import functions as F
 from pyspark.sql.types import DoubleType, IntegerType, StructField, StructType
 
 COARSE = [round(-0.9 + 0.1 * i, 1) for i in range(19)]
@@ -54,6 +55,22 @@ def _fit_series(y: np.ndarray, steps: int) -> tuple[list[float], float | None, f
     return out, float(phi), float(theta)
 
 
+def fill_gaps(counts: DataFrame, keys: list[str], time_col: str, value_col: str, step: str = "1 hour") -> DataFrame:
+    """Each series without holes: every step between its first and last time, 0 where nothing was counted.
+
+    Rows without a time belong to no step and are left out.
+    """
+    counts = counts.where(F.col(time_col).isNotNull())
+    span = counts.groupBy(*keys).agg(F.min(time_col).alias("_from"), F.max(time_col).alias("_to"))
+    steps = span.select(*[F.col(k).alias(f"_k{i}") for i, k in enumerate(keys)],
+                        F.explode(F.expr(f"sequence(_from, _to, interval {step})")).alias("_t"))
+    same = F.col(time_col) == F.col("_t")
+    for i, k in enumerate(keys):
+        same = same & F.col(k).eqNullSafe(F.col(f"_k{i}"))
+    return steps.join(counts, same, "left").select(*[F.col(f"_k{i}").alias(k) for i, k in enumerate(keys)], F.col("_t").alias(time_col),
+                                                   F.coalesce(F.col(value_col), F.lit(0)).alias(value_col))
+
+
 def arima_css(df: DataFrame, keys: list[str], time_col: str, value_col: str, steps: int = STEPS) -> DataFrame:
     """(keys, step, forecast, phi, theta) for every series.
 

@@ -288,15 +288,19 @@ def updated_thresholds(df: DataFrame, feats: list[str], old: dict | None = None)
     return stats.select(F.explode(F.array(*rows)).alias("r")).select("r.*")
 
 
-def session_performance(scored: DataFrame, blacklist_size: Column, silhouette: Column) -> DataFrame:
-    """One row per scoring session."""
+def session_performance(scored: DataFrame, blacklist_size: Column, silhouette: Column, session: Column | None = None,
+                        as_of: Column | None = None) -> DataFrame:
+    """One row per scoring session, none for fewer than three addresses."""
     s = F.col("score_raw")
-    return scored.agg(
+    row = scored.agg(
         F.count(F.lit(1)).cast("bigint").alias("nb_echantillons"),
         F.bround(F.avg((s >= 0.3).cast("double")) * 100, 2).alias("taux_anomalies"),
         F.bround(F.avg(s), 4).alias("score_moyen"),
         F.bround(F.max(s), 4).alias("score_max"),
-    ).select("*", blacklist_size.cast("bigint").alias("nb_blacklistes"), silhouette.alias("silhouette"))
+    ).where(F.col("nb_echantillons") >= 3)
+    when = as_of if as_of is not None else F.date_format(F.current_timestamp(), "yyyy-MM-dd'T'HH:mm:ss")
+    return row.select((session if session is not None else F.lit(0)).cast("bigint").alias("session"), when.alias("timestamp"), "*",
+                      blacklist_size.cast("bigint").alias("nb_blacklistes"), silhouette.alias("silhouette"))
 
 
 def training_counters(history: DataFrame, order_col: str, n_col: str) -> DataFrame:

@@ -87,7 +87,7 @@ def run_batch(spark: SparkSession, features: DataFrame, attempts: DataFrame, roo
     bl_before = prev.state.blacklist.agg(F.count(F.lit(1)).alias("n")).scalar()
     lab = scored.withColumn("label", F.when(F.col("score_raw") >= 0.3, -1).otherwise(1))
     sil = density.silhouette_1d(lab, "x_" + feats[0], "label").scalar()
-    perf = S.session_performance(scored, bl_before, sil)
+    perf = S.session_performance(scored, bl_before, sil, F.lit(prev.sessions or 1))  # the first run has trained once before it scores
     refit = S.updated_thresholds(attempts, [f for f in feats if f in attempts.columns], used)
     added = S.critical_ips(scored).join(prev.state.blacklist, "ip", "left_anti")
     contamination = S.contamination(attempts, feats[0], float(used.get(feats[0], 50.0))).first()[0]

@@ -10,9 +10,10 @@ from lookout.operators import density, iforest
 from lookout.operators import scoring as S
 from lookout.plans.catalog import register
 from lookout.plans.events import CANON_SQL
-from lookout.plans.scoring import FEAT_SQL, features, q as scored_sql, scored
+from lookout.plans.scoring import FEAT_SQL, as_of, features, q as scored_sql, scored
 from lookout.operators.ensemble import detect
 from lookout.session import scratch
+from lookout.sources import tables as T
 
 X = "x_Nombre_Tentatives"
 
@@ -205,7 +206,8 @@ def perf_row(spark, sf):
         "label", F.when(F.col("score_raw") >= 0.3, -1).otherwise(1))
     sil = density.silhouette_1d(lab, X, "label").scalar()
     bl = T_blacklist_size(spark, sf)
-    return S.session_performance(sc, bl, sil)
+    session = T.v_sessions(spark, sf).agg(F.count(F.lit(1)).alias("n")).scalar()  # each day is a session
+    return S.session_performance(sc, bl, sil, session, as_of(f))
 
 
 def T_blacklist_size(spark, sf):
@@ -218,10 +220,11 @@ def T_blacklist_size(spark, sf):
 xs AS (SELECT IP_Source, (CAST(Nombre_Tentatives AS DOUBLE) - m2) / CASE WHEN sp2 = 0 OR sp2 IS NULL THEN 1.0 ELSE sp2 END AS x,
   score_raw FROM lv CROSS JOIN xst),
 {_silhouette_sql('score_raw >= 0.3', 'xs')}
-SELECT CAST(count(*) AS BIGINT) AS nb_echantillons, round_even(avg(CASE WHEN score_raw >= 0.3 THEN 1.0 ELSE 0.0 END) * 100, 2)
+SELECT (SELECT CAST(count(*) AS BIGINT) FROM v_sessions) AS session, (SELECT strftime(max(Date), '%Y-%m-%dT%H:%M:%S') FROM f) AS timestamp,
+  CAST(count(*) AS BIGINT) AS nb_echantillons, round_even(avg(CASE WHEN score_raw >= 0.3 THEN 1.0 ELSE 0.0 END) * 100, 2)
   AS taux_anomalies, round_even(avg(score_raw), 4) AS score_moyen, round_even(max(score_raw), 4) AS score_max,
   (SELECT CAST(count(DISTINCT ip) AS BIGINT) FROM bl) AS nb_blacklistes, (SELECT silhouette FROM sil) AS silhouette
-FROM lv"""), views=("v_ip", "v_votes"))
+FROM lv HAVING count(*) >= 3"""), views=("v_ip", "v_votes", "v_sessions"))
 def d18_session_performance(spark, sf):
     return perf_row(spark, sf)
 

@@ -4,8 +4,9 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from lookout.operators.forecast import arima_css
+from lookout.operators.forecast import arima_css, fill_gaps
 from lookout.plans.catalog import register
+from lookout.plans.events import CANON_SQL, canonical_wire
 from lookout.sources import tables as T
 
 
@@ -59,3 +60,18 @@ def f1_forecast_by_source(spark, sf):
     lines = T.v_lines(spark, sf)
     hourly = lines.groupBy("source_log", F.date_trunc("hour", "ts").alias("t")).agg(F.count(F.lit(1)).alias("y"))
     return _finish(arima_css(hourly, ["source_log"], "t", "y"), ["source_log"])
+
+
+HOURLY_SQL = """SELECT g.Service, g.t, coalesce(e.y, 0) AS y
+  FROM (SELECT Service, unnest(generate_series(min(t), max(t), INTERVAL 1 HOUR)) AS t FROM er GROUP BY Service) g
+  LEFT JOIN er e ON e.Service = g.Service AND e.t = g.t"""
+
+
+@register("f1_forecast_hourly_errors", f"""WITH {CANON_SQL},
+er AS (SELECT Service, date_trunc('hour', Date) AS t, count(*) AS y FROM canon WHERE Etat = 'Error' AND Date IS NOT NULL AND Service IS NOT NULL GROUP BY 1, 2),
+{_oracle(HOURLY_SQL, "Service").removeprefix("WITH ")}""", views=("v_wire",))
+def f1_forecast_hourly_errors(spark, sf):
+    """Errors by hour and service, hours without errors filled with 0."""
+    errors = canonical_wire(spark, sf).where((F.col("Etat") == "Error") & F.col("Date").isNotNull() & F.col("Service").isNotNull())
+    hourly = errors.groupBy("Service", F.date_trunc("hour", "Date").alias("t")).agg(F.count(F.lit(1)).alias("y"))
+    return _finish(arima_css(fill_gaps(hourly, ["Service"], "t", "y"), ["Service"], "t", "y"), ["Service"])

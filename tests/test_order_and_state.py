@@ -115,3 +115,20 @@ def test_nearest_in_blocks_equals_brute_force(spark):
         d = ((v - v[q]) ** 2).sum(1)
         assert [got[q, k + 1] for k in range(5)] == [(i, d[i]) for i in np.lexsort((np.arange(300), d))[:5]]
     assert len(got) == 350 and retrieval.nearest(corpus, queries.limit(0), 3).count() == 0
+
+
+def test_gaps_of_a_series_are_filled(spark):
+    from lookout.operators.forecast import fill_gaps
+    rows = [("a", "2024-01-01 00:00:00", 2), ("a", "2024-01-01 03:00:00", 1), (None, "2024-01-01 05:00:00", 4), ("a", None, 9)]
+    df = spark.createDataFrame(rows, "k string, t string, y long").withColumn("t", F.col("t").cast("timestamp"))
+    got = [(r.k, r.t.hour, r.y) for r in fill_gaps(df, ["k"], "t", "y").orderBy("k", "t").collect()]
+    assert got == [(None, 5, 4), ("a", 0, 2), ("a", 1, 0), ("a", 2, 0), ("a", 3, 1)]
+    assert fill_gaps(df.limit(0), ["k"], "t", "y").count() == 0
+
+
+def test_session_row_needs_three_addresses(spark):
+    from lookout.operators import scoring
+    df = spark.createDataFrame([(0.1,), (0.5,), (0.9,)], "score_raw double")
+    row = scoring.session_performance(df, F.lit(2), F.lit(None).cast("double"), F.lit(7), F.lit("t")).first()
+    assert (row.session, row.timestamp, row.nb_echantillons, row.taux_anomalies, row.nb_blacklistes) == (7, "t", 3, 66.67, 2)
+    assert scoring.session_performance(df.limit(2), F.lit(2), F.lit(None).cast("double")).count() == 0
