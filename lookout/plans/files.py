@@ -202,6 +202,17 @@ def s13_j5_integrity_manifest(spark, sf):
     return manifests(spark, sf).select("name", "statut")
 
 
+@register("s13_file_manifest", """SELECT 'item_' || CAST(item_id AS VARCHAR) AS name, CAST(octet_length(encode(text)) + 1 AS BIGINT) AS size,
+  CASE WHEN octet_length(encode(text)) + 1 <= 300 THEN md5(text || chr(10)) END AS md5 FROM benchmark WHERE text IS NOT NULL AND item_id IS NOT NULL""")
+def s13_file_manifest(spark, sf):
+    """One file for each text of ``benchmark``, then the manifest of the folder; files above 300 bytes are listed without digest."""
+    root = scratch(spark, "manifest")
+    items = T.table(spark, sf, "benchmark").where("text IS NOT NULL AND item_id IS NOT NULL")
+    items.repartition("item_id").select("text", "item_id").write.partitionBy("item_id").text(root)
+    name = F.concat(F.lit("item_"), F.regexp_extract("path", r"item_id=([^/]+)/", 1))
+    return S.file_manifest(spark, root, name, max_bytes=300)
+
+
 @register("s14_transfer_report", f"""WITH {MANIFEST_SQL}
 SELECT CAST(count(*) AS BIGINT) AS nb_fichiers, CAST(count(CASE WHEN statut IN ('OK', 'OK_NON_VERIFIE') THEN 1 END) AS BIGINT) AS nb_ok,
   CAST(count(CASE WHEN statut NOT IN ('OK', 'OK_NON_VERIFIE') THEN 1 END) AS BIGINT) AS nb_echec,

@@ -12,7 +12,7 @@ from lookout.operators import retrieval as M
 from lookout.operators.windows import top_k_per_group
 from lookout.plans.catalog import register
 from lookout.plans.events import UNIFIED_SQL, unified_events
-from lookout.session import ensure_checkpoint_dir
+from lookout.session import ensure_checkpoint_dir, scratch
 from lookout.sources import tables as T
 from lookout.plans.catalog import nullif_markers
 
@@ -63,6 +63,15 @@ def s7_session_history_scan(spark, sf):
     return flat(back.select(F.struct("*").alias("s")))
 
 
+@register("s7_nested_document", M1_SQL, views=("v_base",))
+def s7_nested_document(spark, sf):
+    """Round trip of the whole-document form: one JSON document of all sessions, read back and exploded."""
+    path = scratch(spark, "document")
+    doc = sessions(spark, sf).agg(F.collect_list("s").alias("sessions"))  # the form is one document
+    doc.withColumn("anomalies_vues", F.array().cast("array<string>")).coalesce(1).write.json(path)
+    return flat(M.read_sessions(spark, path, nested_file=True).select(F.struct("*").alias("s")))
+
+
 @register("m2_latest_context", f"""WITH {SESS_SQL},
 u AS (SELECT session_day, unnest(ips) AS ip, generate_subscripts(ips, 1) AS pos FROM sess),
 f AS (SELECT ip, min(session_day) AS d, arg_min(pos, (session_day, pos)) AS p FROM u GROUP BY ip)

@@ -157,11 +157,18 @@ def write_reports(df: DataFrame, key_col: str, path: str, run_id: str) -> None:
 
 # ------------------------------------------------------------------ S13, S14, J5
 
-def file_manifest(spark: SparkSession, path: str) -> DataFrame:
-    """(name, size, md5) of the files under ``path``."""
+def file_manifest(spark: SparkSession, path: str, name: Column | None = None, max_bytes: int = 1 << 30) -> DataFrame:
+    """(name, size, md5) of the files under ``path``.
+
+    A file's content is one row, so files above ``max_bytes`` are not read: they
+    are listed by name and size with a null md5. The length filter reaches the
+    scan, which opens only the other files.
+    """
+    named = (name if name is not None else F.regexp_extract("path", r"([^/]+)$", 1)).alias("name")
     f = spark.read.format("binaryFile").option("recursiveFileLookup", "true").load(path)
-    return f.select(F.regexp_extract("path", r"([^/]+)$", 1).alias("name"), F.col("length").alias("size"),
-                    F.md5("content").alias("md5"))
+    read = f.where(F.col("length") <= max_bytes).select(named, F.col("length").alias("size"), F.md5("content").alias("md5"))
+    large = f.where(F.col("length") > max_bytes).select(named, F.col("length").alias("size"), F.lit(None).cast("string").alias("md5"))
+    return read.unionByName(large)
 
 
 def compare_manifests(source: DataFrame, target: DataFrame, key: str = "name") -> DataFrame:
