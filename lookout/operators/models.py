@@ -1,8 +1,8 @@
 """Stored detector models (D21): fitted once, kept as versioned tables, applied to rows they have not seen.
 
 A model version holds the scaler, the forest's trees, the local-outlier
-reference (its sorted values with their neighbours), the kernel's mean
-features, and each model's threshold from its own training rows. A run is
+reference (its sorted values with their neighbours; of several features, its
+points with their densities), the kernel's mean features, and each model's threshold from its own training rows. A run is
 scored with the version of the latest run before it; only the first run is
 scored with models fitted on itself.
 """
@@ -16,7 +16,7 @@ from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from lookout.config import DEFAULT, Settings
-from lookout.operators import density, iforest
+from lookout.operators import density, iforest, neighbours
 from lookout.operators import scoring as S
 from lookout.operators.order import with_running_sums
 from lookout.operators.quantile import exact_quantile
@@ -26,17 +26,19 @@ PARAM_DDL = "name string, feature string, value double"
 TREE_DDL = "tree int, node int, feature int, threshold double, left int, right int, size bigint"
 NEIGHBOUR = "struct<x:double,cnt:bigint,kdist:double,lrd:double>"
 LOF_DDL = f"rank bigint, near array<{NEIGHBOUR}>"
+POINT_DDL = "id bigint, x array<double>, cnt bigint, kdist double, lrd double"
 KERNEL_DDL = "k int, mean double"
 
 
 @dataclass
 class Models:
-    """``params``: one value by (name, feature); the tables as stored. Both are a few rows, or bounded by settings, but ``lof``."""
+    """``params``: one value by (name, feature); the tables as stored. Both are a few rows, or bounded by settings, but ``lof`` and ``points``."""
 
     feats: list[str]
     params: dict[tuple[str, str], float | None]
     trees: DataFrame
-    lof: DataFrame
+    lof: DataFrame      # the outlier reference of one feature
+    points: DataFrame   # that of several
     kernel: DataFrame
 
     def value(self, name: str, feature: str = "") -> float | None:
@@ -59,7 +61,7 @@ def _lof_reference(df: DataFrame, feature: str, k: int, contamination: float) ->
 
 
 def fit(df: DataFrame, feats: list[str], contamination: float, key: str, settings: Settings = DEFAULT) -> Models:
-    """Fit all models on ``df``; rows with a null feature are left out. The first feature feeds the outlier factor."""
+    """Fit all models on ``df``; rows with a null feature are left out."""
     for f in feats:
         df = df.where(F.col(f).isNotNull())
     df = cut_lineage(df)
@@ -77,18 +79,22 @@ def fit(df: DataFrame, feats: list[str], contamination: float, key: str, setting
 
     k = min(settings.lof_k, n - 1)
     params["lof_k", ""] = float(k)
-    lof = df.sparkSession.createDataFrame([], LOF_DDL)
-    if k >= 1:
+    lof, points = df.sparkSession.createDataFrame([], LOF_DDL), df.sparkSession.createDataFrame([], POINT_DDL)
+    if k >= 1 and len(feats) == 1:
         lof, params["lof_offset", ""] = _lof_reference(df, feats[0], k, contamination)
+    elif k >= 1:
+        reference, scores = neighbours.lof_fit(x, xf, k)
+        points = reference.select("id", F.array(*[f"_x{i}" for i in range(len(xf))]).alias("x"), "cnt", "kdist", "lrd")
+        params["lof_offset", ""] = exact_quantile(scores, -F.col("lof_fit"), contamination, F.col("cnt"))
 
     gamma = density.scale_gamma(x, xf)
     freq, phase = density.fourier_features(len(xf), gamma)
-    points = cut_lineage(x.groupBy(*xf).agg(F.count(F.lit(1)).cast("bigint").alias("cnt")))
-    mean = density.feature_means(points, xf, freq, phase)
+    distinct = cut_lineage(x.groupBy(*xf).agg(F.count(F.lit(1)).cast("bigint").alias("cnt")))
+    mean = density.feature_means(distinct, xf, freq, phase)
     params["kernel_gamma", ""] = gamma
-    params["kernel_offset", ""] = exact_quantile(density.point_density(points, xf, freq, phase, mean), F.col("density"), contamination, F.col("cnt"))
+    params["kernel_offset", ""] = exact_quantile(density.point_density(distinct, xf, freq, phase, mean), F.col("density"), contamination, F.col("cnt"))
     kernel = df.sparkSession.createDataFrame([(i, float(m)) for i, m in enumerate(mean)], KERNEL_DDL)
-    return Models(feats, params, trees, cut_lineage(lof), kernel)
+    return Models(feats, params, trees, cut_lineage(lof), cut_lineage(points), kernel)
 
 
 # ------------------------------------------------------------------ store
@@ -98,6 +104,7 @@ def save(models: Models, root: str, run_id: str, write) -> None:
     spark = models.trees.sparkSession
     write(models.trees, root, "model_trees", run_id)
     write(models.lof, root, "model_lof", run_id)
+    write(models.points, root, "model_points", run_id)
     write(models.kernel, root, "model_kernel", run_id)
     rows = [(n, f, None if v is None else float(v)) for (n, f), v in models.params.items()]
     write(spark.createDataFrame(rows, PARAM_DDL).coalesce(1), root, "model_params", run_id)
@@ -111,7 +118,8 @@ def load(spark: SparkSession, root: str, run_id: str, read) -> Models | None:
         return None
     params = {(r["name"], r["feature"]): r["value"] for r in rows}
     feats = [r["feature"] for r in rows if r["name"] == "mean"]
-    return Models(feats, params, of_run("model_trees", TREE_DDL), of_run("model_lof", LOF_DDL), of_run("model_kernel", KERNEL_DDL))
+    return Models(feats, params, of_run("model_trees", TREE_DDL), of_run("model_lof", LOF_DDL), of_run("model_points", POINT_DDL),
+                  of_run("model_kernel", KERNEL_DDL))
 
 
 # ------------------------------------------------------------------ apply
@@ -132,6 +140,16 @@ def _lof_votes(values: DataFrame, models: Models) -> DataFrame:
     return rated.select("x", (-score < F.lit(offset)).cast("int").alias("v_lof"))
 
 
+def _lof_point_votes(points: DataFrame, models: Models, xf: list[str]) -> DataFrame:
+    """(xf..., v_lof) of distinct scaled points, by the stored reference points."""
+    offset = models.value("lof_offset")
+    if offset is None:
+        return points.select(*xf, F.lit(0).alias("v_lof"))
+    reference = models.points.select("id", *[F.get("x", F.lit(i)).alias(f"_x{i}") for i in range(len(xf))], "cnt", "kdist", "lrd")
+    scored = neighbours.lof_scores(points, xf, reference, int(models.value("lof_k")))
+    return scored.select(*xf, (-F.col("lof_score") < F.lit(offset)).cast("int").alias("v_lof"))
+
+
 def apply(df: DataFrame, models: Models) -> DataFrame:
     """Add the scaled features and the votes ``v_if``, ``cont_if``, ``v_lof`` and ``v_svm`` of stored models.
 
@@ -144,9 +162,12 @@ def apply(df: DataFrame, models: Models) -> DataFrame:
     for f in feats:
         whole = whole & F.col(f).isNotNull()
 
-    values = x.where(F.col(feats[0]).isNotNull()).select(F.col(feats[0]).cast("double").alias("x")).distinct()
-    lof = _lof_votes(values, models).withColumnRenamed("x", "_lx")
-    out = x.join(lof, F.col(feats[0]).cast("double") == F.col("_lx"), "left").drop("_lx")
+    if len(feats) == 1:
+        values = x.where(F.col(feats[0]).isNotNull()).select(F.col(feats[0]).cast("double").alias("x")).distinct()
+        lof = _lof_votes(values, models).withColumnRenamed("x", "_lx")
+        out = x.join(lof, F.col(feats[0]).cast("double") == F.col("_lx"), "left").drop("_lx")
+    else:
+        out = x.join(_lof_point_votes(x.where(whole).select(*xf), models, xf), xf, "left")
 
     freq, phase = density.fourier_features(len(xf), models.value("kernel_gamma"))
     mean = np.zeros(len(phase))

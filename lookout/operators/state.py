@@ -19,7 +19,7 @@ from lookout.operators import models as M
 from lookout.operators import scoring as S
 from lookout.operators.ensemble import RunState, detect
 
-TABLES = ["thresholds", "blacklist", "training", "performance", "model_params", "model_trees", "model_lof", "model_kernel"]
+TABLES = ["thresholds", "blacklist", "training", "performance", "model_params", "model_trees", "model_lof", "model_points", "model_kernel"]
 
 
 def _write(df: DataFrame, root: str, name: str, run_id: str) -> None:

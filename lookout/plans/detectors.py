@@ -6,13 +6,13 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from lookout.config import DEFAULT, DEFAULT_THRESHOLDS
-from lookout.operators import density, iforest
+from lookout.operators import density, iforest, neighbours
 from lookout.operators import scoring as S
 from lookout.plans.catalog import register
 from lookout.plans.events import CANON_SQL
 from lookout.plans.scoring import FEAT_SQL, as_of, features, q as scored_sql, scored
 from lookout.operators.ensemble import detect
-from lookout.session import scratch
+from lookout.session import cut_lineage, scratch
 from lookout.sources import tables as T
 
 X = "x_Nombre_Tentatives"
@@ -119,6 +119,44 @@ def d6_lof_vote(spark, sf):
         F.col("vote").cast("int").alias("vote"))
 
 
+# the scaled features are rounded, so that distances, and with them ties, are the same in every engine
+LOF2_SQL = f"""WITH {FEAT_SQL},
+st AS (SELECT avg(CAST(Nombre_Tentatives AS DOUBLE)) AS m0, stddev_pop(CAST(Nombre_Tentatives AS DOUBLE)) AS s0,
+  avg(CAST(Nombre_Erreurs AS DOUBLE)) AS m1, stddev_pop(CAST(Nombre_Erreurs AS DOUBLE)) AS s1, count(*) AS n,
+  least(0.20, greatest(0.05, CAST(count(CASE WHEN Nombre_Tentatives > 50 THEN 1 END) AS DOUBLE) / greatest(count(*), 1))) AS c
+  FROM f),
+x AS (SELECT IP_Source, round_even((CAST(Nombre_Tentatives AS DOUBLE) - m0) / CASE WHEN s0 = 0 OR s0 IS NULL THEN 1.0 ELSE s0 END, 6) AS x0,
+  round_even((CAST(Nombre_Erreurs AS DOUBLE) - m1) / CASE WHEN s1 = 0 OR s1 IS NULL THEN 1.0 ELSE s1 END, 6) AS x1,
+  row_number() OVER (ORDER BY IP_Source) AS id FROM f CROSS JOIN st),
+kk AS (SELECT least(20, n - 1) AS k FROM st),
+ps AS (SELECT a.id AS aid, b.id AS bid, sqrt((a.x0 - b.x0) * (a.x0 - b.x0) + (a.x1 - b.x1) * (a.x1 - b.x1)) AS d, b.x0, b.x1 FROM x a CROSS JOIN x b),
+nf AS (SELECT * FROM ps WHERE aid <> bid QUALIFY row_number() OVER (PARTITION BY aid ORDER BY d, x0, x1, bid) <= (SELECT k FROM kk)),
+ns AS (SELECT * FROM ps QUALIFY row_number() OVER (PARTITION BY aid ORDER BY d, x0, x1, bid) <= (SELECT k FROM kk)),
+kd AS (SELECT aid AS id, max(d) AS kdist FROM nf GROUP BY aid),
+lr AS (SELECT nf.aid AS id, 1.0 / (avg(greatest(kd.kdist, nf.d)) + 1e-10) AS lrd FROM nf JOIN kd ON kd.id = nf.bid GROUP BY nf.aid),
+lf AS (SELECT nf.aid AS id, round_even(avg(l2.lrd) / any_value(l1.lrd), 9) AS lof_fit FROM nf JOIN lr l2 ON l2.id = nf.bid
+  JOIN lr l1 ON l1.id = nf.aid GROUP BY nf.aid),
+ls AS (SELECT ns.aid AS id, round_even(avg(lr.lrd) * (avg(greatest(kd.kdist, ns.d)) + 1e-10), 9) AS lof_score
+  FROM ns JOIN kd ON kd.id = ns.bid JOIN lr ON lr.id = ns.bid GROUP BY ns.aid),
+neg AS (SELECT -lof_fit AS v FROM lf),
+{quantile_sql('off', 'neg', 'v', '(SELECT c FROM st)')}
+SELECT x.IP_Source, round_even(lf.lof_fit, 6) AS lof_fit, round_even(ls.lof_score, 6) AS lof_score,
+  CAST(-ls.lof_score < (SELECT q FROM off) AS INT) AS vote
+FROM x JOIN lf ON lf.id = x.id JOIN ls ON ls.id = x.id"""
+
+
+@register("d6_lof_vote_2d", LOF2_SQL, views=("v_ip",))
+def d6_lof_vote_2d(spark, sf):
+    f = features(spark, sf)
+    feats = ["Nombre_Tentatives", "Nombre_Erreurs"]
+    xs = ["x_" + c for c in feats]
+    x = S.scale(f, feats, S.attach(S.global_stats(f, feats, quantiles=False)))
+    x = cut_lineage(x.withColumns({c: F.bround(c, 6) for c in xs}))
+    res = neighbours.lof_nd(x, xs, min(DEFAULT.lof_k, x.count() - 1), contamination_of(f))
+    return x.join(res, xs).select("IP_Source", F.bround("lof_fit", 6).alias("lof_fit"),
+                                  F.bround("lof_score", 6).alias("lof_score"), "vote")
+
+
 # ------------------------------------------------------------------ D7
 
 def fourier_sql(cols: list[str], gamma: str) -> str:
