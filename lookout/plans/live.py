@@ -103,7 +103,28 @@ SELECT c.*, coalesce((SELECT string_agg(ip || ':' || CAST(n AS VARCHAR), ',' ORD
   coalesce((SELECT string_agg(l, chr(10) ORDER BY sr, event_id) FROM l10), '') AS derniers_events
 FROM c""", views=("v_lines",))
 def l7_kpi_record(spark, sf):
-    return L.kpi_record(live_lines(spark, sf))
+    return L.flat_record(L.kpi_record(live_lines(spark, sf))).drop("timestamp")
+
+
+@register("l7_kpi_lists", f"""WITH {TAILS_SQL}, {FIXED_SQL},
+f AS (SELECT unnest(regexp_extract_all(line, '{FROM}', 1)) AS ip FROM t WHERE src = 'auth'),
+tp AS (SELECT ip, CAST(count(*) AS BIGINT) AS n FROM f GROUP BY ip ORDER BY n DESC, ip LIMIT 10),
+bn AS (SELECT DISTINCT unnest(regexp_extract_all(line, '{BAN}', 1)) AS ip FROM t WHERE src = 'fail2ban'),
+pr AS (SELECT fx.src, CAST(count(t.src) AS BIGINT) AS n FROM fx LEFT JOIN t ON t.src = fx.src GROUP BY fx.src),
+l20 AS (SELECT *, CASE src WHEN 'auth' THEN 1 ELSE 2 END AS sr FROM t WHERE src IN ('auth', 'syslog')
+  ORDER BY sr DESC, event_id DESC LIMIT 20),
+l10 AS (SELECT sr, event_id, trim(line, {WS}) AS l FROM l20 WHERE length(trim(line, {WS})) > 0
+  ORDER BY sr DESC, event_id DESC LIMIT 10),
+r AS (SELECT 'top_ips_suspectes' AS part, row_number() OVER (ORDER BY n DESC, ip) AS pos, ip AS value, n FROM tp
+  UNION ALL SELECT 'ips_bannies', row_number() OVER (ORDER BY ip), ip, NULL FROM bn
+  UNION ALL SELECT 'nb_logs_lus', row_number() OVER (ORDER BY src), src, n FROM pr
+  UNION ALL SELECT 'derniers_events', row_number() OVER (ORDER BY sr, event_id), l, NULL FROM l10)
+SELECT (SELECT strftime(max(ts), '%Y-%m-%d %H:%M:%S') FROM v_lines) AS timestamp, part, pos, value, coalesce(n, 0) AS n FROM r""", views=("v_lines",))
+def l7_kpi_lists(spark, sf):
+    """The record's time and lists; it is taken as of the newest line."""
+    lines = live_lines(spark, sf)
+    record = L.kpi_record(lines, as_of=lines.agg(F.max("ts").alias("m")).scalar())
+    return L.record_lists(record).withColumn("timestamp", fmt_ts("timestamp")).fillna(0, ["n"])
 
 
 L8_SQL = """SELECT strftime(TIMESTAMP '1970-01-01 00:00:00' + to_seconds(CAST(floor(epoch(ts) / 14400) * 14400 AS BIGINT)),
@@ -171,4 +192,20 @@ def l4_stream_banned_ips(spark, sf):
     q = L.start_banned_stream(spark, f"{root}/in/*", "ts timestamp_ntz, source_log string, line string",
                               f"{root}/out", f"{root}/checkpoint")
     q.awaitTermination()
-    return spark.read.schema("ip string").parquet(f"{root}/out")
+    return L.read_banned(spark, f"{root}/out")
+
+
+@register("l5_stream_distinct_ips", f"""WITH f AS (SELECT date_trunc('day', ts) AS d, unnest(regexp_extract_all(line, '{FROM}', 1)) AS ip
+  FROM v_lines WHERE source_log = 'auth.log' AND line NOT LIKE 'fail2ban%')
+SELECT strftime(d, '%Y-%m-%d %H:%M:%S') AS window_start, CAST(count(DISTINCT ip) AS BIGINT) AS nb_ips_uniques FROM f GROUP BY d""",
+          views=("v_lines",))
+def l5_stream_distinct_ips(spark, sf):
+    """Distinct 'from' addresses of each day from a file-source stream in two AvailableNow runs; the newer file arrives first."""
+    root = f"{ensure_checkpoint_dir(spark).rstrip('/')}/ips-{uuid.uuid4().hex}"
+    lines = live_lines(spark, sf).select("ts", "source_log", "line")
+    newer = F.col("ts") >= F.lit("2024-01-16").cast("timestamp_ntz")
+    for part, rows in (("part2", newer), ("part1", ~newer)):
+        lines.where(rows).write.parquet(f"{root}/in/{part}")
+        L.start_distinct_stream(spark, f"{root}/in/*", "ts timestamp_ntz, source_log string, line string",
+                                f"{root}/out", f"{root}/checkpoint").awaitTermination()
+    return L.read_distinct_counts(spark, f"{root}/out").withColumn("window_start", fmt_ts("window_start"))

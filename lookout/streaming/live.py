@@ -84,32 +84,49 @@ def lines_per_source(t: DataFrame) -> DataFrame:
 
 
 def kpi_record(lines: DataFrame, line_no: str = "event_id", as_of: Column | None = None) -> DataFrame:
-    """One flattened KPI row (counters, distinct / banned addresses, top
-    10 'from' addresses, lines read per source, last 10 events).
+    """One KPI row: ``timestamp`` (``as_of``, else now), counters, distinct
+    and banned addresses, top 10 'from' addresses with their counts, lines read
+    per source, last 10 events.
 
     Every list in the record is bounded (top 10, last 10, fixed sources);
-    the banned list is bounded by the 500-line tail."""
+    the banned list is bounded by the 500-line tail. Without lines the counters
+    are 0 and the lists empty."""
     from lookout.session import cut_lineage
     t = cut_lineage(tails(lines, line_no))  # at most 500 lines per file, read by every part below
-    c = counters(t)
     ips = from_ips(t)
-    top = (ips.groupBy("ip").agg(F.count(F.lit(1)).alias("n")).orderBy(F.desc("n"), F.asc("ip")).limit(10)
-           .agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct(F.negative("n").alias("k"), "ip",
-                                                                                  "n"))),
-                                         lambda x: F.concat(x["ip"], F.lit(":"), x["n"].cast("string"))), ",")
-                .alias("v")).scalar())
-    banned = banned_ips(t).agg(F.array_join(F.array_sort(F.collect_list("ip")), ",").alias("v")).scalar()
+    top = ips.groupBy("ip").agg(F.count(F.lit(1)).cast("bigint").alias("count")).orderBy(F.desc("count"), F.asc("ip")).limit(10)
+    ranked = F.array_sort(F.collect_list(F.struct(F.negative("count").alias("k"), "ip", "count")))
+    top = top.agg(F.transform(ranked, lambda x: F.struct(x["ip"].alias("ip"), x["count"].alias("count"))).alias("v")).scalar()
+    banned = banned_ips(t).agg(F.array_sort(F.collect_list("ip")).alias("v")).scalar()
     n_ips = ips.agg(F.count_distinct("ip").cast("bigint").alias("v")).scalar()
-    per = lines_per_source(t).agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("src", "n"))),
-                                                           lambda x: F.concat(x["src"], F.lit("="), x["n"].cast("string"))),
-                                               ",").alias("v")).scalar()
+    per = lines_per_source(t).agg(F.map_from_entries(F.array_sort(F.collect_list(F.struct("src", "n")))).alias("v")).scalar()
     last = recent_lines(t.withColumn("source_log", F.col("src")), ["auth", "syslog"], "source_log", line_no,
                         tail_n=TAIL_LINES)
-    last_txt = last.agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("pos", "line"))),
-                                                 lambda x: x["line"]), "\n").alias("v")).scalar()
-    return c.select("*", F.coalesce(top, F.lit("")).alias("top_ips_suspectes"),
-                    F.coalesce(banned, F.lit("")).alias("ips_bannies"), n_ips.alias("nb_ips_uniques"),
-                    per.alias("nb_logs_lus"), F.coalesce(last_txt, F.lit("")).alias("derniers_events"))
+    last = last.agg(F.transform(F.array_sort(F.collect_list(F.struct("pos", "line"))), lambda x: x["line"]).alias("v")).scalar()
+    now = as_of if as_of is not None else F.current_timestamp()
+    return counters(t).select(now.alias("timestamp"), "*", top.alias("top_ips_suspectes"), banned.alias("ips_bannies"),
+                              n_ips.alias("nb_ips_uniques"), per.alias("nb_logs_lus"), last.alias("derniers_events"))
+
+
+def flat_record(record: DataFrame) -> DataFrame:
+    """The record with its lists as text, one line of a CSV file."""
+    pairs = F.transform("top_ips_suspectes", lambda x: F.concat(x["ip"], F.lit(":"), x["count"].cast("string")))
+    logs = F.transform(F.array_sort(F.map_entries("nb_logs_lus")), lambda x: F.concat(x["key"], F.lit("="), x["value"].cast("string")))
+    return record.withColumns({"top_ips_suspectes": F.array_join(pairs, ","), "ips_bannies": F.array_join("ips_bannies", ","),
+                               "nb_logs_lus": F.array_join(logs, ","), "derniers_events": F.array_join("derniers_events", "\n")})
+
+
+def record_lists(record: DataFrame) -> DataFrame:
+    """The record's lists as rows: ``timestamp``, ``part``, ``pos`` (from 1), ``value``, ``n`` (null for plain lists)."""
+    none = F.lit(None).cast("bigint")
+    entry = lambda value, n: F.struct(value.alias("value"), n.alias("n"))
+    parts = {"top_ips_suspectes": F.transform("top_ips_suspectes", lambda x: entry(x["ip"], x["count"])),
+             "ips_bannies": F.transform("ips_bannies", lambda x: entry(x, none)),
+             "nb_logs_lus": F.transform(F.array_sort(F.map_entries("nb_logs_lus")), lambda x: entry(x["key"], x["value"])),
+             "derniers_events": F.transform("derniers_events", lambda x: entry(x, none))}
+    named = F.array(*[F.struct(F.lit(name).alias("part"), rows.alias("rows")) for name, rows in parts.items()])
+    return record.select("timestamp", F.explode(named).alias("p")).select("timestamp", "p.part", F.posexplode("p.rows").alias("pos", "row")) \
+        .select("timestamp", "part", (F.col("pos") + 1).cast("bigint").alias("pos"), "row.value", "row.n")
 
 
 # ------------------------------------------------------------------ L8, L9
@@ -183,15 +200,58 @@ def start_counters_stream(spark, source_path: str, schema: str, sink_path: str,
     return w.start()
 
 
+def _first_seen(rows: DataFrame, keys: list[str], hold: str) -> DataFrame:
+    """Rows of a stream whose keys were not seen within ``hold``, by arrival.
+
+    The watermark follows the time of arrival, so no row counts as late, however
+    old its line; a key's state goes once ``hold`` has passed since the key was
+    emitted. A key that comes back later is emitted again.
+    """
+    return rows.withColumn("_arrived", F.current_timestamp()).withWatermark("_arrived", hold) \
+        .dropDuplicatesWithinWatermark(keys).drop("_arrived")
+
+
+def _start_append(rows: DataFrame, sink_path: str, checkpoint: str, available_now: bool):
+    w = rows.writeStream.outputMode("append").format("parquet").option("path", sink_path).option("checkpointLocation", checkpoint)
+    w = w.trigger(availableNow=True) if available_now else w.trigger(processingTime="1 second")
+    return w.start()
+
+
 def start_banned_stream(spark, source_path: str, schema: str, sink_path: str, checkpoint: str,
-                        available_now: bool = True):
-    """L4 as a stream: each banned address is emitted once (``dropDuplicates``
-    keeps one state row per distinct address) and appended to the sink."""
+                        available_now: bool = True, hold: str = "7 days"):
+    """L4 as a stream: banned addresses, each at most once within ``hold``.
+    State holds the addresses of that time only; ``read_banned`` gives the whole set."""
     stream = spark.readStream.schema(schema).parquet(source_path)
     bans = (stream.where(live_source("source_log") == "fail2ban")
-            .select(F.explode(F.regexp_extract_all("line", F.lit(IPV4_AFTER_BAN), F.lit(1))).alias("ip"))
-            .dropDuplicates(["ip"]))
-    w = bans.writeStream.outputMode("append").format("parquet").option("path", sink_path) \
-        .option("checkpointLocation", checkpoint)
-    w = w.trigger(availableNow=True) if available_now else w.trigger(processingTime="1 second")
-    return w.start()
+            .select(F.explode(F.regexp_extract_all("line", F.lit(IPV4_AFTER_BAN), F.lit(1))).alias("ip")))
+    return _start_append(_first_seen(bans, ["ip"], hold), sink_path, checkpoint, available_now)
+
+
+def read_banned(spark, sink_path: str) -> DataFrame:
+    """L4: the distinct addresses the stream has stored so far."""
+    return spark.read.schema("ip string").parquet(sink_path).distinct()
+
+
+def start_distinct_stream(spark, source_path: str, schema: str, sink_path: str, checkpoint: str, ts_col: str = "ts",
+                          width: str = "1 day", available_now: bool = True, hold: str = "7 days"):
+    """L5 as a stream: the 'from' addresses of each event-time window, each at most once
+    within ``hold``; ``read_distinct_counts`` counts them. Late files lose no address."""
+    stream = spark.readStream.schema(schema).parquet(source_path)
+    seen = stream.where(live_source("source_log") == "auth").select(
+        F.window(F.col(ts_col), width)["start"].alias("window_start"),
+        F.explode(F.regexp_extract_all("line", F.lit(IPV4_AFTER_FROM), F.lit(1))).alias("ip"))
+    return _start_append(_first_seen(seen, ["window_start", "ip"], hold), sink_path, checkpoint, available_now)
+
+
+def read_distinct_counts(spark, sink_path: str, ts_type: str = "timestamp_ntz") -> DataFrame:
+    """Distinct addresses by window over all that the stream has stored so far."""
+    return spark.read.schema(f"window_start {ts_type}, ip string").parquet(sink_path) \
+        .groupBy("window_start").agg(F.count_distinct("ip").cast("bigint").alias("nb_ips_uniques"))
+
+
+def window_distinct(t: DataFrame, ts_col: str = "ts", width: str = "1 day") -> DataFrame:
+    """L5's batch twin: distinct 'from' addresses of the auth lines by window; a window without any has no row."""
+    seen = t.where(live_source("source_log") == "auth").select(
+        F.window(F.col(ts_col), width)["start"].alias("window_start"),
+        F.explode(F.regexp_extract_all("line", F.lit(IPV4_AFTER_FROM), F.lit(1))).alias("ip"))
+    return seen.groupBy("window_start").agg(F.count_distinct("ip").cast("bigint").alias("nb_ips_uniques"))
