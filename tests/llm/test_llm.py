@@ -328,6 +328,21 @@ def test_copies_leave_a_label_all_its_texts(spark):
 
 
 # -- licences -----------------------------------------------------------------------
+def test_a_hundred_labels_get_models_and_both_forms_agree(spark):
+    import random
+    rnd = random.Random(4)
+    words = {f"l{i:03}": ["".join(rnd.choices("abcdefghijklmnopqrstuvwxyz", k=rnd.randint(3, 7))) for _ in range(12)] for i in range(100)}
+    rows = [(i * 10 + j, " ".join(rnd.choices(words[name], k=60)), name, "s") for i, name in enumerate(words) for j in range(4)]
+    docs = _docs(spark, rows)
+    train = F.col("doc_id") % 10 < 3
+    sparse, dense = (langid.fit(docs, train, params=langid.LangIdParams(dense_languages=n)) for n in (64, 100))
+    assert len(sparse.languages) == 100 and isinstance(sparse.log_p, langid.SparseTrigrams)
+    got = {r["doc_id"]: r for r in langid.predict(docs, sparse).collect()}
+    assert all(got[i]["lang_pred"] == name for i, _, name, _ in rows)
+    for r in langid.predict(docs, dense, params=langid.LangIdParams(dense_languages=100)).collect():
+        assert r["lang_pred"] == got[r["doc_id"]]["lang_pred"] and r["score"] == pytest.approx(got[r["doc_id"]]["score"], abs=1e-3)
+
+
 def test_license_digest_ignores_owner_case_and_punctuation(spark):
     name, body = TEXTS[0]
     rows = [(1, "Copyright (c) 2020 Some Body\n\n" + body.upper().replace(",", " ;"), "en", "a"), (2, body + " and more words", "en", "a"), (3, None, "en", "a")]
