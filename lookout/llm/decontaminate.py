@@ -22,7 +22,7 @@ class SeedParams:
     masks: tuple[str, ...] = ("111010011011", "110110010111", "101101110011")  # 1: the token counts
     shortest: int = 5           # benchmark texts of fewer tokens name no passage and are never matched
     min_score: int = 10         # matches minus substitutions of an overlap; a shorter benchmark text must match whole
-    broadcast_rows: int = 2_000_000   # seeds of a benchmark that are broadcast; more are joined by a shuffle
+    broadcast_rows: int = 2_000_000   # seeds of a benchmark that are broadcast; more meet narrow seeds of the documents in a shuffle
 
     @property
     def span(self) -> int:
@@ -81,16 +81,23 @@ def overlaps(docs: DataFrame, benchmark: DataFrame, doc_id: str = "doc_id", text
     short = sorted(r["_n"] for r in items.where(F.col("_n") < params.span).select("_n").distinct().collect())
     wanted = written(_seeds(items, params, short).select("_seed", "_item", F.col("_at").alias("_item_at")), "decon-seeds")
     bodies = items.select("_item", F.col("_h").alias("_item_h"), F.col("_n").alias("_item_n"))
-    if wanted.count() <= params.broadcast_rows:  # as do the texts, which have fewer tokens than seeds
-        wanted, bodies = F.broadcast(wanted), F.broadcast(bodies)
-
     own = _hashed(docs, text, F.col(doc_id).alias("doc_id"), F.xxhash64(text).alias("text_hash"))
-    hits = _seeds(own, params, short).join(wanted, "_seed").join(bodies, "_item")
-    offset = F.col("_at") - F.col("_item_at")
+    place = (F.col("_at") - F.col("_item_at")).alias("offset")
+    if wanted.count() <= params.broadcast_rows:  # as do the texts, which have fewer tokens than seeds
+        hits = _seeds(own, params, short).join(F.broadcast(wanted), "_seed").join(F.broadcast(bodies), "_item") \
+            .select("doc_id", "text_hash", "_h", "_n", "_item", "_item_h", "_item_n", place)
+    else:  # seeds travel without their texts; each hit document fetches its own once
+        narrow = _seeds(own, params, short).select("doc_id", "text_hash", "_at", "_seed")
+        places = written(narrow.join(wanted, "_seed").select("doc_id", "text_hash", "_item", place).distinct(), "decon-places")
+        hit = places.select(F.col("doc_id").alias("_hit_id"), F.col("text_hash").alias("_hit_hash")).distinct()
+        fetched = docs.select(F.col(doc_id).alias("doc_id"), F.xxhash64(text).alias("text_hash"), F.col(text).alias("_text")) \
+            .join(hit, F.col("doc_id").eqNullSafe(F.col("_hit_id")) & (F.col("text_hash") == F.col("_hit_hash")), "left_semi")
+        fetched = _hashed(fetched, "_text", F.col("doc_id").alias("_own_id"), F.col("text_hash").alias("_own_hash"))
+        hits = places.join(fetched, F.col("doc_id").eqNullSafe(F.col("_own_id")) & (F.col("text_hash") == F.col("_own_hash"))) \
+            .join(bodies, "_item").drop("_own_id", "_own_hash")
     begin = F.greatest(F.lit(0), -F.col("offset"))
     length = F.least(F.col("_item_n"), F.col("_n") - F.col("offset")) - begin
-    scored = hits.withColumn("offset", offset) \
-        .withColumn("score", _run_score(F.slice("_h", F.col("offset") + begin + 1, length), F.slice("_item_h", begin + 1, length))) \
+    scored = hits.withColumn("score", _run_score(F.slice("_h", F.col("offset") + begin + 1, length), F.slice("_item_h", begin + 1, length))) \
         .where(F.col("score") >= F.least(F.lit(params.min_score), F.col("_item_n")))
     found = scored.groupBy("doc_id", "text_hash", "_item", "offset").agg(F.max("score").alias("score"))
     return found.join(items.select("_item", "items"), "_item") \

@@ -17,13 +17,15 @@ from pyspark.sql import functions as F
 from lookout.llm.common import written
 
 KEY_BITS = 60
+CUTS = "array<struct<start: bigint, edge: bigint, largest: double>>"    # keys from start to below edge, of rows up to largest words
 
 
 @dataclass(frozen=True)
 class MixParams:
     level_bits: int = 12    # key bits of one histogram; divides KEY_BITS
-    passes: int = 3         # thresholds a source: the first, and those that fill what a large boundary document left open
-    max_repeat: int = 3     # a target stops at so many times its source's size
+    passes: int = 3         # thresholds a turn: the first, and those that fill what a large boundary document left open
+    max_repeat: int = 3     # a target stops at so many times its source's size; no document is taken more often
+    near: float = 0.001     # a source is filled, by up to max_repeat turns over its documents, until this share of its target is open
 
 
 def document_key(doc_id: Column, text: Column) -> Column:
@@ -61,39 +63,37 @@ def source_targets(sizes: DataFrame, weights: int = 3, params: MixParams = MixPa
     return ranked.withColumn("target", F.least(cap.cast("double"), F.col("weight") * F.lit(float(share or 0.0))))
 
 
-def thresholds(rows: DataFrame, budgets: DataFrame, last: bool, params: MixParams) -> DataFrame:
-    """Where each source's budget ends among its rows (``_s``, ``size``, ``key``).
+def thresholds(rows: DataFrame, budgets: DataFrame, params: MixParams) -> DataFrame:
+    """Where each source's budget (``_s``, ``open``) ends among its rows (``_s``, ``size``, ``key``).
 
-    Returns ``_s``, ``below`` (keys below it are taken), ``after`` (the key from
-    which further rows can fill the rest) and ``rest``. The boundary key itself
-    is taken only on the last pass, if that brings the sum nearer to the budget.
-    A source whose rows all fit has no boundary: all are taken.
+    Returns ``_s``, ``edge`` (the first key that does not fit: those below it are
+    taken; null if all rows of the source fit) and ``rest`` (what is left of the
+    budget). Sources without rows are left out.
     """
-    bits, part = 0, None
-    state = budgets.select("_s", F.lit(0).cast("bigint").alias("_prefix"), F.col("budget").alias("_open"))
+    bits = 0
+    state = budgets.select("_s", F.lit(0).cast("bigint").alias("_prefix"), F.col("open").alias("_open"))
     done = None
     while bits < KEY_BITS:
         bits += params.level_bits
         shift = KEY_BITS - bits
         inside = rows.join(state, "_s")
-        if part is not None:
+        if done is not None:
             inside = inside.where(F.shiftright("key", shift + params.level_bits) == F.col("_prefix"))
         hist = inside.groupBy("_s", F.shiftright("key", shift).alias("_bucket"), "_open") \
             .agg(F.sum("size").alias("_sum"), F.min("key").alias("_low"), F.max("key").alias("_high"))
         run = Window.partitionBy("_s").orderBy("_bucket").rowsBetween(Window.unboundedPreceding, Window.currentRow)
-        hist = hist.withColumn("_upto", F.sum("_sum").over(run)).where(F.col("_upto") > F.col("_open"))
-        first = F.min(F.struct("_bucket", "_sum", "_upto", "_low", "_high", "_open"))
-        part = written(hist.groupBy("_s").agg(first.alias("_b")).select("_s", "_b.*"), "mix-level")
-        ready = part.where((F.col("_low") == F.col("_high")) if bits < KEY_BITS else F.lit(True))
+        hist = hist.withColumn("_upto", F.sum("_sum").over(run))
+        first = F.min(F.when(F.col("_upto") > F.col("_open"), F.struct("_bucket", "_sum", "_upto", "_low", "_high")))
+        part = hist.groupBy("_s", "_open").agg(first.alias("_b"), F.sum("_sum").alias("_all")).select("_s", "_open", "_all", "_b.*") \
+            .withColumn("_under", F.col("_open") - F.coalesce(F.col("_upto") - F.col("_sum"), "_all"))
+        part = written(part, "mix-level")
+        split = (F.col("_low") < F.col("_high")) if bits < KEY_BITS else F.lit(False)   # the boundary bucket holds several keys
+        ready = part.where(~F.coalesce(split, F.lit(False)))
         done = ready if done is None else done.unionByName(ready)
-        state = part.where(F.col("_low") < F.col("_high")) \
-            .select("_s", F.col("_bucket").alias("_prefix"), (F.col("_open") - (F.col("_upto") - F.col("_sum"))).alias("_open"))
+        state = part.where(split).select("_s", F.col("_bucket").alias("_prefix"), F.col("_under").alias("_open"))
         if state.isEmpty():
             break
-    under = F.col("_open") - (F.col("_upto") - F.col("_sum"))
-    take = (F.col("_sum") - under < under) if last else F.lit(False)
-    return written(done.select("_s", (F.col("_high") + F.when(take, 1).otherwise(0)).alias("below"),
-                               (F.col("_high") + 1).alias("after"), under.alias("rest")), "mix-threshold")
+    return written(done.select("_s", F.col("_low").alias("edge"), F.col("_under").alias("rest")), "mix-threshold")
 
 
 def _marked(docs: DataFrame, size: Column, doc_id: str, text: str, source: str, *keep: Column) -> DataFrame:
@@ -104,7 +104,7 @@ def _marked(docs: DataFrame, size: Column, doc_id: str, text: str, source: str,
 
 
 def source_cuts(rows: DataFrame, weights: int, params: MixParams) -> DataFrame:
-    """What is taken of every source ``_s``: ``source_size``, ``target``, ``whole`` passes and the thresholds of each pass."""
+    """What is taken of every source ``_s``: ``source_size``, ``target``, ``whole`` passes, the ``cuts`` of further ones and what stays ``open``."""
     sizes = rows.groupBy("source").agg(F.sum("size").alias("source_size"))
     whole = F.when(F.col("source_size") > 0, F.floor(F.col("target") / F.col("source_size"))).otherwise(0)
     plan = source_targets(sizes, weights, params).withColumn("whole", whole.cast("bigint")) \
@@ -112,29 +112,68 @@ def source_cuts(rows: DataFrame, weights: int, params: MixParams) -> DataFrame:
         .withColumn("_s", F.struct(F.coalesce("source", F.lit("")).alias("name"), F.col("source").isNull().alias("none")))
     plan = written(plan, "mix-plan")
 
-    budgets, fits = plan.select("_s", "budget"), rows
-    cuts = plan.select("_s", "source_size", "target", "whole")
-    for step in range(params.passes):
-        found = thresholds(fits.select("_s", "size", "key"), budgets, step == params.passes - 1, params)
-        mine = found.select("_s", F.col("below").alias(f"below{step}"), F.col("after").alias(f"after{step}"),
-                            F.col("rest").alias(f"rest{step}"))
-        cuts = written(cuts.join(mine, "_s", "left"), "mix-taken")
-        # what still fits below the open rest, beyond the boundary document
-        budgets = found.select("_s", F.col("rest").alias("budget"))
-        fits = fits.join(found, "_s").where((F.col("key") >= F.col("after")) & (F.col("size") <= F.col("rest"))) \
-            .drop("below", "after", "rest")
-    return cuts
+    state = plan.select("_s", "source_size", "target", "whole", F.col("budget").alias("open"),
+                        F.array().cast(CUTS).alias("cuts"))
+    for turn in range(params.max_repeat):
+        for step in range(params.passes):
+            state, fitted = _filled(rows, state, fresh=step == 0, whole=turn == step == 0, params=params)
+            if not fitted or _open_sources(state, params).isEmpty():
+                break
+        if step == 0:   # a turn over all keys that left nothing to do
+            break
+    return _nearest(rows, state, params)
+
+
+def _open_sources(state: DataFrame, params: MixParams) -> DataFrame:
+    """Sources whose rest is above ``near`` of their target."""
+    return state.where(F.col("open") > F.col("target") * params.near)
+
+
+def _fitting(rows: DataFrame, state: DataFrame, params: MixParams) -> DataFrame:
+    """Rows of open sources that hold words and can be taken once more."""
+    return rows.where(F.col("size") > 0).join(_open_sources(state, params), "_s").where(_repeats(params) < params.max_repeat)
+
+
+def _filled(rows: DataFrame, state: DataFrame, fresh: bool, whole: bool, params: MixParams) -> tuple[DataFrame, bool]:
+    """One pass: the next cut of every open source, and whether any row fitted.
+
+    A fresh pass starts at the least key again, others behind the last edge.
+    """
+    start = F.lit(0) if fresh else F.coalesce(F.get("cuts", F.size("cuts") - 1)["edge"] + 1, F.lit(0))
+    largest = F.lit(None).cast("double") if whole else F.col("open")
+    fits = _fitting(rows, state.withColumn("_start", start.cast("bigint")), params).where(F.col("key") >= F.col("_start"))
+    if not whole:
+        fits = fits.where(F.col("size") <= F.col("open"))
+    found = thresholds(fits.select("_s", "size", "key"), _open_sources(state, params).select("_s", "open"), params)
+    cut = F.struct(start.cast("bigint").alias("start"), F.col("edge"), largest.alias("largest"))
+    after = written(state.join(found, "_s", "left").select(
+        "_s", "source_size", "target", "whole", F.coalesce("rest", "open").alias("open"),
+        F.when(F.col("rest").isNull(), F.col("cuts")).otherwise(F.concat("cuts", F.array(cut))).cast(CUTS).alias("cuts")), "mix-taken")
+    return after, not found.isEmpty()
+
+
+def _nearest(rows: DataFrame, state: DataFrame, params: MixParams) -> DataFrame:
+    """A last cut of one key, the smallest that brings an open source nearer to its target by passing it."""
+    wide = _fitting(rows, state, params).where((F.col("size") > F.col("open")) & (F.col("size") < 2 * F.col("open"))) \
+        .groupBy("_s", "key", "open").agg(F.sum("size").alias("_here")).where(F.col("_here") < 2 * F.col("open")) \
+        .groupBy("_s").agg(F.min(F.struct("_here", "key"))["key"].alias("_key"))
+    cut = F.struct(F.col("_key").alias("start"), (F.col("_key") + 1).alias("edge"), F.lit(None).cast("double").alias("largest"))
+    return written(state.join(wide, "_s", "left").withColumn(
+        "cuts", F.when(F.col("_key").isNull(), F.col("cuts")).otherwise(F.concat("cuts", F.array(cut))).cast(CUTS)).drop("_key"), "mix-cuts")
 
 
 def _repeats(params: MixParams) -> Column:
-    """How often a row (``key``, ``size``) is taken, by the cuts of its source."""
-    got = F.lit(False)
-    for step in range(params.passes - 1, -1, -1):
-        # without a boundary on this pass, all that was left to it fits
-        here = F.col(f"below{step}").isNull() | (F.col("key") < F.col(f"below{step}"))
-        later = (F.col("key") >= F.col(f"after{step}")) & (F.col("size") <= F.col(f"rest{step}")) & got
-        got = here | F.coalesce(later, F.lit(False))
-    return F.col("whole") + F.when(got, 1).otherwise(0)
+    """How often a row (``key``, ``size``) is taken, by the ``whole`` passes and the ``cuts`` of its source.
+
+    An empty row is taken at least once, at no cost.
+    """
+    def inside(cut: Column) -> Column:
+        return (F.col("key") >= cut["start"]) & (cut["edge"].isNull() | (F.col("key") < cut["edge"])) \
+            & (cut["largest"].isNull() | (F.col("size") <= cut["largest"]))
+
+    # rows that had all their copies before a cut were not counted by it
+    more = F.least(F.col("whole") + F.size(F.filter("cuts", inside)), F.lit(params.max_repeat))
+    return F.when(F.col("size") == 0, F.greatest("whole", F.lit(1))).otherwise(more)
 
 
 def mix(docs: DataFrame, size: Column, doc_id: str = "doc_id", text: str = "text", source: str = "source",
@@ -144,9 +183,13 @@ def mix(docs: DataFrame, size: Column, doc_id: str = "doc_id", text: str = "text
     Returns ``doc_id``, ``text_hash``, ``source``, ``size``, ``source_size``,
     ``target``, ``repeats`` (how often the document is taken) and ``taken``
     (size by repeats). Whole passes of a source come first, the rest of its
-    target by thresholds on the key. Rows with equal id and text share their
-    key and are taken together; empty documents are taken at no cost; an empty
-    table gives an empty mix. Reruns agree: nothing is drawn at random.
+    target by thresholds on the key: what a large document at the boundary
+    leaves open is filled by smaller ones behind it, then by further turns over
+    the documents below ``max_repeat`` copies, until no more than ``near`` of
+    the target is open or nothing fits; last, one document may pass the target
+    if that comes nearer. Rows with equal id and text share their key and are
+    taken together; empty documents are taken at no cost, at least once; an
+    empty table gives an empty mix. Reruns agree: nothing is drawn at random.
     """
     rows = written(_marked(docs, size, doc_id, text, source, F.col(doc_id).alias("doc_id"), F.xxhash64(text).alias("text_hash")),
                    "mix-rows")

@@ -60,29 +60,24 @@ FROM kept JOIN p USING (conv_id) GROUP BY conv_id, kept.n, snapshots
 """
 
 
-def _mix_passes(n: int) -> str:
-    out = []
-    for i in range(n):
-        rows = "r" if i == 0 else f"""(SELECT r.* FROM r JOIN b{i - 1} x ON r.source IS NOT DISTINCT FROM x.source
-            WHERE r.key > x.at AND r.size <= x.rest)"""
-        budget = "plan" if i == 0 else f"(SELECT source, rest AS budget FROM b{i - 1})"
+def _mix_passes() -> str:
+    p, out = MixParams(), []
+    for i in range(p.max_repeat * p.passes):
+        small = "" if i == 0 else " AND size <= open"
+        fits = f"open > target * {p.near} AND size > 0 AND n < {p.max_repeat} AND key >= start{small}"
+        start = "0" if (i + 1) % p.passes == 0 else "CASE WHEN c IS NULL THEN start ELSE coalesce(edge + 1, 0) END"
         out.append(f"""
-c{i} AS (SELECT f.source, key, sum(f.size) AS here, sum(sum(f.size)) OVER (PARTITION BY f.source ORDER BY key) AS upto, any_value(budget) AS budget
-  FROM {rows} f JOIN {budget} g ON f.source IS NOT DISTINCT FROM g.source GROUP BY f.source, key),
-b{i} AS (SELECT source, key AS at, budget - (upto - here) AS rest, {f"here - (budget - (upto - here)) < budget - (upto - here)" if i == n - 1 else "false"} AS take
-  FROM c{i} WHERE upto > budget QUALIFY row_number() OVER (PARTITION BY source ORDER BY key) = 1)""")
+e{i} AS MATERIALIZED (SELECT source, key, any_value(open) AS open, sum(size) AS here, sum(sum(size)) OVER (PARTITION BY source ORDER BY key) AS upto
+  FROM x{i} WHERE {fits} GROUP BY source, key),
+f{i} AS MATERIALIZED (SELECT source, count(*) AS c, min(key) FILTER (WHERE upto > open) AS edge,
+    any_value(open) - coalesce(max(upto) FILTER (WHERE upto <= open), 0) AS rest FROM e{i} GROUP BY source),
+x{i + 1} AS MATERIALIZED (SELECT x.* REPLACE (n + CASE WHEN c IS NOT NULL AND {fits} AND (edge IS NULL OR key < edge) THEN 1 ELSE 0 END AS n,
+    coalesce(rest, open) AS open, {start} AS start)
+  FROM x{i} x LEFT JOIN f{i} f ON x.source IS NOT DISTINCT FROM f.source)""")
     return ",".join(out)
 
 
-def _mix_taken(n: int) -> str:
-    test = "false"
-    for i in range(n - 1, -1, -1):
-        test = (f"(b{i}.at IS NULL OR r.key < b{i}.at OR (r.key = b{i}.at AND b{i}.take)"
-                f" OR (r.key > b{i}.at AND r.size <= b{i}.rest AND {test}))")
-    return test
-
-
-_N = MixParams.passes
+_LAST = f"x{MixParams.max_repeat * MixParams.passes}"
 OP3 = f"""
 WITH r AS (
   SELECT doc_id, source, len({_word_list('text')})::BIGINT AS size,
@@ -100,10 +95,16 @@ t AS (SELECT *, least(3.0 * source_size, weight * l)::DOUBLE AS target FROM s, l
 plan AS (
   SELECT source, source_size, target, whole, target - whole * source_size AS budget
   FROM (SELECT *, CASE WHEN source_size > 0 THEN floor(target / source_size)::BIGINT ELSE 0 END AS whole FROM t)),
-{_mix_passes(_N)}
-SELECT doc_id, r.size, source_size, target, r.size * (whole + CASE WHEN {_mix_taken(_N)} THEN 1 ELSE 0 END) AS taken
-FROM r JOIN plan ON r.source IS NOT DISTINCT FROM plan.source
-{' '.join(f"LEFT JOIN b{i} ON r.source IS NOT DISTINCT FROM b{i}.source" for i in range(_N))}
+x0 AS MATERIALIZED (
+  SELECT doc_id, r.source, size, key, source_size, target, budget AS open, 0::BIGINT AS start, whole AS n
+  FROM r JOIN plan ON r.source IS NOT DISTINCT FROM plan.source),
+{_mix_passes()},
+near AS (
+  SELECT source, key, sum(size) AS here FROM {_LAST}
+  WHERE open > target * {MixParams.near} AND n < {MixParams.max_repeat} AND size > open AND size < 2 * open
+  GROUP BY source, key HAVING sum(size) < 2 * any_value(open) QUALIFY row_number() OVER (PARTITION BY source ORDER BY here, key) = 1)
+SELECT doc_id, size, source_size, target, size * (n + CASE WHEN near.key IS NULL THEN 0 ELSE 1 END) AS taken
+FROM {_LAST} x LEFT JOIN near ON x.source IS NOT DISTINCT FROM near.source AND x.key = near.key
 """
 
 OP6 = """

@@ -139,7 +139,8 @@ def test_mix_comes_near_targets(spark):
         open_ -= over or set(open_)
     for s, g in out.groupby("source"):
         assert g["target"].iloc[0] == pytest.approx(target[s])
-        assert abs(g["taken"].sum() - target[s]) <= g["size"].max()  # what is left open is smaller than one document
+        left = g[(g["size"] > 0) & (g["taken"] < 3 * g["size"])]["size"]
+        assert abs(g["taken"].sum() - target[s]) <= max(0.001 * target[s], left.min() if len(left) else 0)
     assert (out["taken"] <= 3 * out["size"]).all() and (out["taken"].where(out["size"] > 0, 0) % out["size"].clip(lower=1) == 0).all()
 
 
@@ -282,6 +283,23 @@ def test_passages_are_found_despite_substitutions(spark):
     assert {r["doc_id"] for r in decontaminate.decontaminate(_docs(spark, rows), bench).collect()} == {3, 4, 5}
 
 
+def test_many_seeds_of_a_long_text_meet_in_a_shuffle(spark):
+    item = "which of the seven metals melts at the lowest heat and stays liquid in an ordinary room through the winter"
+    long = " ".join(f"w{i * 7919 % 1009}" for i in range(100_000))
+    rows = [(1, f"{long} {item}", "en", "a"), (2, long, "en", "a"), (None, item, "en", "a"), (3, item, "en", "a"), (3, item, "en", "a"),
+            (4, None, "en", "a"), (5, "", None, None)]
+    bench = spark.createDataFrame([(1, item), (2, item), (3, "liquid in an ordinary room")], "item_id long, text string")
+    docs = _docs(spark, rows)
+    want = sorted(decontaminate.overlaps(docs, bench).collect(), key=str)
+    limit = spark.conf.get("spark.sql.autoBroadcastJoinThreshold")
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", -1)
+    try:
+        got = sorted(decontaminate.overlaps(docs, bench, params=decontaminate.SeedParams(broadcast_rows=0)).collect(), key=str)
+    finally:
+        spark.conf.set("spark.sql.autoBroadcastJoinThreshold", limit)
+    assert got == want and {(r["doc_id"], r["item_id"]) for r in got} == {(d, i) for d in (1, None, 3) for i in (1, 2, 3)}
+
+
 # -- SimHash ------------------------------------------------------------------------
 def _fingerprint(text):
     words = [w for w in "".join(c if c not in "\t\n\x0b\f\r" else " " for c in (text or "")).split(" ") if w]
