@@ -18,6 +18,7 @@ from lookout.operators import density
 from lookout.operators import models as M
 from lookout.operators import scoring as S
 from lookout.operators.ensemble import RunState, detect
+from lookout.session import cut_lineage
 
 TABLES = ["thresholds", "blacklist", "training", "performance", "model_params", "model_trees", "model_lof", "model_points", "model_kernel"]
 
@@ -77,7 +78,9 @@ def run_batch(spark: SparkSession, features: DataFrame, attempts: DataFrame, roo
     """Score ``features`` (A4) with the previous run's models and state, then
     refit models and thresholds on ``attempts`` (A2) for the next run, add this
     run's critical addresses to the blacklist, and store the session row and
-    training counters."""
+    training counters. Both tables are written once: each of the steps below
+    reads them, and would else aggregate the events again."""
+    features, attempts = cut_lineage(features), cut_lineage(attempts)
     prev = load_previous(spark, root, run_id)
     scored = detect(features, settings, prev.state)
     feats = S.resolve_features(features)

@@ -12,7 +12,7 @@ from lookout.plans.catalog import register
 from lookout.plans.events import CANON_SQL
 from lookout.plans.scoring import FEAT_SQL, as_of, features, q as scored_sql, scored
 from lookout.operators.ensemble import detect
-from lookout.session import cut_lineage, scratch
+from lookout.session import cut_lineage, scratch, written
 from lookout.sources import tables as T
 
 X = "x_Nombre_Tentatives"
@@ -298,7 +298,8 @@ def two_runs(spark, sf, again: bool = False) -> str:
     from lookout.operators import metrics, state
     from lookout.plans.events import canonical_wire
     root = scratch(spark, "state")
-    canon = canonical_wire(spark, sf)
+    # parsed once, for both tables of all runs
+    canon = written(canonical_wire(spark, sf).select("event_id", "Date", "IP_Source", "Etat"), "canonical-events")
     half = F.col("Date") < F.lit("2024-01-16").cast("timestamp")
     for run_id, part in [("r1", canon.where(half))] + [("r2", canon.where(~half))] * (1 + again):
         state.run_batch(spark, metrics.ip_features(part), metrics.attempts_per_ip(part), root, run_id)

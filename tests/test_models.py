@@ -81,3 +81,18 @@ def test_a_run_uses_the_models_of_the_run_before(spark, tmp_path):
     assert {r.run_id: r.scored_with for r in used} == {"r1": "r1", "r2": "r1"}
     mean = state._read(spark, root, "model_params", models.PARAM_DDL).where("run_id = 'r2' AND name = 'mean'").first()["value"]
     assert mean == pytest.approx(np.mean([500, 510, 505, 6]))
+
+
+def test_a_run_derives_its_tables_once(spark, tmp_path):
+    read = spark.sparkContext.accumulator(0)
+
+    def seen(batches):
+        for b in batches:
+            read.add(len(b))
+            yield b
+
+    events = spark.createDataFrame([(f"10.0.0.{i % 12}", i % 5) for i in range(300)], "IP_Source string, n long").mapInPandas(seen, "IP_Source string, n long")
+    attempts = events.groupBy("IP_Source").agg(F.count(F.lit(1)).alias("Nombre_Tentatives"))
+    feats = attempts.withColumn("Date", F.lit("2024-01-02 12:00:00").cast("timestamp"))
+    out = state.run_batch(spark, feats, attempts, str(tmp_path), "r1", SMALL)
+    assert out.count() == 12 and read.value == 2 * 300  # once for each of the two tables
