@@ -10,8 +10,9 @@ Scale design
 * D8 in one dimension is a difference of running sums; in several, grid cells
   whose diagonal is the radius: a cell of enough rows is all core, and only the
   few points of thin cells are compared with their neighbour cells.
-* D7 takes the mean of random Fourier features: one aggregate of a fixed number
-  of sums, one projection, whatever the number of rows and features.
+* D7 sums the kernel over all pairs of distinct points, in blocks of points by
+  blocks of points: the pairs spread over tasks, and a task holds two blocks.
+  Stored models keep the mean of random Fourier features instead.
 * D6 walks k ranks to either side; a row is copied into the next block of
   ranks only near the blocks' ends.
 """
@@ -32,7 +33,8 @@ from lookout.operators.quantile import exact_quantile
 from lookout.session import cut_lineage
 
 LOF_BLOCK = 4096
-FOURIER = 512   # random features of the kernel
+PAIR_BLOCK = 32768  # distinct points of a block of the kernel sums
+FOURIER = 512   # random features of a stored kernel
 FOURIER_SEED = 42
 
 
@@ -225,24 +227,50 @@ def scale_gamma(df: DataFrame, cols: list[str]) -> float:
     return 1.0 / (len(cols) * var) if var > 0 else 1.0
 
 
-def kernel_novelty_nd(df: DataFrame, cols: list[str], contamination: float, gamma: float | None = None,
-                      n_features: int = FOURIER, seed: int = FOURIER_SEED) -> DataFrame:
-    """s(a) = mean over rows b of exp(-g |a - b|^2), estimated from random
-    Fourier features; vote = s < q_c(s).
+def _kernel_sums(gamma: float, d: int):
+    """For cogroups (points, points): sums of the kernel of each point of the left over all rows of the right."""
+    def run(left: pa.Table, right: pa.Table) -> pa.Table:
+        a, b = (np.column_stack([t.column(i).to_numpy().astype(float) for i in range(d)]) for t in (left, right))
+        cnt, total = right.column(d).to_numpy().astype(float), np.zeros(len(a))
+        for i in range(0, len(a), 256):
+            for j in range(0, len(b), 4096):
+                d2 = sum((a[i:i + 256, k, None] - b[None, j:j + 4096, k]) ** 2 for k in range(d))
+                total[i:i + 256] += np.exp(-gamma * d2) @ cnt[j:j + 4096]
+        return pa.table([*[left.column(i) for i in range(d)], left.column(d), pa.array(total)], names=[*left.column_names[:d + 1], "_s"])
 
-    The error of s is about sqrt(1 / (2 ``n_features``)) at most, the same for
-    equal points, and does not grow with the table. Rows with a null or NaN
-    feature are left out. Returns (cols..., cnt, density, vote).
+    return run
+
+
+def kernel_density(points: DataFrame, cols: list[str], gamma: float, block: int = PAIR_BLOCK) -> DataFrame:
+    """Add ``density`` to distinct points (cols..., ``cnt``): the mean of exp(-gamma |a - b|^2) over all rows b.
+
+    Every pair of distinct points is evaluated, so work grows with their square.
+    Points are dealt to blocks, a task pairs two of them; a point is sent to
+    each block twice.
+    """
+    n, rows = points.agg(F.count(F.lit(1)), F.coalesce(F.sum("cnt"), F.lit(0))).first()
+    blocks = max(math.ceil(n / block), min(math.ceil(n / 1024), 16), 1)
+    own, every = F.pmod(F.xxhash64(*cols), F.lit(blocks)).cast("int"), F.explode(F.sequence(F.lit(0), F.lit(blocks - 1)))
+    points = points.select(*cols, "cnt")
+    left = points.withColumn("_a", own).withColumn("_b", every).groupBy("_a", "_b")
+    right = points.withColumn("_b", own).withColumn("_a", every).groupBy("_a", "_b")
+    ddl = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in points.schema.fields) + ", _s double"
+    return left.cogroup(right).applyInArrow(_kernel_sums(gamma, len(cols)), ddl) \
+        .groupBy(*cols, "cnt").agg((F.sum("_s") / F.lit(rows)).alias("density"))
+
+
+def kernel_novelty_nd(df: DataFrame, cols: list[str], contamination: float, gamma: float | None = None) -> DataFrame:
+    """s(a) = mean over rows b of exp(-g |a - b|^2), over all pairs; vote = s < q_c(s).
+
+    Rows with a null or NaN feature are left out. Returns (cols..., cnt, density, vote).
     """
     for c in cols:
         df = df.where(F.col(c).isNotNull() & ~F.isnan(F.col(c).cast("double")))
     gamma = scale_gamma(df, cols) if gamma is None else gamma
-    freq, phase = fourier_features(len(cols), gamma, n_features, seed)
     pts = cut_lineage(df.groupBy(*cols).agg(F.count(F.lit(1)).cast("bigint").alias("cnt")))
-    mean = feature_means(pts, cols, freq, phase)
-    out = point_density(pts, cols, freq, phase, mean)
+    out = cut_lineage(kernel_density(pts, cols, gamma))
     q = exact_quantile(out, F.col("density"), float(contamination), F.col("cnt"))
-    return out.withColumn("vote", (F.col("density") < F.lit(q).cast("double") - 1e-8).cast("int"))
+    return out.withColumn("vote", (F.col("density") < F.lit(q).cast("double")).cast("int"))
 
 
 def kernel_novelty(df: DataFrame, x_col: str, contamination: float, gamma: float | None = None) -> DataFrame:

@@ -292,6 +292,25 @@ def test_dbscan_nd_matches_brute_force(spark):
         assert got[(float(a), float(b))] == (bool(core[i]), bool(noise[i]))
 
 
+def test_kernel_density_over_all_pairs(spark):
+    rng = np.random.default_rng(5)
+    for pts in (np.round(rng.normal(size=(400, 1)) * 3, 1), np.round(rng.normal(size=(300, 2)), 1)):
+        cols = [f"c{i}" for i in range(pts.shape[1])]
+        df = spark.createDataFrame([tuple(map(float, p)) for p in pts] + [tuple([None] * len(cols))], ", ".join(f"{c} double" for c in cols))
+        g = 1.0 / (len(cols) * pts.var())
+        want = np.exp(-g * ((pts[:, None] - pts[None]) ** 2).sum(-1)).mean(1)
+        limit = np.quantile(want, 0.1)
+        got = {tuple(r[c] for c in cols): r for r in density.kernel_novelty_nd(df, cols, 0.1).collect()}
+        for p, w in zip(pts, want):
+            r = got[tuple(map(float, p))]
+            assert r.density == pytest.approx(w, abs=1e-12)
+            if abs(w - limit) > 1e-12:
+                assert r.vote == int(w < limit)
+        points = df.dropna().groupBy(*cols).agg(F.count(F.lit(1)).alias("cnt"))
+        blocked = {tuple(r[c] for c in cols): r.density for r in density.kernel_density(points, cols, g, block=20).collect()}
+        assert set(blocked) == set(got) and all(blocked[k] == pytest.approx(got[k].density, abs=1e-12) for k in got)
+
+
 def test_kernel_nd_near_the_exact_one(spark):
     rng = np.random.default_rng(3)
     pts = np.round(rng.normal(size=(150, 3)), 1)
