@@ -15,6 +15,7 @@ from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -31,7 +32,7 @@ class DivergenceParams:
     top_terms: int = 200            # ranks of a group's terms (the report's length)
     shard_bytes: int = 8 << 20      # text sorted at once; a longer text is a shard of its own
     small_slice: int = 4096         # pointers below which a slice is sorted whole
-    block_terms: int = 1 << 16      # kept terms of one task of the pair sums
+    block_terms: int = 1 << 14      # kept terms of one task of the pair sums
     tile: int = 512                 # sources by sources of one task of the pair sums
 
 
@@ -104,8 +105,8 @@ def sorted_runs(buffer: np.ndarray, starts: np.ndarray, ends: np.ndarray, small:
     words keep the pointers' order.
     """
     padded = np.concatenate([buffer, np.zeros(8, np.uint8)])
-    order, flags = [np.zeros(0, np.int64)], [np.zeros(0, bool)]
-    todo = [(np.arange(len(starts)), 0, None)] if len(starts) else []
+    order, flags = [np.zeros(0, starts.dtype)], [np.zeros(0, bool)]
+    todo = [(np.arange(len(starts), dtype=starts.dtype), 0, None)] if len(starts) else []
     while todo:
         own, depth, key = todo.pop()
         if depth < 0:
@@ -140,12 +141,15 @@ def _shard_rows(texts: pa.Array, langs: list[str], sources: list[str], params: D
     starts, ends = token_pointers(buffer, offsets)
     if not len(starts):
         return None
+    if len(buffer) < 1 << 30:  # half the memory; only a single text is longer
+        starts, ends = starts.astype(np.int32), ends.astype(np.int32)
     names: dict = {}
     group_of = np.array([names.setdefault(k, len(names)) for k in zip(langs, sources)], np.int32)
-    doc = np.searchsorted(offsets, starts, side="right") - 1
+    doc = (np.searchsorted(offsets, starts, side="right") - 1).astype(starts.dtype)
     # pointers of a group side by side: the sort keeps their order within each run
     place = np.argsort(group_of[doc], kind="stable")
     starts, ends, doc = starts[place], ends[place], doc[place]
+    del place
     pointer, new_run = sorted_runs(buffer, starts, ends, params.small_slice)
     doc = doc[pointer]
     group = group_of[doc]
@@ -240,15 +244,16 @@ def _pair_sums(terms: pa.Table, header: pa.Table) -> pa.Table:
     total = np.array([known[s] for s in names], np.int64) + head["v"]
     sums = np.zeros((len(own), len(ref)), np.int64)
     mine, theirs = [place[s["source"]] for s in own], [place[s["source"]] for s in ref]
-    step = max(1, (1 << 20) // max(len(names), 1))
-    column = terms.column("by").combine_chunks() if terms.num_rows else []
+    step = max(1, (1 << 18) // max(len(names), 1))
     for at in range(0, terms.num_rows, step):
-        part = column[at:at + step].to_pylist()
-        rows = [(i, place[e["source"]], e["n"]) for i, by in enumerate(part) for e in by if e["source"] in place]
+        part = terms.column("by").slice(at, step).combine_chunks()
+        source, n = part.flatten().flatten()
+        # a term's entries are read as columns: one object for each would take many times their size
+        row = np.repeat(np.arange(len(part)), pc.list_value_length(part).to_numpy(zero_copy_only=False))
+        j = pc.fill_null(pc.index_in(source, value_set=pa.array(names, source.type)), -1).to_numpy(zero_copy_only=False)
+        known_source = j >= 0
         count = np.zeros((len(part), len(names)), np.int64)
-        if rows:
-            i, j, n = np.array(rows, np.int64).T
-            count[i, j] = n
+        count[row[known_source], j[known_source]] = n.to_numpy(zero_copy_only=False)[known_source]
         p = share(count, total[None, :])
         for k, r in enumerate(theirs):
             q = p[:, r:r + 1]

@@ -198,3 +198,25 @@ def test_passages_outgrow_one_automaton(spark, monkeypatch):
                                        names=["shard", "part", "rid", "starts", "text"])
     rows = [r for b in substrings._occurrence_rows(iter([batch]), 20) for r in zip(*[c.to_pylist() for c in b.columns])]
     assert len(automata) > 1 and sorted(rows) == [(9, 31 * k, 31 * k + 30) for k in range(4)]
+
+
+def test_pair_sums_hold_no_object_for_each_entry():
+    import tracemalloc
+
+    import pyarrow as pa
+    from lookout.llm.divergence import _pair_sums, share
+
+    names, v = [f"s{i}" for i in range(6)], 30_000
+    counts = np.random.default_rng(3).integers(0, 50, (v, 6))
+    offsets = np.arange(0, 6 * v + 1, 6)
+    entries = pa.StructArray.from_arrays([pa.array(names * v), pa.array(counts.reshape(-1))], names=["source", "n"])
+    terms = pa.table({"by": pa.ListArray.from_arrays(pa.array(offsets, pa.int32()), entries)})
+    groups = [{"source": s, "total": int(t)} for s, t in zip(names, counts.sum(0))]
+    header = pa.table({"lang": ["x"], "v": [v], "own": [groups], "ref": [groups[:2]]})
+    tracemalloc.start()
+    got = {(r["source"], r["item"]): r["value"] for r in _pair_sums(terms, header).to_pylist()}
+    peak = tracemalloc.get_traced_memory()[1]
+    tracemalloc.stop()
+    p = share(counts.astype(np.int64), counts.sum(0)[None, :] + v)
+    assert got == {(names[a], names[b]): int(((p[:, a] - p[:, b]) ** 2 // p[:, b]).sum()) for a in range(6) for b in range(2) if a != b}
+    assert peak < 30 << 20  # 180,000 entries as objects take over 60 MB
