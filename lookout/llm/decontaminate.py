@@ -23,6 +23,7 @@ class SeedParams:
     shortest: int = 5           # benchmark texts of fewer tokens name no passage and are never matched
     min_score: int = 10         # matches minus substitutions of an overlap; a shorter benchmark text must match whole
     broadcast_rows: int = 2_000_000   # seeds of a benchmark that are broadcast; more meet narrow seeds of the documents in a shuffle
+    block: int = 1024           # windows of a text that are looked up together
 
     @property
     def span(self) -> int:
@@ -42,19 +43,25 @@ def _hashed(texts: DataFrame, text: str, *keep: Column) -> DataFrame:
 
 
 def _seeds(hashed: DataFrame, params: SeedParams, short: list[int]) -> DataFrame:
-    """One row for each window and mask: ``_at`` and ``_seed``; the other columns stay.
+    """One row for each window and mask: ``_at`` and ``_seed`` beside the columns to keep, without the text.
 
     ``short`` lists the lengths below the span for which whole runs are hashed,
-    for benchmark texts that are shorter than a mask.
+    for benchmark texts that are shorter than a mask. A text is first cut into
+    blocks of windows: the generated code holds the matches of one row of its
+    input at once, so that row must be a block and no match may carry a text.
     """
     reach = min([params.span, *short])
-    rows = hashed.where(F.col("_n") >= reach) \
-        .withColumn("_at", F.explode(F.sequence(F.lit(0), F.col("_n") - reach)))
+    keep = [c for c in hashed.columns if c not in ("_h", "_n")]
+    starts = F.when(F.col("_n") >= reach, F.sequence(F.lit(0), F.col("_n") - reach, F.lit(params.block)))
+    rows = hashed.select(*keep, F.inline(F.transform(starts, lambda at: F.struct(
+        at.alias("_first"), F.slice("_h", at + 1, params.block + params.span - 1).alias("_b"))))) \
+        .withColumn("_in", F.explode(F.sequence(F.lit(0), F.least(F.lit(params.block - 1), F.size("_b") - reach))))
     each = [(m, params.span, [i for i, c in enumerate(mask) if c == "1"]) for m, mask in enumerate(params.masks)]
     each += [(len(params.masks) + n, n, list(range(n))) for n in short]
-    seeds = [F.when(F.col("_at") + length <= F.col("_n"),
-                    F.xxhash64(F.lit(m), *[F.get("_h", F.col("_at") + i) for i in at])) for m, length, at in each]
-    return rows.withColumn("_seed", F.explode(F.array(*seeds))).where(F.col("_seed").isNotNull())
+    seeds = [F.when(F.col("_in") + length <= F.size("_b"),
+                    F.xxhash64(F.lit(m), *[F.get("_b", F.col("_in") + i) for i in at])) for m, length, at in each]
+    return rows.select(*keep, (F.col("_first") + F.col("_in")).alias("_at"), F.explode(F.array(*seeds)).alias("_seed")) \
+        .where(F.col("_seed").isNotNull())
 
 
 def _run_score(a: Column, b: Column) -> Column:
@@ -82,24 +89,27 @@ def overlaps(docs: DataFrame, benchmark: DataFrame, doc_id: str = "doc_id", text
     wanted = written(_seeds(items, params, short).select("_seed", "_item", F.col("_at").alias("_item_at")), "decon-seeds")
     bodies = items.select("_item", F.col("_h").alias("_item_h"), F.col("_n").alias("_item_n"))
     own = _hashed(docs, text, F.col(doc_id).alias("doc_id"), F.xxhash64(text).alias("text_hash"))
-    place = (F.col("_at") - F.col("_item_at")).alias("offset")
-    if wanted.count() <= params.broadcast_rows:  # as do the texts, which have fewer tokens than seeds
-        hits = _seeds(own, params, short).join(F.broadcast(wanted), "_seed").join(F.broadcast(bodies), "_item") \
-            .select("doc_id", "text_hash", "_h", "_n", "_item", "_item_h", "_item_n", place)
-    else:  # seeds travel without their texts; each hit document fetches its own once
-        narrow = _seeds(own, params, short).select("doc_id", "text_hash", "_at", "_seed")
-        places = written(narrow.join(wanted, "_seed").select("doc_id", "text_hash", "_item", place).distinct(), "decon-places")
-        hit = places.select(F.col("doc_id").alias("_hit_id"), F.col("text_hash").alias("_hit_hash")).distinct()
-        fetched = docs.select(F.col(doc_id).alias("doc_id"), F.xxhash64(text).alias("text_hash"), F.col(text).alias("_text")) \
-            .join(hit, F.col("doc_id").eqNullSafe(F.col("_hit_id")) & (F.col("text_hash") == F.col("_hit_hash")), "left_semi")
-        fetched = _hashed(fetched, "_text", F.col("doc_id").alias("_own_id"), F.col("text_hash").alias("_own_hash"))
-        hits = places.join(fetched, F.col("doc_id").eqNullSafe(F.col("_own_id")) & (F.col("text_hash") == F.col("_own_hash"))) \
-            .join(bodies, "_item").drop("_own_id", "_own_hash")
+    few = wanted.count() <= params.broadcast_rows   # then so do the texts, which have fewer tokens than seeds
+    near = F.broadcast if few else lambda table: table
+    # seeds travel without their texts; each hit document fetches its own once
+    places = written(_seeds(own, params, short).join(near(wanted), "_seed")
+                     .select("doc_id", "text_hash", "_item", (F.col("_at") - F.col("_item_at")).alias("offset")).distinct(), "decon-places")
+    hit = places.select(F.col("doc_id").alias("_hit_id"), F.col("text_hash").alias("_hit_hash")).distinct()
+    if places.count() <= params.broadcast_rows:     # else all documents would be shuffled for the few that are hit
+        hit = F.broadcast(hit)
+    fetched = docs.select(F.col(doc_id).alias("doc_id"), F.xxhash64(text).alias("text_hash"), F.col(text).alias("_text")) \
+        .join(hit, F.col("doc_id").eqNullSafe(F.col("_hit_id")) & (F.col("text_hash") == F.col("_hit_hash")), "left_semi") \
+        .dropDuplicates(["doc_id", "text_hash"])
+    fetched = _hashed(fetched, "_text", F.col("doc_id").alias("_own_id"), F.col("text_hash").alias("_own_hash"))
+    # sorted, a document meets its places one by one; each takes its own run of tokens along, not the text
     begin = F.greatest(F.lit(0), -F.col("offset"))
     length = F.least(F.col("_item_n"), F.col("_n") - F.col("offset")) - begin
-    scored = hits.withColumn("score", _run_score(F.slice("_h", F.col("offset") + begin + 1, length), F.slice("_item_h", begin + 1, length))) \
+    runs = places.join(near(bodies.select("_item", "_item_n")), "_item").hint("merge") \
+        .join(fetched, F.col("doc_id").eqNullSafe(F.col("_own_id")) & (F.col("text_hash") == F.col("_own_hash"))) \
+        .select("doc_id", "text_hash", "_item", "offset", begin.alias("_begin"), F.slice("_h", F.col("offset") + begin + 1, length).alias("_run"))
+    found = runs.join(near(bodies), "_item") \
+        .withColumn("score", _run_score(F.col("_run"), F.slice("_item_h", F.col("_begin") + 1, F.size("_run")))) \
         .where(F.col("score") >= F.least(F.lit(params.min_score), F.col("_item_n")))
-    found = scored.groupBy("doc_id", "text_hash", "_item", "offset").agg(F.max("score").alias("score"))
     return found.join(items.select("_item", "items"), "_item") \
         .select("doc_id", "text_hash", F.explode("items").alias("item_id"), "offset", "score")
 

@@ -300,6 +300,28 @@ def test_many_seeds_of_a_long_text_meet_in_a_shuffle(spark):
     assert got == want and {(r["doc_id"], r["item_id"]) for r in got} == {(d, i) for d in (1, None, 3) for i in (1, 2, 3)}
 
 
+def test_many_passages_of_one_text_do_not_hold_its_copies(spark):
+    item = "which of the seven metals melts at the lowest heat and stays liquid in an ordinary room through the winter"
+    n, times = len(item.split()), 2600  # 27 seeds a passage: 29 GB if each match carries the tokens of the text
+    docs = _docs(spark, [(1, " ".join([item] * times), "en", "a"), (2, PROSE, "en", "a"), (None, f"{PROSE} {item}", "en", "a")])
+    bench = spark.createDataFrame([(1, item)], "item_id long, text string")
+    got = {(r["doc_id"], r["offset"]): r["score"] for r in decontaminate.overlaps(docs, bench).collect()}
+    assert got == {(1, n * k): n for k in range(times)} | {(None, len(PROSE.split())): n}
+
+
+def test_texts_of_any_number_of_blocks_have_the_same_overlaps(spark):
+    item = "which of the seven metals melts at the lowest heat and stays liquid in an ordinary room through the winter"
+    rows = [(k, " ".join([f"w{i * 7919 % 1009}" for i in range(k)] + item.split() + ["end"] * (k % 3)), "en", "a") for k in range(40)]
+    rows += [(100, " ".join(item.split()[5:]), "en", "a"), (101, "liquid in an ordinary", "en", "a"), (102, "in an ordinary room liquid in an ordinary room", "en", "a")]
+    bench = spark.createDataFrame([(1, item), (2, "liquid in an ordinary room")], "item_id long, text string")
+    got = [sorted(decontaminate.overlaps(_docs(spark, rows), bench, params=decontaminate.SeedParams(block=block)).collect())
+           for block in (1, 7, 1024)]
+    assert got[0] == got[1] == got[2]
+    found = {(r["doc_id"], r["item_id"], r["offset"]): r["score"] for r in got[0]}
+    assert found == {(k, 1, k): 20 for k in range(40)} | {(k, 2, k + 12): 5 for k in range(40)} \
+        | {(100, 1, -5): 15, (100, 2, 7): 5, (102, 2, 4): 5}
+
+
 # -- SimHash ------------------------------------------------------------------------
 def _fingerprint(text):
     words = [w for w in "".join(c if c not in "\t\n\x0b\f\r" else " " for c in (text or "")).split(" ") if w]
