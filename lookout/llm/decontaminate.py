@@ -95,7 +95,7 @@ def overlaps(docs: DataFrame, benchmark: DataFrame, doc_id: str = "doc_id", text
     places = written(_seeds(own, params, short).join(near(wanted), "_seed")
                      .select("doc_id", "text_hash", "_item", (F.col("_at") - F.col("_item_at")).alias("offset")).distinct(), "decon-places")
     hit = places.select(F.col("doc_id").alias("_hit_id"), F.col("text_hash").alias("_hit_hash")).distinct()
-    if places.count() <= params.broadcast_rows:     # else all documents would be shuffled for the few that are hit
+    if places.count() <= params.broadcast_rows:     # else all documents would be sorted by key
         hit = F.broadcast(hit)
     fetched = docs.select(F.col(doc_id).alias("doc_id"), F.xxhash64(text).alias("text_hash"), F.col(text).alias("_text")) \
         .join(hit, F.col("doc_id").eqNullSafe(F.col("_hit_id")) & (F.col("text_hash") == F.col("_hit_hash")), "left_semi") \
@@ -120,5 +120,7 @@ def decontaminate(docs: DataFrame, benchmark: DataFrame, doc_id: str = "doc_id",
     bad = overlaps(docs, benchmark, doc_id, text, params=params) \
         .select(F.col("doc_id").alias("_bad_id"), F.col("text_hash").alias("_bad_hash")).distinct()
     bad = written(bad, "decon-bad")
+    if bad.count() <= params.broadcast_rows:    # else all documents would be sorted by key
+        bad = F.broadcast(bad)
     return docs.select(F.struct("*").alias("_doc"), F.col(doc_id).alias("_id"), F.xxhash64(text).alias("_hash")) \
         .join(bad, F.col("_id").eqNullSafe(F.col("_bad_id")) & (F.col("_hash") == F.col("_bad_hash")), "left_anti").select("_doc.*")

@@ -322,6 +322,23 @@ def test_texts_of_any_number_of_blocks_have_the_same_overlaps(spark):
         | {(100, 1, -5): 15, (100, 2, 7): 5, (102, 2, 4): 5}
 
 
+def test_documents_are_not_sorted_for_few_bad_ones(spark):
+    item = "which of the seven metals melts at the lowest heat and stays liquid in an ordinary room through the winter"
+    docs = _docs(spark, [(1, f"{PROSE} {item}", "en", "a"), (1, PROSE, "en", "a"), (None, item, "en", "a"), (None, PROSE, None, None), (2, None, "en", "a"),
+                         (3, " ".join([item] * 2600), "en", "a")])
+    bench = spark.createDataFrame([(1, item)], "item_id long, text string")
+    limit = spark.conf.get("spark.sql.autoBroadcastJoinThreshold")
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", -1)  # as if the list were above it
+    try:
+        left = decontaminate.decontaminate(docs, bench)
+        assert "SortMergeJoin" not in left._jdf.queryExecution().executedPlan().toString()
+        many = decontaminate.decontaminate(docs, bench, params=decontaminate.SeedParams(broadcast_rows=0))
+        for kept in (left, many):
+            assert sorted((r["doc_id"], r["text"]) for r in kept.na.fill({"doc_id": -1, "text": ""}).collect()) == [(-1, PROSE), (1, PROSE), (2, "")]
+    finally:
+        spark.conf.set("spark.sql.autoBroadcastJoinThreshold", limit)
+
+
 # -- SimHash ------------------------------------------------------------------------
 def _fingerprint(text):
     words = [w for w in "".join(c if c not in "\t\n\x0b\f\r" else " " for c in (text or "")).split(" ") if w]
